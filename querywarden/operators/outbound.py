@@ -29,6 +29,16 @@ def normalise(df: DataFrame, raw: str = "raw", out: str = "query",
     )
 
 
+def _let(value: Column, fn) -> Column:
+    """Bind ``value`` once and build ``fn(bound)``: a one-element ``transform``.
+
+    The bound variable can be referenced many times without copying the
+    expression that produced it, so chained steps stay linear in plan size
+    even when Catalyst collapses the projections.
+    """
+    return F.transform(F.array(value), fn)[0]
+
+
 def redact_pii(df: DataFrame, col: str = "query", rules: Sequence[R.PiiRule] = R.PII_RULES,
                gate: str | None = R.PII_GATE, findings: bool = True,
                out: str = "query") -> DataFrame:
@@ -36,41 +46,38 @@ def redact_pii(df: DataFrame, col: str = "query", rules: Sequence[R.PiiRule] = R
 
     Adds ``n_redactions`` and, if ``findings``, ``findings`` as
     ``ARRAY<STRUCT<placeholder, match>>`` in rule order then text order.
-    Rows failing the cheap ``gate`` (a superset of all rules) skip the chain;
-    each step stays in its own projection so no regex is evaluated twice.
+    Rows failing the cheap ``gate`` (a superset of all rules) skip the chain.
+    The state (text, findings or count) is one struct threaded through the
+    steps, so every step reads its predecessor exactly once.
     """
-    if gate is not None:
-        df = df.withColumn("_g", T.rlike(col, gate, case_insensitive=True))
-        on = F.col("_g")
-    else:
-        on = F.lit(True)
-    prev = col
-    steps = []
-    for i, r in enumerate(rules):
-        m, q = f"_m{i}", f"_q{i}"
-        df = df.withColumns({
-            m: F.when(on, T.extract_all(prev, r.pattern, r.case_insensitive)),
-            q: F.when(on, T.replace_all(prev, r.pattern, r.placeholder, r.case_insensitive))
-                .otherwise(F.col(prev)),
-        })
-        steps.append((m, r.placeholder))
-        prev = q
-    n = sum((F.coalesce(F.size(F.col(m)), F.lit(0)) for m, _ in steps), F.lit(0))
-    new_cols = {"n_redactions": n.cast("bigint")}
+    on = T.rlike(col, gate, case_insensitive=True) if gate is not None else F.lit(True)
+    df = df.withColumn("_g", on)
+    empty = F.array().cast("array<struct<placeholder:string,match:string>>")
+    acc = F.struct(F.col(col).alias("q"),
+                   (empty if findings else F.lit(0).cast("bigint")).alias("f"))
+    df = df.withColumn("_s", F.when(F.col("_g"), acc))
+    def make_step(r):
+        def step(x):
+            hits = T.extract_all(x["q"], r.pattern, r.case_insensitive)
+            if findings:
+                f = F.concat(x["f"], F.transform(hits, lambda h: F.struct(
+                    F.lit(r.placeholder).alias("placeholder"), h.alias("match"))))
+            else:
+                f = x["f"] + F.size(hits)
+            return F.struct(
+                T.replace_all(x["q"], r.pattern, r.placeholder, r.case_insensitive).alias("q"),
+                f.alias("f"))
+        return step
+
+    for r in rules:
+        step = make_step(r)
+        df = df.withColumn("_s", _let(F.col("_s"), step))
+    n = F.size(F.col("_s.f")) if findings else F.col("_s.f")
+    new_cols = {"n_redactions": F.coalesce(n, F.lit(0)).cast("bigint")}
     if findings:
-        parts = [
-            F.transform(
-                F.coalesce(F.col(m), F.array().cast("array<string>")),
-                lambda x, ph=ph: F.struct(F.lit(ph).alias("placeholder"), x.alias("match")),
-            )
-            for m, ph in steps
-        ]
-        new_cols["findings"] = F.concat(*parts)
-    new_cols[out] = F.col(prev)
-    drop = [c for m, _ in steps for c in (m,)] + [f"_q{i}" for i in range(len(rules))]
-    if gate is not None:
-        drop.append("_g")
-    return df.withColumns(new_cols).drop(*[c for c in drop if c != out])
+        new_cols["findings"] = F.coalesce(F.col("_s.f"), empty)
+    new_cols[out] = F.when(F.col("_g"), F.col("_s.q")).otherwise(F.col(col))
+    return df.withColumns(new_cols).drop("_s", "_g")
 
 
 def high_risk_count(col: str = "query", rules: Sequence[R.PiiRule] = R.PII_RULES) -> Column:

@@ -21,6 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def ensure_utc(spark: SparkSession) -> None:
+    """Timestamps are stored without zone and mean UTC; keep the session on UTC."""
+    if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` with ``ts`` as an instant (the stored wall clock read as UTC)."""
+    ensure_utc(spark)
+    ev = table(spark, sf_dir, "events")
+    return ev.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 # ---------------------------------------------------------------------------
 # query log derived from ``events``
 # ---------------------------------------------------------------------------
@@ -49,7 +62,7 @@ FROM events"""
 
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``query_id, user_id, ts, raw, categories``."""
-    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    ev = events(spark, sf_dir).select("event_id", "user_id", "ts")
     return ev.select(
         F.col("event_id").alias("query_id"),
         "user_id",
