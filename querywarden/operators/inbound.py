@@ -18,6 +18,7 @@ from pyspark.sql import types as ST
 from ..functions import regex as X
 from ..functions import rules as R
 from ..functions import text as T
+from ..functions.fence import fence
 
 
 @F.pandas_udf(ST.StringType())
@@ -141,10 +142,12 @@ def sanitize_results(df: DataFrame, title: str = "title", content: str = "conten
         "snippet_rule": injection_rule("snippet"),
     })
     injected = F.col("title_rule").isNotNull() | F.col("snippet_rule").isNotNull()
-    return df.withColumns({
+    df = df.withColumns({
         "injected": injected,
         "kept": ~injected & ((F.col(title) != "") | (F.col("snippet") != "")),
     })
+    return fence(df, [title, "snippet", url, "source", "title_rule", "snippet_rule",
+                      "injected", "kept"])
 
 
 def context_block(pos: Column, r: Column) -> Column:

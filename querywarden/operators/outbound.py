@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
+from ..functions.fence import fence
 
 
 def normalise(df: DataFrame, raw: str = "raw", out: str = "query",
@@ -125,7 +126,8 @@ def sanitize(df: DataFrame, raw: str = "raw", findings: bool = False,
     """``query, n_redactions[, findings], high_risk_count, blocked, reason``."""
     df = normalise(df, raw, "query", max_length)
     df = redact_pii(df, "query", rules, findings=findings)
-    return risk_gate(df, "query", rules).drop("_empty")
+    df = risk_gate(df, "query", rules).drop("_empty")
+    return fence(df, ["query", "n_redactions", "findings", "high_risk_count", "reason", "blocked"])
 
 
 # ---------------------------------------------------------------------------

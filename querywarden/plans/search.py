@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..functions.fence import fence
 from ..operators import outbound as O
 from ..operators import traffic as TR
 from ..sources import policy as P
@@ -38,7 +39,7 @@ def decide(queries: DataFrame, policy_df: DataFrame, n_policy_rows: int | None =
     df = df.withColumn("status", status)
     ok = F.col("status") == 200
     ok_dp = ok & F.col("dp_enabled")
-    return df.withColumns({
+    df = df.withColumns({
         "reason": F.when(F.col("status") == 403, F.lit("web search is disabled in policy"))
                    .when(F.col("blocked"), F.col("reason"))
                    .when(F.col("uniqueness_action") == "block", F.lit(R.REASON_UNIQUE))
@@ -51,3 +52,6 @@ def decide(queries: DataFrame, policy_df: DataFrame, n_policy_rows: int | None =
         "audited": F.col("status") != 403,
         "audit_blocked": F.col("status") == 422,
     })
+    return fence(df, ["status", "reason", "uniqueness_action", "uniqueness_warning", "unique",
+                      "rare_matches", "category", "decoys_sent", "jitter_ms", "padded",
+                      "audited", "audit_blocked"])
