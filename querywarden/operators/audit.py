@@ -97,6 +97,9 @@ def entry_parts(df: DataFrame, ts: str = "ts", event: str = "event") -> DataFram
 # Chain fold with resume seeds and segment rotation
 # ---------------------------------------------------------------------------
 
+_PIECES = ("canon_prefix", "canon_suffix", "line_prefix", "seed_hash", "seed_bytes", "seed_segment")
+
+
 def _fold(chain_key: str, max_segment_bytes: int | None):
     def run(batches):
         state = {}  # chain -> [prev_hash, seq, segment, segment_bytes]
@@ -104,10 +107,11 @@ def _fold(chain_key: str, max_segment_bytes: int | None):
             if pdf.empty:
                 continue
             n = len(pdf)
-            seqs, prevs, hashes, segs, lines = [0] * n, [""] * n, [""] * n, [0] * n, [""] * n
+            seqs, prevs, hashes = [0] * n, [""] * n, [""] * n
+            segs, used, lines = [0] * n, [0] * n, [""] * n
             keys = pdf[chain_key].tolist()
-            seeds = pdf["seed_hash"].tolist()
-            seed_bytes = pdf["seed_bytes"].tolist()
+            seeds, sbytes, ssegs = (pdf["seed_hash"].tolist(), pdf["seed_bytes"].tolist(),
+                                    pdf["seed_segment"].tolist())
             cpre, csuf, lpre = (pdf["canon_prefix"].tolist(), pdf["canon_suffix"].tolist(),
                                 pdf["line_prefix"].tolist())
             for i in range(n):
@@ -115,8 +119,9 @@ def _fold(chain_key: str, max_segment_bytes: int | None):
                 st = state.get(k)
                 if st is None:
                     seed = seeds[i] if isinstance(seeds[i], str) else ""
-                    used = 0 if pd.isna(seed_bytes[i]) else int(seed_bytes[i])
-                    st = [seed, 0, 0, used]
+                    st = [seed, 0,
+                          0 if pd.isna(ssegs[i]) else int(ssegs[i]),
+                          0 if pd.isna(sbytes[i]) else int(sbytes[i])]
                     state[k] = st
                 prev = st[0]
                 h = hashlib.sha256((cpre[i] + prev + csuf[i]).encode("utf-8")).hexdigest()
@@ -126,14 +131,15 @@ def _fold(chain_key: str, max_segment_bytes: int | None):
                     st[3] = 0
                 st[3] += len(line.encode("utf-8")) + 1
                 st[1] += 1
-                seqs[i], prevs[i], hashes[i], segs[i], lines[i] = st[1], prev, h, st[2], line
+                seqs[i], prevs[i], hashes[i], lines[i] = st[1], prev, h, line
+                segs[i], used[i] = st[2], st[3]
                 st[0] = h
-            out = pdf.drop(columns=["canon_prefix", "canon_suffix", "line_prefix",
-                                    "seed_hash", "seed_bytes"])
+            out = pdf.drop(columns=list(_PIECES))
             out["seq"] = seqs
             out["prev_hash"] = prevs
             out["entry_hash"] = hashes
             out["segment"] = segs
+            out["segment_bytes"] = used
             out["line"] = lines
             yield out
     return run
@@ -145,32 +151,37 @@ def build_chain(df: DataFrame, chain_key: str, order: Sequence[str],
     """A4 (+A5 resume, +A6 rotation): chain entries in ``order`` within each chain.
 
     ``df`` needs ``canon_prefix, canon_suffix, line_prefix`` (see ``entry_parts``).
-    ``heads`` (``chain_key, seed_hash[, seed_bytes]``) continues existing chains:
-    the first new entry links to ``seed_hash``; ``seed_bytes`` is the size of
-    the open segment. Adds ``seq, prev_hash, entry_hash, segment, line``.
+    ``heads`` (``chain_key, seed_hash[, seed_bytes, seed_segment]``) continues
+    existing chains: the first new entry links to ``seed_hash`` and rotation
+    continues from the open segment. Adds ``seq`` (within this run),
+    ``prev_hash, entry_hash, segment, segment_bytes, line``.
     """
     spark = df.sparkSession
     if heads is not None:
-        if "seed_bytes" not in heads.columns:
-            heads = heads.withColumn("seed_bytes", F.lit(0).cast("bigint"))
-        df = df.join(heads.select(chain_key, "seed_hash", "seed_bytes"), on=chain_key, how="left")
+        for c, t in (("seed_bytes", "bigint"), ("seed_segment", "bigint")):
+            if c not in heads.columns:
+                heads = heads.withColumn(c, F.lit(0).cast(t))
+        df = df.join(heads.select(chain_key, "seed_hash", "seed_bytes", "seed_segment"),
+                     on=chain_key, how="left")
     else:
         df = df.withColumns({"seed_hash": F.lit(None).cast("string"),
-                             "seed_bytes": F.lit(None).cast("bigint")})
+                             "seed_bytes": F.lit(None).cast("bigint"),
+                             "seed_segment": F.lit(None).cast("bigint")})
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = df.repartition(n, chain_key).sortWithinPartitions(chain_key, *order)
-    fields = [f for f in ordered.schema.fields
-              if f.name not in ("canon_prefix", "canon_suffix", "line_prefix",
-                                "seed_hash", "seed_bytes")]
+    fields = [f for f in ordered.schema.fields if f.name not in _PIECES]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    schema += ", seq bigint, prev_hash string, entry_hash string, segment bigint, line string"
+    schema += (", seq bigint, prev_hash string, entry_hash string, segment bigint, "
+               "segment_bytes bigint, line string")
     return ordered.mapInPandas(_fold(chain_key, max_segment_bytes), schema)
 
 
 def chain_heads(entries: DataFrame, chain_key: str, seq: str = "seq") -> DataFrame:
-    """A5: the last entry hash of each chain (resume point), by a partial max_by."""
+    """A5: per chain, the last entry hash, open segment and its bytes (partial max_by)."""
     return entries.groupBy(chain_key).agg(
-        F.max_by("entry_hash", seq).alias("seed_hash"))
+        F.max_by("entry_hash", seq).alias("seed_hash"),
+        F.max_by("segment_bytes", seq).cast("bigint").alias("seed_bytes"),
+        F.max_by("segment", seq).cast("bigint").alias("seed_segment"))
 
 
 # ---------------------------------------------------------------------------
