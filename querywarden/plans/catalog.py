@@ -19,6 +19,7 @@ from ..operators import outbound as O
 from ..operators import traffic as TR
 from ..session import spread
 from ..sources import policy as P
+from ..sources import requests as RQ
 from ..sources import tables as TB
 from . import oracle as Q
 from . import search as S
@@ -189,6 +190,15 @@ def batch_windows(spark, sf):
     return TR.batch_windows(_events(spark, sf), "ts")
 
 
+def request_intake(spark, sf):
+    ev = TB.events(spark, sf).select("event_id", "user_id", "props")
+    bodies = ev.select(F.col("event_id").alias("query_id"), F.expr(RQ.REQUEST_BODY_SQL).alias("body"))
+    out = O.sanitize(RQ.parse_requests(bodies), "raw")
+    return out.select("query_id", "status", "raw", "categories",
+                      F.when(F.col("status") == 200, F.col("query")).alias("query"),
+                      F.when(F.col("status") == 200, F.col("reason")).alias("reason"))
+
+
 # ---------------------------------------------------------------------------
 # inbound
 # ---------------------------------------------------------------------------
@@ -309,6 +319,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "k_anonymous_queries": k_anonymous_queries,
     "padded_queries": padded_queries,
     "policy_gate": policy_gate,
+    "request_intake": request_intake,
     "decoy_plan": decoy_plan,
     "cover_plan": cover_plan,
     "jittered": jittered,
