@@ -18,6 +18,8 @@ from ..operators import inbound as I
 from ..operators import outbound as O
 from ..operators import traffic as TR
 from ..session import spread
+from ..session import scratch_path
+from ..sources import audit_log as AL
 from ..sources import policy as P
 from ..sources import requests as RQ
 from ..sources import tables as TB
@@ -37,7 +39,7 @@ KEYS = ["src", "id", "line_no"]
 # ---------------------------------------------------------------------------
 
 def _sanitized(spark, sf, findings=False) -> DataFrame:
-    return O.sanitize(spread(TB.combined_queries(spark, sf)), "raw", findings=findings)
+    return O.sanitize(TB.combined_queries(spark, sf), "raw", findings=findings)
 
 
 def _f1_passed(spark, sf) -> DataFrame:
@@ -296,6 +298,27 @@ def audit_verify_chained_segments(spark, sf):
     return A.verify(_lines(spark, sf, SEGMENT_BYTES), "user_id", ["segment", "line_no"])
 
 
+def audit_log_roundtrip(spark, sf):
+    """S7 then S6: write rotated per-chain log files, read them back, verify each file."""
+    import uuid
+
+    path = scratch_path(spark, f"audit-log-{uuid.uuid4().hex}")
+    AL.write_audit_log(_chain(spark, sf, SEGMENT_BYTES), path, "user_id")
+    logs = AL.read_audit_log(spark, path).withColumns({
+        "user_id": F.col("user_id").cast("bigint"), "segment": F.col("segment").cast("bigint")})
+    return A.verify(logs, ["user_id", "segment"], "line_no")
+
+
+def clean_results_json(spark, sf):
+    """S4 + I1-I9: result sets as one JSON body per set, parsed, limited, cleaned."""
+    rows = TB.result_rows(spark, sf)
+    item = F.struct(F.col("rnk").alias("o"), F.struct("title", "content", "url").alias("r"))
+    bodies = rows.groupBy("set_id").agg(F.to_json(F.struct(F.transform(
+        F.sort_array(F.collect_list(item)), lambda x: x["r"]).alias("results"))).alias("body"))
+    flat = I.sanitize_results(I.results_from_json(bodies, "body", "set_id"))
+    return flat.where(F.col("kept")).select("set_id", "rnk", "title", "snippet", "url", "source")
+
+
 def audit_rollup(spark, sf):
     r = audit_records(spark, sf).withColumn("day", F.to_date(F.timestamp_micros("ts_us")))
     return r.groupBy(F.col("day").cast("string").alias("day")).agg(
@@ -339,5 +362,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "audit_verify_tampered": audit_verify_tampered,
     "audit_verify_segments": audit_verify_segments,
     "audit_verify_chained_segments": audit_verify_chained_segments,
+    "audit_log_roundtrip": audit_log_roundtrip,
+    "clean_results_json": clean_results_json,
     "audit_rollup": audit_rollup,
 }

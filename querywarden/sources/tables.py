@@ -74,7 +74,10 @@ def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-blank lines of ``documents.text``: ``doc_id, line_no (1-based), raw``."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    from ..session import spread
+
+    # spread whole documents before exploding, so splitting runs in parallel
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
     return lines.where(~T.py_is_blank("raw")).select(
         "doc_id", (F.col("pos") + 1).cast("bigint").alias("line_no"), "raw"
@@ -83,7 +86,9 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def combined_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1 plus document lines as one query stream: ``src, id, line_no, raw``."""
-    f1 = query_log(spark, sf_dir).select(
+    from ..session import spread
+
+    f1 = spread(query_log(spark, sf_dir)).select(
         F.lit("events").alias("src"), F.col("query_id").alias("id"),
         F.lit(0).cast("bigint").alias("line_no"), "raw",
     )

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import audit as A
+from ..plans import search as S
+from ..sources import policy as P
 from ..operators import traffic as TR
 
 
@@ -113,6 +115,24 @@ def audit_batch_writer(base: str, chain_key: str = "user_id", order=("ts", "quer
     return write
 
 
+def decisions_batch_writer(base: str, policy_paths: dict,
+                           key: str = "query_id") -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function: re-read the policy files, decide, write the batch.
+
+    Policies are re-read at the start of every micro-batch, so edits to a
+    policy file apply from the next batch on (hot reload).
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        pol = P.load_policies(spark, policy_paths)
+        out = S.decide(batch, pol, n_policy_rows=len(policy_paths), key=key)
+        (out.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+            .write.mode("overwrite").parquet(_version(base, "decisions", batch_id)))
+
+    return write
+
+
 def run_available(stream: DataFrame, writer: Callable[[DataFrame, int], None],
                   checkpoint: str) -> None:
     """Process everything currently available, then stop (``availableNow``)."""
