@@ -298,6 +298,16 @@ def audit_verify_chained_segments(spark, sf):
     return A.verify(_lines(spark, sf, SEGMENT_BYTES), "user_id", ["segment", "line_no"])
 
 
+def search_responses(spark, sf):
+    """Response fields per query (results of set ``query_id``; nested array left out)."""
+    res = _top_results(spark, sf)
+    resp = S.responses(_decisions(spark, sf), res, I.build_context(res))
+    return resp.select("query_id", "status", "error", "context", "query_used", "redactions",
+                       "decoys_sent", "uniqueness_warning",
+                       F.when(F.col("status") == 200, F.size("results")).cast("bigint")
+                       .alias("n_results"))
+
+
 def audit_log_roundtrip(spark, sf):
     """S7 then S6: write rotated per-chain log files, read them back, verify each file."""
     import uuid
@@ -362,6 +372,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "audit_verify_tampered": audit_verify_tampered,
     "audit_verify_segments": audit_verify_segments,
     "audit_verify_chained_segments": audit_verify_chained_segments,
+    "search_responses": search_responses,
     "audit_log_roundtrip": audit_log_roundtrip,
     "clean_results_json": clean_results_json,
     "audit_rollup": audit_rollup,

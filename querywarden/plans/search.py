@@ -55,3 +55,41 @@ def decide(queries: DataFrame, policy_df: DataFrame, n_policy_rows: int | None =
     return fence(df, ["status", "reason", "uniqueness_action", "uniqueness_warning", "unique",
                       "rare_matches", "category", "decoys_sent", "jitter_ms", "padded",
                       "audited", "audit_blocked"])
+
+
+def responses(decisions: DataFrame, results: DataFrame, contexts: DataFrame,
+              key: str = "query_id", set_key: str = "set_id") -> DataFrame:
+    """One response row per query.
+
+    Searched queries (200) carry ``results`` (kept rows in rank order),
+    ``context``, ``query_used``, ``redactions``, ``decoys_sent`` and an
+    optional ``uniqueness_warning``; refused ones carry ``error``.
+    ``results`` is the flat cleaned table with ``kept``; ``contexts`` the
+    output of ``build_context``. Both are keyed by result set = query id.
+    """
+    item = F.struct(F.col("rnk").alias("o"), F.struct(
+        "title", "snippet", "url", "source").alias("r"))
+    per_set = (results.where(F.col("kept")).groupBy(set_key)
+               .agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["r"]).alias("results"))
+               .join(contexts.select(set_key, "context"), on=set_key, how="outer"))
+    joined = decisions.join(per_set.withColumnRenamed(set_key, key), on=key, how="left")
+    ok = F.col("status") == 200
+    empty = F.array().cast("array<struct<title:string,snippet:string,url:string,source:string>>")
+    return joined.select(
+        key, "status",
+        F.when(F.col("status") == 403, F.lit("web search is disabled in policy"))
+         .when(F.col("status") == 422, F.concat(F.lit("query blocked: "), F.col("reason")))
+         .alias("error"),
+        F.when(ok, F.coalesce(F.col("results"), empty)).alias("results"),
+        F.when(ok, F.coalesce(F.col("context"), F.lit(""))).alias("context"),
+        F.when(ok, F.col("query")).alias("query_used"),
+        F.when(F.col("status") != 403, F.col("n_redactions")).cast("bigint").alias("redactions"),
+        F.when(ok, F.col("decoys_sent")).cast("bigint").alias("decoys_sent"),
+        F.when(ok, F.col("uniqueness_warning")).alias("uniqueness_warning"),
+    )
+
+
+def write_responses(resp: DataFrame, path: str, key: str = "query_id") -> None:
+    """S8 sink: JSON lines with the response body as nested JSON (nulls omitted)."""
+    body = F.to_json(F.struct(*[c for c in resp.columns if c not in (key, "status")]))
+    resp.select(key, "status", body.alias("body")).write.mode("overwrite").json(path)
