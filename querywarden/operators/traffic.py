@@ -60,21 +60,19 @@ def decoy_choice(key: str, count: str, seed: str = DEFAULT_SEED,
 def decoy_plan(df: DataFrame, key: str = "query_id", count: str = "decoys_sent",
                seed: str = DEFAULT_SEED, decoys: Sequence[str] = R.DECOY_QUERIES) -> DataFrame:
     """O14 + O15: one row per decoy with its gap, running offset and padded length."""
-    picked = df.select(key, F.posexplode(decoy_choice(key, count, seed, decoys)).alias("pos", "d"))
-    seq = (F.col("pos") + 1).cast("bigint")
-    out = picked.select(
-        key,
-        seq.alias("decoy_seq"),
-        F.col("d.decoy_id").cast("bigint").alias("decoy_id"),
-        F.col("d.text").alias("text"),
-        decoy_gap_ms(seed, key, seq).alias("gap_ms"),
-        # running sum of the gaps up to this decoy, recomputed row-locally
-        F.aggregate(
-            F.sequence(F.lit(1).cast("bigint"), seq),
-            F.lit(0).cast("bigint"),
-            lambda acc, j: acc + decoy_gap_ms(seed, key, j),
-        ).alias("offset_ms"),
-    )
+    def row(d, i):
+        seq = (i + 1).cast("bigint")
+        return F.struct(
+            seq.alias("decoy_seq"),
+            d["decoy_id"].cast("bigint").alias("decoy_id"),
+            d["text"].alias("text"),
+            decoy_gap_ms(seed, key, seq).alias("gap_ms"),
+            # running sum of the gaps up to this decoy, recomputed row-locally
+            F.aggregate(F.sequence(F.lit(1).cast("bigint"), seq), F.lit(0).cast("bigint"),
+                        lambda acc, j: acc + decoy_gap_ms(seed, key, j)).alias("offset_ms"))
+
+    rows = F.transform(decoy_choice(key, count, seed, decoys), row)
+    out = df.select(key, F.inline(rows))
     return out.withColumn("padded_len", F.octet_length(padded("text")).cast("bigint"))
 
 
@@ -99,24 +97,34 @@ def outbound_plan(decisions: DataFrame, key: str = "query_id",
     """Every outgoing request in send order: cover, decoys, then the real query.
 
     ``decisions`` needs ``status, query, categories, category, decoys_sent``.
+    Each query's requests are built as one array and exploded once, so the
+    decision plan is evaluated a single time (no union of three branches).
     Offsets exclude the release-spacing wait, which ``min_spacing`` computes.
     """
     ok = decisions.where(F.col("status") == 200)
-    cover = cover_plan(ok, key).select(
-        key, F.lit("cover").alias("kind"), F.lit(0).cast("bigint").alias("seq"), "text",
-        "padded_len", F.lit("general").alias("categories"),
-        F.lit(0).cast("bigint").alias("offset_ms"))
-    decoy = decoy_plan(ok.where(F.col("decoys_sent") > 0), key, "decoys_sent", seed).select(
-        key, F.lit("decoy").alias("kind"), F.col("decoy_seq").alias("seq"), "text",
-        "padded_len", F.lit("general").alias("categories"), "offset_ms")
-    real = ok.select(
-        key, F.lit("real").alias("kind"),
-        (F.col("decoys_sent") + 1).cast("bigint").alias("seq"),
-        F.col("query").alias("text"),
-        F.octet_length(padded("query")).cast("bigint").alias("padded_len"),
-        F.col("categories"),
-        (total_decoy_ms(key, "decoys_sent", seed) + jitter_ms(seed, key)).alias("offset_ms"))
-    return cover.unionByName(decoy).unionByName(real)
+    req = "struct<kind:string,seq:bigint,text:string,categories:string,offset_ms:bigint>"
+
+    def make(kind, seq, text, cats, offset):
+        return F.struct(F.lit(kind).alias("kind"), seq.cast("bigint").alias("seq"),
+                        text.alias("text"), cats.alias("categories"),
+                        offset.cast("bigint").alias("offset_ms"))
+
+    cover = F.when(F.col("category").isNotNull(), F.array(make(
+        "cover", F.lit(0), F.col("category"), F.lit("general"), F.lit(0)))
+    ).otherwise(F.array().cast(f"array<{req}>"))
+    picked = decoy_choice(key, "decoys_sent", seed)
+    decoys = F.transform(picked, lambda d, i: make(
+        "decoy", i + 1, d["text"], F.lit("general"),
+        F.aggregate(F.sequence(F.lit(1).cast("bigint"), (i + 1).cast("bigint")),
+                    F.lit(0).cast("bigint"), lambda acc, j: acc + decoy_gap_ms(seed, key, j))))
+    real = F.array(make("real", F.col("decoys_sent") + 1, F.col("query"), F.col("categories"),
+                        total_decoy_ms(key, "decoys_sent", seed) + jitter_ms(seed, key)))
+    # ``inline`` emits the struct fields as columns; selecting fields of an
+    # exploded struct instead makes Catalyst rebuild the array per field.
+    out = ok.select(key, F.inline(F.concat(cover, decoys, real)))
+    return out.select(key, "kind", "seq", "text",
+                      F.octet_length(padded("text")).cast("bigint").alias("padded_len"),
+                      "categories", "offset_ms")
 
 
 # ---------------------------------------------------------------------------

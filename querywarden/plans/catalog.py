@@ -76,9 +76,10 @@ def _chain(spark, sf, max_segment_bytes=None) -> DataFrame:
 
 def pii_findings(spark, sf):
     df = _sanitized(spark, sf, findings=True)
-    return df.select(*KEYS, F.posexplode("findings").alias("pos", "f")).select(
-        *KEYS, (F.col("pos") + 1).cast("bigint").alias("finding_no"),
-        F.col("f.placeholder").alias("placeholder"), F.col("f.match").alias("match"))
+    numbered = F.transform("findings", lambda f, i: F.struct(
+        (i + 1).cast("bigint").alias("finding_no"), f["placeholder"].alias("placeholder"),
+        f["match"].alias("match")))
+    return df.select(*KEYS, F.inline(numbered))
 
 
 def pii_redacted_queries(spark, sf):
