@@ -168,6 +168,8 @@ def build_chain(df: DataFrame, chain_key: str, order: Sequence[str],
                              "seed_bytes": F.lit(None).cast("bigint"),
                              "seed_segment": F.lit(None).cast("bigint")})
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # the fold needs only the order keys and the pre-built pieces; other
+    # columns ride along because a Python function's input cannot be pruned
     ordered = df.repartition(n, chain_key).sortWithinPartitions(chain_key, *order)
     fields = [f for f in ordered.schema.fields if f.name not in _PIECES]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)

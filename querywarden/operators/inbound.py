@@ -26,10 +26,29 @@ def _unescape(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else _html.unescape(v))
 
 
+# FIXED VALUES: common references decoded JVM-side; "&amp;" must stay last.
+SIMPLE_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
+                   ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&"))
+_SIMPLE_RE = "&(?:lt|gt|quot|#39|copy|middot|amp);"
+
+
 def decode_entities(col) -> Column:
-    """Full HTML5 entity decoding; only rows containing '&' are sent to Python."""
+    """Full HTML5 entity decoding, exactly as ``html.unescape``.
+
+    Text whose only '&' characters start one of ``SIMPLE_ENTITIES`` is
+    decoded with nested ``replace`` (one left-to-right pass gives the same
+    result, as no replacement creates or splits another reference before
+    ``&amp;``, which goes last). Only text with other references (numeric,
+    rarer names, missing semicolons) is sent to Python.
+    """
     c = T._c(col)
-    return F.coalesce(_unescape(F.when(c.contains("&"), c)), c)
+    has_amp = c.contains("&")
+    simple_only = ~F.regexp_replace(c, F.lit(_SIMPLE_RE), F.lit("")).contains("&")
+    jvm = c
+    for ent, ch in SIMPLE_ENTITIES:
+        jvm = F.replace(jvm, F.lit(ent), F.lit(ch))
+    py = _unescape(F.when(has_amp & ~simple_only, c))
+    return F.when(~has_amp, c).when(simple_only, jvm).otherwise(py)
 
 
 def clean_text(col, max_length: int = R.MAX_SNIPPET_LENGTH) -> Column:

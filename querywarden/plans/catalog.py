@@ -66,7 +66,9 @@ def _audited(spark, sf) -> DataFrame:
 
 
 def _chain(spark, sf, max_segment_bytes=None) -> DataFrame:
-    parts = A.entry_parts(_audited(spark, sf))
+    # only the record fields enter the Python fold (its input cannot be pruned)
+    rec = _audited(spark, sf).select("user_id", "query_id", "ts", "event", *A.RECORD_FIELDS)
+    parts = A.entry_parts(rec)
     return A.build_chain(parts, "user_id", ["ts", "query_id"], max_segment_bytes=max_segment_bytes)
 
 
