@@ -53,6 +53,8 @@ UNIQUENESS_WARNING_PREFIX = "This query contains potentially identifying terms:
 CONTEXT_HEADER = "The following information was retrieved from web search:\n"
 CONTEXT_TRUNCATION = "\n[... truncated for length]"
 AUDIT_EVENT = "web_search"
+SEARCH_LANGUAGE = "en"
+SEARCH_SAFESEARCH = "1"
 
 PII_RULES: tuple[PiiRule, ...] = (
     PiiRule("email", r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+", "[EMAIL]", False, False),

@@ -196,6 +196,24 @@ def canonical_hash(prev_hash, event, data, timestamp) -> str:
     return hashlib.sha256(canon.encode("utf-8")).hexdigest()
 
 
+def canonical_text(value) -> str:
+    """A2 for any JSON value: sorted keys, compact separators, ASCII-escaped."""
+    return json.dumps(value, sort_keys=True, separators=(",", ":"))
+
+
+@F.pandas_udf(ST.StringType())
+def canonical_json(texts: pd.Series) -> pd.Series:
+    """A2 as a column function: re-serialise JSON text canonically (null if invalid)."""
+    def one(t):
+        if t is None:
+            return None
+        try:
+            return canonical_text(json.loads(t))
+        except ValueError:
+            return None
+    return texts.map(one)
+
+
 PARSED_SCHEMA = ST.StructType([
     ST.StructField("ok", ST.BooleanType()),
     ST.StructField("prev_repr", ST.StringType()),

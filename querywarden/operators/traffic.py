@@ -124,7 +124,8 @@ def outbound_plan(decisions: DataFrame, key: str = "query_id",
     out = ok.select(key, F.inline(F.concat(cover, decoys, real)))
     return out.select(key, "kind", "seq", "text",
                       F.octet_length(padded("text")).cast("bigint").alias("padded_len"),
-                      "categories", "offset_ms")
+                      "categories", F.lit(R.SEARCH_LANGUAGE).alias("language"),
+                      F.lit(R.SEARCH_SAFESEARCH).alias("safesearch"), "offset_ms")
 
 
 # ---------------------------------------------------------------------------

@@ -116,3 +116,15 @@ def test_segments_parity_and_chained(spark):
     assert all(not per_file[s].valid and per_file[s].broken_at == 1 for s in per_file if s > 0)
     chained = A.verify(df, "chain", ["segment", "line_no"]).collect()[0]
     assert chained.valid and chained.entries == len(out)
+
+
+def test_canonical_json_generic_equals_jvm_pieces(spark):
+    parts = A.entry_parts(_records(spark, 2, 4)).select(
+        "data", "canon_prefix", F.concat(F.lit('{"data":'), F.col("data"), F.lit("}")).alias("w"))
+    rows = parts.select("canon_prefix", A.canonical_json("w").alias("c")).collect()
+    for r in rows:
+        # the JVM-built canonical prefix starts with the canonical data object
+        assert r.canon_prefix.startswith(r.c[:-1])
+    odd = spark.createDataFrame([('{"b": [1, {"z": 1, "a": "\\u00e9"}], "a": null}',), ("nope",)], "t string")
+    got = [r.c for r in odd.select(A.canonical_json("t").alias("c")).collect()]
+    assert got == ['{"a":null,"b":[1,{"a":"\\u00e9","z":1}]}', None]
