@@ -267,7 +267,10 @@ def min_spacing(df: DataFrame, scope: str | None, ts: str = "ts", order: str = "
        are shipped to the tasks as a bounded dict.
     4. Pass two finishes the running max with numpy inside each partition.
     """
+    from ..session import ensure_checkpoint_dir
+
     spark = df.sparkSession
+    ensure_checkpoint_dir(spark)  # the cluster's shared dir; a scratch one only if unset
     w_us = int(round(window_s * MICROS))
     scope_col = F.col(scope).cast("string") if scope else F.lit("")
     scope_val = F.col(scope) if scope else F.lit(None).cast("string")
