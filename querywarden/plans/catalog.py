@@ -196,7 +196,7 @@ def batch_windows(spark, sf):
 
 
 def request_intake(spark, sf):
-    ev = TB.events(spark, sf).select("event_id", "user_id", "props")
+    ev = spread(TB.events(spark, sf).select("event_id", "user_id", "props"))
     bodies = ev.select(F.col("event_id").alias("query_id"), F.expr(RQ.REQUEST_BODY_SQL).alias("body"))
     out = O.sanitize(RQ.parse_requests(bodies), "raw")
     return out.select("query_id", "status", "raw", "categories",
