@@ -176,16 +176,19 @@ def context_block(pos: Column, r: Column) -> Column:
                     F.lit("\n"))
 
 
-def build_context(df: DataFrame, set_key: str = "set_id", order: str = "rnk",
-                  max_length: int = R.MAX_CONTEXT_LENGTH) -> DataFrame:
-    """One context string per set from its kept rows, numbered from 1 in rank order.
-
-    A set is bounded by I1 (at most ``MAX_RESULTS`` rows), so collecting it
-    is safe; sets with no kept rows get "".
+def set_summary(df: DataFrame, set_key: str = "set_id", order: str = "rnk",
+                max_length: int = R.MAX_CONTEXT_LENGTH) -> DataFrame:
+    """I10 plus the kept results: one row per set in a single aggregation.
+
+    ``results`` holds the kept rows in rank order, ``n_results`` their count
+    and ``context`` the string built from them (numbered from 1 over kept
+    rows). A set is bounded by I1 (at most ``MAX_RESULTS`` rows), so
+    collecting it is safe; sets with no kept rows get an empty list and "".
     """
     kept = F.when(F.col("kept"), F.struct(
         F.col(order).alias("o"), F.col("title").alias("title"),
-        F.col("snippet").alias("snippet"), F.col("url").alias("url")))
+        F.col("snippet").alias("snippet"), F.col("url").alias("url"),
+        F.col("source").alias("source")))
     agg = df.groupBy(set_key).agg(F.sort_array(F.collect_list(kept)).alias("_k"))
     body = F.array_join(F.transform("_k", lambda r, i: context_block(i, r)), "\n")
     ctx = F.concat(F.lit(R.CONTEXT_HEADER), F.lit("\n"), body)
@@ -194,6 +197,15 @@ def build_context(df: DataFrame, set_key: str = "set_id", order: str = "rnk",
                     ).otherwise(ctx)
     return agg.select(
         set_key,
+        F.transform("_k", lambda r: F.struct(r["title"].alias("title"), r["snippet"].alias("snippet"),
+                                             r["url"].alias("url"), r["source"].alias("source"))
+                    ).alias("results"),
         F.size("_k").cast("bigint").alias("n_results"),
         F.when(F.size("_k") > 0, capped).otherwise(F.lit("")).alias("context"),
     )
+
+
+def build_context(df: DataFrame, set_key: str = "set_id", order: str = "rnk",
+                  max_length: int = R.MAX_CONTEXT_LENGTH) -> DataFrame:
+    """``set_id, n_results, context`` (see ``set_summary``)."""
+    return set_summary(df, set_key, order, max_length).drop("results")

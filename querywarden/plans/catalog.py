@@ -303,8 +303,7 @@ def audit_verify_chained_segments(spark, sf):
 
 def search_responses(spark, sf):
     """Response fields per query (results of set ``query_id``; nested array left out)."""
-    res = _top_results(spark, sf)
-    resp = S.responses(_decisions(spark, sf), res, I.build_context(res))
+    resp = S.responses(_decisions(spark, sf), I.set_summary(_top_results(spark, sf)))
     return resp.select("query_id", "status", "error", "context", "query_used", "redactions",
                        "decoys_sent", "uniqueness_warning",
                        F.when(F.col("status") == 200, F.size("results")).cast("bigint")

@@ -57,22 +57,16 @@ def decide(queries: DataFrame, policy_df: DataFrame, n_policy_rows: int | None =
                       "audited", "audit_blocked"])
 
 
-def responses(decisions: DataFrame, results: DataFrame, contexts: DataFrame,
-              key: str = "query_id", set_key: str = "set_id") -> DataFrame:
+def responses(decisions: DataFrame, summary: DataFrame, key: str = "query_id",
+              set_key: str = "set_id") -> DataFrame:
     """One response row per query.
 
     Searched queries (200) carry ``results`` (kept rows in rank order),
     ``context``, ``query_used``, ``redactions``, ``decoys_sent`` and an
     optional ``uniqueness_warning``; refused ones carry ``error``.
-    ``results`` is the flat cleaned table with ``kept``; ``contexts`` the
-    output of ``build_context``. Both are keyed by result set = query id.
+    ``summary`` is ``inbound.set_summary`` keyed by result set = query id.
     """
-    item = F.struct(F.col("rnk").alias("o"), F.struct(
-        "title", "snippet", "url", "source").alias("r"))
-    per_set = (results.where(F.col("kept")).groupBy(set_key)
-               .agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["r"]).alias("results"))
-               .join(contexts.select(set_key, "context"), on=set_key, how="outer"))
-    joined = decisions.join(per_set.withColumnRenamed(set_key, key), on=key, how="left")
+    joined = decisions.join(summary.withColumnRenamed(set_key, key), on=key, how="left")
     ok = F.col("status") == 200
     empty = F.array().cast("array<struct<title:string,snippet:string,url:string,source:string>>")
     return joined.select(

@@ -113,3 +113,22 @@ def test_uniqueness_decision(spark):
     out = O.uniqueness_decision(O.rare_terms(df, "query")).collect()
     assert [r.uniqueness_action for r in out] == ["warn", "block", "none", "none", "none"]
     assert out[0].uniqueness_warning == R.UNIQUENESS_WARNING_PREFIX + "Bob Jones"
+
+
+def test_random_queries_match_python_re(spark):
+    import random
+
+    rnd = random.Random(5)
+    atoms = ["123", "4567", "555", "-", ".", " ", "  ", " ", " ", "\x1c", "@", "a", "Z",
+             "example.com", "account", "acct#", "routing ", "passport ", "born ", "dob:", "sk-",
+             "api_key=", "deadbeef" * 4, "Main", "Street", "St", "court", "/", "(", ")", "+1",
+             "٥٥٥", "１２３", "é", "[SSN]", "[x]", "\n", "1.2.3.4",
+             "4111 1111 1111 1111", "01/02/1990", "ABCDEF12", "ſ", "K"]
+    texts = ["".join(rnd.choice(atoms) for _ in range(rnd.randint(0, 25))) for _ in range(600)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, raw string")
+    got = {r.i: r for r in O.sanitize(df, "raw", findings=True).collect()}
+    for i, t in enumerate(texts):
+        want = spec.sanitize(t)
+        g = got[i]
+        assert (g.query, g.reason) == (want["query"], want["reason"]), repr(t)
+        assert [(f.placeholder, f.match) for f in g.findings] == want["findings"], repr(t)
