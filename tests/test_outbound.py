@@ -59,7 +59,7 @@ def test_matches_spec_on_examples(sanitized):
         assert [(f.placeholder, f.match) for f in got.findings] == want["findings"], raw
 
 
-def test_reference_expectations(sanitized):
+def test_documented_expectations(sanitized):
     by = {raw: sanitized[i] for i, raw in enumerate(EXAMPLES) if raw is not None}
     assert not by["what is the capital of France"].blocked
     assert by["what is the capital of France"].n_redactions == 0
