@@ -97,7 +97,8 @@ def entry_parts(df: DataFrame, ts: str = "ts", event: str = "event") -> DataFram
 # Chain fold with resume seeds and segment rotation
 # ---------------------------------------------------------------------------
 
-_PIECES = ("canon_prefix", "canon_suffix", "line_prefix", "seed_hash", "seed_bytes", "seed_segment")
+_PIECES = ("canon_prefix", "canon_suffix", "line_prefix", "seed_hash", "seed_bytes",
+           "seed_segment", "seed_seq")
 
 
 def _fold(chain_key: str, max_segment_bytes: int | None):
@@ -110,8 +111,8 @@ def _fold(chain_key: str, max_segment_bytes: int | None):
             seqs, prevs, hashes = [0] * n, [""] * n, [""] * n
             segs, used, lines = [0] * n, [0] * n, [""] * n
             keys = pdf[chain_key].tolist()
-            seeds, sbytes, ssegs = (pdf["seed_hash"].tolist(), pdf["seed_bytes"].tolist(),
-                                    pdf["seed_segment"].tolist())
+            seeds, sbytes, ssegs, sseqs = (pdf["seed_hash"].tolist(), pdf["seed_bytes"].tolist(),
+                                           pdf["seed_segment"].tolist(), pdf["seed_seq"].tolist())
             cpre, csuf, lpre = (pdf["canon_prefix"].tolist(), pdf["canon_suffix"].tolist(),
                                 pdf["line_prefix"].tolist())
             for i in range(n):
@@ -119,7 +120,7 @@ def _fold(chain_key: str, max_segment_bytes: int | None):
                 st = state.get(k)
                 if st is None:
                     seed = seeds[i] if isinstance(seeds[i], str) else ""
-                    st = [seed, 0,
+                    st = [seed, 0 if pd.isna(sseqs[i]) else int(sseqs[i]),
                           0 if pd.isna(ssegs[i]) else int(ssegs[i]),
                           0 if pd.isna(sbytes[i]) else int(sbytes[i])]
                     state[k] = st
@@ -151,22 +152,24 @@ def build_chain(df: DataFrame, chain_key: str, order: Sequence[str],
     """A4 (+A5 resume, +A6 rotation): chain entries in ``order`` within each chain.
 
     ``df`` needs ``canon_prefix, canon_suffix, line_prefix`` (see ``entry_parts``).
-    ``heads`` (``chain_key, seed_hash[, seed_bytes, seed_segment]``) continues
-    existing chains: the first new entry links to ``seed_hash`` and rotation
-    continues from the open segment. Adds ``seq`` (within this run),
+    ``heads`` (``chain_key, seed_hash[, seed_bytes, seed_segment, seed_seq]``)
+    continues existing chains: the first new entry links to ``seed_hash``,
+    numbering continues after ``seed_seq`` and rotation continues from the
+    open segment. Adds ``seq``,
     ``prev_hash, entry_hash, segment, segment_bytes, line``.
     """
     spark = df.sparkSession
     if heads is not None:
-        for c, t in (("seed_bytes", "bigint"), ("seed_segment", "bigint")):
+        for c in ("seed_bytes", "seed_segment", "seed_seq"):
             if c not in heads.columns:
-                heads = heads.withColumn(c, F.lit(0).cast(t))
-        df = df.join(heads.select(chain_key, "seed_hash", "seed_bytes", "seed_segment"),
-                     on=chain_key, how="left")
+                heads = heads.withColumn(c, F.lit(0).cast("bigint"))
+        df = df.join(heads.select(chain_key, "seed_hash", "seed_bytes", "seed_segment",
+                                  "seed_seq"), on=chain_key, how="left")
     else:
         df = df.withColumns({"seed_hash": F.lit(None).cast("string"),
                              "seed_bytes": F.lit(None).cast("bigint"),
-                             "seed_segment": F.lit(None).cast("bigint")})
+                             "seed_segment": F.lit(None).cast("bigint"),
+                             "seed_seq": F.lit(None).cast("bigint")})
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # the fold needs only the order keys and the pre-built pieces; other
     # columns ride along because a Python function's input cannot be pruned
@@ -183,7 +186,8 @@ def chain_heads(entries: DataFrame, chain_key: str, seq: str = "seq") -> DataFra
     return entries.groupBy(chain_key).agg(
         F.max_by("entry_hash", seq).alias("seed_hash"),
         F.max_by("segment_bytes", seq).cast("bigint").alias("seed_bytes"),
-        F.max_by("segment", seq).cast("bigint").alias("seed_segment"))
+        F.max_by("segment", seq).cast("bigint").alias("seed_segment"),
+        F.max(seq).cast("bigint").alias("seed_seq"))
 
 
 # ---------------------------------------------------------------------------

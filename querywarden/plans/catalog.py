@@ -250,6 +250,23 @@ def audit_chain(spark, sf):
                                     "entry_hash", "line")
 
 
+def audit_chain_resumed(spark, sf):
+    """A5: chain the first half of the time range, then resume from the heads.
+
+    Every record is chained exactly once; the result must equal one pass.
+    """
+    rec = _audited(spark, sf).select("user_id", "query_id", "ts", "event", *A.RECORD_FIELDS)
+    parts = A.entry_parts(rec)
+    mid = rec.agg(((F.min(F.unix_micros("ts")) + F.max(F.unix_micros("ts"))) / 2)
+                  .cast("bigint").alias("m")).first()["m"]
+    early = F.unix_micros("ts") <= F.lit(mid)
+    first = A.build_chain(parts.where(early), "user_id", ["ts", "query_id"])
+    rest = A.build_chain(parts.where(~early), "user_id", ["ts", "query_id"],
+                         heads=A.chain_heads(first, "user_id"))
+    cols = ["user_id", "seq", "query_id", "timestamp", "prev_hash", "entry_hash", "line"]
+    return first.select(*cols).unionByName(rest.select(*cols))
+
+
 def audit_segments(spark, sf):
     c = _chain(spark, sf, SEGMENT_BYTES)
     return c.select("user_id", "seq", "segment",
@@ -369,6 +386,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "context_strings": context_strings,
     "audit_records": audit_records,
     "audit_chain": audit_chain,
+    "audit_chain_resumed": audit_chain_resumed,
     "audit_segments": audit_segments,
     "audit_verify": audit_verify,
     "audit_verify_tampered": audit_verify_tampered,

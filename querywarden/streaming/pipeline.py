@@ -103,7 +103,7 @@ def audit_batch_writer(base: str, chain_key: str = "user_id", order=("ts", "quer
         ktype = dict(batch.dtypes)[chain_key]
         heads = _read_latest(spark, base, "heads", batch_id,
                              f"{chain_key} {ktype}, seed_hash string, seed_bytes bigint, "
-                             "seed_segment bigint")
+                             "seed_segment bigint, seed_seq bigint")
         lines = A.build_chain(A.entry_parts(batch), chain_key, list(order), heads=heads,
                               max_segment_bytes=max_segment_bytes)
         lines = lines.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
