@@ -255,26 +255,12 @@ def _parse_entries(lines: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(cols)
 
 
-def verify(lines: DataFrame, file_key: Sequence[str] | str, order: Sequence[str] | str = "line_no",
-           line: str = "line", line_no: str = "line_no", seed: str = "") -> DataFrame:
-    """First break per file (or per chain of ordered segments, A10).
-
-    ``lines`` has one row per physical line with its number. Blank lines are
-    skipped but keep their numbers. Per line, in this order: invalid JSON,
-    link (stored prev_hash equals the previous line's stored entry_hash, the
-    first line links to ``seed``), recomputed hash. Before the first break
-    every line is good, so the lag of stored hashes is the expected link and
-    ``entries`` is the first bad line's rank minus one. Output per file:
-    ``valid, entries, broken_at, cause, detail``. The window is per file;
-    files are bounded by segment rotation.
-    """
-    keys = [file_key] if isinstance(file_key, str) else list(file_key)
-    order = [order] if isinstance(order, str) else list(order)
-    nb = lines.where(~T.py_is_blank(line)).withColumn("_p", _parse_entries(T.py_strip(line)))
+def _mark(nb: DataFrame, keys, order, line_no: str, seed_repr: Column, seed16: Column) -> DataFrame:
+    """Per non-blank parsed line: ``_rn``, ``_cause`` (null when good) and ``_detail``."""
     w = Window.partitionBy(*keys).orderBy(*order)
     checked = nb.withColumns({
-        "_exp_prev": F.coalesce(F.lag(F.col("_p.entry_repr"), 1).over(w), F.lit(json.dumps(seed))),
-        "_exp_prev16": F.coalesce(F.lag(F.col("_p.entry16"), 1).over(w), F.lit(seed[:16])),
+        "_exp_prev": F.coalesce(F.lag(F.col("_p.entry_repr"), 1).over(w), seed_repr),
+        "_exp_prev16": F.coalesce(F.lag(F.col("_p.entry16"), 1).over(w), seed16),
         "_rn": F.row_number().over(w),
     })
     ok, link_bad = F.col("_p.ok"), F.col("_p.prev_repr") != F.col("_exp_prev")
@@ -288,14 +274,42 @@ def verify(lines: DataFrame, file_key: Sequence[str] | str, order: Sequence[str]
               .otherwise(F.format_string(
                   "line %d: hash mismatch -- computed %s..., stored %s...",
                   F.col(line_no), F.col("_p.expected16"), F.col("_p.entry16"))))
-    marked = checked.withColumns({"_cause": cause, "_detail": detail})
+    return checked.withColumns({"_cause": cause, "_detail": detail})
+
+
+def _parsed(lines: DataFrame, line: str) -> DataFrame:
+    return lines.where(~T.py_is_blank(line)).withColumn("_p", _parse_entries(T.py_strip(line)))
+
+
+def _first_break(marked: DataFrame, keys, line_no: str) -> DataFrame:
     bad_key = F.when(F.col("_cause").isNotNull(), F.col("_rn"))
-    agg = marked.groupBy(*keys).agg(
+    return marked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
         F.min_by(F.struct(F.col(line_no).alias("ln"), F.col("_rn").alias("rn"),
                           F.col("_cause").alias("c"), F.col("_detail").alias("d")),
                  bad_key).alias("_b"),
     )
+
+
+def verify(lines: DataFrame, file_key: Sequence[str] | str, order: Sequence[str] | str = "line_no",
+           line: str = "line", line_no: str = "line_no", seed: str = "") -> DataFrame:
+    """First break per file (or per chain of ordered segments, A10).
+
+    ``lines`` has one row per physical line with its number. Blank lines are
+    skipped but keep their numbers. Per line, in this order: invalid JSON,
+    link (stored prev_hash equals the previous line's stored entry_hash, the
+    first line links to ``seed``), recomputed hash. Before the first break
+    every line is good, so the lag of stored hashes is the expected link and
+    ``entries`` is the first bad line's rank minus one. Output per file:
+    ``valid, entries, broken_at, cause, detail``. The window is per file;
+    files are bounded by segment rotation (see ``verify_chained`` for a
+    chain of many files).
+    """
+    keys = [file_key] if isinstance(file_key, str) else list(file_key)
+    order = [order] if isinstance(order, str) else list(order)
+    marked = _mark(_parsed(lines, line), keys, order, line_no,
+                   F.lit(json.dumps(seed)), F.lit(seed[:16]))
+    agg = _first_break(marked, keys, line_no)
     broken = F.col("_b").isNotNull()
     return agg.select(
         *keys,
@@ -306,3 +320,54 @@ def verify(lines: DataFrame, file_key: Sequence[str] | str, order: Sequence[str]
         F.when(broken, F.col("_b.d")).otherwise(
             F.format_string("chain intact: %d entries verified", F.col("_n"))).alias("detail"),
     )
+
+
+def verify_chained(lines: DataFrame, chain_key: str, segment: str = "segment",
+                   line_no: str = "line_no", line: str = "line", seed: str = "") -> DataFrame:
+    """A10 fix: a chain's ordered segment files verified as one chain.
+
+    Each segment is checked on its own (windows stay bounded by rotation),
+    seeded with the previous segment's last stored entry hash, taken from a
+    one-row-per-segment summary. The chain's first break is then a
+    ``min_by`` over segments (partial aggregation), so a chain holding a
+    large share of all lines is still spread over many tasks. Same output
+    as ``verify`` keyed by ``chain_key``; ``broken_at`` is the line number
+    inside ``broken_segment``.
+    """
+    keys = [chain_key, segment]
+    nb = _parsed(lines, line)
+    last = nb.groupBy(*keys).agg(
+        F.max_by(F.struct(F.col("_p.entry_repr").alias("r"), F.col("_p.entry16").alias("h")),
+                 F.col(line_no)).alias("_last"))
+    ws = Window.partitionBy(chain_key).orderBy(segment)
+    seeds = last.select(
+        *keys,
+        F.coalesce(F.lag(F.col("_last.r")).over(ws), F.lit(json.dumps(seed))).alias("_seed"),
+        F.coalesce(F.lag(F.col("_last.h")).over(ws), F.lit(seed[:16])).alias("_seed16"))
+    marked = _mark(nb.join(seeds, on=keys, how="inner"), keys, [line_no], line_no,
+                   F.col("_seed"), F.col("_seed16"))
+    per_seg = _first_break(marked, keys, line_no)
+    # first broken segment, and the entries of all segments before it
+    seg_rows = per_seg.select(
+        chain_key, segment, "_n", "_b",
+        F.when(F.col("_b").isNotNull(), F.col(segment)).alias("_bad_seg"))
+    first = seg_rows.groupBy(chain_key).agg(
+        F.min("_bad_seg").alias("_fs"), F.sum("_n").alias("_total"),
+        F.min_by(F.struct(F.col(segment).alias("s"), F.col("_b").alias("b")),
+                 F.col("_bad_seg")).alias("_fb"))
+    before = seg_rows.join(first.select(chain_key, "_fs"), on=chain_key).where(
+        F.col("_fs").isNotNull() & (F.col(segment) < F.col("_fs"))
+    ).groupBy(chain_key).agg(F.sum("_n").alias("_before"))
+    out = first.join(before, on=chain_key, how="left")
+    broken = F.col("_fs").isNotNull()
+    return out.select(
+        chain_key,
+        (~broken).alias("valid"),
+        F.when(broken, F.coalesce(F.col("_before"), F.lit(0)) + F.col("_fb.b.rn") - 1)
+        .otherwise(F.col("_total")).cast("bigint").alias("entries"),
+        F.when(broken, F.col("_fb.b.ln")).cast("bigint").alias("broken_at"),
+        F.when(broken, F.col("_fb.s")).cast("bigint").alias("broken_segment"),
+        F.when(broken, F.col("_fb.b.c")).alias("cause"),
+        F.when(broken, F.col("_fb.b.d")).otherwise(
+            F.format_string("chain intact: %d entries verified", F.col("_total"))).alias("detail"),
+    )

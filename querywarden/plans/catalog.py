@@ -315,7 +315,8 @@ def audit_verify_segments(spark, sf):
 
 def audit_verify_chained_segments(spark, sf):
     """A10 fix: the ordered segments of a chain verified as one chain."""
-    return A.verify(_lines(spark, sf, SEGMENT_BYTES), "user_id", ["segment", "line_no"])
+    return A.verify_chained(_lines(spark, sf, SEGMENT_BYTES), "user_id", "segment", "line_no").drop(
+        "broken_segment")
 
 
 def search_responses(spark, sf):

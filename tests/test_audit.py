@@ -128,3 +128,42 @@ def test_canonical_json_generic_equals_jvm_pieces(spark):
     odd = spark.createDataFrame([('{"b": [1, {"z": 1, "a": "\\u00e9"}], "a": null}',), ("nope",)], "t string")
     got = [r.c for r in odd.select(A.canonical_json("t").alias("c")).collect()]
     assert got == ['{"a":null,"b":[1,{"a":"\\u00e9","z":1}]}', None]
+
+
+def test_verify_chained_matches_sequential(spark):
+    out = A.build_chain(A.entry_parts(_records(spark, 1, 14)), "chain", ["ts", "qid"],
+                        max_segment_bytes=700).orderBy("seq").collect()
+    segs = {}
+    for r in out:
+        segs.setdefault(r.segment, []).append(r.line)
+    assert len(segs) >= 3
+
+    def edit(line):
+        e = json.loads(line)
+        e["data"]["query_length"] = -1
+        return json.dumps(e, separators=(",", ":"))
+
+    cases = {
+        0: segs,                                                     # intact
+        1: {**segs, 1: segs[1][:1] + [edit(segs[1][1])] + segs[1][2:]},   # edit inside seg 1
+        2: {**segs, 1: segs[1][1:]},                                  # first line of seg 1 deleted
+        3: {**segs, 2: ["", "  "] + segs[2]},                         # blank lines at a boundary
+        4: {**segs, 2: ["{bad"] + segs[2]},                           # invalid JSON in seg 2
+    }
+    rows = []
+    for case, sg in cases.items():
+        for s_no, lines in sg.items():
+            rows += [(case, s_no, i + 1, ln) for i, ln in enumerate(lines)]
+    df = spark.createDataFrame(rows, "chain long, segment long, line_no long, line string")
+    got = {r.chain: r for r in A.verify_chained(df, "chain").collect()}
+    for case, sg in cases.items():
+        flat, where = [], []
+        for s_no in sorted(sg):
+            for i, ln in enumerate(sg[s_no]):
+                flat.append(ln)
+                where.append((s_no, i + 1))
+        want = spec.verify_lines(flat)
+        g = got[case]
+        assert (g.valid, g.entries, g.cause) == (want["valid"], want["entries"], want["cause"]), case
+        if want["broken_at"] is not None:
+            assert (g.broken_segment, g.broken_at) == where[want["broken_at"] - 1], case
