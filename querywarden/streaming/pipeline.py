@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import audit as A
+from ..operators import inbound as I
 from ..plans import search as S
 from ..sources import policy as P
 from ..operators import traffic as TR
@@ -133,6 +134,26 @@ def decisions_batch_writer(base: str, policy_paths: dict,
     return write
 
 
+def results_batch_writer(base: str, body: str = "body",
+                         set_key: str = "set_id") -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function for result-set streams.
+
+    Parsing, the top-k slice and cleaning are row-wise; the per-set context
+    needs a grouping, which runs here on the micro-batch (a set arrives as
+    one JSON body, so it never spans batches). Writes cleaned rows and
+    per-set summaries by batch id.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        flat = I.sanitize_results(I.results_from_json(batch, body, set_key))
+        flat.write.mode("overwrite").parquet(_version(base, "results", batch_id))
+        done = batch.sparkSession.read.parquet(_version(base, "results", batch_id))
+        I.set_summary(done, set_key).write.mode("overwrite").parquet(
+            _version(base, "contexts", batch_id))
+
+    return write
+
+
 def windowed_counts(stream: DataFrame, ts: str = "ts", seconds: float = 5.0,
                     watermark: str = "10 minutes", user: str = "user_id") -> DataFrame:
     """O13 on a stream: tumbling windows, emitted once the watermark passes them.

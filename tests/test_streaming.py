@@ -81,3 +81,22 @@ def test_windowed_counts_stream(spark):
     # every window that closed before the last watermark was emitted
     assert len(want) - len(got) <= 3
     assert SP.late_rows(qry) == 0
+
+
+def test_result_stream_equals_batch(spark):
+    from querywarden.operators import inbound as I
+
+    base = tempfile.mkdtemp(prefix="qw-res-")
+    rows = TB.result_rows(spark, SF_SMALL)
+    item = F.struct(F.col("rnk").alias("o"), F.struct("title", "content", "url").alias("r"))
+    bodies = rows.groupBy("set_id").agg(F.to_json(F.struct(F.transform(
+        F.sort_array(F.collect_list(item)), lambda x: x["r"]).alias("results"))).alias("body"))
+    for i in range(2):
+        bodies.where(F.col("set_id") % 2 == i).coalesce(1).write.parquet(f"{base}/in/f{i}")
+    s = (spark.readStream.schema("set_id long, body string").option("maxFilesPerTrigger", 1)
+         .option("recursiveFileLookup", "true").parquet(f"{base}/in"))
+    SP.run_available(s, SP.results_batch_writer(f"{base}/out"), f"{base}/ck")
+    got = {r.set_id: r.context for r in spark.read.parquet(f"{base}/out/contexts").collect()}
+    want = {r.set_id: r.context for r in
+            I.build_context(I.sanitize_results(I.top_results(rows))).collect()}
+    assert got == want
