@@ -12,18 +12,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import rules as R
 from ..operators import audit as A
 from ..operators import inbound as I
 from ..operators import outbound as O
 from ..operators import traffic as TR
-from ..session import spread
-from ..session import scratch_path
+from ..session import scratch_path, spread
 from ..sources import audit_log as AL
 from ..sources import policy as P
 from ..sources import requests as RQ
 from ..sources import tables as TB
-from . import oracle as Q
 from . import search as S
 
 K_ANON = 5

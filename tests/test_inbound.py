@@ -1,6 +1,5 @@
 """I1-I10 against the documented examples and the plain-Python spec."""
 
-from pyspark.sql import functions as F
 
 import spec
 from querywarden.functions import rules as R

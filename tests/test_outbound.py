@@ -1,7 +1,6 @@
 """O1-O9 against the documented examples and a plain-Python spec."""
 
 import pytest
-from pyspark.sql import functions as F
 
 import spec
 from querywarden.functions import rules as R
