@@ -220,10 +220,15 @@ def _scan_summary(w_us: int):
     return run
 
 
-def _scan_apply(w_us: int, carry: dict, scope_name: str, order_name: str):
-    """Second pass: global index and running max with the carry from earlier partitions."""
+def _scan_apply(w_us: int, carry_bc, scope_name: str, order_name: str):
+    """Second pass: global index and running max with the carry from earlier partitions.
+
+    ``carry_bc`` is a broadcast of {(partition, scope): (rows before, max so far)}:
+    at most two entries per partition, shipped once per executor.
+    """
 
     def run(batches):
+        carry = carry_bc.value
         state = {}  # scope -> [local_count, running_max]
         for pdf in batches:
             if pdf.empty:
@@ -303,5 +308,6 @@ def min_spacing(df: DataFrame, scope: str | None, ts: str = "ts", order: str = "
     order_type = dict(df.dtypes)[order]
     schema = (f"{scope_name} {scope_type}, {order} {order_type}, arrival_us long, "
               f"release_us long, delay_us long")
-    out = ranged.mapInPandas(_scan_apply(w_us, carry, scope_name, order), schema)
+    carry_bc = spark.sparkContext.broadcast(carry)
+    out = ranged.mapInPandas(_scan_apply(w_us, carry_bc, scope_name, order), schema)
     return out if scope else out.drop(scope_name)
