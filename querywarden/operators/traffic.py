@@ -133,13 +133,21 @@ def outbound_plan(decisions: DataFrame, key: str = "query_id",
 # ---------------------------------------------------------------------------
 
 def k_anonymous(df: DataFrame, text: str = "query", user: str = "user_id",
-                k: int = 5) -> DataFrame:
+                k: int = 5, materialize: bool = True) -> DataFrame:
     """Keep rows whose text was issued by at least ``k`` distinct users.
 
-    The distinct count is a two-level aggregate (partial counts per map
+    The input feeds both the count and the join back; with ``materialize``
+    it is checkpointed once (into ``spark.checkpoint.dir``), so expensive
+    upstream work such as redaction is not evaluated twice and lineage is
+    cut. The distinct count is a two-level aggregate (partial counts per map
     task), so a hot text never ships its rows to one task; the join back
     relies on AQE's skew-join split for hot texts.
     """
+    if materialize:
+        from ..session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(df.sparkSession)
+        df = df.checkpoint(eager=True)
     counts = (df.groupBy(text).agg(F.countDistinct(user).alias("n_users"))
                 .where(F.col("n_users") >= k))
     return df.join(counts, on=text, how="inner").withColumn(

@@ -139,7 +139,8 @@ def category_counts(spark, sf):
 
 
 def k_anonymous_queries(spark, sf):
-    kept = TR.k_anonymous(_f1_passed(spark, sf), "query", "user_id", K_ANON)
+    base = _f1_passed(spark, sf).select("query_id", "user_id", "query")
+    kept = TR.k_anonymous(base, "query", "user_id", K_ANON)
     return kept.select("query_id", "user_id", "query", "n_users")
 
 
