@@ -75,6 +75,23 @@ PII_RULES: tuple[PiiRule, ...] = (
 # keywords or 32 hex letters, so rows failing it skip the 12-step chain.
 PII_GATE = r"[\d@]|passport|[sp]k-|api[_-]?key|[a-f]{32}"
 
+# Per-rule necessary conditions, checked on the same text the rule sees
+# (so they are supersets by construction): a literal the match must
+# contain, or a short pattern (with the rule's case flag) it must contain.
+PII_GUARDS: dict[str, tuple[str, str]] = {
+    "email": ("literal", "@"),
+    "phone": ("regex", r"\d"),
+    "ssn": ("literal", "-"),
+    "card": ("regex", r"\d"),
+    "bank_account": ("regex", r"acc"),
+    "routing": ("regex", r"routing|aba"),
+    "passport": ("regex", r"passport"),
+    "address": ("regex", r"\d"),
+    "ip": ("literal", "."),
+    "dob": ("regex", r"born|dob|birthday"),
+    "api_key": ("regex", r"sk-|pk-|api"),
+}
+
 RARE_TERM_RULES: tuple[PatternRule, ...] = (
     PatternRule("proper_name", r"\b[A-Z][a-z]+\s+[A-Z][a-z]+\b", False),
     PatternRule("street_address", r"\b\d+\s+[A-Z][a-z]+\s+(?:St|Ave|Rd|Blvd|Dr|Ln|Ct)\b", False),

@@ -42,12 +42,14 @@ def _let(value: Column, fn) -> Column:
 
 def redact_pii(df: DataFrame, col: str = "query", rules: Sequence[R.PiiRule] = R.PII_RULES,
                gate: str | None = R.PII_GATE, findings: bool = True,
-               out: str = "query") -> DataFrame:
+               out: str = "query", guards: dict | None = R.PII_GUARDS) -> DataFrame:
     """O2 + O3: apply the rules in order, each on the text the earlier ones left.
 
     Adds ``n_redactions`` and, if ``findings``, ``findings`` as
     ``ARRAY<STRUCT<placeholder, match>>`` in rule order then text order.
-    Rows failing the cheap ``gate`` (a superset of all rules) skip the chain.
+    Rows failing the cheap ``gate`` (a superset of all rules) skip the chain,
+    and each rule runs only where its ``guards`` entry (a necessary
+    condition checked on the text that rule sees) holds.
     The state (text, findings or count) is one struct threaded through the
     steps, so every step reads its predecessor exactly once.
     """
@@ -57,17 +59,29 @@ def redact_pii(df: DataFrame, col: str = "query", rules: Sequence[R.PiiRule] = R
     acc = F.struct(F.col(col).alias("q"),
                    (empty if findings else F.lit(0).cast("bigint")).alias("f"))
     df = df.withColumn("_s", F.when(F.col("_g"), acc))
+    def guard_of(r, q):
+        kind, value = (guards or {}).get(r.name, (None, None))
+        if kind == "literal":
+            return q.contains(value)
+        if kind == "regex":
+            return T.rlike(q, value, r.case_insensitive)
+        return None
+
     def make_step(r):
         def step(x):
-            hits = T.extract_all(x["q"], r.pattern, r.case_insensitive)
+            q = x["q"]
+            g = guard_of(r, q)
+            hits = T.extract_all(q, r.pattern, r.case_insensitive)
+            new_q = T.replace_all(q, r.pattern, r.placeholder, r.case_insensitive)
             if findings:
-                f = F.concat(x["f"], F.transform(hits, lambda h: F.struct(
+                found = F.concat(x["f"], F.transform(hits, lambda h: F.struct(
                     F.lit(r.placeholder).alias("placeholder"), h.alias("match"))))
             else:
-                f = x["f"] + F.size(hits)
-            return F.struct(
-                T.replace_all(x["q"], r.pattern, r.placeholder, r.case_insensitive).alias("q"),
-                f.alias("f"))
+                found = x["f"] + F.size(hits)
+            if g is not None:
+                new_q = F.when(g, new_q).otherwise(q)
+                found = F.when(g, found).otherwise(x["f"])
+            return F.struct(new_q.alias("q"), found.alias("f"))
         return step
 
     for r in rules:
