@@ -92,10 +92,19 @@ def pii_redact_documents(spark, sf):
 
 
 def pii_findings_by_type(spark, sf):
-    f = pii_findings(spark, sf)
-    return f.groupBy("placeholder").agg(
-        F.count(F.lit(1)).alias("n_findings"),
-        F.countDistinct(*KEYS).alias("n_queries"))
+    """Findings and queries per placeholder with a single (partial) aggregation.
+
+    Each query row first reduces its own findings to (placeholder, count)
+    pairs, so the distinct-query count needs no shuffle keyed by query.
+    """
+    df = _sanitized(spark, sf, findings=True).where(F.size("findings") > 0)
+    phs = F.transform("findings", lambda f: f["placeholder"])
+    per_row = F.transform(F.array_distinct(phs), lambda p: F.struct(
+        p.alias("placeholder"), F.size(F.filter(phs, lambda x: x == p)).alias("n")))
+    pairs = df.select(F.inline(per_row))
+    return pairs.groupBy("placeholder").agg(
+        F.sum("n").cast("bigint").alias("n_findings"),
+        F.count(F.lit(1)).alias("n_queries"))
 
 
 def query_gate(spark, sf):
