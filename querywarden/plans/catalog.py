@@ -21,6 +21,7 @@ from ..sources import audit_log as AL
 from ..sources import policy as P
 from ..sources import requests as RQ
 from ..sources import tables as TB
+from . import reports as RP
 from . import search as S
 
 K_ANON = 5
@@ -92,19 +93,7 @@ def pii_redact_documents(spark, sf):
 
 
 def pii_findings_by_type(spark, sf):
-    """Findings and queries per placeholder with a single (partial) aggregation.
-
-    Each query row first reduces its own findings to (placeholder, count)
-    pairs, so the distinct-query count needs no shuffle keyed by query.
-    """
-    df = _sanitized(spark, sf, findings=True).where(F.size("findings") > 0)
-    phs = F.transform("findings", lambda f: f["placeholder"])
-    per_row = F.transform(F.array_distinct(phs), lambda p: F.struct(
-        p.alias("placeholder"), F.size(F.filter(phs, lambda x: x == p)).alias("n")))
-    pairs = df.select(F.inline(per_row))
-    return pairs.groupBy("placeholder").agg(
-        F.sum("n").cast("bigint").alias("n_findings"),
-        F.count(F.lit(1)).alias("n_queries"))
+    return RP.findings_by_type(_sanitized(spark, sf, findings=True))
 
 
 def query_gate(spark, sf):
@@ -113,16 +102,11 @@ def query_gate(spark, sf):
 
 
 def query_gate_summary(spark, sf):
-    return _sanitized(spark, sf).groupBy("blocked", "reason").agg(
-        F.count(F.lit(1)).alias("n"))
+    return RP.outcome_summary(_sanitized(spark, sf))
 
 
 def outcome_rollup(spark, sf):
-    df = _sanitized(spark, sf).withColumn(
-        "status", F.when(F.col("blocked"), F.lit("blocked")).otherwise(F.lit("passed")))
-    return df.rollup("status", "reason").agg(
-        F.grouping_id().cast("bigint").alias("grouping_level"),
-        F.count(F.lit(1)).alias("n"))
+    return RP.outcome_rollup(_sanitized(spark, sf))
 
 
 def rare_terms(spark, sf):
@@ -143,8 +127,7 @@ def generalised_queries(spark, sf):
 
 
 def category_counts(spark, sf):
-    g = generalised_queries(spark, sf).where(F.col("category").isNotNull())
-    return g.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    return RP.category_counts(generalised_queries(spark, sf))
 
 
 def k_anonymous_queries(spark, sf):
@@ -228,8 +211,7 @@ def injection_flags(spark, sf):
 def injection_by_rule(spark, sf):
     df = I.top_results(TB.result_rows(spark, sf))
     df = df.withColumns({"title": I.clean_text("title"), "snippet": I.clean_text("content")})
-    hits = df.select(F.explode(I.injection_hits(["title", "snippet"])).alias("rule_id"))
-    return hits.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_results"))
+    return RP.injection_by_rule(df)
 
 
 def quarantined_results(spark, sf):
@@ -357,11 +339,7 @@ def clean_results_json(spark, sf):
 
 
 def audit_rollup(spark, sf):
-    r = audit_records(spark, sf).withColumn("day", F.to_date(F.timestamp_micros("ts_us")))
-    return r.groupBy(F.col("day").cast("string").alias("day")).agg(
-        F.count(F.lit(1)).alias("n_entries"),
-        F.count(F.when(F.col("blocked"), 1)).alias("n_blocked"),
-        F.sum("results_returned").cast("bigint").alias("n_results"))
+    return RP.audit_rollup(audit_records(spark, sf))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
