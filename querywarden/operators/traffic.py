@@ -133,7 +133,7 @@ def outbound_plan(decisions: DataFrame, key: str = "query_id",
 # ---------------------------------------------------------------------------
 
 def k_anonymous(df: DataFrame, text: str = "query", user: str = "user_id",
-                k: int = 5, materialize: bool = True) -> DataFrame:
+                k: int = 5, materialize: bool = True, approx_rsd: float | None = None) -> DataFrame:
     """Keep rows whose text was issued by at least ``k`` distinct users.
 
     The input feeds both the count and the join back; with ``materialize``
@@ -141,14 +141,18 @@ def k_anonymous(df: DataFrame, text: str = "query", user: str = "user_id",
     upstream work such as redaction is not evaluated twice and lineage is
     cut. The distinct count is a two-level aggregate (partial counts per map
     task), so a hot text never ships its rows to one task; the join back
-    relies on AQE's skew-join split for hot texts.
+    relies on AQE's skew-join split for hot texts. ``approx_rsd`` switches
+    to a HyperLogLog estimate (one partial-aggregated shuffle instead of the
+    two of an exact distinct count); counts near ``k`` may then be off.
     """
     if materialize:
         from ..session import ensure_checkpoint_dir
 
         ensure_checkpoint_dir(df.sparkSession)
         df = df.checkpoint(eager=True)
-    counts = (df.groupBy(text).agg(F.countDistinct(user).alias("n_users"))
+    distinct = (F.countDistinct(user) if approx_rsd is None
+                else F.approx_count_distinct(user, approx_rsd))
+    counts = (df.groupBy(text).agg(distinct.alias("n_users"))
                 .where(F.col("n_users") >= k))
     return df.join(counts, on=text, how="inner").withColumn(
         "n_users", F.col("n_users").cast("bigint"))

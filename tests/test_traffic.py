@@ -75,3 +75,11 @@ def test_k_anonymity(spark):
     kept = TR.k_anonymous(df, "query", "user_id", 5).collect()
     assert {r.query for r in kept} == {"common"} and len(kept) == 50
     assert all(r.n_users == 7 for r in kept)
+
+
+def test_k_anonymity_approx(spark):
+    rows = [(i, i % 40, "common") for i in range(400)] + [(1000 + i, 1, "one user") for i in range(50)]
+    df = spark.createDataFrame(rows, "query_id long, user_id long, query string")
+    kept = TR.k_anonymous(df, "query", "user_id", 5, approx_rsd=0.05).collect()
+    assert {r.query for r in kept} == {"common"} and len(kept) == 400
+    assert all(abs(r.n_users - 40) <= 4 for r in kept)
