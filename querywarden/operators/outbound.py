@@ -54,11 +54,8 @@ def redact_pii(df: DataFrame, col: str = "query", rules: Sequence[R.PiiRule] = R
     steps, so every step reads its predecessor exactly once.
     """
     on = T.rlike(col, gate, case_insensitive=True) if gate is not None else F.lit(True)
-    df = df.withColumn("_g", on)
     empty = F.array().cast("array<struct<placeholder:string,match:string>>")
-    acc = F.struct(F.col(col).alias("q"),
-                   (empty if findings else F.lit(0).cast("bigint")).alias("f"))
-    df = df.withColumn("_s", F.when(F.col("_g"), acc))
+
     def guard_of(r, q):
         kind, value = (guards or {}).get(r.name, (None, None))
         if kind == "literal":
@@ -84,15 +81,22 @@ def redact_pii(df: DataFrame, col: str = "query", rules: Sequence[R.PiiRule] = R
             return F.struct(new_q.alias("q"), found.alias("f"))
         return step
 
+    # the whole chain is one nested expression: each step binds the previous
+    # state once, so it stays linear in size and costs one projection
+    state = F.when(on, F.struct(F.col(col).alias("q"),
+                                (empty if findings else F.lit(0).cast("bigint")).alias("f")))
     for r in rules:
-        step = make_step(r)
-        df = df.withColumn("_s", _let(F.col("_s"), step))
+        state = _let(state, make_step(r))
+    # non-deterministic always-true guard: the optimizer may not inline the
+    # state into the two fields read below (it would run the chain twice)
+    df = df.withColumn("_s", F.when(F.spark_partition_id() >= 0, state))
     n = F.size(F.col("_s.f")) if findings else F.col("_s.f")
     new_cols = {"n_redactions": F.coalesce(n, F.lit(0)).cast("bigint")}
     if findings:
         new_cols["findings"] = F.coalesce(F.col("_s.f"), empty)
-    new_cols[out] = F.when(F.col("_g"), F.col("_s.q")).otherwise(F.col(col))
-    return df.withColumns(new_cols).drop("_s", "_g")
+    # ``_s`` is null exactly when the gate failed: the text is unchanged then
+    new_cols[out] = F.coalesce(F.col("_s.q"), F.col(col))
+    return df.withColumns(new_cols).drop("_s")
 
 
 def high_risk_count(col: str = "query", rules: Sequence[R.PiiRule] = R.PII_RULES) -> Column:
