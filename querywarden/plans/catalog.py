@@ -313,6 +313,7 @@ def search_responses(spark, sf):
     resp = S.responses(_decisions(spark, sf), I.set_summary(_top_results(spark, sf)))
     return resp.select("query_id", "status", "error", "context", "query_used", "redactions",
                        "decoys_sent", "uniqueness_warning",
+                       F.size("unique_matches").cast("bigint").alias("n_unique_matches"),
                        F.when(F.col("status") == 200, F.size("results")).cast("bigint")
                        .alias("n_results"))
 

@@ -77,7 +77,10 @@ def responses(decisions: DataFrame, summary: DataFrame, key: str = "query_id",
         F.when(ok, F.coalesce(F.col("results"), empty)).alias("results"),
         F.when(ok, F.coalesce(F.col("context"), F.lit(""))).alias("context"),
         F.when(ok, F.col("query")).alias("query_used"),
-        F.when(F.col("status") != 403, F.col("n_redactions")).cast("bigint").alias("redactions"),
+        # a sanitize block reports the redaction count, a uniqueness block its matches
+        F.when(ok | F.col("blocked"), F.col("n_redactions")).cast("bigint").alias("redactions"),
+        F.when((F.col("status") == 422) & ~F.col("blocked"), F.col("rare_matches"))
+         .alias("unique_matches"),
         F.when(ok, F.col("decoys_sent")).cast("bigint").alias("decoys_sent"),
         F.when(ok, F.col("uniqueness_warning")).alias("uniqueness_warning"),
     )

@@ -17,7 +17,9 @@ from ..functions import rules as R
 POLICY_SCHEMA = ("policy_id string, enabled boolean, dp_enabled boolean, decoy_count int, "
                  "uniqueness_mode string, batch_window double")
 
-# FIXED VALUES: the example profiles (plus "allow" and a dp-disabled row).
+# FIXED VALUES: the example profiles, plus coverage rows: "allow", a
+# dp-disabled row, and "strict" (search on, auto-block) so the uniqueness
+# block path is reachable.
 POLICY_PROFILES: tuple[tuple, ...] = (
     ("reference", True, True, 2, "warn", 5.0),
     ("standalone", True, True, 2, "warn", 5.0),
@@ -25,6 +27,7 @@ POLICY_PROFILES: tuple[tuple, ...] = (
     ("none", True, True, 2, "warn", 5.0),
     ("allow", True, True, 2, "allow", 5.0),
     ("nodp", True, False, 2, "warn", 5.0),
+    ("strict", True, True, 5, "auto-block", 10.0),
 )
 
 # A policy table this small is always safe to broadcast; larger ones are

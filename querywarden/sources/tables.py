@@ -135,5 +135,6 @@ def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Policy assignment: each user belongs to one policy profile
 # ---------------------------------------------------------------------------
 
-USER_POLICY_SQL = """case user_id % 6 when 0 then 'reference' when 1 then 'standalone'
- when 2 then 'appliance' when 3 then 'none' when 4 then 'allow' else 'nodp' end"""
+USER_POLICY_SQL = """case user_id % 7 when 0 then 'reference' when 1 then 'standalone'
+ when 2 then 'appliance' when 3 then 'none' when 4 then 'allow' when 5 then 'nodp'
+ else 'strict' end"""
