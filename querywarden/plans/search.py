@@ -52,9 +52,9 @@ def decide(queries: DataFrame, policy_df: DataFrame, n_policy_rows: int | None =
         "audited": F.col("status") != 403,
         "audit_blocked": F.col("status") == 422,
     })
-    return fence(df, ["status", "reason", "uniqueness_action", "uniqueness_warning", "unique",
-                      "rare_matches", "category", "decoys_sent", "jitter_ms", "padded",
-                      "audited", "audit_blocked"])
+    # fence only what filters test (it carries the whole chain); the rest stays
+    # lazy so queries that do not read it never compute it
+    return fence(df, ["status", "reason", "uniqueness_action", "audited", "audit_blocked"])
 
 
 def responses(decisions: DataFrame, summary: DataFrame, key: str = "query_id",
