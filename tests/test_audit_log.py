@@ -60,3 +60,19 @@ def test_policy_reload_per_batch(spark, tmp_path):
     writer(batch, 1)
     out = spark.read.parquet(str(tmp_path / "out" / "decisions"))
     assert {r.batch_id: r.status for r in out.collect()} == {0: 200, 1: 403}
+
+
+def test_line_numbers_across_split_files(spark):
+    base = tempfile.mkdtemp(prefix="qw-split-")
+    lines = [f'{{"n": {i}, "pad": "{"x" * (i % 37)}"}}' if i % 11 else "" for i in range(1, 1201)]
+    with open(f"{base}/big.jsonl", "w") as fh:
+        fh.write("\n".join(lines) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        assert spark.read.text(base).rdd.getNumPartitions() > 5  # the file is split
+        logs = AL.read_audit_log(spark, base)
+        got = {r.line_no: r.line for r in logs.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {i + 1: ln for i, ln in enumerate(lines)}
