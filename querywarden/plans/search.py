@@ -90,3 +90,43 @@ def write_responses(resp: DataFrame, path: str, key: str = "query_id") -> None:
     """S8 sink: JSON lines with the response body as nested JSON (nulls omitted)."""
     body = F.to_json(F.struct(*[c for c in resp.columns if c not in (key, "status")]))
     resp.select(key, "status", body.alias("body")).write.mode("overwrite").json(path)
+
+
+def search_batch(queries: DataFrame, policy_df: DataFrame, result_bodies: DataFrame | None = None,
+                 n_policy_rows: int | None = None, key: str = "query_id",
+                 chain_key: str = "user_id", heads: DataFrame | None = None,
+                 max_segment_bytes: int | None = R.AUDIT_SEGMENT_BYTES,
+                 seed: str = TR.DEFAULT_SEED, materialize: bool = True) -> dict:
+    """The whole request flow for a batch of queries, as DataFrames.
+
+    ``queries``: ``key, user_id (chain_key), ts, raw, categories, policy_id``.
+    ``result_bodies``: ``set_id`` (= query id) and ``body`` (backend JSON).
+    Returns ``decisions``, ``plan`` (outgoing requests), ``results`` (cleaned
+    rows), ``summary`` (per-set results and context), ``responses`` and
+    ``audit`` (chained entries, continuing ``heads`` if given). Decisions
+    are checkpointed once when ``materialize`` so the outputs share them.
+    """
+    from ..operators import audit as A
+    from ..operators import inbound as I
+
+    dec = decide(queries, policy_df, n_policy_rows, key, seed)
+    if materialize:
+        from ..session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(dec.sparkSession)
+        dec = dec.checkpoint(eager=True)
+    spark = dec.sparkSession
+    if result_bodies is None:
+        result_bodies = spark.createDataFrame([], "set_id bigint, body string")
+    results = I.sanitize_results(I.results_from_json(result_bodies, "body", "set_id"))
+    summary = I.set_summary(results)
+    resp = responses(dec, summary, key)
+    counts = summary.select(F.col("set_id").alias(key), F.col("n_results").alias("_n"))
+    audited = dec.where(F.col("audited")).join(counts, on=key, how="left").withColumn(
+        "results_returned",
+        F.when(F.col("status") == 200, F.coalesce(F.col("_n"), F.lit(0))).otherwise(0))
+    rec = A.audit_records(audited).select(chain_key, key, "ts", "event", *A.RECORD_FIELDS)
+    audit = A.build_chain(A.entry_parts(rec), chain_key, ["ts", key], heads=heads,
+                          max_segment_bytes=max_segment_bytes)
+    return {"decisions": dec, "plan": TR.outbound_plan(dec, key, seed), "results": results,
+            "summary": summary, "responses": resp, "audit": audit}
