@@ -180,86 +180,91 @@ def batch_windows(df: DataFrame, ts: str = "ts", seconds: float = R.POLICY_DEFAU
 # Minimum spacing between releases
 # ---------------------------------------------------------------------------
 #
-# release_j = max(arrival_j, release_{j-1} + w), first release immediate.
-# Unrolled: release_j = j*w + max_{i<=j}(arrival_i - i*w), a running max.
-# ``min_spacing_window`` states this with one window per scope; it is exact
-# but puts a whole scope in one task. ``min_spacing`` computes the same
-# running max as a two-pass scan over range partitions, so a hot scope (or a
-# single global scope) is spread over many tasks.
+# release_j = max(arrival_j, release_{j-1} + w_j), first release immediate,
+# where w_j is the window of request j. Unrolled with S_j = w_1 + ... + w_j:
+# release_j = S_j + max_{i<=j}(arrival_i - S_i), a running max (for a fixed
+# window S_j = j*w). ``min_spacing_window`` states this with one window
+# function per scope; it is exact but puts a whole scope in one task.
+# ``min_spacing`` computes the same running max as a two-pass scan over
+# range partitions, so a hot scope (or a single global scope) is spread
+# over many tasks.
+
+def _window_us(window) -> Column:
+    """Per-row window in integer microseconds from seconds (number or column name)."""
+    w = F.lit(float(window)) if isinstance(window, (int, float)) else F.col(window)
+    return F.round(w.cast("double") * MICROS).cast("bigint")
+
 
 def min_spacing_window(df: DataFrame, scope: str | None, ts: str = "ts", order: str = "query_id",
-                       window_s: float = 5.0) -> DataFrame:
+                       window_s: float | str = 5.0) -> DataFrame:
     from pyspark.sql.window import Window
 
-    w_us = int(round(window_s * MICROS))
     part = [scope] if scope else []
     win = Window.partitionBy(*part).orderBy(ts, order)
-    a = F.unix_micros(F.col(ts))
-    j = F.row_number().over(win).cast("bigint")
-    df = df.withColumn("_a", a).withColumn("_j", j)
-    run = F.max(F.col("_a") - F.col("_j") * w_us).over(
-        win.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = df.withColumn("release_us", F.col("_j") * w_us + run)
+    upto = win.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    df = df.withColumns({"_a": F.unix_micros(F.col(ts)), "_w": _window_us(window_s)})
+    df = df.withColumn("_S", F.sum("_w").over(upto))
+    out = df.withColumn("release_us", F.col("_S") + F.max(F.col("_a") - F.col("_S")).over(upto))
     return out.select(
         *([scope] if scope else []), order, F.col("_a").alias("arrival_us"), "release_us",
         (F.col("release_us") - F.col("_a")).alias("delay_us"))
 
 
-def _scan_summary(w_us: int):
-    """Per partition: count and max(a - l*w) for its first and last scope."""
+def _scan_summary():
+    """Per partition: window sum and max(a - S_local) for its first and last scope."""
 
     def run(batches):
-        state = {}  # scope -> [pid, first_seen_order, n, mx]
+        state = {}  # scope -> [pid, window_sum, max]
         order = []
         for pdf in batches:
             if pdf.empty:
                 continue
             for sc, g in pdf.groupby("_scope", sort=False, dropna=False):
                 a = g["_a"].to_numpy(dtype=np.int64)
+                w = g["_w"].to_numpy(dtype=np.int64)
                 st = state.get(sc)
                 if st is None:
                     st = [int(g["_pid"].iloc[0]), 0, np.iinfo(np.int64).min]
                     state[sc] = st
                     order.append(sc)
-                base = st[1]
-                loc = np.arange(base + 1, base + len(a) + 1, dtype=np.int64)
-                st[2] = max(st[2], int((a - loc * w_us).max()))
-                st[1] = base + len(a)
+                s_local = st[1] + np.cumsum(w)
+                st[2] = max(st[2], int((a - s_local).max()))
+                st[1] = int(s_local[-1])
         keep = {order[0], order[-1]} if order else set()
         rows = [(state[s][0], s, state[s][1], state[s][2]) for s in order if s in keep]
-        yield pd.DataFrame(rows, columns=["_pid", "_scope", "n", "mx"])
+        yield pd.DataFrame(rows, columns=["_pid", "_scope", "wsum", "mx"])
 
     return run
 
 
-def _scan_apply(w_us: int, carry_bc, scope_name: str, order_name: str):
-    """Second pass: global index and running max with the carry from earlier partitions.
+def _scan_apply(carry_bc, scope_name: str, order_name: str):
+    """Second pass: prefix window sums and running max, continuing the carry.
 
-    ``carry_bc`` is a broadcast of {(partition, scope): (rows before, max so far)}:
-    at most two entries per partition, shipped once per executor.
+    ``carry_bc`` is a broadcast of {(partition, scope): (window sum before,
+    max so far)}: at most two entries per partition, shipped once per executor.
     """
 
     def run(batches):
         carry = carry_bc.value
-        state = {}  # scope -> [local_count, running_max]
+        state = {}  # scope -> [window_sum_so_far, running_max]
         for pdf in batches:
             if pdf.empty:
                 continue
             outs = []
             for sc, g in pdf.groupby("_scope", sort=False, dropna=False):
                 a = g["_a"].to_numpy(dtype=np.int64)
+                w = g["_w"].to_numpy(dtype=np.int64)
                 pid = int(g["_pid"].iloc[0])
-                off, cmax = carry.get((pid, sc), (0, None))
                 st = state.get(sc)
                 if st is None:
-                    st = [0, np.iinfo(np.int64).min if cmax is None else int(cmax)]
+                    off, cmax = carry.get((pid, sc), (0, None))
+                    st = [off, np.iinfo(np.int64).min if cmax is None else int(cmax)]
                     state[sc] = st
-                loc = np.arange(st[0] + 1, st[0] + len(a) + 1, dtype=np.int64)
-                term = a - (loc + off) * w_us
-                run_max = np.maximum.accumulate(np.maximum(term, st[1]))
-                st[0] += len(a)
+                s_glob = st[0] + np.cumsum(w)
+                run_max = np.maximum.accumulate(np.maximum(a - s_glob, st[1]))
+                st[0] = int(s_glob[-1])
                 st[1] = int(run_max[-1])
-                rel = (loc + off) * w_us + run_max
+                rel = s_glob + run_max
                 outs.append(pd.DataFrame({
                     scope_name: g["_scope_val"].to_numpy(),
                     order_name: g["_o"].to_numpy(),
@@ -271,29 +276,29 @@ def _scan_apply(w_us: int, carry_bc, scope_name: str, order_name: str):
 
 
 def min_spacing(df: DataFrame, scope: str | None, ts: str = "ts", order: str = "query_id",
-                window_s: float = 5.0, partitions: int | None = None) -> DataFrame:
-    """O12 as a distributed running max.
+                window_s: float | str = 5.0, partitions: int | None = None) -> DataFrame:
+    """O12 as a distributed running max; ``window_s`` is seconds or a column of seconds.
 
     1. Range-partition by (scope, arrival, order) and sort within partitions;
        a hot scope spans several partitions. The result is checkpointed so
        both passes read identical partitions and lineage is cut.
-    2. Pass one emits, per partition, count and local max for its first and
-       last scope only (any scope crossing a boundary is one of those), so
-       the summary holds at most two rows per partition.
-    3. Carries (rows before, max so far) are a prefix over that summary and
-       are shipped to the tasks as a bounded dict.
+    2. Pass one emits, per partition, the window sum and local max for its
+       first and last scope only (any scope crossing a boundary is one of
+       those), so the summary holds at most two rows per partition.
+    3. Carries (window sum before, max so far) are a prefix over that
+       summary and reach the tasks as a broadcast.
     4. Pass two finishes the running max with numpy inside each partition.
     """
     from ..session import ensure_checkpoint_dir
 
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)  # the cluster's shared dir; a scratch one only if unset
-    w_us = int(round(window_s * MICROS))
     scope_col = F.col(scope).cast("string") if scope else F.lit("")
     scope_val = F.col(scope) if scope else F.lit(None).cast("string")
     base = df.select(
         scope_col.alias("_scope"), scope_val.alias("_scope_val"),
-        F.unix_micros(F.col(ts)).alias("_a"), F.col(order).alias("_o"))
+        F.unix_micros(F.col(ts)).alias("_a"), F.col(order).alias("_o"),
+        _window_us(window_s).alias("_w"))
     n_parts = partitions or max(spark.sparkContext.defaultParallelism,
                                 int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = (base.repartitionByRange(n_parts, "_scope", "_a", "_o")
@@ -302,18 +307,18 @@ def min_spacing(df: DataFrame, scope: str | None, ts: str = "ts", order: str = "
                   .checkpoint(eager=True))
 
     summary = ranged.mapInPandas(
-        _scan_summary(w_us), "_pid int, _scope string, n long, mx long").toPandas()
+        _scan_summary(), "_pid int, _scope string, wsum long, mx long").toPandas()
     carry = {}
     if not summary.empty:
         summary = summary.sort_values(["_scope", "_pid"])
         for sc, g in summary.groupby("_scope", sort=False, dropna=False):
             off, cmax = 0, None
-            for pid, n, mx in g[["_pid", "n", "mx"]].itertuples(index=False):
-                if off:
+            for pid, wsum, mx in g[["_pid", "wsum", "mx"]].itertuples(index=False):
+                if cmax is not None:
                     carry[(int(pid), sc)] = (off, cmax)
-                shifted = int(mx) - off * w_us
+                shifted = int(mx) - off
                 cmax = shifted if cmax is None else max(cmax, shifted)
-                off += int(n)
+                off += int(wsum)
 
     scope_name = scope or "scope"
     scope_type = dict(df.dtypes).get(scope, "string") if scope else "string"
@@ -321,5 +326,5 @@ def min_spacing(df: DataFrame, scope: str | None, ts: str = "ts", order: str = "
     schema = (f"{scope_name} {scope_type}, {order} {order_type}, arrival_us long, "
               f"release_us long, delay_us long")
     carry_bc = spark.sparkContext.broadcast(carry)
-    out = ranged.mapInPandas(_scan_apply(w_us, carry_bc, scope_name, order), schema)
+    out = ranged.mapInPandas(_scan_apply(carry_bc, scope_name, order), schema)
     return out if scope else out.drop(scope_name)

@@ -181,6 +181,14 @@ def min_spacing_global(spark, sf):
     return TR.min_spacing(_events(spark, sf), None, "ts", "query_id", SPACING_GLOBAL_WINDOW_S)
 
 
+def release_schedule(spark, sf):
+    """O12 as the service applies it: searched, dp-enabled queries, one global
+    queue, each spaced by its own policy's batch window."""
+    dec = _decisions(spark, sf).where((F.col("status") == 200) & F.col("dp_enabled"))
+    return TR.min_spacing(dec.select("query_id", "ts", "batch_window"), None, "ts", "query_id",
+                          "batch_window")
+
+
 def batch_windows(spark, sf):
     return TR.batch_windows(_events(spark, sf), "ts")
 
@@ -365,6 +373,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "outbound_plan": outbound_plan,
     "min_spacing_schedule": min_spacing_schedule,
     "min_spacing_global": min_spacing_global,
+    "release_schedule": release_schedule,
     "batch_windows": batch_windows,
     "clean_results": clean_results,
     "injection_flags": injection_flags,

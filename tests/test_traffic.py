@@ -83,3 +83,22 @@ def test_k_anonymity_approx(spark):
     kept = TR.k_anonymous(df, "query", "user_id", 5, approx_rsd=0.05).collect()
     assert {r.query for r in kept} == {"common"} and len(kept) == 400
     assert all(abs(r.n_users - 40) <= 4 for r in kept)
+
+
+def test_spacing_per_row_windows(spark):
+    rnd = random.Random(21)
+    rows = [("hot" if i % 3 else f"s{i % 17}", rnd.randrange(0, 10**8), i, rnd.choice([0.05, 0.1, 0.02]))
+            for i in range(3000)]
+    df = spark.createDataFrame(rows, "scope string, a long, query_id long, w double")
+    df = df.withColumn("ts", F.timestamp_micros("a"))
+    got = {r.query_id: r.release_us for r in
+           TR.min_spacing(df, "scope", "ts", "query_id", "w", partitions=11).collect()}
+    win = {r.query_id: r.release_us for r in
+           TR.min_spacing_window(df, "scope", "ts", "query_id", "w").collect()}
+    want, last = {}, {}
+    for scope, a, qid, w in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        prev = last.get(scope)
+        rel = a if prev is None else max(a, prev + round(w * 1_000_000))
+        last[scope] = rel
+        want[qid] = rel
+    assert got == want and win == want
