@@ -52,29 +52,28 @@ def _read_latest(spark: SparkSession, base: str, name: str, batch_id: int, schem
 
 
 def spaced_releases(batch: DataFrame, carry: DataFrame, scope: str, ts: str, order: str,
-                    window_s: float) -> DataFrame:
+                    window_s) -> DataFrame:
     """O12 for one micro-batch, continuing each scope from its carried last release.
 
-    release_j = j*w + max(last, max_{i<=j}(a_i - i*w)) with j counted inside
-    the batch; ``last`` is -inf for a new scope.
+    release_j = S_j + max(last, max_{i<=j}(a_i - S_i)) with S the running sum
+    of the windows inside the batch (``window_s``: seconds or a column);
+    ``last`` is -inf for a new scope.
     """
-    w_us = int(round(window_s * TR.MICROS))
-    win = Window.partitionBy(scope).orderBy(ts, order)
-    df = batch.select(scope, order, F.unix_micros(F.col(ts)).alias("arrival_us"), ts)
-    df = df.join(carry, on=scope, how="left")
-    j = F.row_number().over(win).cast("bigint")
-    df = df.withColumn("_j", j)
-    run = F.max(F.col("arrival_us") - F.col("_j") * w_us).over(
-        win.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    upto = Window.partitionBy(scope).orderBy(ts, order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    df = batch.select(scope, order, F.unix_micros(F.col(ts)).alias("arrival_us"), ts,
+                      TR._window_us(window_s).alias("_w"))
+    df = df.join(carry, on=scope, how="left").withColumn("_S", F.sum("_w").over(upto))
+    run = F.max(F.col("arrival_us") - F.col("_S")).over(upto)
     best = F.when(F.col("last_release_us").isNull(), run).otherwise(
         F.greatest(run, F.col("last_release_us")))
-    out = df.withColumn("release_us", F.col("_j") * w_us + best)
+    out = df.withColumn("release_us", F.col("_S") + best)
     return out.select(scope, order, "arrival_us", "release_us",
                       (F.col("release_us") - F.col("arrival_us")).alias("delay_us"))
 
 
 def spacing_batch_writer(base: str, scope: str = "user_id", ts: str = "ts", order: str = "query_id",
-                         window_s: float = 5.0) -> Callable[[DataFrame, int], None]:
+                         window_s: float | str = 5.0) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function writing release times and the next carry version."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
