@@ -46,15 +46,16 @@ def decoy_choice(key: str, count: str, seed: str = DEFAULT_SEED,
     Works row-locally on a constant array, so it needs no join or shuffle
     and runs on streams.
     """
-    lib = F.array(*[
-        F.struct(F.lit(i).alias("decoy_id"), F.lit(t).alias("text"))
-        for i, t in enumerate(decoys)
-    ])
-    keyed = F.transform(lib, lambda d: F.struct(
-        F.md5(F.concat_ws(":", F.lit(seed), _s(key), d["decoy_id"].cast("string"))).alias("k"),
-        d["decoy_id"].alias("decoy_id"), d["text"].alias("text")))
+    texts = F.array(*[F.lit(t) for t in decoys])
+    # sort only (key, id) pairs; the text is looked up for the chosen few
+    keyed = F.transform(F.sequence(F.lit(0), F.lit(len(decoys) - 1)), lambda i: F.struct(
+        F.md5(F.concat_ws(":", F.lit(seed), _s(key), i.cast("string"))).alias("k"),
+        i.alias("decoy_id")))
     n = F.greatest(F.lit(0), F.least(F.col(count), F.lit(len(decoys))))
-    return F.slice(F.array_sort(keyed), 1, n)
+    chosen = F.slice(F.array_sort(keyed), 1, n)
+    return F.transform(chosen, lambda d: F.struct(
+        d["k"].alias("k"), d["decoy_id"].alias("decoy_id"),
+        F.element_at(texts, d["decoy_id"] + 1).alias("text")))
 
 
 def decoy_plan(df: DataFrame, key: str = "query_id", count: str = "decoys_sent",
