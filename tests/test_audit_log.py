@@ -76,3 +76,18 @@ def test_line_numbers_across_split_files(spark):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got == {i + 1: ln for i, ln in enumerate(lines)}
+
+
+def test_verify_log_files_with_missing(spark):
+    base = tempfile.mkdtemp(prefix="qw-files-")
+    lines = A.build_chain(A.entry_parts(_records(spark, 1, 5)), "chain", ["ts", "qid"]).orderBy("seq")
+    text = "\n".join(r.line for r in lines.collect()) + "\n"
+    for name, body in (("a.jsonl", text), ("b.jsonl", text.replace('"web_search"', '"x"', 1))):
+        with open(f"{base}/{name}", "w") as fh:
+            fh.write(body)
+    rep = AL.verify_log_files(spark, [f"{base}/a.jsonl", f"{base}/b.jsonl", f"{base}/none.jsonl"])
+    got = {os.path.basename(r.file): r for r in rep.collect()}
+    assert got["a.jsonl"].valid and got["a.jsonl"].entries == 5
+    assert not got["b.jsonl"].valid and got["b.jsonl"].broken_at == 1
+    assert got["none.jsonl"].valid and got["none.jsonl"].entries == 0
+    assert got["none.jsonl"].detail == "log file does not exist"
