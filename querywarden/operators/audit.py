@@ -57,14 +57,18 @@ def _json_int(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit("null"))
 
 
-def record_json(sort_keys: bool) -> Column:
-    """``data`` object of an audit record: canonical (sorted) or as written (field order)."""
+def record_json(sort_keys: bool, src: Column | None = None) -> Column:
+    """``data`` object of an audit record: canonical (sorted) or as written (field order).
+
+    Values come from top-level columns, or from the fields of struct ``src``.
+    """
+    get = (lambda c: F.col(c)) if src is None else (lambda c: src[c])
     vals = {
-        "query_hash": T.json_string(F.col("query_hash")),
-        "query_length": _json_int(F.col("query_length")),
-        "redactions_count": _json_int(F.col("redactions_count")),
-        "results_returned": _json_int(F.col("results_returned")),
-        "blocked": _json_bool(F.col("blocked")),
+        "query_hash": T.json_string(get("query_hash")),
+        "query_length": _json_int(get("query_length")),
+        "redactions_count": _json_int(get("redactions_count")),
+        "results_returned": _json_int(get("results_returned")),
+        "blocked": _json_bool(get("blocked")),
     }
     keys = sorted(vals) if sort_keys else list(RECORD_FIELDS)
     parts = [F.lit("{")]
@@ -234,6 +238,10 @@ def _parse_entries(lines: pd.Series) -> pd.DataFrame:
     cols = {k: [] for k in ("ok", "prev_repr", "entry_repr", "hash_ok", "expected16",
                             "prev16", "entry16")}
     for line in lines:
+        if line is None:  # decided on the JVM fast path
+            for k in cols:
+                cols[k].append(None)
+            continue
         try:
             e = json.loads(line)
             if not isinstance(e, dict):
@@ -277,8 +285,60 @@ def _mark(nb: DataFrame, keys, order, line_no: str, seed_repr: Column, seed16: C
     return checked.withColumns({"_cause": cause, "_detail": detail})
 
 
+LINE_SCHEMA = ("timestamp string, event string, data struct<query_hash:string,"
+               "query_length:bigint,redactions_count:bigint,results_returned:bigint,"
+               "blocked:boolean>, prev_hash string, entry_hash string")
+
+
+def _fast_parse(line: Column, e: Column) -> tuple[Column, Column]:
+    """(usable, parsed) for lines written exactly as ``build_chain`` writes them.
+
+    ``e`` is ``from_json(line, LINE_SCHEMA)``, bound once by the caller. A line
+    qualifies when every field parses non-null and re-serialising the parsed
+    values reproduces the line byte for byte; then ``json.loads`` would return
+    the same values, and the canonical hash is computed JVM-side.
+    """
+    d = e["data"]
+    fields = [e["timestamp"], e["event"], e["prev_hash"], e["entry_hash"], d["query_hash"],
+              d["query_length"], d["redactions_count"], d["results_returned"], d["blocked"]]
+    complete = F.lit(True)
+    for f in fields:
+        complete = complete & f.isNotNull()
+    rebuilt = F.concat(
+        F.lit('{"timestamp":'), T.json_string(e["timestamp"]), F.lit(',"event":'),
+        T.json_string(e["event"]), F.lit(',"data":'), record_json(False, d),
+        F.lit(',"prev_hash":'), T.json_string(e["prev_hash"]), F.lit(',"entry_hash":'),
+        T.json_string(e["entry_hash"]), F.lit("}"))
+    usable = F.coalesce(complete & (rebuilt == line), F.lit(False))
+    canon = F.concat(
+        F.lit('{"data":'), record_json(True, d), F.lit(',"event":'), T.json_string(e["event"]),
+        F.lit(',"prev_hash":'), T.json_string(e["prev_hash"]), F.lit(',"timestamp":'),
+        T.json_string(e["timestamp"]), F.lit("}"))
+    expected = F.sha2(canon, 256)
+    parsed = F.struct(
+        F.lit(True).alias("ok"),
+        T.json_string(e["prev_hash"]).alias("prev_repr"),
+        T.json_string(e["entry_hash"]).alias("entry_repr"),
+        (e["entry_hash"] == expected).alias("hash_ok"),
+        F.substring(expected, 1, 16).alias("expected16"),
+        F.substring(e["prev_hash"], 1, 16).alias("prev16"),
+        F.substring(e["entry_hash"], 1, 16).alias("entry16"))
+    return usable, parsed
+
+
 def _parsed(lines: DataFrame, line: str) -> DataFrame:
-    return lines.where(~T.py_is_blank(line)).withColumn("_p", _parse_entries(T.py_strip(line)))
+    """Non-blank lines with ``_p``: JVM fast path, Python for everything else."""
+    nb = lines.where(~T.py_is_blank(line)).withColumn("_l", T.py_strip(line))
+    # parse once per line: the always-true, non-deterministic guard keeps the
+    # optimizer from inlining from_json into each of its many field reads
+    keep = F.spark_partition_id() >= 0
+    nb = nb.withColumn("_e", F.when(keep, F.from_json(F.col("_l"), LINE_SCHEMA)))
+    usable, fast = _fast_parse(F.col("_l"), F.col("_e"))
+    nb = nb.withColumn("_fs", F.when(keep, F.struct(usable.alias("u"), fast.alias("p"))))
+    nb = nb.withColumns({"_fast": F.col("_fs.u"), "_fp": F.col("_fs.p")}).drop("_e", "_fs")
+    slow = _parse_entries(F.when(~F.col("_fast"), F.col("_l")))
+    return nb.withColumn("_p", F.when(F.col("_fast"), F.col("_fp")).otherwise(slow)).drop(
+        "_l", "_fast", "_fp")
 
 
 def _first_break(marked: DataFrame, keys, line_no: str) -> DataFrame:
