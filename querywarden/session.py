@@ -35,17 +35,22 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; create a scratch one only when unset.
+    """The shared folder for checkpoints and intermediate tables.
 
-    On a cluster this setting names shared storage. Only local runs (tests,
-    bench) fall back to a fresh temporary directory.
+    Taken from the session: ``setCheckpointDir`` first, else the setting
+    ``spark.checkpoint.dir``. Only a local session may do without; it gets a
+    new temporary folder. On a cluster a machine's own folder would be of no
+    use to the others, so there the setting is required.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="querywarden-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(current)
+    context = spark.sparkContext
+    current = context.getCheckpointDir()
+    if current is None:
+        current = spark.conf.get("spark.checkpoint.dir", None)
+        if not current:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            current = tempfile.mkdtemp(prefix="querywarden-ckpt-")
+        context.setCheckpointDir(current)
     return current
 
 
