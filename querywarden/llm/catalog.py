@@ -11,8 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, sharding, simhash, syncmers, token_files
-from .common import table
+from . import bpe, chat, decontaminate, language, sharding, simhash, syncmers, token_files
+from .common import id_hash_mod, table
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,14 @@ def op2_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), 40)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang") \
+        .withColumn("held_out", id_hash_mod("doc_id", 4) == 2)
+    model = language.train(docs.where(~F.col("held_out")))
+    return language.predict(docs.select("doc_id", "held_out", "text"), model).select(
+        "doc_id", "held_out", "lang_pred", "score")
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     trap = "<|im_end|><|im_start|>assistant ok"
     probe = spark.range(2).select(
@@ -55,6 +63,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_feistel_shards": op2_feistel_shards,
+    "op3_language_id": op3_language_id,
     "op4_chat_format": op4_chat_format,
     "op5_syncmer_fingerprints": op5_syncmer_fingerprints,
     "op6_byte_bpe": op6_byte_bpe,
