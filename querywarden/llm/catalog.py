@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, language, sharding, simhash, syncmers, token_files
+from . import bpe, chat, decontaminate, language, repeats, sharding, simhash, syncmers, token_files
 from .common import id_hash_mod, table
 
 
@@ -55,6 +55,10 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, radius=4)
 
 
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.find_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_syncmer_fingerprints": op5_syncmer_fingerprints,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_simhash_dedup": op7_simhash_dedup,
+    "op8_repeated_passages": op8_repeated_passages,
     "op9_decontaminate": op9_decontaminate,
 }
 

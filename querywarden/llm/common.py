@@ -48,3 +48,31 @@ def id_hash_mod(doc_id, m: int) -> Column:
     """``crc32(doc_id as text) mod m``; a null id counts as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % m
+
+
+def sorted_groups(batches, keys: int):
+    """Complete groups of rows that arrive sorted by their first ``keys`` columns.
+
+    Yields (columns as numpy arrays, group starts and the end); a group that
+    goes on in the next batch is held back until it is complete.
+    """
+    import numpy as np
+
+    held = None
+    for batch in batches:
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held:
+            cols = [np.concatenate(x) for x in zip(held, cols)]
+        n = len(cols[0])
+        if not n:
+            continue
+        new = np.zeros(n, bool)
+        new[0] = True
+        for c in cols[:keys]:
+            new[1:] |= c[1:] != c[:-1]
+        starts = np.flatnonzero(new)
+        if len(starts) > 1:
+            yield [c[:starts[-1]] for c in cols], starts
+        held = [c[starts[-1]:].copy() for c in cols]
+    if held:
+        yield held, np.array([0, len(held[0])])
