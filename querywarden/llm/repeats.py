@@ -214,7 +214,7 @@ FOUND = "start long, words long, source_id long, source_start long, source_words
 
 
 def _chains(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
-    """``doc, rep, chain`` (array of start, start in rep, length): what may hold a passage."""
+    """``doc, rep, chain`` (array of start, start in rep, length) of all texts of ``min_words`` words or more."""
     import pyarrow as pa
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,19 +245,15 @@ def _chains(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
         .where("last > rep").drop("last")
     matches = s.drop("first").join(shared, "h").where("doc > rep").select("doc", "rep", "pos", "rpos")
     work = matches.repartition("doc", "rep").sortWithinPartitions("doc", "rep")
-    least = max(K, min_words - 2 * (WINDOW - 1))
-
     def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (doc, rep, pos, rpos), starts in sorted_groups(batches, 2):
             out = ([], [], [])
             for x, y in zip(starts[:-1], starts[1:]):
                 seg = segments(pos[x:y], rpos[x:y])
-                for chain in chains(seg):
-                    span = seg[chain[-1], 0] + seg[chain[-1], 2] - seg[chain[0], 0]
-                    if span >= least:
-                        out[0].append(int(doc[x]))
-                        out[1].append(int(rep[x]))
-                        out[2].append([dict(zip(("s", "o", "n"), row)) for row in seg[chain].tolist()])
+                for chain in chains(seg):  # short ones too: the alignment may find more beyond their ends
+                    out[0].append(int(doc[x]))
+                    out[1].append(int(rep[x]))
+                    out[2].append([dict(zip(("s", "o", "n"), row)) for row in seg[chain].tolist()])
             if out[0]:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()),
