@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, language, repeats, sharding, simhash, syncmers, token_files
+from . import bpe, chat, decontaminate, language, lm, repeats, sharding, simhash, syncmers, token_files
 from .common import id_hash_mod, table
 
 
@@ -64,6 +64,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op10_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"), id_hash_mod("doc_id", 7) == 2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_feistel_shards": op2_feistel_shards,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash_dedup": op7_simhash_dedup,
     "op8_repeated_passages": op8_repeated_passages,
     "op9_decontaminate": op9_decontaminate,
+    "op10_gru_scores": op10_gru_scores,
 }
 
 ORACLE_SQL: dict[str, str] = {
