@@ -14,6 +14,7 @@ Python's Unicode-aware classes:
 from __future__ import annotations
 
 import functools
+import re
 
 JAVA = "java"
 RE2 = "re2"
@@ -87,12 +88,22 @@ def _rewrite_escapes(pattern: str, mapping_out: dict, mapping_in: dict) -> str:
     return "".join(out)
 
 
+def _flat_word_runs(pattern: str) -> str:
+    """Write ``[w]+(?:\\s+[w]+)*\\s+`` as ``[w][w\\s]*\\s``: the same strings, one loop.
+
+    Java matches a repeated group by recursion, one level for each word, and
+    runs out of stack on long plain text; a repeated class is a plain loop.
+    """
+    return re.sub(r"\[([^\]\\]+)\]\+\(\?:\\s\+\[\1\]\+\)\*\\s\+",
+                  lambda m: f"[{m[1]}][{m[1].removesuffix('-')}\\s{'-' * m[1].endswith('-')}]*\\s", pattern)
+
+
 @functools.lru_cache(maxsize=None)
 def adapt(pattern: str, case_insensitive: bool = False, dialect: str = JAVA) -> str:
     """Translate a Python-syntax pattern so it matches like Python's ``re``."""
     if dialect == JAVA:
         body = _rewrite_escapes(
-            pattern,
+            _flat_word_runs(pattern),
             {r"\s": r"[\s\x{1c}-\x{1f}]"},
             {r"\s": r"\s\x{1c}-\x{1f}"},
         )

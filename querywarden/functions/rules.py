@@ -86,7 +86,7 @@ PII_GUARDS: dict[str, tuple[str, str]] = {
     "bank_account": ("regex", r"acc"),
     "routing": ("regex", r"routing|aba"),
     "passport": ("regex", r"passport"),
-    "address": ("regex", r"\d"),
+    "address": ("regex", r"\s(?:St|Street|Ave|Avenue|Rd|Road|Blvd|Drive|Dr|Lane|Ln|Court|Ct)\b"),
     "ip": ("literal", "."),
     "dob": ("regex", r"born|dob|birthday"),
     "api_key": ("regex", r"sk-|pk-|api"),

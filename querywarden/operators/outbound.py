@@ -17,17 +17,19 @@ from ..functions.fence import fence
 
 
 def normalise(df: DataFrame, raw: str = "raw", out: str = "query",
-              max_length: int = R.MAX_QUERY_LENGTH) -> DataFrame:
+              max_length: int | Column | None = R.MAX_QUERY_LENGTH) -> DataFrame:
     """O1: strip Unicode whitespace and keep the first ``max_length`` code points.
 
+    The cut belongs to search queries. ``max_length`` may be a column (null:
+    no cut for that row) or None (no cut at all), for texts that are not.
     Adds ``_empty`` (null / blank input) used by the gate; blank input gives "".
     """
+    text = T.py_strip(raw)
+    if max_length is not None:
+        cut = F.substring(text, F.lit(1), max_length if isinstance(max_length, Column) else F.lit(max_length))
+        text = F.when(max_length.isNull(), text).otherwise(cut) if isinstance(max_length, Column) else cut
     return df.withColumn("_empty", T.py_is_blank(raw)).withColumn(
-        out,
-        F.when(F.col("_empty"), F.lit("")).otherwise(
-            F.substring(T.py_strip(raw), 1, max_length)
-        ),
-    )
+        out, F.when(F.col("_empty"), F.lit("")).otherwise(text))
 
 
 def _let(value: Column, fn) -> Column:
@@ -140,7 +142,7 @@ def risk_gate(df: DataFrame, col: str = "query",
 
 def sanitize(df: DataFrame, raw: str = "raw", findings: bool = False,
              rules: Sequence[R.PiiRule] = R.PII_RULES,
-             max_length: int = R.MAX_QUERY_LENGTH) -> DataFrame:
+             max_length: int | Column | None = R.MAX_QUERY_LENGTH) -> DataFrame:
     """``query, n_redactions[, findings], high_risk_count, blocked, reason``."""
     df = normalise(df, raw, "query", max_length)
     df = redact_pii(df, "query", rules, findings=findings)

@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,46 +37,50 @@ def jitter_ms(seed: str, key) -> Column:
     return T.seeded_unit_ms(lo, hi, F.lit(seed), F.lit("jitter"), _s(key))
 
 
-def decoy_choice(key: str, count: str, seed: str = DEFAULT_SEED,
-                 decoys: Sequence[str] = R.DECOY_QUERIES) -> Column:
-    """``min(count, len(decoys))`` distinct decoys, uniform without replacement.
+def decoy_rows(key: str, count: str, seed: str = DEFAULT_SEED,
+               decoys: Sequence[str] = R.DECOY_QUERIES) -> Column:
+    """O14 + O15: array of (decoy_seq, decoy_id, text, gap_ms, offset_ms) in send order.
 
-    Each decoy gets the key md5(seed:key:decoy_id); the smallest keys win.
-    Works row-locally on a constant array, so it needs no join or shuffle
-    and runs on streams.
+    ``min(count, len(decoys))`` distinct decoys, uniform without replacement:
+    decoy ``i`` is one draw from md5(seed:decoy:key:i) among those not drawn
+    yet, so the work is that of the chosen few. The gaps are summed as the
+    rows are built. Row-local on a constant array: no join or shuffle, and
+    it runs on streams.
     """
     texts = F.array(*[F.lit(t) for t in decoys])
-    # sort only (key, id) pairs; the text is looked up for the chosen few
-    keyed = F.transform(F.sequence(F.lit(0), F.lit(len(decoys) - 1)), lambda i: F.struct(
-        F.md5(F.concat_ws(":", F.lit(seed), _s(key), i.cast("string"))).alias("k"),
-        i.alias("decoy_id")))
-    n = F.greatest(F.lit(0), F.least(F.col(count), F.lit(len(decoys))))
-    chosen = F.slice(F.array_sort(keyed), 1, n)
-    return F.transform(chosen, lambda d: F.struct(
-        d["k"].alias("k"), d["decoy_id"].alias("decoy_id"),
-        F.element_at(texts, d["decoy_id"] + 1).alias("text")))
+    ids = F.sequence(F.lit(0), F.lit(len(decoys) - 1))
+    row = "struct<decoy_seq:bigint,decoy_id:bigint,text:string,gap_ms:bigint,offset_ms:bigint>"
+
+    def step(acc, seq):
+        left = F.size(acc["left"])
+        bits = F.conv(F.substring(F.md5(F.concat_ws(
+            ":", F.lit(seed), F.lit("decoy"), _s(key), _s(seq))), 1, 8), 16, 10).cast("bigint")
+        drawn = F.struct(F.element_at(acc["left"], (bits % left).cast("int") + 1).alias("id"),
+                         decoy_gap_ms(seed, key, seq).alias("gap"))
+        return F.transform(F.array(drawn), lambda d: F.struct(
+            F.array_except(acc["left"], F.array(d["id"])).alias("left"),
+            (acc["ms"] + d["gap"]).alias("ms"),
+            F.concat(acc["rows"], F.array(F.struct(
+                seq.alias("decoy_seq"), d["id"].cast("bigint").alias("decoy_id"),
+                F.element_at(texts, d["id"] + 1).alias("text"), d["gap"].alias("gap_ms"),
+                (acc["ms"] + d["gap"]).alias("offset_ms")))).alias("rows")))[0]
+
+    n = F.greatest(F.lit(0), F.least(F.col(count), F.lit(len(decoys)))).cast("bigint")
+    start = F.struct(ids.alias("left"), F.lit(0).cast("bigint").alias("ms"),
+                     F.array().cast(f"array<{row}>").alias("rows"))
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1).cast("bigint"), n), start, step,
+                                     lambda acc: acc["rows"])).otherwise(F.array().cast(f"array<{row}>"))
 
 
 def decoy_plan(df: DataFrame, key: str = "query_id", count: str = "decoys_sent",
                seed: str = DEFAULT_SEED, decoys: Sequence[str] = R.DECOY_QUERIES) -> DataFrame:
     """O14 + O15: one row per decoy with its gap, running offset and padded length."""
-    def row(d, i):
-        seq = (i + 1).cast("bigint")
-        return F.struct(
-            seq.alias("decoy_seq"),
-            d["decoy_id"].cast("bigint").alias("decoy_id"),
-            d["text"].alias("text"),
-            decoy_gap_ms(seed, key, seq).alias("gap_ms"),
-            # running sum of the gaps up to this decoy, recomputed row-locally
-            F.aggregate(F.sequence(F.lit(1).cast("bigint"), seq), F.lit(0).cast("bigint"),
-                        lambda acc, j: acc + decoy_gap_ms(seed, key, j)).alias("offset_ms"))
-
-    rows = F.transform(decoy_choice(key, count, seed, decoys), row)
-    out = df.select(key, F.inline(rows))
+    out = df.select(key, F.inline(decoy_rows(key, count, seed, decoys)))
     return out.withColumn("padded_len", F.octet_length(padded("text")).cast("bigint"))
 
 
 def total_decoy_ms(key: str, count: str, seed: str = DEFAULT_SEED) -> Column:
+    """Sum of the gaps of all decoys of a query (0 without decoys)."""
     n = F.greatest(F.lit(0), F.least(F.col(count), F.lit(len(R.DECOY_QUERIES)))).cast("bigint")
     return F.when(n > 0, F.aggregate(
         F.sequence(F.lit(1).cast("bigint"), n), F.lit(0).cast("bigint"),
@@ -113,11 +116,8 @@ def outbound_plan(decisions: DataFrame, key: str = "query_id",
     cover = F.when(F.col("category").isNotNull(), F.array(make(
         "cover", F.lit(0), F.col("category"), F.lit("general"), F.lit(0)))
     ).otherwise(F.array().cast(f"array<{req}>"))
-    picked = decoy_choice(key, "decoys_sent", seed)
-    decoys = F.transform(picked, lambda d, i: make(
-        "decoy", i + 1, d["text"], F.lit("general"),
-        F.aggregate(F.sequence(F.lit(1).cast("bigint"), (i + 1).cast("bigint")),
-                    F.lit(0).cast("bigint"), lambda acc, j: acc + decoy_gap_ms(seed, key, j))))
+    decoys = F.transform(decoy_rows(key, "decoys_sent", seed), lambda d: make(
+        "decoy", d["decoy_seq"], d["text"], F.lit("general"), d["offset_ms"]))
     real = F.array(make("real", F.col("decoys_sent") + 1, F.col("query"), F.col("categories"),
                         total_decoy_ms(key, "decoys_sent", seed) + jitter_ms(seed, key)))
     # ``inline`` emits the struct fields as columns; selecting fields of an
@@ -211,29 +211,36 @@ def min_spacing_window(df: DataFrame, scope: str | None, ts: str = "ts", order:
         (F.col("release_us") - F.col("_a")).alias("delay_us"))
 
 
+def _scope_runs(batch):
+    """(scope, slice) of each run of equal scopes in a batch sorted by scope."""
+    scopes = batch.column("_scope").to_numpy(zero_copy_only=False)
+    starts = np.flatnonzero(np.append(True, scopes[1:] != scopes[:-1])) if len(scopes) else []
+    for s, e in zip(starts, np.append(starts[1:], len(scopes)) if len(scopes) else []):
+        yield scopes[s], slice(s, e)
+
+
 def _scan_summary():
-    """Per partition: window sum and max(a - S_local) for its first and last scope."""
+    """Per partition: window sum and max(a - S_local) for its first and last scope.
+
+    Rows are sorted by scope, so only the first and the current scope are kept.
+    """
 
     def run(batches):
-        state = {}  # scope -> [pid, window_sum, max]
-        order = []
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            for sc, g in pdf.groupby("_scope", sort=False, dropna=False):
-                a = g["_a"].to_numpy(dtype=np.int64)
-                w = g["_w"].to_numpy(dtype=np.int64)
-                st = state.get(sc)
-                if st is None:
-                    st = [int(g["_pid"].iloc[0]), 0, np.iinfo(np.int64).min]
-                    state[sc] = st
-                    order.append(sc)
-                s_local = st[1] + np.cumsum(w)
-                st[2] = max(st[2], int((a - s_local).max()))
-                st[1] = int(s_local[-1])
-        keep = {order[0], order[-1]} if order else set()
-        rows = [(state[s][0], s, state[s][1], state[s][2]) for s in order if s in keep]
-        yield pd.DataFrame(rows, columns=["_pid", "_scope", "wsum", "mx"])
+        import pyarrow as pa
+
+        first = now = None  # [pid, scope, window sum, max]
+        for b in batches:
+            a, w = (b.column(c).to_numpy(zero_copy_only=False) for c in ("_a", "_w"))
+            for sc, at in _scope_runs(b):
+                if now is None or sc != now[1]:
+                    now = [b.column("_pid")[0].as_py(), sc, 0, np.iinfo(np.int64).min]
+                    first = first or now
+                upto = now[2] + np.cumsum(w[at])
+                now[2:] = int(upto[-1]), max(now[3], int((a[at] - upto).max()))
+        rows = [] if now is None else [first] if first is now else [first, now]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.string(), pa.int64(), pa.int64()))],
+            names=["_pid", "_scope", "wsum", "mx"])
 
     return run
 
@@ -242,36 +249,29 @@ def _scan_apply(carry_bc, scope_name: str, order_name: str):
     """Second pass: prefix window sums and running max, continuing the carry.
 
     ``carry_bc`` is a broadcast of {(partition, scope): (window sum before,
-    max so far)}: at most two entries per partition, shipped once per executor.
+    max so far)}: at most two entries per partition, shipped once per
+    executor. Scope and order values pass through as Arrow columns, so nulls
+    and large integers stay what they are.
     """
 
     def run(batches):
-        carry = carry_bc.value
-        state = {}  # scope -> [window_sum_so_far, running_max]
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            outs = []
-            for sc, g in pdf.groupby("_scope", sort=False, dropna=False):
-                a = g["_a"].to_numpy(dtype=np.int64)
-                w = g["_w"].to_numpy(dtype=np.int64)
-                pid = int(g["_pid"].iloc[0])
-                st = state.get(sc)
-                if st is None:
-                    off, cmax = carry.get((pid, sc), (0, None))
-                    st = [off, np.iinfo(np.int64).min if cmax is None else int(cmax)]
-                    state[sc] = st
-                s_glob = st[0] + np.cumsum(w)
-                run_max = np.maximum.accumulate(np.maximum(a - s_glob, st[1]))
-                st[0] = int(s_glob[-1])
-                st[1] = int(run_max[-1])
-                rel = s_glob + run_max
-                outs.append(pd.DataFrame({
-                    scope_name: g["_scope_val"].to_numpy(),
-                    order_name: g["_o"].to_numpy(),
-                    "arrival_us": a, "release_us": rel, "delay_us": rel - a}))
-            if outs:
-                yield pd.concat(outs, ignore_index=True)
+        import pyarrow as pa
+
+        carry, scope, total, top = carry_bc.value, None, 0, 0
+        for b in batches:
+            a, w = (b.column(c).to_numpy(zero_copy_only=False) for c in ("_a", "_w"))
+            release = np.empty(len(a), np.int64)
+            for sc, at in _scope_runs(b):
+                if sc != scope:
+                    scope = sc
+                    total, top = carry.get((b.column("_pid")[0].as_py(), sc), (0, np.iinfo(np.int64).min))
+                upto = total + np.cumsum(w[at])
+                peak = np.maximum.accumulate(np.maximum(a[at] - upto, top))
+                total, top = int(upto[-1]), int(peak[-1])
+                release[at] = upto + peak
+            yield pa.RecordBatch.from_arrays(
+                [b.column("_scope_val"), b.column("_o"), pa.array(a), pa.array(release), pa.array(release - a)],
+                names=[scope_name, order_name, "arrival_us", "release_us", "delay_us"])
 
     return run
 
@@ -289,17 +289,20 @@ def min_spacing(df: DataFrame, scope: str | None, ts: str = "ts", order: str = "
     3. Carries (window sum before, max so far) are a prefix over that
        summary and reach the tasks as a broadcast.
     4. Pass two finishes the running max with numpy inside each partition.
+
+    A null scope is a scope of its own. Rows without an arrival time have no
+    place in the schedule and are left out.
     """
     from ..session import ensure_checkpoint_dir
 
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)  # the cluster's shared dir; a scratch one only if unset
-    scope_col = F.col(scope).cast("string") if scope else F.lit("")
+    scope_col = F.coalesce(F.concat(F.lit("="), F.col(scope).cast("string")), F.lit("")) if scope else F.lit("")
     scope_val = F.col(scope) if scope else F.lit(None).cast("string")
     base = df.select(
         scope_col.alias("_scope"), scope_val.alias("_scope_val"),
         F.unix_micros(F.col(ts)).alias("_a"), F.col(order).alias("_o"),
-        _window_us(window_s).alias("_w"))
+        _window_us(window_s).alias("_w")).where(F.col("_a").isNotNull())
     n_parts = partitions or max(spark.sparkContext.defaultParallelism,
                                 int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = (base.repartitionByRange(n_parts, "_scope", "_a", "_o")
@@ -307,7 +310,7 @@ def min_spacing(df: DataFrame, scope: str | None, ts: str = "ts", order: str = "
                   .withColumn("_pid", F.spark_partition_id())
                   .checkpoint(eager=True))
 
-    summary = ranged.mapInPandas(
+    summary = ranged.mapInArrow(
         _scan_summary(), "_pid int, _scope string, wsum long, mx long").toPandas()
     carry = {}
     if not summary.empty:
@@ -324,8 +327,8 @@ def min_spacing(df: DataFrame, scope: str | None, ts: str = "ts", order: str = "
     scope_name = scope or "scope"
     scope_type = dict(df.dtypes).get(scope, "string") if scope else "string"
     order_type = dict(df.dtypes)[order]
-    schema = (f"{scope_name} {scope_type}, {order} {order_type}, arrival_us long, "
+    schema = (f"`{scope_name}` {scope_type}, `{order}` {order_type}, arrival_us long, "
               f"release_us long, delay_us long")
     carry_bc = spark.sparkContext.broadcast(carry)
-    out = ranged.mapInPandas(_scan_apply(carry_bc, scope_name, order), schema)
+    out = ranged.mapInArrow(_scan_apply(carry_bc, scope_name, order), schema)
     return out if scope else out.drop(scope_name)

@@ -16,7 +16,7 @@ from ..operators import audit as A
 from ..operators import inbound as I
 from ..operators import outbound as O
 from ..operators import traffic as TR
-from ..session import scratch_path, spread
+from ..session import materialise, scratch_path, spread
 from ..sources import audit_log as AL
 from ..sources import policy as P
 from ..sources import requests as RQ
@@ -37,7 +37,9 @@ KEYS = ["src", "id", "line_no"]
 # ---------------------------------------------------------------------------
 
 def _sanitized(spark, sf, findings=False) -> DataFrame:
-    return O.sanitize(TB.combined_queries(spark, sf), "raw", findings=findings)
+    """Queries cut to the query limit; document lines, which are not queries, in full."""
+    limit = F.when(F.col("src") == "events", F.lit(O.R.MAX_QUERY_LENGTH))
+    return O.sanitize(TB.combined_queries(spark, sf), "raw", findings=findings, max_length=limit)
 
 
 def _f1_passed(spark, sf) -> DataFrame:
@@ -181,12 +183,37 @@ def min_spacing_global(spark, sf):
     return TR.min_spacing(_events(spark, sf), None, "ts", "query_id", SPACING_GLOBAL_WINDOW_S)
 
 
+def _departures(spark, sf) -> DataFrame:
+    """Searched queries with the time at which they are ready for the release gate.
+
+    A dp-enabled query first waits out its decoys' gaps. Written once: the
+    range sampling and the schedule would each run the decision plan again.
+    """
+    dec = _decisions(spark, sf).where(F.col("status") == 200)
+    gaps = F.when(F.col("dp_enabled"), TR.total_decoy_ms("query_id", "decoys_sent", SEED)).otherwise(F.lit(0))
+    return materialise(dec.select(
+        "query_id", "dp_enabled", "batch_window", F.col("jitter_ms").cast("bigint").alias("jitter_ms"),
+        F.timestamp_micros(F.unix_micros("ts") + gaps * 1000).alias("ready")), "departures")
+
+
+def _released(ready: DataFrame) -> DataFrame:
+    return TR.min_spacing(ready.where("dp_enabled").select("query_id", "ready", "batch_window"), None, "ready",
+                          "query_id", "batch_window")
+
+
 def release_schedule(spark, sf):
-    """O12 as the service applies it: searched, dp-enabled queries, one global
-    queue, each spaced by its own policy's batch window."""
-    dec = _decisions(spark, sf).where((F.col("status") == 200) & F.col("dp_enabled"))
-    return TR.min_spacing(dec.select("query_id", "ts", "batch_window"), None, "ts", "query_id",
-                          "batch_window")
+    """O12 as the service applies it: searched, dp-enabled queries, after their
+    decoys, in one global queue, each spaced by its own policy's batch window."""
+    return _released(_departures(spark, sf))
+
+
+def send_schedule(spark, sf):
+    """When each real query leaves: ready, then the release gate (dp-enabled queries), then its jitter."""
+    ready = _departures(spark, sf)
+    out = ready.join(_released(ready).select("query_id", "release_us"), "query_id", "left")
+    at = F.coalesce("release_us", F.unix_micros("ready"))
+    return out.select("query_id", F.unix_micros("ready").alias("ready_us"), at.alias("gate_us"),
+                      (at + F.col("jitter_ms") * 1000).alias("send_us"))
 
 
 def batch_windows(spark, sf):
@@ -374,6 +401,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "min_spacing_schedule": min_spacing_schedule,
     "min_spacing_global": min_spacing_global,
     "release_schedule": release_schedule,
+    "send_schedule": send_schedule,
     "batch_windows": batch_windows,
     "clean_results": clean_results,
     "injection_flags": injection_flags,

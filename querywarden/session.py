@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,16 +61,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin a DataFrame only when it arrives in too few partitions.
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back (evaluates the plan once, cuts lineage)."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    A single-row-group parquet file is one task; on real data the scan is
-    already split across many files, so no shuffle is added at scale.
+
+#: Scans of fewer splits than this are dealt out by ``spread``.
+SMALL_SCAN_SPLITS = 16
+
+
+def spread(df: DataFrame, splits: int = SMALL_SCAN_SPLITS) -> DataFrame:
+    """Deal out a scan that arrives in a handful of splits, such as one small file.
+
+    The rule does not look at the cluster: a table of ``splits`` splits or
+    more (with the default split size, some 2 GB) is never shuffled here.
     """
-    spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
+    if df.rdd.getNumPartitions() < splits:
+        return df.repartition(splits)
     return df
 
 
