@@ -9,8 +9,8 @@ a chain has ``prev_hash == ""``.
 Scale notes. Building a chain is sequential by definition (each hash
 covers the previous one), so work is parallel across chains: rows are
 hash-partitioned by chain, sorted within partitions and folded by a
-streaming ``mapInPandas`` that keeps one running hash per chain (constant
-memory, any chain length). Everything else (records, canonical JSON,
+streaming ``mapInArrow`` that keeps the running hash of the current chain
+(constant memory, any number and length of chains). Everything else (records, canonical JSON,
 verification hashes, link checks) is row-parallel.
 """
 
@@ -105,48 +105,34 @@ _PIECES = ("canon_prefix", "canon_suffix", "line_prefix", "seed_hash", "seed_byt
            "seed_segment", "seed_seq")
 
 
-def _fold(chain_key: str, max_segment_bytes: int | None):
+def _fold(chain_key: str, kept: Sequence[str], max_segment_bytes: int | None):
+    """Fold rows sorted by chain. Only the current chain's state is held; the
+    columns in ``kept`` pass through as Arrow data, so their nulls and large
+    integers stay what they are. A null chain key is a chain like any other.
+    """
     def run(batches):
-        state = {}  # chain -> [prev_hash, seq, segment, segment_bytes]
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            n = len(pdf)
-            seqs, prevs, hashes = [0] * n, [""] * n, [""] * n
-            segs, used, lines = [0] * n, [0] * n, [""] * n
-            keys = pdf[chain_key].tolist()
-            seeds, sbytes, ssegs, sseqs = (pdf["seed_hash"].tolist(), pdf["seed_bytes"].tolist(),
-                                           pdf["seed_segment"].tolist(), pdf["seed_seq"].tolist())
-            cpre, csuf, lpre = (pdf["canon_prefix"].tolist(), pdf["canon_suffix"].tolist(),
-                                pdf["line_prefix"].tolist())
-            for i in range(n):
-                k = keys[i]
-                st = state.get(k)
-                if st is None:
-                    seed = seeds[i] if isinstance(seeds[i], str) else ""
-                    st = [seed, 0 if pd.isna(sseqs[i]) else int(sseqs[i]),
-                          0 if pd.isna(ssegs[i]) else int(ssegs[i]),
-                          0 if pd.isna(sbytes[i]) else int(sbytes[i])]
-                    state[k] = st
-                prev = st[0]
-                h = hashlib.sha256((cpre[i] + prev + csuf[i]).encode("utf-8")).hexdigest()
-                line = lpre[i] + prev + '","entry_hash":"' + h + '"}'
-                if max_segment_bytes is not None and st[3] >= max_segment_bytes:
-                    st[2] += 1
-                    st[3] = 0
-                st[3] += len(line.encode("utf-8")) + 1
-                st[1] += 1
-                seqs[i], prevs[i], hashes[i], lines[i] = st[1], prev, h, line
-                segs[i], used[i] = st[2], st[3]
-                st[0] = h
-            out = pdf.drop(columns=list(_PIECES))
-            out["seq"] = seqs
-            out["prev_hash"] = prevs
-            out["entry_hash"] = hashes
-            out["segment"] = segs
-            out["segment_bytes"] = used
-            out["line"] = lines
-            yield out
+        import pyarrow as pa
+
+        key, begun = None, False
+        for b in batches:
+            out = {c: [] for c in ("seq", "prev_hash", "entry_hash", "segment", "segment_bytes", "line")}
+            rows = zip(b.column(chain_key).to_pylist(), *(b.column(c).to_pylist() for c in _PIECES))
+            for k, cpre, csuf, lpre, seed, seed_bytes, seed_segment, seed_seq in rows:
+                if not begun or not (k == key or (k != k and key != key)):  # the latter: NaN
+                    key, begun = k, True
+                    prev, seq, segment, used = seed or "", seed_seq or 0, seed_segment or 0, seed_bytes or 0
+                h = hashlib.sha256((cpre + prev + csuf).encode("utf-8")).hexdigest()
+                line = lpre + prev + '","entry_hash":"' + h + '"}'
+                if max_segment_bytes is not None and used >= max_segment_bytes:
+                    segment, used = segment + 1, 0
+                used += len(line.encode("utf-8")) + 1
+                seq += 1
+                for c, v in zip(out.values(), (seq, prev, h, segment, used, line)):
+                    c.append(v)
+                prev = h
+            made = [pa.array(v, pa.string() if c in ("prev_hash", "entry_hash", "line") else pa.int64())
+                    for c, v in out.items()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *made], names=[*kept, *out])
     return run
 
 
@@ -167,8 +153,8 @@ def build_chain(df: DataFrame, chain_key: str, order: Sequence[str],
         for c in ("seed_bytes", "seed_segment", "seed_seq"):
             if c not in heads.columns:
                 heads = heads.withColumn(c, F.lit(0).cast("bigint"))
-        df = df.join(heads.select(chain_key, "seed_hash", "seed_bytes", "seed_segment",
-                                  "seed_seq"), on=chain_key, how="left")
+        heads = heads.select(F.col(chain_key).alias("_head_key"), "seed_hash", "seed_bytes", "seed_segment", "seed_seq")
+        df = df.join(heads, F.col(chain_key).eqNullSafe(F.col("_head_key")), "left").drop("_head_key")
     else:
         df = df.withColumns({"seed_hash": F.lit(None).cast("string"),
                              "seed_bytes": F.lit(None).cast("bigint"),
@@ -179,10 +165,10 @@ def build_chain(df: DataFrame, chain_key: str, order: Sequence[str],
     # columns ride along because a Python function's input cannot be pruned
     ordered = df.repartition(n, chain_key).sortWithinPartitions(chain_key, *order)
     fields = [f for f in ordered.schema.fields if f.name not in _PIECES]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    schema += (", seq bigint, prev_hash string, entry_hash string, segment bigint, "
-               "segment_bytes bigint, line string")
-    return ordered.mapInPandas(_fold(chain_key, max_segment_bytes), schema)
+    schema = ST.StructType(fields + [ST.StructField(c, ST.LongType() if c in ("seq", "segment", "segment_bytes")
+                                                    else ST.StringType())
+                                     for c in ("seq", "prev_hash", "entry_hash", "segment", "segment_bytes", "line")])
+    return ordered.mapInArrow(_fold(chain_key, [f.name for f in fields], max_segment_bytes), schema)
 
 
 def chain_heads(entries: DataFrame, chain_key: str, seq: str = "seq") -> DataFrame:
@@ -198,17 +184,21 @@ def chain_heads(entries: DataFrame, chain_key: str, seq: str = "seq") -> DataFra
 # A2 generic / A7-A10: verification of JSONL lines
 # ---------------------------------------------------------------------------
 
-def canonical_hash(prev_hash, event, data, timestamp) -> str:
-    canon = json.dumps({"prev_hash": prev_hash, "event": event, "data": data,
-                        "timestamp": timestamp}, sort_keys=True, separators=(",", ":"))
-    return hashlib.sha256(canon.encode("utf-8")).hexdigest()
-
-
 def canonical_text(value) -> str:
     """A2 for any JSON value: sorted keys, compact separators, ASCII-escaped."""
     return json.dumps(value, sort_keys=True, separators=(",", ":"))
 
 
+#: The hashed fields of an entry, and what a line that lacks one counts as having.
+HASHED = {"prev_hash": "", "event": "", "data": {}, "timestamp": ""}
+
+
+def stored_and_expected(entry: dict) -> tuple:
+    """(stored previous hash, stored hash, recomputed hash) of a parsed line (A3)."""
+    hashed = HASHED | {k: v for k, v in entry.items() if k in HASHED}
+    return hashed["prev_hash"], entry.get("entry_hash", ""), hashlib.sha256(canonical_text(hashed).encode()).hexdigest()
+
+
 @F.pandas_udf(ST.StringType())
 def canonical_json(texts: pd.Series) -> pd.Series:
     """A2 as a column function: re-serialise JSON text canonically (null if invalid)."""
@@ -250,9 +240,7 @@ def _parse_entries(lines: pd.Series) -> pd.DataFrame:
             for k in cols:
                 cols[k].append(False if k == "ok" else None)
             continue
-        p = e.get("prev_hash", "")
-        h = e.get("entry_hash", "")
-        exp = canonical_hash(p, e.get("event", ""), e.get("data", {}), e.get("timestamp", ""))
+        p, h, exp = stored_and_expected(e)
         cols["ok"].append(True)
         cols["prev_repr"].append(json.dumps(p))
         cols["entry_repr"].append(json.dumps(h))
@@ -386,48 +374,52 @@ def verify_chained(lines: DataFrame, chain_key: str, segment: str = "segment",
                    line_no: str = "line_no", line: str = "line", seed: str = "") -> DataFrame:
     """A10 fix: a chain's ordered segment files verified as one chain.
 
-    Each segment is checked on its own (windows stay bounded by rotation),
-    seeded with the previous segment's last stored entry hash, taken from a
-    one-row-per-segment summary. The chain's first break is then a
-    ``min_by`` over segments (partial aggregation), so a chain holding a
-    large share of all lines is still spread over many tasks. Same output
+    Each segment is checked on its own (windows stay bounded by rotation) and
+    summed up in one row: its first line's link, its last stored hash, its
+    first break. A window over these rows links each segment to the one
+    before it and counts the entries before it; the chain's first break is
+    a ``min_by`` over them. The lines are read once, and a chain holding a
+    large share of all lines is spread over many tasks. Same output
     as ``verify`` keyed by ``chain_key``; ``broken_at`` is the line number
     inside ``broken_segment``.
     """
     keys = [chain_key, segment]
-    nb = _parsed(lines, line)
-    last = nb.groupBy(*keys).agg(
-        F.max_by(F.struct(F.col("_p.entry_repr").alias("r"), F.col("_p.entry16").alias("h")),
-                 F.col(line_no)).alias("_last"))
+    # pass 1, one window per segment: every line but a segment's first is checked against the line before it
+    marked = _mark(_parsed(lines, line), keys, [line_no], line_no, F.lit(None).cast("string"), F.lit(None).cast("string"))
+    rn1 = F.col("_rn") == 1
+    pick = lambda c: F.max(F.when(rn1, F.col(c)))
+    bad = F.when(F.col("_cause").isNotNull(), F.col("_rn"))
+    seg = marked.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.min_by(F.struct(F.col(line_no).alias("ln"), F.col("_rn").alias("rn"), F.col("_cause").alias("c"),
+                          F.col("_detail").alias("d")), bad).alias("_b"),
+        F.max_by(F.struct(F.col("_p.entry_repr").alias("r"), F.col("_p.entry16").alias("h")), F.col("_rn")).alias("_last"),
+        pick("_p.prev_repr").alias("_first"), pick("_p.prev16").alias("_first16"), pick(line_no).alias("_ln1"),
+        F.max(F.when(rn1, F.col("_p.ok"))).alias("_ok1"))
+    # pass 2, one row per segment: link its first line to the last stored hash before it
     ws = Window.partitionBy(chain_key).orderBy(segment)
-    seeds = last.select(
-        *keys,
-        F.coalesce(F.lag(F.col("_last.r")).over(ws), F.lit(json.dumps(seed))).alias("_seed"),
-        F.coalesce(F.lag(F.col("_last.h")).over(ws), F.lit(seed[:16])).alias("_seed16"))
-    marked = _mark(nb.join(seeds, on=keys, how="inner"), keys, [line_no], line_no,
-                   F.col("_seed"), F.col("_seed16"))
-    per_seg = _first_break(marked, keys, line_no)
-    # first broken segment, and the entries of all segments before it
-    seg_rows = per_seg.select(
-        chain_key, segment, "_n", "_b",
-        F.when(F.col("_b").isNotNull(), F.col(segment)).alias("_bad_seg"))
-    first = seg_rows.groupBy(chain_key).agg(
-        F.min("_bad_seg").alias("_fs"), F.sum("_n").alias("_total"),
-        F.min_by(F.struct(F.col(segment).alias("s"), F.col("_b").alias("b")),
-                 F.col("_bad_seg")).alias("_fb"))
-    before = seg_rows.join(first.select(chain_key, "_fs"), on=chain_key).where(
-        F.col("_fs").isNotNull() & (F.col(segment) < F.col("_fs"))
-    ).groupBy(chain_key).agg(F.sum("_n").alias("_before"))
-    out = first.join(before, on=chain_key, how="left")
-    broken = F.col("_fs").isNotNull()
-    return out.select(
+    link = F.coalesce(F.lag("_last.r").over(ws), F.lit(json.dumps(seed)))
+    link16 = F.coalesce(F.lag("_last.h").over(ws), F.lit(seed[:16]))
+    earlier = F.coalesce(F.sum("_n").over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    seg = seg.withColumns({"_link": link, "_link16": link16, "_before": earlier})
+    broken_link = F.col("_ok1") & (F.col("_first") != F.col("_link"))
+    at = F.when(broken_link, F.struct(
+        F.col("_ln1").alias("ln"), F.lit(1).alias("rn"), F.lit("chain_break").alias("c"),
+        F.format_string("line %d: chain break -- expected prev_hash=%s..., got %s...", F.col("_ln1"), F.col("_link16"),
+                        F.col("_first16")).alias("d"))).otherwise(F.col("_b"))
+    seg = seg.select(chain_key, segment, "_n", "_before", at.alias("_b"))
+    first = seg.groupBy(chain_key).agg(
+        F.sum("_n").alias("_total"),
+        F.min_by(F.struct(F.col(segment).alias("s"), "_before", F.col("_b").alias("b")),
+                 F.when(F.col("_b").isNotNull(), F.col(segment))).alias("_f"))
+    broken = F.col("_f").isNotNull()
+    return first.select(
         chain_key,
         (~broken).alias("valid"),
-        F.when(broken, F.coalesce(F.col("_before"), F.lit(0)) + F.col("_fb.b.rn") - 1)
-        .otherwise(F.col("_total")).cast("bigint").alias("entries"),
-        F.when(broken, F.col("_fb.b.ln")).cast("bigint").alias("broken_at"),
-        F.when(broken, F.col("_fb.s")).cast("bigint").alias("broken_segment"),
-        F.when(broken, F.col("_fb.b.c")).alias("cause"),
-        F.when(broken, F.col("_fb.b.d")).otherwise(
+        F.when(broken, F.col("_f._before") + F.col("_f.b.rn") - 1).otherwise(F.col("_total")).cast("bigint").alias("entries"),
+        F.when(broken, F.col("_f.b.ln")).cast("bigint").alias("broken_at"),
+        F.when(broken, F.col("_f.s")).cast("bigint").alias("broken_segment"),
+        F.when(broken, F.col("_f.b.c")).alias("cause"),
+        F.when(broken, F.col("_f.b.d")).otherwise(
             F.format_string("chain intact: %d entries verified", F.col("_total"))).alias("detail"),
     )

@@ -280,15 +280,13 @@ def audit_chain_resumed(spark, sf):
     Every record is chained exactly once; the result must equal one pass.
     """
     rec = _audited(spark, sf).select("user_id", "query_id", "ts", "event", *A.RECORD_FIELDS)
-    parts = A.entry_parts(rec)
-    mid = rec.agg(((F.min(F.unix_micros("ts")) + F.max(F.unix_micros("ts"))) / 2)
-                  .cast("bigint").alias("m")).first()["m"]
-    early = F.unix_micros("ts") <= F.lit(mid)
-    first = A.build_chain(parts.where(early), "user_id", ["ts", "query_id"])
-    rest = A.build_chain(parts.where(~early), "user_id", ["ts", "query_id"],
-                         heads=A.chain_heads(first, "user_id"))
-    cols = ["user_id", "seq", "query_id", "timestamp", "prev_hash", "entry_hash", "line"]
-    return first.select(*cols).unionByName(rest.select(*cols))
+    parts = materialise(A.entry_parts(rec), "entry-parts")  # read three times below
+    span = TB.events(spark, sf).agg(((F.min(F.unix_micros("ts")) + F.max(F.unix_micros("ts"))) / 2).cast("bigint").alias("m"))
+    early = F.unix_micros("ts") <= F.lit(span.first()["m"])
+    cols = ["user_id", "seq", "query_id", "timestamp", "prev_hash", "entry_hash", "segment", "segment_bytes", "line"]
+    first = materialise(A.build_chain(parts.where(early), "user_id", ["ts", "query_id"]).select(*cols), "first-half")
+    rest = A.build_chain(parts.where(~early), "user_id", ["ts", "query_id"], heads=A.chain_heads(first, "user_id"))
+    return first.unionByName(rest.select(*cols)).drop("segment", "segment_bytes")
 
 
 def audit_segments(spark, sf):
@@ -343,6 +341,17 @@ def audit_verify_chained_segments(spark, sf):
         "broken_segment")
 
 
+def audit_verify_chained_tampered(spark, sf):
+    """A10 with damage: the first break of each rotated chain, and the file that holds it."""
+    return A.verify_chained(tamper(_lines(spark, sf, SEGMENT_BYTES)), "user_id", "segment", "line_no")
+
+
+def canonical_events(spark, sf):
+    """A2 in its generic form: whole events as JSON objects of mixed keys and nesting."""
+    ev = TB.table(spark, sf, "events").select("event_id", F.expr(TB.EVENT_JSON_SQL).alias("body"))
+    return ev.select("event_id", A.canonical_json("body").alias("canonical"))
+
+
 def search_responses(spark, sf):
     """Response fields per query (results of set ``query_id``; nested array left out)."""
     resp = S.responses(_decisions(spark, sf), I.set_summary(_top_results(spark, sf)))
@@ -416,6 +425,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "audit_verify_tampered": audit_verify_tampered,
     "audit_verify_segments": audit_verify_segments,
     "audit_verify_chained_segments": audit_verify_chained_segments,
+    "audit_verify_chained_tampered": audit_verify_chained_tampered,
+    "canonical_events": canonical_events,
     "search_responses": search_responses,
     "audit_log_roundtrip": audit_log_roundtrip,
     "clean_results_json": clean_results_json,

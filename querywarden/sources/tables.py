@@ -131,6 +131,10 @@ def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: An event as JSON text with keys out of order, blanks, nesting and an escape (the name is "é").
+EVENT_JSON_SQL = """'{ "type": "'||event_type||'", "props": '||props||', "list": [1, {"z": null, "a": true}],'
+||' "name": "\\u00e9", "id": '||cast(event_id as string)||' }'"""
+
 # ---------------------------------------------------------------------------
 # Policy assignment: each user belongs to one policy profile
 # ---------------------------------------------------------------------------
