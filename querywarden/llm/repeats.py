@@ -138,44 +138,72 @@ def chains(seg: np.ndarray) -> list[list[int]]:
     return out
 
 
+def extend(a: np.ndarray, b: np.ndarray, room_a: int, room_b: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Follow two word sequences from their starts as long as they agree; equal positions in both.
+
+    Where they differ, the alignment goes on at the nearest place, up to
+    MAX_GAP words further on either side, from which EDGE words are equal.
+    """
+    left, right, i, j = [], [], 0, 0
+    room_a, room_b = min(room_a, len(a)), min(room_b, len(b))
+    while i < room_a and j < room_b:
+        m = min(room_a - i, room_b - j)
+        same = a[i:i + m] == b[j:j + m]
+        n = m if same.all() else int(np.argmin(same))
+        if n:
+            left.append(np.arange(i, i + n))
+            right.append(np.arange(j, j + n))
+            i, j = i + n, j + n
+            continue
+        for skip in range(1, 2 * MAX_GAP + 1):
+            # equal skips first: a changed word is likelier than words put in
+            found = next(((x, skip - x) for x in sorted(range(max(0, skip - MAX_GAP), min(skip, MAX_GAP) + 1),
+                                                        key=lambda x: abs(2 * x - skip))
+                          if i + x + EDGE <= room_a and j + skip - x + EDGE <= room_b
+                          and (a[i + x:i + x + EDGE] == b[j + skip - x:j + skip - x + EDGE]).all()), None)
+            if found:
+                i, j = i + found[0], j + found[1]
+                break
+        else:
+            break
+    return left, right
+
+
 def align(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Align two word sequences along a chain; returns the equal positions in both.
+    """Align two word sequences along a chain; returns the equal positions in both, ascending.
 
-    Within a segment and up to REACH words beyond the chain's ends words are
-    compared along the diagonal; between segments the left diagonal is
-    followed as long as words are equal, then the right one backwards.
+    Within a segment words are compared along its diagonal. Beyond the
+    chain's ends, up to REACH words, and in the gap between two segments
+    (forwards from the left one, then backwards from the right one) the
+    alignment is extended as long as the texts agree.
     """
     left, right = [], []
 
-    def take(s, o, n):
-        if n > 0:
-            eq = np.flatnonzero(a[s:s + n] == b[o:o + n])
-            left.append(s + eq)
-            right.append(o + eq)
+    def forwards(s, o, room_a, room_b):
+        x, y = extend(a[s:s + room_a], b[o:o + room_b], room_a, room_b)
+        left.extend(s + v for v in x)
+        right.extend(o + v for v in y)
+        return (int(left[-1][-1]) + 1, int(right[-1][-1]) + 1) if x else (s, o)
+
+    def backwards(s, o, room_a, room_b):
+        room_a, room_b = min(room_a, s), min(room_b, o)
+        x, y = extend(a[s - room_a:s][::-1], b[o - room_b:o][::-1], room_a, room_b)
+        left.extend(s - 1 - v for v in x)
+        right.extend(o - 1 - v for v in y)
 
-    s, o, _ = chain[0]
-    back = min(s, o, REACH)
-    take(s - back, o - back, back)
+    backwards(chain[0][0], chain[0][1], REACH, REACH)
     for i, (s, o, n) in enumerate(chain):
         n = min(n, len(a) - s, len(b) - o)
-        take(s, o, n)
+        eq = np.flatnonzero(a[s:s + n] == b[o:o + n])
+        left.append(s + eq)
+        right.append(o + eq)
         if i + 1 < len(chain):
             s2, o2, _ = chain[i + 1]
-            room = min(s2 - s - n, o2 - o - n)
-            if room > 0:
-                same = a[s + n:s + n + room] == b[o + n:o + n + room]
-                ahead = room if same.all() else int(np.argmin(same))
-                take(s + n, o + n, ahead)
-                room -= ahead
-                if room > 0:
-                    same = (a[s2 - room:s2] == b[o2 - room:o2])[::-1]
-                    behind = room if same.all() else int(np.argmin(same))
-                    take(s2 - behind, o2 - behind, behind)
-    s, o, n = chain[-1]
-    on = max(0, min(len(a) - s - n, len(b) - o - n, REACH))
-    take(s + n, o + n, on)
-    if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            if s2 > s + n and o2 > o + n:
+                s1, o1 = forwards(s + n, o + n, s2 - s - n, o2 - o - n)
+                backwards(s2, o2, s2 - s1, o2 - o1)
+        else:
+            forwards(s + n, o + n, REACH, REACH)
     left, right = np.concatenate(left), np.concatenate(right)
     order = np.argsort(left, kind="stable")
     return left[order], right[order]
