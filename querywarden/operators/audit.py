@@ -423,3 +423,10 @@ def verify_chained(lines: DataFrame, chain_key: str, segment: str = "segment",
         F.when(broken, F.col("_f.b.d")).otherwise(
             F.format_string("chain intact: %d entries verified", F.col("_total"))).alias("detail"),
     )
+
+
+def verify_long(lines: DataFrame, file_key: str, line_no: str = "line_no", line: str = "line", seed: str = "",
+                block_lines: int = 100_000) -> DataFrame:
+    """A7-A9 for files of any length: ``verify`` with windows of ``block_lines`` lines at most."""
+    blocks = lines.withColumn("_block", F.floor((F.col(line_no) - 1) / block_lines))
+    return verify_chained(blocks, file_key, "_block", line_no, line, seed).drop("broken_segment")

@@ -274,21 +274,43 @@ def audit_chain(spark, sf):
                                     "entry_hash", "line")
 
 
+def _halves(spark, sf):
+    """Entry parts, written once, and the test for the first half of the time range."""
+    rec = _audited(spark, sf).select("user_id", "query_id", "ts", "event", *A.RECORD_FIELDS)
+    span = TB.events(spark, sf).agg(((F.min(F.unix_micros("ts")) + F.max(F.unix_micros("ts"))) / 2).cast("bigint").alias("m"))
+    return materialise(A.entry_parts(rec), "entry-parts"), F.unix_micros("ts") <= F.lit(span.first()["m"])
+
+
 def audit_chain_resumed(spark, sf):
     """A5: chain the first half of the time range, then resume from the heads.
 
     Every record is chained exactly once; the result must equal one pass.
     """
-    rec = _audited(spark, sf).select("user_id", "query_id", "ts", "event", *A.RECORD_FIELDS)
-    parts = materialise(A.entry_parts(rec), "entry-parts")  # read three times below
-    span = TB.events(spark, sf).agg(((F.min(F.unix_micros("ts")) + F.max(F.unix_micros("ts"))) / 2).cast("bigint").alias("m"))
-    early = F.unix_micros("ts") <= F.lit(span.first()["m"])
+    parts, early = _halves(spark, sf)
     cols = ["user_id", "seq", "query_id", "timestamp", "prev_hash", "entry_hash", "segment", "segment_bytes", "line"]
     first = materialise(A.build_chain(parts.where(early), "user_id", ["ts", "query_id"]).select(*cols), "first-half")
     rest = A.build_chain(parts.where(~early), "user_id", ["ts", "query_id"], heads=A.chain_heads(first, "user_id"))
     return first.unionByName(rest.select(*cols)).drop("segment", "segment_bytes")
 
 
+def audit_resume_from_log(spark, sf):
+    """A5 from log files: write the first half of the time range as rotated log files, read the
+    heads back from them and chain the rest on; all entries together equal one pass."""
+    import uuid
+
+    parts, early = _halves(spark, sf)
+    cols = ["user_id", "seq", "query_id", "timestamp", "prev_hash", "entry_hash", "segment", "line"]
+    first = materialise(A.build_chain(parts.where(early), "user_id", ["ts", "query_id"],
+                                      max_segment_bytes=SEGMENT_BYTES).select(*cols), "first-half")
+    path = scratch_path(spark, f"audit-log-{uuid.uuid4().hex}")
+    AL.write_audit_log(first, path, "user_id")
+    logs = AL.read_audit_log(spark, path).withColumns({
+        "user_id": F.col("user_id").cast("bigint"), "segment": F.col("segment").cast("bigint")})
+    rest = A.build_chain(parts.where(~early), "user_id", ["ts", "query_id"], heads=AL.log_heads(logs, "user_id"),
+                         max_segment_bytes=SEGMENT_BYTES).select(*cols)
+    return first.unionByName(rest)
+
+
 def audit_segments(spark, sf):
     c = _chain(spark, sf, SEGMENT_BYTES)
     return c.select("user_id", "seq", "segment",
@@ -308,7 +330,7 @@ def _lines(spark, sf, max_segment_bytes=None):
 
 
 def audit_verify(spark, sf):
-    return A.verify(_lines(spark, sf), "user_id", "line_no")
+    return A.verify_long(_lines(spark, sf), "user_id", "line_no")
 
 
 def tamper(lines: DataFrame) -> DataFrame:
@@ -327,7 +349,7 @@ def tamper(lines: DataFrame) -> DataFrame:
 
 
 def audit_verify_tampered(spark, sf):
-    return A.verify(tamper(_lines(spark, sf)), "user_id", "line_no")
+    return A.verify_long(tamper(_lines(spark, sf)), "user_id", "line_no")
 
 
 def audit_verify_segments(spark, sf):
@@ -353,13 +375,16 @@ def canonical_events(spark, sf):
 
 
 def search_responses(spark, sf):
-    """Response fields per query (results of set ``query_id``; nested array left out)."""
+    """Response fields per query (results of set ``query_id``, their fields and rows
+    joined by control characters)."""
     resp = S.responses(_decisions(spark, sf), I.set_summary(_top_results(spark, sf)))
     return resp.select("query_id", "status", "error", "context", "query_used", "redactions",
                        "decoys_sent", "uniqueness_warning",
                        F.size("unique_matches").cast("bigint").alias("n_unique_matches"),
                        F.when(F.col("status") == 200, F.size("results")).cast("bigint")
-                       .alias("n_results"))
+                       .alias("n_results"),
+                       F.when(F.col("status") == 200, F.array_join(F.transform("results", lambda r: F.concat_ws(
+                           "\x1f", r["title"], r["snippet"], r["url"], r["source"])), "\x1e")).alias("results"))
 
 
 def audit_log_roundtrip(spark, sf):
@@ -420,6 +445,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "audit_records": audit_records,
     "audit_chain": audit_chain,
     "audit_chain_resumed": audit_chain_resumed,
+    "audit_resume_from_log": audit_resume_from_log,
     "audit_segments": audit_segments,
     "audit_verify": audit_verify,
     "audit_verify_tampered": audit_verify_tampered,

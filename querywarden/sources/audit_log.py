@@ -9,6 +9,8 @@ rows within a split by ``monotonically_increasing_id``.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,32 +33,75 @@ def read_audit_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.col("_metadata.file_block_start").alias("_blk"),
         F.monotonically_increasing_id().alias("_mid"),
     ).withColumnRenamed("value", "line")
-    w = Window.partitionBy("file").orderBy("_blk", "_mid")
-    return raw.withColumn("line_no", F.row_number().over(w).cast("bigint")).drop("_blk", "_mid")
+    # number the lines inside each split, then add the lines of the splits before it
+    inside = F.row_number().over(Window.partitionBy("file", "_blk").orderBy("_mid"))
+    splits = raw.groupBy("file", "_blk").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("file", "_blk", F.coalesce(before, F.lit(0)).alias("_before"))
+    out = raw.withColumn("line_no", inside).join(splits, ["file", "_blk"])
+    return out.select(*[c for c in raw.columns if c not in ("_blk", "_mid")],
+                      (F.col("line_no") + F.col("_before")).cast("bigint").alias("line_no"))
+
+
+def _qualified(spark: SparkSession, paths: list[str]) -> dict[str, str | None]:
+    """For each path the form in which Spark reports it (one slash after ``file:``), or None if there is no such file."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = {}
+    for p in paths:
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        fs = hp.getFileSystem(conf)
+        out[p] = re.sub("^file:/+", "file:/", fs.makeQualified(hp).toUri().toString()) if fs.exists(hp) else None
+    return out
 
 
 def verify_log_files(spark: SparkSession, paths: list[str], seed: str = "") -> DataFrame:
-    """A9 over named log files: one report row per path, in any order.
+    """A9 over named log files: one report row per path, as given, in any order.
 
     A path that does not exist is reported as valid with 0 entries ("log file
-    does not exist"), as the service does; existing files are read with
-    physical line numbers and verified in one job.
+    does not exist"), a file without a non-blank line as an intact chain of 0
+    entries; the others are read with physical line numbers and verified in
+    one job. A file that cannot be read fails the job.
     """
     from ..operators import audit as A
 
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-
-    def exists(p: str) -> bool:
-        hp = jvm.org.apache.hadoop.fs.Path(p)
-        return bool(hp.getFileSystem(conf).exists(hp))
-
-    present = [p for p in paths if exists(p)]
-    missing = [p for p in paths if p not in present]
+    at = _qualified(spark, paths)
+    asked = spark.createDataFrame([(p, q) for p, q in at.items()], "path string, _file string")
+    present = [p for p, q in at.items() if q is not None]
     schema = "file string, valid boolean, entries bigint, broken_at bigint, cause string, detail string"
-    out = spark.createDataFrame([(p, True, 0, None, None, "log file does not exist") for p in missing],
-                                schema)
+    report = spark.createDataFrame([], schema)
     if present:
         logs = read_audit_log(spark, present).select("file", "line_no", "line")
-        out = A.verify(logs, "file", "line_no", seed=seed).unionByName(out)
-    return out
+        report = A.verify_long(logs, "file", "line_no", seed=seed)
+    report = report.withColumn("file", F.regexp_replace("file", "^file:/+", "file:/"))
+    none = F.when(F.col("_file").isNull(), F.lit("log file does not exist")).otherwise(
+        F.lit("chain intact: 0 entries verified"))
+    return asked.join(report, asked["_file"] == report["file"], "left").select(
+        F.col("path").alias("file"), F.coalesce("valid", F.lit(True)).alias("valid"),
+        F.coalesce("entries", F.lit(0)).cast("bigint").alias("entries"), "broken_at", "cause",
+        F.coalesce("detail", none).alias("detail"))
+
+
+def log_heads(lines: DataFrame, chain_key: str, segment: str = "segment", line_no: str = "line_no") -> DataFrame:
+    """A5 from log lines: what ``build_chain`` needs to go on with each chain.
+
+    ``seed_hash`` is the ``entry_hash`` of the last non-blank line of the last
+    segment; "" where that line is no JSON object or has none. ``seed_seq``
+    counts the chain's non-blank lines, ``seed_bytes`` the bytes of its last
+    segment with line ends. Partial aggregation: a long chain is not gathered.
+    """
+    from .requests import one_json_value
+    from ..functions import text as T
+
+    entry = ~T.py_is_blank("line")
+    per = lines.groupBy(chain_key, segment).agg(
+        F.sum(F.octet_length("line") + 1).alias("_bytes"),
+        F.count(F.when(entry, F.lit(1))).alias("_n"),
+        F.max_by("line", F.when(entry, F.col(line_no))).alias("_last"))
+    # a blank last segment holds no entry: the last one with an entry seeds, the last one is open
+    last = F.when(F.col("_n") > 0, F.col(segment))
+    heads = per.groupBy(chain_key).agg(
+        F.max_by("_last", last).alias("_last"), F.max_by("_bytes", segment).cast("bigint").alias("seed_bytes"),
+        F.max(segment).cast("bigint").alias("seed_segment"), F.sum("_n").cast("bigint").alias("seed_seq"))
+    good = F.json_object_keys("_last").isNotNull() & one_json_value(F.col("_last"))
+    return heads.withColumn("seed_hash", F.when(good, F.coalesce(
+        F.get_json_object("_last", "$.entry_hash"), F.lit(""))).otherwise(F.lit(""))).drop("_last")

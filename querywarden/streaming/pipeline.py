@@ -109,7 +109,8 @@ def audit_batch_writer(base: str, chain_key: str = "user_id", order=("ts", "quer
         lines = lines.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
         lines.write.mode("overwrite").parquet(_version(base, "lines", batch_id))
         new_heads = A.chain_heads(spark.read.parquet(_version(base, "lines", batch_id)), chain_key)
-        merged = heads.join(new_heads, on=chain_key, how="left_anti").unionByName(new_heads)
+        gone = new_heads.select(F.col(chain_key).alias("_new"))
+        merged = heads.join(gone, F.col(chain_key).eqNullSafe(F.col("_new")), "left_anti").unionByName(new_heads)
         merged.write.mode("overwrite").parquet(_version(base, "heads", batch_id))
 
     return write

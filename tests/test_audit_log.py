@@ -85,9 +85,25 @@ def test_verify_log_files_with_missing(spark):
     for name, body in (("a.jsonl", text), ("b.jsonl", text.replace('"web_search"', '"x"', 1))):
         with open(f"{base}/{name}", "w") as fh:
             fh.write(body)
-    rep = AL.verify_log_files(spark, [f"{base}/a.jsonl", f"{base}/b.jsonl", f"{base}/none.jsonl"])
+    for name, body in (("empty.jsonl", ""), ("blank names.jsonl", "\n  \n\n")):
+        with open(f"{base}/{name}", "w") as fh:
+            fh.write(body)
+    names = ["a.jsonl", "b.jsonl", "none.jsonl", "empty.jsonl", "blank names.jsonl"]
+    rep = AL.verify_log_files(spark, [f"{base}/{n}" for n in names])
+    assert sorted(r.file for r in rep.collect()) == sorted(f"{base}/{n}" for n in names)
+    for r in rep.where("file like '%empty.jsonl' or file like '%blank%'").collect():
+        assert (r.valid, r.entries, r.broken_at, r.detail) == (True, 0, None, "chain intact: 0 entries verified")
     got = {os.path.basename(r.file): r for r in rep.collect()}
     assert got["a.jsonl"].valid and got["a.jsonl"].entries == 5
     assert not got["b.jsonl"].valid and got["b.jsonl"].broken_at == 1
     assert got["none.jsonl"].valid and got["none.jsonl"].entries == 0
     assert got["none.jsonl"].detail == "log file does not exist"
+
+
+def test_log_heads(spark):
+    rows = [("a", 0, 1, '{"entry_hash": "h1"}'), ("a", 0, 2, '{"entry_hash": "h2"}'), ("a", 0, 3, "  "),
+            ("b", 0, 1, '{"entry_hash": "h1"}'), ("b", 1, 1, '{"entry_hash": "h3"} tail'),
+            ("c", 0, 1, ""), ("d", 0, 1, '{"other": 1}'), ("e", 0, 1, '{"entry_hash": "h5"}'), ("e", 1, 1, "")]
+    df = spark.createDataFrame(rows, "chain string, segment long, line_no long, line string")
+    got = {r.chain: (r.seed_hash, r.seed_seq, r.seed_segment) for r in AL.log_heads(df, "chain").collect()}
+    assert got == {"a": ("h2", 2, 0), "b": ("", 2, 1), "c": ("", 0, 0), "d": ("", 1, 0), "e": ("h5", 1, 1)}

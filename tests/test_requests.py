@@ -16,6 +16,12 @@ def test_request_bodies(spark):
         (8, '{"query": "' + "x" * (R.MAX_BODY_BYTES) + '"}'),
         (9, ""),
         (10, None),
+        (11, '{"query": "a"} x'),
+        (12, '{"query": "a"}{"query": "b"}'),
+        (13, '{"query": "a"},0]'),
+        (14, '{"query": "a"},{"query": "b"}'),
+        (15, '{"query": "a"}]'),
+        (16, ' {"query": "x]y", "l": [1, [2]]} '),
     ]
     df = spark.createDataFrame(bodies, "id long, body string")
     got = {r.id: (r.status, r.raw, r.categories) for r in RQ.parse_requests(df).collect()}
@@ -25,3 +31,5 @@ def test_request_bodies(spark):
     assert got[7] == (200, "", "general")
     assert got[8][0] == 413
     assert got[9][0] == 400 and got[10][0] == 400
+    assert all(got[i][0] == 400 for i in range(11, 16))
+    assert got[16] == (200, "x]y", "general")
