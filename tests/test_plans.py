@@ -7,6 +7,7 @@ import pytest
 import __spark_entry__ as E
 from conftest import SF_SMALL
 from querywarden.functions import rules as R
+from querywarden.plans import catalog
 
 
 def _plans(spark, name):
@@ -39,7 +40,7 @@ def test_policy_join_is_broadcast(spark):
 
 
 def test_no_cartesian_products(spark):
-    for name in E.queries():
+    for name in catalog.QUERIES:
         _, physical = _plans(spark, name)
         assert "CartesianProduct" not in physical and "BroadcastNestedLoopJoin" not in physical, name
 
