@@ -35,6 +35,9 @@ HEADLINE = [
     "context_strings",        # context assembly
     "audit_chain",            # hash chain per user
     "audit_verify_tampered",  # verification with breaks
+    "send_schedule",          # decoy gaps, release gate, jitter
+    "audit_chain_resumed",    # chain in two parts
+    "audit_verify_chained_segments",  # rotated files as one chain
 ]
 
 
