@@ -7,7 +7,8 @@
    doc_id that has it), so a passage in n documents makes n - 1 matches.
 3. Chains: per pair of documents the matches, merged along diagonals, are
    chained in order; a gap costs a share of its length, and a Fenwick tree
-   of prefix maxima finds the best predecessor.
+   of prefix maxima finds the best predecessor. Chains of less than
+   ``min_words - 2 (WINDOW - 1)`` words go on only near a longer one.
 4. Alignment: along each chain the words of both texts are compared, also
    beyond its ends and across its gaps. A passage is a run of aligned words
    with gaps of ``MAX_GAP`` words at most, ``min_words`` long or longer, of
@@ -27,8 +28,9 @@ from pyspark.sql import functions as F
 from .common import materialise, sorted_groups
 
 K, WINDOW = 8, 16
-#: Words compared beyond a chain's ends; unequal words that a passage may bridge.
-REACH, MAX_GAP = 96, 4
+#: Words compared beyond a chain's ends, and bytes of the other text read for that; unequal words
+#: that a passage may bridge.
+REACH, REACH_BYTES, MAX_GAP = 96, 1500, 4
 #: Cost of a gap for each word skipped on either side; longest gap merged along one diagonal.
 GAP_COST, SAME_DIAGONAL = 0.1, 64
 #: A passage's first and last equal run has this many words at least.
@@ -42,6 +44,18 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8").lower().split()
 
 
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+
+
+def starts_of(data: bytes) -> np.ndarray:
+    """Byte offsets at which words begin."""
+    blank = _BLANK[np.frombuffer(data, np.uint8)]
+    begins = ~blank
+    begins[1:] &= blank[:-1]
+    return np.flatnonzero(begins)
+
+
 def seeds_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and positions of a text's minimizers, by position."""
     import xxhash
@@ -92,16 +106,35 @@ class PrefixMax:
         return out
 
 
-def segments(pos: np.ndarray, rpos: np.ndarray) -> np.ndarray:
-    """Matches merged along diagonals: rows (start, start in the other text, length)."""
+def worth_aligning(begin: np.ndarray, end: np.ndarray, span: int) -> np.ndarray:
+    """Which chains of a document (from ``begin`` to ``end``) may be part of a passage.
+
+    Those that reach over ``span`` words, and shorter ones near one of them,
+    whatever their sources: a passage may have part of its seeds from an
+    even earlier document.
+    """
+    long = end - begin >= span
+    if long.all() or not long.any():
+        return long
+    near = np.zeros(int(end.max()) + 2, np.int64)
+    np.add.at(near, np.maximum(begin[long] - SAME_DIAGONAL, 0), 1)
+    np.add.at(near, np.minimum(end[long] + SAME_DIAGONAL, len(near) - 1), -1)
+    covered = np.concatenate([[0], np.cumsum(np.cumsum(near) > 0)])
+    return long | (covered[end] > covered[begin])
+
+
+def segments(pos: np.ndarray, rpos: np.ndarray, rat: np.ndarray | None = None) -> np.ndarray:
+    """Matches merged along diagonals: rows (start, start in the other text, length, and the
+    byte offsets there of the first and the last match)."""
+    rat = rpos if rat is None else rat
     diag = pos - rpos
     order = np.lexsort((pos, diag))
-    p, d = pos[order], diag[order]
+    p, d, t = pos[order], diag[order], rat[order]
     new = np.ones(len(p), bool)
     new[1:] = (d[1:] != d[:-1]) | (p[1:] - p[:-1] > SAME_DIAGONAL)
     s = np.flatnonzero(new)
     last = np.append(s[1:], len(p)) - 1
-    out = np.stack([p[s], p[s] - d[s], p[last] - p[s] + K], axis=1)
+    out = np.stack([p[s], p[s] - d[s], p[last] - p[s] + K, t[s], t[last]], axis=1)
     return out[np.lexsort((out[:, 1], out[:, 0]))]
 
 
@@ -138,6 +171,25 @@ def chains(seg: np.ndarray) -> list[list[int]]:
     return out
 
 
+#: Words skipped on either side, few first; equal numbers first, as a changed word is likelier than words put in.
+SKIPS = sorted(((x, y) for x in range(MAX_GAP + 1) for y in range(MAX_GAP + 1) if x + y),
+               key=lambda p: (p[0] + p[1], abs(p[0] - p[1]), p))
+
+
+def _next_agreement(a: np.ndarray, b: np.ndarray) -> tuple[int, int] | None:
+    """The nearest places in two short word sequences from which EDGE words are equal."""
+    n, m = len(a) - EDGE + 1, len(b) - EDGE + 1
+    if n < 1 or m < 1:
+        return None
+    one = a[:, None] == b[None, :]
+    agree = one[:n, :m].copy()
+    for k in range(1, EDGE):
+        agree &= one[k:n + k, k:m + k]
+    if not agree.any():
+        return None
+    return next((p for p in SKIPS if p[0] < n and p[1] < m and agree[p]), None)
+
+
 def extend(a: np.ndarray, b: np.ndarray, room_a: int, room_b: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Follow two word sequences from their starts as long as they agree; equal positions in both.
 
@@ -155,17 +207,10 @@ def extend(a: np.ndarray, b: np.ndarray, room_a: int, room_b: int) -> tuple[list
             right.append(np.arange(j, j + n))
             i, j = i + n, j + n
             continue
-        for skip in range(1, 2 * MAX_GAP + 1):
-            # equal skips first: a changed word is likelier than words put in
-            found = next(((x, skip - x) for x in sorted(range(max(0, skip - MAX_GAP), min(skip, MAX_GAP) + 1),
-                                                        key=lambda x: abs(2 * x - skip))
-                          if i + x + EDGE <= room_a and j + skip - x + EDGE <= room_b
-                          and (a[i + x:i + x + EDGE] == b[j + skip - x:j + skip - x + EDGE]).all()), None)
-            if found:
-                i, j = i + found[0], j + found[1]
-                break
-        else:
+        skip = _next_agreement(a[i:min(i + MAX_GAP + EDGE, room_a)], b[j:min(j + MAX_GAP + EDGE, room_b)])
+        if skip is None:
             break
+        i, j = i + skip[0], j + skip[1]
     return left, right
 
 
@@ -242,81 +287,124 @@ FOUND = "start long, words long, source_id long, source_start long, source_words
 
 
 def _chains(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
-    """``doc, rep, chain`` (array of start, start in rep, length) of all texts of ``min_words`` words or more."""
+    """``doc, rep, chain`` (array of start, start in rep, length) and the bytes of rep's text that
+    it spans (``first``, ``last``: offsets of its first and last seed)."""
     import pyarrow as pa
 
+    names = ["h", "doc", "pos", "at", "first"]
+
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            cols, many = ([], [], [], []), 0
-            for i, t in zip(ids, batch.column(1)):
-                words = words_of(t.as_py())
+            cols, many = tuple([] for _ in names), 0
+
+            def done():
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=names)
+
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = t.as_py().encode("utf-8")
+                words = data.lower().split()
                 if len(words) < min_words:
                     continue
-                h, at = seeds_of(words)
+                h, pos = seeds_of(words)
                 first = np.zeros(len(h), bool)
                 first[np.unique(h, return_index=True)[1]] = True
-                for c, x in zip(cols, (h, np.full(len(h), i, np.int64), at, first)):
+                for c, x in zip(cols, (h, np.full(len(h), i, np.int64), pos, starts_of(data)[pos], first)):
                     c.append(x)
                 many += len(h)
                 if many > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["h", "doc", "pos", "first"])
-                    cols, many = ([], [], [], []), 0
+                    yield done()
+                    cols, many = tuple([] for _ in names), 0
             if many:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["h", "doc", "pos", "first"])
+                yield done()
 
     texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("t")) \
         .where(F.col("doc").isNotNull() & (F.length("t") >= 2 * min_words - 1))
-    s = materialise(texts.mapInArrow(seeds, "h long, doc long, pos long, first boolean"), "seeds")
+    s = materialise(texts.mapInArrow(seeds, "h long, doc long, pos long, at long, first boolean"), "seeds")
     shared = s.where("first").groupBy("h").agg(
-        F.min("doc").alias("rep"), F.min_by("pos", "doc").alias("rpos"), F.max("doc").alias("last")) \
-        .where("last > rep").drop("last")
-    matches = s.drop("first").join(shared, "h").where("doc > rep").select("doc", "rep", "pos", "rpos")
-    work = matches.repartition("doc", "rep").sortWithinPartitions("doc", "rep")
+        F.min("doc").alias("rep"), F.min_by("pos", "doc").alias("rpos"), F.min_by("at", "doc").alias("rat"),
+        F.max("doc").alias("last")).where("last > rep").drop("last")
+    matches = s.drop("first", "at").join(shared, "h").where("doc > rep").select("doc", "rep", "pos", "rpos", "rat")
+    work = matches.repartition("doc").sortWithinPartitions("doc", "rep")
+    span = max(K, min_words - 2 * (WINDOW - 1))
+
     def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (doc, rep, pos, rpos), starts in sorted_groups(batches, 2):
-            out = ([], [], [])
+        for (doc, rep, pos, rpos, rat), starts in sorted_groups(batches, 1):
+            out = tuple([] for _ in range(5))
             for x, y in zip(starts[:-1], starts[1:]):
-                seg = segments(pos[x:y], rpos[x:y])
-                for chain in chains(seg):  # short ones too: the alignment may find more beyond their ends
-                    out[0].append(int(doc[x]))
-                    out[1].append(int(rep[x]))
-                    out[2].append([dict(zip(("s", "o", "n"), row)) for row in seg[chain].tolist()])
+                edges = np.flatnonzero(np.diff(rep[x:y])) + 1
+                made = []
+                for part in np.split(np.arange(x, y), edges):
+                    seg = segments(pos[part], rpos[part], rat[part])
+                    made += [(int(rep[part[0]]), seg[chain]) for chain in chains(seg)]
+                keep = worth_aligning(np.array([c[0, 0] for _, c in made]), np.array([c[-1, 0] + c[-1, 2] for _, c in made]), span)
+                for k in np.flatnonzero(keep):
+                    r, chain = made[k]
+                    for c, v in zip(out, (int(doc[x]), r, [dict(zip("son", row)) for row in chain[:, :3].tolist()],
+                                          int(chain[:, 3].min()), int(chain[:, 4].max()))):
+                        c.append(v)
             if out[0]:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()),
-                     pa.array(out[2], pa.list_(pa.struct([(c, pa.int64()) for c in "son"])))], names=["doc", "rep", "chain"])
+                kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([(c, pa.int64()) for c in "son"])), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)],
+                                                 names=["doc", "rep", "chain", "first", "last"])
 
-    return materialise(work.mapInArrow(chained, "doc long, rep long, chain array<struct<s:long,o:long,n:long>>"), "chains")
+    return materialise(work.mapInArrow(
+        chained, "doc long, rep long, chain array<struct<s:long,o:long,n:long>>, first long, last long"), "chains")
 
 
 def _candidates(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
-    """Per document the chains, each with the words of the other text that it may touch."""
+    """Per document the chains, each with the bytes of the other text that it may touch (cut at ``lo``)."""
     chain = _chains(docs, key, text, min_words)
-    lo = F.greatest(F.col("chain")[0]["o"] - REACH, F.lit(0))
-    hi = F.element_at("chain", -1)["o"] + F.element_at("chain", -1)["n"] + REACH
-    spans = chain.select("doc", "rep", "chain", lo.alias("lo"), hi.alias("hi"))
+    lo = F.greatest(F.col("first") - REACH_BYTES, F.lit(0))
+    spans = chain.withColumn("lo", lo).withColumn("size", F.col("last") + REACH_BYTES - lo)
     there = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    part = F.slice(F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)), (F.col("lo") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int"))
-    with_words = spans.join(there, F.col("rep") == F.col("_key")).select(
-        "doc", F.struct("rep", "chain", "lo", F.array_join(part, " ").alias("there")).alias("c"))
-    return with_words.groupBy("doc").agg(F.collect_list("c").alias("_chains"))
+    part = F.expr("substring(cast(_text as binary), cast(lo + 1 as int), cast(size as int))")
+    with_bytes = spans.join(there, F.col("rep") == F.col("_key")).select(
+        "doc", F.struct("rep", "chain", "lo", "first", part.alias("there"),
+                        (F.col("lo") + F.col("size") >= F.octet_length("_text")).alias("to_end")).alias("c"))
+    return with_bytes.groupBy("doc").agg(F.collect_list("c").alias("_chains"))
+
+
+def _there(c: dict) -> tuple[list[bytes], int]:
+    """The words of a chain's cut of the other text, and the number of the first of them.
+
+    A word that the cut may have split is left out, at either end.
+    """
+    data = c["there"].lower()
+    words, starts = data.split(), starts_of(data)
+    before = int(np.searchsorted(starts, c["first"] - c["lo"]))  # words of the cut before the first seed
+    number = min(c["chain"], key=lambda x: x["o"])["o"] - before
+    if not c["to_end"] and words:
+        words.pop()
+    if c["lo"] > 0 and words:
+        words.pop(0)
+        number += 1
+    return words, number
 
 
 def _aligned(text: str, cs: list[dict], min_words: int, similarity: float) -> list[tuple]:
+    """Passages of a text; one that lies within another is left out, as are chains within a passage."""
     found, number = [], {}
-    mine = words_of(text)
-    a = np.array([number.setdefault(w, len(number)) for w in mine], np.int64)
-    for c in cs:
-        there = words_of(c["there"])
-        b = np.array([number.get(w, -1) for w in there], np.int64)
-        lo = c["lo"]
+    a = np.array([number.setdefault(w, len(number)) for w in words_of(text)], np.int64)
+    inside = np.zeros(len(a) + 1, bool)  # of a passage found before
+    reach = lambda c: (c["chain"][0]["s"], c["chain"][-1]["s"] + c["chain"][-1]["n"])
+    for c in sorted(cs, key=lambda c: (reach(c)[0] - reach(c)[1], c["rep"], reach(c)[0])):
+        s, e = reach(c)
+        if e <= len(a) and inside[s:e].all():
+            continue
+        words, lo = _there(c)
+        b = np.array([number.get(w, -1) for w in words], np.int64)
         chain = [(x["s"], x["o"] - lo, x["n"]) for x in c["chain"]]
-        if any(s >= len(a) or o >= len(b) for s, o, _ in chain):  # another row of the same id
+        if any(s >= len(a) or not 0 <= o < len(b) for s, o, _ in chain):  # another row of the same id
             continue
         for s, n, o, m, eq in passages(*align(a, b, chain), min_words, similarity):
             found.append((s, n, c["rep"], o + lo, m, eq))
-    return sorted(set(found))
+            inside[s:s + n] = True
+    out, upto = [], -1
+    for x in sorted(set(found), key=lambda x: (x[0], -x[1], x[2:])):
+        if x[0] + x[1] > upto:
+            out.append(x)
+            upto = x[0] + x[1]
+    return out
 
 
 def _run_over(docs: DataFrame, key: str, text: str, min_words: int, similarity: float, out_schema, emit, how: str) -> DataFrame:
