@@ -82,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_feistel_shards": sharding.oracle_sql(40),
     "op4_chat_format": chat.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
 }

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import materialise, scratch_path  # noqa: F401  (materialise: for the operators)
 
 #: Words in the sense of the near-duplicate and language-model contracts:
 #: everything between the ASCII white-space bytes 0x20 and 0x09-0x0D.
@@ -28,18 +28,6 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"llm-{name}-{uuid.uuid4().hex}")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
-
-    Cuts lineage like ``checkpoint()``, but evaluates the plan once; the
-    files survive the loss of any executor.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -138,3 +138,39 @@ def assign_shards(df: DataFrame, n_shards: int, key: str = "doc_id", text: str =
         _div(F.col("_place"), n_shards).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def oracle_sql(n_shards: int, seed: int = 42) -> str:
+    """DuckDB SQL for ``assign_shards`` on ``documents`` (unique ids)."""
+    state = "SELECT r, step, a, b, n, x // b AS l, x % b AS q FROM walk, dims WHERE step = 0 OR x >= n"
+    for i, k in enumerate(round_keys(seed)):
+        to, of, side = ("l", "q", "a") if i % 2 == 0 else ("q", "l", "b")
+        t = f"(({of} + {k}) % {PRIME})"
+        new = f"({to} + {t} * {t} % {PRIME} * {MULTIPLIER} % {PRIME}) % {side}"
+        state = (f"SELECT r, step, a, b, n, {new if to == 'l' else 'l'} AS l, {new if to == 'q' else 'q'} AS q "
+                 f"FROM ({state}) s{i}")
+    return f"""
+WITH RECURSIVE crc_steps AS (
+  SELECT i, 0 AS k, i AS c FROM range(256) t(i)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc_steps WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS t FROM crc_steps WHERE k = 8),
+numbered AS (
+  SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id NULLS FIRST) - 1 AS r FROM documents),
+dims AS (
+  SELECT n, a, CAST(ceil(n / a) AS BIGINT) AS b
+  FROM (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS a FROM documents) d),
+walk AS (
+  SELECT r, CAST(r AS BIGINT) AS x, 0 AS step FROM numbered
+  UNION ALL
+  SELECT r, CAST(l * b + q AS BIGINT), step + 1 FROM ({state}) e),
+placed AS (SELECT r, x FROM walk, dims WHERE step > 0 AND x < n),
+sums AS (
+  SELECT r, xor(list_reduce(
+      list_transform(range(strlen(text)), lambda i: CAST(('0x' || substr(h, 2 * i + 1, 2)) AS BIGINT)),
+      lambda s, v: xor(t[(xor(s, v) & 255) + 1], s >> 8), CAST(4294967295 AS BIGINT)), 4294967295) AS crc
+  FROM (SELECT r, text, hex(encode(text)) AS h FROM numbered) w, crc_table)
+SELECT doc_id, CAST(strlen(text) + 16 AS BIGINT) AS size, CAST(coalesce(crc, 0) AS BIGINT) AS text_crc32, 'rows' AS law,
+  CAST(x % {n_shards} AS INTEGER) AS shard, CAST(x // {n_shards} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM numbered JOIN placed USING (r) JOIN sums USING (r)
+"""
