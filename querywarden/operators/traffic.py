@@ -270,14 +270,16 @@ def _scan_apply(carry_bc, scope_name: str, order_name: str):
                 total, top = int(upto[-1]), int(peak[-1])
                 release[at] = upto + peak
             yield pa.RecordBatch.from_arrays(
-                [b.column("_scope_val"), b.column("_o"), pa.array(a), pa.array(release), pa.array(release - a)],
-                names=[scope_name, order_name, "arrival_us", "release_us", "delay_us"])
+                [b.column("_scope_val"), b.column("_o"), pa.array(a), pa.array(release), pa.array(release - a),
+                 b.column("_rank")],
+                names=[scope_name, order_name, "arrival_us", "release_us", "delay_us", "_rank"])
 
     return run
 
 
 def min_spacing(df: DataFrame, scope: str | None, ts: str = "ts", order: str = "query_id",
-                window_s: float | str = 5.0, partitions: int | None = None) -> DataFrame:
+                window_s: float | str = 5.0, partitions: int | None = None,
+                last: DataFrame | None = None) -> DataFrame:
     """O12 as a distributed running max; ``window_s`` is seconds or a column of seconds.
 
     1. Range-partition by (scope, arrival, order) and sort within partitions;
@@ -290,6 +292,8 @@ def min_spacing(df: DataFrame, scope: str | None, ts: str = "ts", order: str = "
        summary and reach the tasks as a broadcast.
     4. Pass two finishes the running max with numpy inside each partition.
 
+    ``last`` (scope, ``last_release_us``) goes on from earlier releases: each
+    is a first arrival of its scope with no window of its own.
     A null scope is a scope of its own. Rows without an arrival time have no
     place in the schedule and are left out.
     """
@@ -302,11 +306,15 @@ def min_spacing(df: DataFrame, scope: str | None, ts: str = "ts", order: str = "
     base = df.select(
         scope_col.alias("_scope"), scope_val.alias("_scope_val"),
         F.unix_micros(F.col(ts)).alias("_a"), F.col(order).alias("_o"),
-        _window_us(window_s).alias("_w")).where(F.col("_a").isNotNull())
+        _window_us(window_s).alias("_w"), F.lit(1).alias("_rank")).where(F.col("_a").isNotNull())
+    if last is not None:
+        base = base.unionByName(last.select(
+            scope_col.alias("_scope"), scope_val.alias("_scope_val"), F.col("last_release_us").alias("_a"),
+            F.lit(None).cast(dict(df.dtypes)[order]).alias("_o"), F.lit(0).cast("bigint").alias("_w"), F.lit(0).alias("_rank")))
     n_parts = partitions or max(spark.sparkContext.defaultParallelism,
                                 int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = (base.repartitionByRange(n_parts, "_scope", "_a", "_o")
-                  .sortWithinPartitions("_scope", "_a", "_o")
+    ranged = (base.repartitionByRange(n_parts, "_scope", "_rank", "_a", "_o")
+                  .sortWithinPartitions("_scope", "_rank", "_a", "_o")
                   .withColumn("_pid", F.spark_partition_id())
                   .checkpoint(eager=True))
 
@@ -328,7 +336,7 @@ def min_spacing(df: DataFrame, scope: str | None, ts: str = "ts", order: str = "
     scope_type = dict(df.dtypes).get(scope, "string") if scope else "string"
     order_type = dict(df.dtypes)[order]
     schema = (f"`{scope_name}` {scope_type}, `{order}` {order_type}, arrival_us long, "
-              f"release_us long, delay_us long")
+              f"release_us long, delay_us long, _rank int")
     carry_bc = spark.sparkContext.broadcast(carry)
-    out = ranged.mapInArrow(_scan_apply(carry_bc, scope_name, order), schema)
+    out = ranged.mapInArrow(_scan_apply(carry_bc, scope_name, order), schema).where("_rank = 1").drop("_rank")
     return out if scope else out.drop(scope_name)

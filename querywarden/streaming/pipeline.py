@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit as A
@@ -51,27 +51,6 @@ def _read_latest(spark: SparkSession, base: str, name: str, batch_id: int, schem
     return spark.read.schema(schema).parquet(_version(base, name, best))
 
 
-def spaced_releases(batch: DataFrame, carry: DataFrame, scope: str, ts: str, order: str,
-                    window_s) -> DataFrame:
-    """O12 for one micro-batch, continuing each scope from its carried last release.
-
-    release_j = S_j + max(last, max_{i<=j}(a_i - S_i)) with S the running sum
-    of the windows inside the batch (``window_s``: seconds or a column);
-    ``last`` is -inf for a new scope.
-    """
-    upto = Window.partitionBy(scope).orderBy(ts, order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    df = batch.select(scope, order, F.unix_micros(F.col(ts)).alias("arrival_us"), ts,
-                      TR._window_us(window_s).alias("_w"))
-    df = df.join(carry, on=scope, how="left").withColumn("_S", F.sum("_w").over(upto))
-    run = F.max(F.col("arrival_us") - F.col("_S")).over(upto)
-    best = F.when(F.col("last_release_us").isNull(), run).otherwise(
-        F.greatest(run, F.col("last_release_us")))
-    out = df.withColumn("release_us", F.col("_S") + best)
-    return out.select(scope, order, "arrival_us", "release_us",
-                      (F.col("release_us") - F.col("arrival_us")).alias("delay_us"))
-
-
 def spacing_batch_writer(base: str, scope: str = "user_id", ts: str = "ts", order: str = "query_id",
                          window_s: float | str = 5.0) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function writing release times and the next carry version."""
@@ -81,11 +60,13 @@ def spacing_batch_writer(base: str, scope: str = "user_id", ts: str = "ts", orde
         stype = dict(batch.dtypes)[scope]
         carry = _read_latest(spark, base, "carry", batch_id,
                              f"{scope} {stype}, last_release_us bigint")
-        out = spaced_releases(batch, carry, scope, ts, order, window_s)
+        # the batch scan, so a scope that fills a micro-batch is spread over many tasks
+        out = TR.min_spacing(batch, scope, ts, order, window_s, last=carry)
         out.write.mode("overwrite").parquet(_version(base, "releases", batch_id))
         done = spark.read.parquet(_version(base, "releases", batch_id))
         latest = done.groupBy(scope).agg(F.max("release_us").alias("last_release_us"))
-        merged = carry.join(latest, on=scope, how="left_anti").unionByName(latest)
+        gone = latest.select(F.col(scope).alias("_new"))
+        merged = carry.join(gone, F.col(scope).eqNullSafe(F.col("_new")), "left_anti").unionByName(latest)
         merged.write.mode("overwrite").parquet(_version(base, "carry", batch_id))
 
     return write

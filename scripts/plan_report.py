@@ -13,7 +13,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-import __spark_entry__ as E  # noqa: E402
+from querywarden.plans import catalog  # noqa: E402
 from querywarden.session import build_session  # noqa: E402
 
 
@@ -43,7 +43,7 @@ def main() -> None:
            "| query | shuffles | broadcasts | joins | python | map-side top-k |",
            "|---|---|---|---|---|---|"]
     scans = []
-    for name, fn in E.queries().items():
+    for name, fn in catalog.QUERIES.items():
         plan = fn(spark, sf)._jdf.queryExecution().executedPlan().toString()
         f = facts(plan)
         out.append(f"| {name} | {', '.join(f['shuffles']) or '—'} | {f['broadcasts']} | "

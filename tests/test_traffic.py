@@ -102,3 +102,19 @@ def test_spacing_per_row_windows(spark):
         last[scope] = rel
         want[qid] = rel
     assert got == want and win == want
+
+
+def test_spacing_goes_on_from_last_releases_with_null_scopes(spark):
+    rnd = random.Random(12)
+    big = 9007199254740993
+    rows = [(rnd.choice([None, "a", "b"]), rnd.randrange(10**8), big + i) for i in range(900)]
+    w = 400_000
+    whole = _sequential([(r[0] or "", *r[1:]) for r in rows], w)
+    got = TR.min_spacing(_df(spark, rows), "scope", "ts", "query_id", w / 1e6, partitions=5).collect()
+    assert {r.query_id: r.release_us for r in got} == whole
+    assert {r.query_id: r.scope for r in got} == {r[2]: r[0] for r in rows}
+    cut = 5 * 10**7
+    first = TR.min_spacing(_df(spark, [r for r in rows if r[1] < cut]), "scope", "ts", "query_id", w / 1e6, partitions=3)
+    last = first.groupBy("scope").agg(F.max("release_us").alias("last_release_us"))
+    rest = TR.min_spacing(_df(spark, [r for r in rows if r[1] >= cut]), "scope", "ts", "query_id", w / 1e6, partitions=5, last=last)
+    assert {r.query_id: r.release_us for r in first.collect() + rest.collect()} == whole
