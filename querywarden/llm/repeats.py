@@ -323,6 +323,9 @@ def _chains(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
     shared = s.where("first").groupBy("h").agg(
         F.min("doc").alias("rep"), F.min_by("pos", "doc").alias("rpos"), F.min_by("at", "doc").alias("rat"),
         F.max("doc").alias("last")).where("last > rep").drop("last")
+    # written, so that both sides of the join are dealt out for it alone and a seed that a third
+    # of all documents share can be split among tasks
+    shared = materialise(shared, "shared-seeds")
     matches = s.drop("first", "at").join(shared, "h").where("doc > rep").select("doc", "rep", "pos", "rpos", "rat")
     work = matches.repartition("doc").sortWithinPartitions("doc", "rep")
     span = max(K, min_words - 2 * (WINDOW - 1))
