@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 from .common import materialise, sorted_groups
 
 K, WINDOW = 8, 16
-#: Words compared beyond a chain's ends, and bytes of the other text read for that; unequal words
-#: that a passage may bridge.
-REACH, REACH_BYTES, MAX_GAP = 96, 1500, 4
+#: Words compared beyond a chain's ends; unequal words that a passage may bridge.
+REACH, MAX_GAP = 96, 4
+#: A text can be cut before every so many words.
+MARK = 64
 #: Cost of a gap for each word skipped on either side; longest gap merged along one diagonal.
 GAP_COST, SAME_DIAGONAL = 0.1, 64
 #: A passage's first and last equal run has this many words at least.
@@ -123,18 +124,16 @@ def worth_aligning(begin: np.ndarray, end: np.ndarray, span: int) -> np.ndarray:
     return long | (covered[end] > covered[begin])
 
 
-def segments(pos: np.ndarray, rpos: np.ndarray, rat: np.ndarray | None = None) -> np.ndarray:
-    """Matches merged along diagonals: rows (start, start in the other text, length, and the
-    byte offsets there of the first and the last match)."""
-    rat = rpos if rat is None else rat
+def segments(pos: np.ndarray, rpos: np.ndarray) -> np.ndarray:
+    """Matches merged along diagonals: rows (start, start in the other text, length)."""
     diag = pos - rpos
     order = np.lexsort((pos, diag))
-    p, d, t = pos[order], diag[order], rat[order]
+    p, d = pos[order], diag[order]
     new = np.ones(len(p), bool)
     new[1:] = (d[1:] != d[:-1]) | (p[1:] - p[:-1] > SAME_DIAGONAL)
     s = np.flatnonzero(new)
     last = np.append(s[1:], len(p)) - 1
-    out = np.stack([p[s], p[s] - d[s], p[last] - p[s] + K, t[s], t[last]], axis=1)
+    out = np.stack([p[s], p[s] - d[s], p[last] - p[s] + K], axis=1)
     return out[np.lexsort((out[:, 1], out[:, 0]))]
 
 
@@ -287,11 +286,11 @@ FOUND = "start long, words long, source_id long, source_start long, source_words
 
 
 def _chains(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
-    """``doc, rep, chain`` (array of start, start in rep, length) and the bytes of rep's text that
-    it spans (``first``, ``last``: offsets of its first and last seed)."""
+    """``doc, rep, chain`` (array of start, start in rep, length) and the words of rep's text that
+    it spans (``first`` to ``last``)."""
     import pyarrow as pa
 
-    names = ["h", "doc", "pos", "at", "first"]
+    names = ["h", "doc", "pos", "first"]
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,14 +300,13 @@ def _chains(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
                 return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=names)
 
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = t.as_py().encode("utf-8")
-                words = data.lower().split()
+                words = words_of(t.as_py())
                 if len(words) < min_words:
                     continue
                 h, pos = seeds_of(words)
                 first = np.zeros(len(h), bool)
                 first[np.unique(h, return_index=True)[1]] = True
-                for c, x in zip(cols, (h, np.full(len(h), i, np.int64), pos, starts_of(data)[pos], first)):
+                for c, x in zip(cols, (h, np.full(len(h), i, np.int64), pos, first)):
                     c.append(x)
                 many += len(h)
                 if many > 200_000:
@@ -319,31 +317,30 @@ def _chains(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
 
     texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("t")) \
         .where(F.col("doc").isNotNull() & (F.length("t") >= 2 * min_words - 1))
-    s = materialise(texts.mapInArrow(seeds, "h long, doc long, pos long, at long, first boolean"), "seeds")
+    s = materialise(texts.mapInArrow(seeds, "h long, doc long, pos long, first boolean"), "seeds")
     shared = s.where("first").groupBy("h").agg(
-        F.min("doc").alias("rep"), F.min_by("pos", "doc").alias("rpos"), F.min_by("at", "doc").alias("rat"),
-        F.max("doc").alias("last")).where("last > rep").drop("last")
+        F.min("doc").alias("rep"), F.min_by("pos", "doc").alias("rpos"), F.max("doc").alias("last")).where("last > rep").drop("last")
     # written, so that both sides of the join are dealt out for it alone and a seed that a third
     # of all documents share can be split among tasks
     shared = materialise(shared, "shared-seeds")
-    matches = s.drop("first", "at").join(shared, "h").where("doc > rep").select("doc", "rep", "pos", "rpos", "rat")
+    matches = s.drop("first").join(shared, "h").where("doc > rep").select("doc", "rep", "pos", "rpos")
     work = matches.repartition("doc").sortWithinPartitions("doc", "rep")
     span = max(K, min_words - 2 * (WINDOW - 1))
 
     def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (doc, rep, pos, rpos, rat), starts in sorted_groups(batches, 1):
+        for (doc, rep, pos, rpos), starts in sorted_groups(batches, 1):
             out = tuple([] for _ in range(5))
             for x, y in zip(starts[:-1], starts[1:]):
                 edges = np.flatnonzero(np.diff(rep[x:y])) + 1
                 made = []
                 for part in np.split(np.arange(x, y), edges):
-                    seg = segments(pos[part], rpos[part], rat[part])
+                    seg = segments(pos[part], rpos[part])
                     made += [(int(rep[part[0]]), seg[chain]) for chain in chains(seg)]
                 keep = worth_aligning(np.array([c[0, 0] for _, c in made]), np.array([c[-1, 0] + c[-1, 2] for _, c in made]), span)
                 for k in np.flatnonzero(keep):
                     r, chain = made[k]
-                    for c, v in zip(out, (int(doc[x]), r, [dict(zip("son", row)) for row in chain[:, :3].tolist()],
-                                          int(chain[:, 3].min()), int(chain[:, 4].max()))):
+                    for c, v in zip(out, (int(doc[x]), r, [dict(zip("son", row)) for row in chain.tolist()],
+                                          int(chain[:, 1].min()), int((chain[:, 1] + chain[:, 2]).max()))):
                         c.append(v)
             if out[0]:
                 kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([(c, pa.int64()) for c in "son"])), pa.int64(), pa.int64()]
@@ -354,34 +351,34 @@ def _chains(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
         chained, "doc long, rep long, chain array<struct<s:long,o:long,n:long>>, first long, last long"), "chains")
 
 
-def _candidates(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
-    """Per document the chains, each with the bytes of the other text that it may touch (cut at ``lo``)."""
-    chain = _chains(docs, key, text, min_words)
-    lo = F.greatest(F.col("first") - REACH_BYTES, F.lit(0))
-    spans = chain.withColumn("lo", lo).withColumn("size", F.col("last") + REACH_BYTES - lo)
-    there = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    part = F.expr("substring(cast(_text as binary), cast(lo + 1 as int), cast(size as int))")
-    with_bytes = spans.join(there, F.col("rep") == F.col("_key")).select(
-        "doc", F.struct("rep", "chain", "lo", "first", part.alias("there"),
-                        (F.col("lo") + F.col("size") >= F.octet_length("_text")).alias("to_end")).alias("c"))
-    return with_bytes.groupBy("doc").agg(F.collect_list("c").alias("_chains"))
+def _marked(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``_key, _text, marks``: the byte offsets of words 0, MARK, 2 MARK and so on, and the text's end."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = []
+            for t in batch.column(1):
+                data = t.as_py().encode("utf-8")
+                marks.append(np.append(starts_of(data)[::MARK], len(data)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.list_(pa.int32()))], names=["_key", "_text", "marks"])
 
+    kept = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text")) \
+        .where(F.col("_key").isNotNull() & F.col("_text").isNotNull())
+    return kept.mapInArrow(run, "_key long, _text string, marks array<int>")
 
-def _there(c: dict) -> tuple[list[bytes], int]:
-    """The words of a chain's cut of the other text, and the number of the first of them.
 
-    A word that the cut may have split is left out, at either end.
-    """
-    data = c["there"].lower()
-    words, starts = data.split(), starts_of(data)
-    before = int(np.searchsorted(starts, c["first"] - c["lo"]))  # words of the cut before the first seed
-    number = min(c["chain"], key=lambda x: x["o"])["o"] - before
-    if not c["to_end"] and words:
-        words.pop()
-    if c["lo"] > 0 and words:
-        words.pop(0)
-        number += 1
-    return words, number
+def _candidates(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
+    """Per document the chains, each with the words of the other text that it may touch (from mark ``lo`` on)."""
+    chain = _chains(docs, key, text, min_words)
+    spans = chain.withColumn("lo", F.expr(f"cast(greatest(first - {REACH}, 0) div {MARK} as int)")) \
+        .withColumn("hi", F.expr(f"cast((last + {REACH}) div {MARK} + 1 as int)"))
+    # a mark beyond the text: its end, as is a mark that only another row of the same id has
+    at = lambda c: f"coalesce(get(marks, {c}), element_at(marks, -1))"
+    part = F.expr(f"substring(cast(_text as binary), {at('lo')} + 1, {at('hi')} - {at('lo')})")
+    with_bytes = spans.join(_marked(docs, key, text), F.col("rep") == F.col("_key")).select(
+        "doc", F.struct("rep", "chain", "lo", part.alias("there")).alias("c"))
+    return with_bytes.groupBy("doc").agg(F.collect_list("c").alias("_chains"))
 
 
 def _aligned(text: str, cs: list[dict], min_words: int, similarity: float) -> list[tuple]:
@@ -394,8 +391,8 @@ def _aligned(text: str, cs: list[dict], min_words: int, similarity: float) -> li
         s, e = reach(c)
         if e <= len(a) and inside[s:e].all():
             continue
-        words, lo = _there(c)
-        b = np.array([number.get(w, -1) for w in words], np.int64)
+        lo = c["lo"] * MARK
+        b = np.array([number.get(w, -1) for w in c["there"].lower().split()], np.int64)
         chain = [(x["s"], x["o"] - lo, x["n"]) for x in c["chain"]]
         if any(s >= len(a) or not 0 <= o < len(b) for s, o, _ in chain):  # another row of the same id
             continue

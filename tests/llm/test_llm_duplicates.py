@@ -126,6 +126,15 @@ def test_repeats_edges(spark):
     assert repeats.find_repeats(empty(spark)).count() == 0 and repeats.remove_repeats(empty(spark)).count() == 0
 
 
+def test_repeats_of_long_words(spark):
+    rnd = random.Random(7)
+    address = lambda: "https://example.org/" + "".join(rnd.choice("abcdefgh") for _ in range(90))
+    p = [address() for _ in range(50)]
+    t = {1: [address() for _ in range(300)] + p + [address() for _ in range(300)], 2: ["one", "two"] + p + ["three"]}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in t.items()], "doc_id long, text string")
+    assert [tuple(r) for r in repeats.find_repeats(df).collect()] == [(2, 2, 50, 1, 300, 50, 50)]
+
+
 def test_all_exact_repeats_are_found(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     first, cover, found = {}, {}, {}
