@@ -5,6 +5,9 @@
    row share a seed.
 2. Matches: each seed is joined with its first document only (the least
    doc_id that has it), so a passage in n documents makes n - 1 matches.
+   Where a document's seeds come from several documents, windows of
+   ``min_words`` words are joined in the same way, as a passage's first
+   document need not be that of its seeds.
 3. Chains: per pair of documents the matches, merged along diagonals, are
    chained in order; a gap costs a share of its length, and a Fenwick tree
    of prefix maxima finds the best predecessor. Chains of less than
@@ -57,20 +60,28 @@ def starts_of(data: bytes) -> np.ndarray:
     return np.flatnonzero(begins)
 
 
-def seeds_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and positions of a text's minimizers, by position."""
+def hashes_of(words: list[bytes], size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words."""
     import xxhash
 
-    n = len(words) - K + 1
+    n = len(words) - size + 1
     if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64)
     h = xxhash.xxh3_64_intdigest
     w = np.array([h(x) for x in words], np.uint64)
-    kmer = np.zeros(n, np.uint64)
-    for i in range(K):
-        kmer = kmer * np.uint64(0x9E3779B97F4A7C15) + w[i:i + n]
-    kmer = (kmer ^ (kmer >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    kmer ^= kmer >> np.uint64(29)
+    out = np.zeros(n, np.uint64)
+    for i in range(size):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + w[i:i + n]
+    out = (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return out ^ (out >> np.uint64(29))
+
+
+def seeds_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and positions of a text's minimizers, by position."""
+    kmer = hashes_of(words, K)
+    n = len(kmer)
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     if n <= WINDOW:
         at = np.array([kmer.argmin()])
     else:
@@ -124,6 +135,35 @@ def worth_aligning(begin: np.ndarray, end: np.ndarray, span: int) -> np.ndarray:
     return long | (covered[end] > covered[begin])
 
 
+def open_windows(pos: np.ndarray, rep: np.ndarray, diag: np.ndarray, min_words: int) -> list[tuple[int, int]]:
+    """Windows of ``min_words`` words (first, number) that may be repeats, and are no part of one exact match.
+
+    ``pos``: a document's seeds that several documents have, ascending, with
+    the first document of each and the diagonal there. Any ``K + WINDOW - 1``
+    words of a repeat have such a seed, so the windows lie in runs of seeds
+    at most WINDOW apart. A window within words that all match one document
+    along one diagonal is left out: an equal window of any other document
+    has the same seeds, so its chain leads to that document too.
+    """
+    out = []
+    runs = np.flatnonzero(np.diff(pos, prepend=-2 * WINDOW) > WINDOW)
+    for x, y in zip(runs, np.append(runs[1:], len(pos))):
+        lo, hi = max(0, int(pos[x]) - WINDOW + 1), int(pos[y - 1]) + K + WINDOW - 1
+        if hi - lo < min_words:
+            continue
+        p, r, d = pos[x:y], rep[x:y], diag[x:y]
+        cut = np.flatnonzero((r[1:] != r[:-1]) | (d[1:] != d[:-1]) | (p[1:] - p[:-1] > K) | (p[1:] == p[:-1])) + 1
+        for i, j in zip(np.append(0, cut), np.append(cut, y - x)):
+            begin, stop = int(p[i]), int(p[j - 1]) + K - min_words + 1  # windows within the words that match
+            if stop > begin:
+                if begin > lo:
+                    out.append((lo, begin - lo))
+                lo = max(lo, stop)
+        if hi - min_words + 1 > lo:
+            out.append((lo, hi - min_words + 1 - lo))
+    return out
+
+
 def segments(pos: np.ndarray, rpos: np.ndarray) -> np.ndarray:
     """Matches merged along diagonals: rows (start, start in the other text, length)."""
     diag = pos - rpos
@@ -253,6 +293,16 @@ def align(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]]) -> tu
     return left[order], right[order]
 
 
+def exact_passages(a: np.ndarray, b: np.ndarray, s: int, o: int, n: int, min_words: int) -> list[tuple[int, int, int, int, int]]:
+    """Passages of equal words along a segment's diagonal, within it and up to REACH words around."""
+    back = min(REACH, s, o)
+    s, o = s - back, o - back
+    n = min(n + back + REACH, len(a) - s, len(b) - o)
+    ends = np.flatnonzero(np.concatenate([[True], a[s:s + n] != b[o:o + n], [True]]))
+    long = np.flatnonzero(np.diff(ends) > min_words)
+    return [(s + int(ends[i]), m, o + int(ends[i]), m, m) for i in long for m in [int(ends[i + 1] - ends[i]) - 1]]
+
+
 def passages(left: np.ndarray, right: np.ndarray, min_words: int, similarity: float) -> list[tuple[int, int, int, int, int]]:
     """Passages of an alignment: (start, words, start there, words there, equal words)."""
     out = []
@@ -285,6 +335,58 @@ def passages(left: np.ndarray, right: np.ndarray, min_words: int, similarity: fl
 FOUND = "start long, words long, source_id long, source_start long, source_words long, equal_words long"
 
 
+def _shared(s: DataFrame, name: str) -> DataFrame:
+    """``h, rep, rpos``: the first document of each hash that a later one has too."""
+    shared = s.groupBy("h").agg(F.min("doc").alias("rep"), F.min_by("pos", "doc").alias("rpos"), F.max("doc").alias("last")) \
+        .where("last > rep").drop("last")
+    # written, so that both sides of the join are dealt out for it alone and a seed that a third
+    # of all documents share can be split among tasks
+    return materialise(shared, name)
+
+
+CHAIN = "doc long, rep long, chain array<struct<s:long,o:long,n:long>>, first long, last long"
+
+
+def _chain_rows(rows: list[tuple]):
+    import pyarrow as pa
+
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([(c, pa.int64()) for c in "son"])), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc", "rep", "chain", "first", "last"])
+
+
+def _exact_chains(texts: DataFrame, open_: DataFrame, min_words: int) -> DataFrame:
+    """Chains of one segment: repeats of ``min_words`` words or more, each window with its first document."""
+    import pyarrow as pa
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, t, ranges in zip(*(batch.column(c) for c in ("doc", "t", "chain"))):
+                words = words_of(t.as_py())
+                for x in ranges.as_py():
+                    h = hashes_of(words[x["s"]:x["s"] + x["n"] + min_words - 1], min_words)
+                    if len(h):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(h.view(np.int64)), pa.array(np.full(len(h), i.as_py(), np.int64)),
+                             pa.array(np.arange(x["s"], x["s"] + len(h)))], names=["h", "doc", "pos"])
+
+    w = materialise(texts.join(open_.select("doc", "chain"), "doc").mapInArrow(hashed, "h long, doc long, pos long"), "windows")
+    matches = w.join(_shared(w, "shared-windows"), "h").where("doc > rep").select("doc", "rep", "pos", "rpos")
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (doc, rep, pos, rpos), _ in sorted_groups(batches, 1):
+            diag = pos - rpos
+            order = np.lexsort((pos, diag, rep, doc))
+            doc, rep, pos, rpos, diag = (c[order] for c in (doc, rep, pos, rpos, diag))
+            new = np.ones(len(pos), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (rep[1:] != rep[:-1]) | (diag[1:] != diag[:-1]) | (pos[1:] - pos[:-1] > 1)
+            first = np.flatnonzero(new)
+            n = pos[np.append(first[1:], len(pos)) - 1] - pos[first] + min_words
+            yield _chain_rows([(d, r, [{"s": s, "o": o, "n": m}], o, o + m) for d, r, s, o, m in zip(
+                *(c[first].tolist() for c in (doc, rep, pos, rpos)), n.tolist())])
+
+    return matches.repartition("doc").sortWithinPartitions("doc").mapInArrow(merged, CHAIN)
+
+
 def _chains(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
     """``doc, rep, chain`` (array of start, start in rep, length) and the words of rep's text that
     it spans (``first`` to ``last``)."""
@@ -318,37 +420,37 @@ def _chains(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
     texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("t")) \
         .where(F.col("doc").isNotNull() & (F.length("t") >= 2 * min_words - 1))
     s = materialise(texts.mapInArrow(seeds, "h long, doc long, pos long, first boolean"), "seeds")
-    shared = s.where("first").groupBy("h").agg(
-        F.min("doc").alias("rep"), F.min_by("pos", "doc").alias("rpos"), F.max("doc").alias("last")).where("last > rep").drop("last")
-    # written, so that both sides of the join are dealt out for it alone and a seed that a third
-    # of all documents share can be split among tasks
-    shared = materialise(shared, "shared-seeds")
-    matches = s.drop("first").join(shared, "h").where("doc > rep").select("doc", "rep", "pos", "rpos")
+    # a shared seed's first document too: its windows may be the first of a repeat
+    matches = s.join(_shared(s.where("first"), "shared-seeds"), "h").select("doc", "rep", "pos", "rpos")
     work = matches.repartition("doc").sortWithinPartitions("doc", "rep")
     span = max(K, min_words - 2 * (WINDOW - 1))
 
     def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (doc, rep, pos, rpos), starts in sorted_groups(batches, 1):
-            out = tuple([] for _ in range(5))
+            rows = []
             for x, y in zip(starts[:-1], starts[1:]):
-                edges = np.flatnonzero(np.diff(rep[x:y])) + 1
+                me = int(doc[x])
+                order = x + np.argsort(pos[x:y], kind="stable")
+                ranges = open_windows(pos[order], rep[order], (pos - rpos)[order], min_words)
+                if ranges:  # as a row of the document itself
+                    rows.append((me, me, [{"s": s, "o": 0, "n": n} for s, n in ranges], 0, 0))
                 made = []
-                for part in np.split(np.arange(x, y), edges):
-                    seg = segments(pos[part], rpos[part])
-                    made += [(int(rep[part[0]]), seg[chain]) for chain in chains(seg)]
+                for part in np.split(np.arange(x, y), np.flatnonzero(np.diff(rep[x:y])) + 1):
+                    if rep[part[0]] != me:
+                        seg = segments(pos[part], rpos[part])
+                        made += [(int(rep[part[0]]), seg[chain]) for chain in chains(seg)]
+                if not made:
+                    continue
                 keep = worth_aligning(np.array([c[0, 0] for _, c in made]), np.array([c[-1, 0] + c[-1, 2] for _, c in made]), span)
                 for k in np.flatnonzero(keep):
                     r, chain = made[k]
-                    for c, v in zip(out, (int(doc[x]), r, [dict(zip("son", row)) for row in chain.tolist()],
-                                          int(chain[:, 1].min()), int((chain[:, 1] + chain[:, 2]).max()))):
-                        c.append(v)
-            if out[0]:
-                kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([(c, pa.int64()) for c in "son"])), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)],
-                                                 names=["doc", "rep", "chain", "first", "last"])
+                    rows.append((me, r, [dict(zip("son", row)) for row in chain.tolist()],
+                                 int(chain[:, 1].min()), int((chain[:, 1] + chain[:, 2]).max())))
+            if rows:
+                yield _chain_rows(rows)
 
-    return materialise(work.mapInArrow(
-        chained, "doc long, rep long, chain array<struct<s:long,o:long,n:long>>, first long, last long"), "chains")
+    made = materialise(work.mapInArrow(chained, CHAIN), "chains")
+    return made.where("doc != rep").unionByName(_exact_chains(texts, made.where("doc = rep"), min_words))
 
 
 def _marked(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -389,14 +491,18 @@ def _aligned(text: str, cs: list[dict], min_words: int, similarity: float) -> li
     reach = lambda c: (c["chain"][0]["s"], c["chain"][-1]["s"] + c["chain"][-1]["n"])
     for c in sorted(cs, key=lambda c: (reach(c)[0] - reach(c)[1], c["rep"], reach(c)[0])):
         s, e = reach(c)
-        if e <= len(a) and inside[s:e].all():
+        # a repeat may go on for WINDOW - 1 words beyond its seeds
+        if e <= len(a) and inside[max(0, s - WINDOW + 1):min(len(a), e + WINDOW - 1)].all():
             continue
         lo = c["lo"] * MARK
         b = np.array([number.get(w, -1) for w in c["there"].lower().split()], np.int64)
         chain = [(x["s"], x["o"] - lo, x["n"]) for x in c["chain"]]
         if any(s >= len(a) or not 0 <= o < len(b) for s, o, _ in chain):  # another row of the same id
             continue
-        for s, n, o, m, eq in passages(*align(a, b, chain), min_words, similarity):
+        got = passages(*align(a, b, chain), min_words, similarity)
+        # the alignment of an exact repeat may be cut short where the next segment begins
+        got += [x for seg in chain for x in exact_passages(a, b, *seg, min_words)]
+        for s, n, o, m, eq in got:
             found.append((s, n, c["rep"], o + lo, m, eq))
             inside[s:s + n] = True
     out, upto = [], -1

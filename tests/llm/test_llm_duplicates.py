@@ -135,6 +135,28 @@ def test_repeats_of_long_words(spark):
     assert [tuple(r) for r in repeats.find_repeats(df).collect()] == [(2, 2, 50, 1, 300, 50, 50)]
 
 
+def test_repeats_put_together_from_known_pieces(spark):
+    # every seed of a 60-word passage of 50 and 60 was seen before, in pieces of 30 words from 1 and 2 or more documents
+    rnd = random.Random(8)
+    p, new = sentence(rnd, 60).split(), lambda: sentence(rnd, 60).split()
+    t = {i: new() + p[(i - 1) * 10:(i - 1) * 10 + 30] + new() for i in range(1, 5)}
+    t |= {50: new() + p + new(), 60: new() + p + new(), 70: ["a"] + p[:52]}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in t.items()], "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["start"], r["words"], r["source_id"], r["source_start"]) for r in repeats.find_repeats(df).collect()}
+    assert got == {(60, 60, 60, 50, 60), (70, 1, 52, 50, 60)}
+
+
+def test_open_windows():
+    pos = np.arange(100, 190, 4)
+    one, none = np.ones(len(pos), int), repeats.open_windows(np.arange(0, 20, 2), np.ones(10, int), np.zeros(10, int), 50)
+    assert none == []
+    ends = repeats.open_windows(pos, one, one, 50)
+    inside = (100, int(pos[-1]) + repeats.K - 50)  # the first and the last window of one exact match
+    assert all(s + n <= inside[0] or s > inside[1] for s, n in ends)
+    two = repeats.open_windows(pos, np.where(pos < 140, 1, 2), one, 50)
+    assert {i for s, n in two for i in range(s, s + n)} >= set(range(100, 140))
+
+
 def test_all_exact_repeats_are_found(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     first, cover, found = {}, {}, {}
