@@ -10,8 +10,7 @@
    document need not be that of its seeds.
 3. Chains: per pair of documents the matches, merged along diagonals, are
    chained in order; a gap costs a share of its length, and a Fenwick tree
-   of prefix maxima finds the best predecessor. Chains of less than
-   ``min_words - 2 (WINDOW - 1)`` words go on only near a longer one.
+   of prefix maxima finds the best predecessor. Every chain goes on.
 4. Alignment: along each chain the words of both texts are compared, also
    beyond its ends and across its gaps. A passage is a run of aligned words
    with gaps of ``MAX_GAP`` words at most, ``min_words`` long or longer, of
@@ -118,23 +117,6 @@ class PrefixMax:
         return out
 
 
-def worth_aligning(begin: np.ndarray, end: np.ndarray, span: int) -> np.ndarray:
-    """Which chains of a document (from ``begin`` to ``end``) may be part of a passage.
-
-    Those that reach over ``span`` words, and shorter ones near one of them,
-    whatever their sources: a passage may have part of its seeds from an
-    even earlier document.
-    """
-    long = end - begin >= span
-    if long.all() or not long.any():
-        return long
-    near = np.zeros(int(end.max()) + 2, np.int64)
-    np.add.at(near, np.maximum(begin[long] - SAME_DIAGONAL, 0), 1)
-    np.add.at(near, np.minimum(end[long] + SAME_DIAGONAL, len(near) - 1), -1)
-    covered = np.concatenate([[0], np.cumsum(np.cumsum(near) > 0)])
-    return long | (covered[end] > covered[begin])
-
-
 def open_windows(pos: np.ndarray, rep: np.ndarray, diag: np.ndarray, min_words: int) -> list[tuple[int, int]]:
     """Windows of ``min_words`` words (first, number) that may be repeats, and are no part of one exact match.
 
@@ -423,7 +405,6 @@ def _chains(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
     # a shared seed's first document too: its windows may be the first of a repeat
     matches = s.join(_shared(s.where("first"), "shared-seeds"), "h").select("doc", "rep", "pos", "rpos")
     work = matches.repartition("doc").sortWithinPartitions("doc", "rep")
-    span = max(K, min_words - 2 * (WINDOW - 1))
 
     def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (doc, rep, pos, rpos), starts in sorted_groups(batches, 1):
@@ -434,18 +415,13 @@ def _chains(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
                 ranges = open_windows(pos[order], rep[order], (pos - rpos)[order], min_words)
                 if ranges:  # as a row of the document itself
                     rows.append((me, me, [{"s": s, "o": 0, "n": n} for s, n in ranges], 0, 0))
-                made = []
                 for part in np.split(np.arange(x, y), np.flatnonzero(np.diff(rep[x:y])) + 1):
-                    if rep[part[0]] != me:
-                        seg = segments(pos[part], rpos[part])
-                        made += [(int(rep[part[0]]), seg[chain]) for chain in chains(seg)]
-                if not made:
-                    continue
-                keep = worth_aligning(np.array([c[0, 0] for _, c in made]), np.array([c[-1, 0] + c[-1, 2] for _, c in made]), span)
-                for k in np.flatnonzero(keep):
-                    r, chain = made[k]
-                    rows.append((me, r, [dict(zip("son", row)) for row in chain.tolist()],
-                                 int(chain[:, 1].min()), int((chain[:, 1] + chain[:, 2]).max())))
+                    if (r := int(rep[part[0]])) == me:
+                        continue
+                    seg = segments(pos[part], rpos[part])
+                    for chain in (seg[c] for c in chains(seg)):
+                        rows.append((me, r, [dict(zip("son", row)) for row in chain.tolist()],
+                                     int(chain[:, 1].min()), int((chain[:, 1] + chain[:, 2]).max())))
             if rows:
                 yield _chain_rows(rows)
 

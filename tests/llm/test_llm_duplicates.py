@@ -146,6 +146,21 @@ def test_repeats_put_together_from_known_pieces(spark):
     assert got == {(60, 60, 60, 50, 60), (70, 1, 52, 50, 60)}
 
 
+def test_repeats_of_short_chains(spark):
+    # the opening of a passage of 2 and 3 was seen in 1; one word is changed: no chain is long, one shared seed has to do
+    rnd, t, want = random.Random(9), {}, set()
+    for i in range(0, 120, 3):
+        p, new = sentence(rnd, 56).split(), lambda: sentence(rnd, 60).split()
+        changed = p[:38] + ["changed"] + p[39:]
+        t |= {i: new() + p[:20], i + 1: new() + p + new(), i + 2: new() + changed + new()}
+        seeds = [set(repeats.seeds_of([w.encode() for w in t[i + k]])[0].tolist()) for k in range(3)]
+        if (seeds[1] & seeds[2]) - seeds[0]:
+            want.add((i + 2, i + 1))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in t.items()], "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["source_id"]) for r in repeats.find_repeats(df).collect() if r["start"] <= 60 and r["start"] + r["words"] >= 116}
+    assert len(want) > 10 and want - got == set()
+
+
 def test_open_windows():
     pos = np.arange(100, 190, 4)
     one, none = np.ones(len(pos), int), repeats.open_windows(np.arange(0, 20, 2), np.ones(10, int), np.zeros(10, int), 50)
