@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, sorted_groups
 
-K, WINDOW = 8, 16
+K, WINDOW = 5, 6
 #: Words compared beyond a chain's ends; unequal words that a passage may bridge.
 REACH, MAX_GAP = 96, 4
 #: A text can be cut before every so many words.
@@ -275,16 +275,6 @@ def align(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]]) -> tu
     return left[order], right[order]
 
 
-def exact_passages(a: np.ndarray, b: np.ndarray, s: int, o: int, n: int, min_words: int) -> list[tuple[int, int, int, int, int]]:
-    """Passages of equal words along a segment's diagonal, within it and up to REACH words around."""
-    back = min(REACH, s, o)
-    s, o = s - back, o - back
-    n = min(n + back + REACH, len(a) - s, len(b) - o)
-    ends = np.flatnonzero(np.concatenate([[True], a[s:s + n] != b[o:o + n], [True]]))
-    long = np.flatnonzero(np.diff(ends) > min_words)
-    return [(s + int(ends[i]), m, o + int(ends[i]), m, m) for i in long for m in [int(ends[i + 1] - ends[i]) - 1]]
-
-
 def passages(left: np.ndarray, right: np.ndarray, min_words: int, similarity: float) -> list[tuple[int, int, int, int, int]]:
     """Passages of an alignment: (start, words, start there, words there, equal words)."""
     out = []
@@ -314,6 +304,32 @@ def passages(left: np.ndarray, right: np.ndarray, min_words: int, similarity: fl
     return out
 
 
+def along_diagonals(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]], min_words: int,
+                    similarity: float) -> list[tuple[int, int, int, int, int]]:
+    """Passages that an alignment along the whole chain may cut short.
+
+    Along each segment's diagonal, up to REACH words around it: runs of equal
+    words, and passages of changed words only. Where words were put in or
+    left out, an alignment from the segment's first seed and from its last.
+    """
+    out = []
+    for s, o, n in chain:
+        back = min(REACH, s, o)
+        m = min(n + back + REACH, len(a) - s + back, len(b) - o + back)
+        same = a[s - back:s - back + m] == b[o - back:o - back + m]
+        eq = np.flatnonzero(same)
+        if len(eq) >= similarity * min_words:
+            out += passages(s - back + eq, o - back + eq, min_words, similarity)
+            ends = np.flatnonzero(np.concatenate([[True], ~same, [True]]))
+            for i in np.flatnonzero(np.diff(ends) > min_words):
+                e, words = int(ends[i]) - back, int(ends[i + 1] - ends[i]) - 1
+                out.append((s + e, words, o + e, words, words))
+        if len(chain) > 1 or not same[back:back + n].all():
+            for x in {0, max(0, min(n, len(a) - s, len(b) - o) - K)}:
+                out += passages(*align(a, b, [(s + x, o + x, K)]), min_words, similarity)
+    return out
+
+
 FOUND = "start long, words long, source_id long, source_start long, source_words long, equal_words long"
 
 
@@ -476,8 +492,7 @@ def _aligned(text: str, cs: list[dict], min_words: int, similarity: float) -> li
         if any(s >= len(a) or not 0 <= o < len(b) for s, o, _ in chain):  # another row of the same id
             continue
         got = passages(*align(a, b, chain), min_words, similarity)
-        # the alignment of an exact repeat may be cut short where the next segment begins
-        got += [x for seg in chain for x in exact_passages(a, b, *seg, min_words)]
+        got += along_diagonals(a, b, chain, min_words, similarity)
         for s, n, o, m, eq in got:
             found.append((s, n, c["rep"], o + lo, m, eq))
             inside[s:s + n] = True

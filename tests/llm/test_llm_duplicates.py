@@ -161,6 +161,32 @@ def test_repeats_of_short_chains(spark):
     assert len(want) > 10 and want - got == set()
 
 
+@pytest.mark.parametrize("similarity, least", [(0.8, 0.9), (0.85, 0.95), (0.9, 0.98)])
+def test_recall_of_changed_passages(similarity, least):
+    # 60 words, some of them changed, against an alignment from every pair of equal words
+    rnd, there, found = random.Random(10), 0, 0
+    for _ in range(200):
+        word = lambda: b"%d" % rnd.randrange(10**6)
+        p = [word() for _ in range(60)]
+        q = list(p)
+        for i in rnd.sample(range(3, 57), round(60 * (1 - similarity))):
+            q[i] = word()
+        a, b = ([*(word() for _ in range(60)), *x, *(word() for _ in range(60))] for x in (p, q))
+        number = {}
+        x, y = (np.array([number.setdefault(w, len(number)) for w in t]) for t in (a, b))
+        if not any(repeats.passages(*repeats.align(x, y, [(s, s, 1)]), 50, 0.8) for s in np.flatnonzero(x == y).tolist()):
+            continue
+        there += 1
+        (ha, pa), (hb, pb) = repeats.seeds_of(a), repeats.seeds_of(b)
+        at = dict(zip(hb.tolist(), pb.tolist()))
+        hits = [(s, at[h]) for h, s in zip(ha.tolist(), pa.tolist()) if h in at]
+        if hits:
+            seg = repeats.segments(*(np.array(c) for c in zip(*hits)))
+            cs = [{"chain": [dict(zip("son", r)) for r in seg[c].tolist()], "rep": 1, "lo": 0, "there": b" ".join(b)} for c in repeats.chains(seg)]
+            found += bool(repeats._aligned(b" ".join(a).decode(), cs, 50, 0.8))
+    assert there > 20 and found >= least * there
+
+
 def test_open_windows():
     pos = np.arange(100, 190, 4)
     one, none = np.ones(len(pos), int), repeats.open_windows(np.arange(0, 20, 2), np.ones(10, int), np.zeros(10, int), 50)
