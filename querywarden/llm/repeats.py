@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise, sorted_groups
 
-K, WINDOW = 5, 6
+#: WINDOW is at most K: seeds at most WINDOW apart then leave no word between them uncompared.
+K, WINDOW = 5, 5
 #: Words compared beyond a chain's ends; unequal words that a passage may bridge.
 REACH, MAX_GAP = 96, 4
 #: A text can be cut before every so many words.
