@@ -23,7 +23,7 @@ DIMS = 1 << BITS
 NGRAMS = (2, 3, 4)
 #: Labelled rows of each label that the weights are fitted on (in the mean; all, where there are fewer).
 ROWS_PER_LABEL = 1500
-#: Labels that are learnt: the most frequent ones, this many at most.
+#: Labels that can be learnt (a fit holds two tables of DIMS x labels numbers); more are an error.
 MAX_LABELS = 256
 
 
@@ -172,14 +172,16 @@ def train(rows: DataFrame, text: str = "text", label: str = "lang", key: str = "
     """Learn from all rows with a text and a label; returns the model as plain arrays.
 
     Rows with a null text or label are not learnt from. Without any labelled
-    row the model knows no label.
+    row the model knows no label. More than MAX_LABELS labels are an error.
     """
     import pyarrow as pa
 
     rows = rows.select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"),
                        F.xxhash64(F.col(key), F.col(text)).alias("h")) \
         .where(F.col("text").isNotNull() & F.col("label").isNotNull())
-    counts = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LABELS).collect()
+    counts = rows.groupBy("label").count().limit(MAX_LABELS + 1).collect()
+    if len(counts) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels")
     names = sorted(r["label"] for r in counts)
     if not names:
         return {"labels": []}

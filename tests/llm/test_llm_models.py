@@ -157,3 +157,12 @@ def test_model_beats_unigrams_on_held_out_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     r = lm.score_documents(docs, id_hash_mod("doc_id", 7) == 2).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert r[0] > r[1]
+
+
+def test_no_label_is_left_out(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "some text", x) for i, x in enumerate("abc")], "doc_id long, text string, lang string")
+    monkeypatch.setattr(language, "MAX_LABELS", 3)
+    assert language.train(df)["labels"] == ["a", "b", "c"]
+    monkeypatch.setattr(language, "MAX_LABELS", 2)
+    with pytest.raises(ValueError, match="more than 2 labels"):
+        language.train(df)
