@@ -11,7 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, language, lm, repeats, sharding, simhash, syncmers, token_files
+from . import (bpe, chat, decontaminate, divergence, language, lm, repeats, sharding, simhash, syncmers, token_files,
+               whitening)
 from .common import id_hash_mod, table
 
 
@@ -68,6 +69,14 @@ def op10_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"), id_hash_mod("doc_id", 7) == 2)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_feistel_shards": op2_feistel_shards,
@@ -79,10 +88,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeated_passages": op8_repeated_passages,
     "op9_decontaminate": op9_decontaminate,
     "op10_gru_scores": op10_gru_scores,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_feistel_shards": sharding.oracle_sql(40),
     "op4_chat_format": chat.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
+    "op13_source_divergence": divergence.ORACLE,
 }

@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_one_query_for_each_operator():
     names = [n for n in E.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n in catalog.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n in catalog.QUERIES) == list(range(1, 14))
     assert "pipeline" in E.queries() and set(catalog.ORACLE_SQL) <= set(catalog.QUERIES)
 
 
