@@ -11,8 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, chat, decontaminate, divergence, language, lm, repeats, sharding, simhash, syncmers, token_files,
-               whitening)
+from . import (bpe, chat, decontaminate, divergence, language, lm, repeats, sharding, simhash, substrings, syncmers,
+               token_files, whitening)
 from .common import id_hash_mod, table
 
 
@@ -73,6 +73,10 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(substrings.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents"))
 
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_gru_scores": op10_gru_scores,
     "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_source_divergence": op13_source_divergence,
 }
 
@@ -96,5 +101,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_feistel_shards": sharding.oracle_sql(40),
     "op4_chat_format": chat.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
+    "op12_suffix_dedup": substrings.ORACLE,
     "op13_source_divergence": divergence.ORACLE,
 }
