@@ -58,6 +58,11 @@ def strip_pattern() -> str:
     return f"^{ws_class()}+|{ws_class()}+$"
 
 
+def java_strip_pattern() -> str:
+    """``strip_pattern`` for Java, which tries ``ws+$`` anew from each blank of a run inside the text; here only from its first."""
+    return f"^{ws_class()}++|(?<!{ws_class()}){ws_class()}++\\z"
+
+
 def _rewrite_escapes(pattern: str, mapping_out: dict, mapping_in: dict) -> str:
     """Rewrite backslash escapes, using a different mapping inside ``[...]``."""
     out, i, in_class = [], 0, False

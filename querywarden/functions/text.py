@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import regex
+from . import linear, regex
 
 
 def _c(col) -> Column:
@@ -14,7 +14,7 @@ def _c(col) -> Column:
 
 def py_strip(col) -> Column:
     """Python ``str.strip()`` (Unicode whitespace, not just spaces)."""
-    return F.regexp_replace(_c(col), F.lit(regex.strip_pattern()), F.lit(""))
+    return F.regexp_replace(_c(col), F.lit(regex.java_strip_pattern()), F.lit(""))
 
 
 def py_is_blank(col) -> Column:
@@ -57,6 +57,37 @@ def replace_all(col, pattern: str, replacement: str, case_insensitive: bool = Fa
     return F.regexp_replace(_c(col), F.lit(regex.adapt(pattern, case_insensitive)), F.lit(safe))
 
 
+def rule_hits(col, rule) -> tuple[Column, Column]:
+    """All matches of a rule, and the text with each replaced by the rule's placeholder, in one pass over the text.
+
+    Rules with an entry in ``linear.FORMS`` are run in that form: the same
+    matches, without Java trying again from every character.
+    """
+    c, form = _c(col), linear.form_of(rule.pattern, rule.case_insensitive)
+    if form is None:
+        return (extract_all(c, rule.pattern, rule.case_insensitive),
+                replace_all(c, rule.pattern, rule.placeholder, rule.case_insensitive))
+    if not form.pieces:
+        safe = rule.placeholder.replace("\\", "\\\\").replace("$", "\\$")
+        return F.regexp_extract_all(c, F.lit(form.pattern), 0), F.regexp_replace(c, F.lit(form.pattern), F.lit(safe))
+    found = F.regexp_extract_all(c, F.lit(form.pattern), 1)
+    pieces = F.regexp_extract_all(c, F.lit(form.pattern), 0)
+    text = F.array_join(F.zip_with(pieces, found, lambda p, f: F.when(f == "", p).otherwise(F.lit(rule.placeholder))), "")
+    return F.filter(found, lambda f: f != ""), text
+
+
+def strip_tags(col, tag: str, by: str) -> Column:
+    """Replace ``tag``, a pattern from ``<`` to the next ``>``, by ``by``.
+
+    Only the text up to the last ``>`` is searched: beyond it each ``<``
+    would look through all the rest for an end that is not there.
+    """
+    c = _c(col)
+    tail = F.substring_index(c, ">", -1)
+    head = F.substring(c, F.lit(1), F.length(c) - F.length(tail))
+    return F.when(c.contains(">"), F.concat(F.regexp_replace(head, F.lit(tag), F.lit(by)), tail)).otherwise(c)
+
+
 def sha256_prefix(col, n: int = 16) -> Column:
     """First ``n`` hex digits of SHA-256 over the UTF-8 bytes."""
     return F.substring(F.sha2(_c(col), 256), 1, n)

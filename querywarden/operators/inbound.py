@@ -54,7 +54,7 @@ def decode_entities(col) -> Column:
 def clean_text(col, max_length: int = R.MAX_SNIPPET_LENGTH) -> Column:
     """Tags -> space, decode entities, collapse whitespace, cap with '...'."""
     c = T._c(col)
-    stripped = F.regexp_replace(c, F.lit(X.adapt(R.HTML_TAG)), F.lit(" "))
+    stripped = T.strip_tags(c, X.adapt(R.HTML_TAG), " ")
     collapsed = T.py_collapse_ws(decode_entities(stripped))
     capped = F.when(F.length(collapsed) > max_length,
                     F.concat(F.substring(collapsed, 1, max_length), F.lit("..."))

@@ -70,8 +70,7 @@ def redact_pii(df: DataFrame, col: str = "query", rules: Sequence[R.PiiRule] = R
         def step(x):
             q = x["q"]
             g = guard_of(r, q)
-            hits = T.extract_all(q, r.pattern, r.case_insensitive)
-            new_q = T.replace_all(q, r.pattern, r.placeholder, r.case_insensitive)
+            hits, new_q = T.rule_hits(q, r)
             if findings:
                 found = F.concat(x["f"], F.transform(hits, lambda h: F.struct(
                     F.lit(r.placeholder).alias("placeholder"), h.alias("match"))))

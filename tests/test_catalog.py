@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as E
 from querywarden.plans import catalog
-from conftest import SF_SMALL
+from locations import SF_SMALL
 from querywarden.sources.tables import TABLES
 
 

@@ -5,7 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from locations import SF_SMALL
 from querywarden.functions import rules as R
 from querywarden.plans import catalog
 

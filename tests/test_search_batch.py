@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from locations import SF_SMALL
 from querywarden.plans import catalog as C
 from querywarden.plans import search as S
 from querywarden.sources import policy as P

@@ -4,7 +4,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from locations import SF_SMALL
 from querywarden.operators import audit as A
 from querywarden.operators import traffic as TR
 from querywarden.plans import search as S
