@@ -40,6 +40,8 @@ MAX_VOCABULARY = 2**31 - 1
 EVERY_DOCUMENT = " "
 #: A unit of pair evaluation: so many sources a side, so many terms.
 TILE, BLOCK = 128, 1024
+#: A table of the langs up to so many bytes goes to all tasks.
+SMALL_TABLE = 4 << 20
 
 RESULT = "lang string, source string, part string, item string, value long, rank int"
 
@@ -50,6 +52,8 @@ def word_table(docs: DataFrame) -> tuple[DataFrame, list[tuple[int, str, int]]]:
     rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
     langs = [(i, r["lang"], r["count"]) for i, r in enumerate(rows.groupBy("lang").count().orderBy("lang").collect())]
     numbers = spark.createDataFrame([(i, lang) for i, lang, _ in langs], "lang_no int, lang string")
+    if sum(len(lang.encode()) + 16 for _, lang, _ in langs) <= SMALL_TABLE:
+        numbers = F.broadcast(numbers)         # else the texts are shuffled by lang
     words = F.array_append(F.array_remove(F.split(ascii_lower("text"), BETWEEN), ""), F.lit(EVERY_DOCUMENT))
     out = rows.join(numbers, "lang").select("lang_no", "source", words.alias("words"))
     path = fresh_path(spark, "words")

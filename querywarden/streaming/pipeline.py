@@ -1,24 +1,25 @@
 """Structured Streaming wrappers.
 
 Row-wise operators (sanitize, decisions, result cleaning) are applied to a
-streaming DataFrame directly. The two sequential pieces of state are carried
-between micro-batches in small tables written under a base directory, one
-version per batch id:
-
-* release spacing: ``carry/batch_id=N`` holds (scope, last release) after batch N;
-* audit chain: ``heads/batch_id=N`` holds (chain, last entry hash, open
-  segment bytes) after batch N.
-
-Batch N reads the version written by batch N-1 and overwrites its own
-outputs, so a retried batch reproduces the same rows (exactly-once with an
-idempotent sink). The base directory must be shared storage on a cluster.
+streaming DataFrame directly. The sequential pieces of state are carried
+between micro-batches as ``state.KeyedState`` under a base directory:
+
+* release spacing: ``carry`` holds (scope, last release);
+* audit chain: ``heads`` holds (chain, last entry hash, open segment bytes);
+* k-anonymity (``operators.distinct_users``): ``users`` holds (text, its k
+  least users).
+
+Batch N reads the state before N, writes only the keys it changes, and
+overwrites its own outputs, so a retried batch reproduces the same rows
+(exactly-once with an idempotent sink). The base directory must be shared
+storage on a cluster.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import audit as A
@@ -26,73 +27,47 @@ from ..operators import inbound as I
 from ..plans import search as S
 from ..sources import policy as P
 from ..operators import traffic as TR
+from .state import KeyedState
 
 
 def _version(base: str, name: str, batch_id: int) -> str:
     return f"{base.rstrip('/')}/{name}/batch_id={batch_id}"
 
 
-def _read_latest(spark: SparkSession, base: str, name: str, batch_id: int, schema: str) -> DataFrame:
-    """The state written by the newest batch before ``batch_id`` (empty if none)."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    best = -1
-    if fs.exists(path):
-        for st in fs.listStatus(path):
-            n = st.getPath().getName()
-            if n.startswith("batch_id=") and fs.exists(
-                    jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                b = int(n.split("=", 1)[1])
-                if b < batch_id:
-                    best = max(best, b)
-    if best < 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(_version(base, name, best))
-
-
 def spacing_batch_writer(base: str, scope: str = "user_id", ts: str = "ts", order: str = "query_id",
-                         window_s: float | str = 5.0) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function writing release times and the next carry version."""
+                         window_s: float | str = 5.0, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function writing release times and the last release of each scope of the batch."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        stype = dict(batch.dtypes)[scope]
-        carry = _read_latest(spark, base, "carry", batch_id,
-                             f"{scope} {stype}, last_release_us bigint")
+        state = KeyedState(base, "carry", (scope,), f"{scope} {dict(batch.dtypes)[scope]}, last_release_us bigint", buckets)
+        carry = state.read(spark, batch_id, state.touched(batch))
         # the batch scan, so a scope that fills a micro-batch is spread over many tasks
         out = TR.min_spacing(batch, scope, ts, order, window_s, last=carry)
         out.write.mode("overwrite").parquet(_version(base, "releases", batch_id))
         done = spark.read.parquet(_version(base, "releases", batch_id))
-        latest = done.groupBy(scope).agg(F.max("release_us").alias("last_release_us"))
-        gone = latest.select(F.col(scope).alias("_new"))
-        merged = carry.join(gone, F.col(scope).eqNullSafe(F.col("_new")), "left_anti").unionByName(latest)
-        merged.write.mode("overwrite").parquet(_version(base, "carry", batch_id))
+        state.write(done.groupBy(scope).agg(F.max("release_us").alias("last_release_us")), batch_id)
 
     return write
 
 
 def audit_batch_writer(base: str, chain_key: str = "user_id", order=("ts", "query_id"),
-                       max_segment_bytes: int | None = None) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function appending chain lines and the next heads version.
+                       max_segment_bytes: int | None = None, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function appending chain lines and the heads of the batch's chains.
 
     The batch must carry the audit record columns (see ``audit.audit_records``).
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        ktype = dict(batch.dtypes)[chain_key]
-        heads = _read_latest(spark, base, "heads", batch_id,
-                             f"{chain_key} {ktype}, seed_hash string, seed_bytes bigint, "
-                             "seed_segment bigint, seed_seq bigint")
+        state = KeyedState(base, "heads", (chain_key,), f"{chain_key} {dict(batch.dtypes)[chain_key]}, seed_hash string, "
+                           "seed_bytes bigint, seed_segment bigint, seed_seq bigint", buckets)
+        heads = state.read(spark, batch_id, state.touched(batch))
         lines = A.build_chain(A.entry_parts(batch), chain_key, list(order), heads=heads,
                               max_segment_bytes=max_segment_bytes)
         lines = lines.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
         lines.write.mode("overwrite").parquet(_version(base, "lines", batch_id))
-        new_heads = A.chain_heads(spark.read.parquet(_version(base, "lines", batch_id)), chain_key)
-        gone = new_heads.select(F.col(chain_key).alias("_new"))
-        merged = heads.join(gone, F.col(chain_key).eqNullSafe(F.col("_new")), "left_anti").unionByName(new_heads)
-        merged.write.mode("overwrite").parquet(_version(base, "heads", batch_id))
+        state.write(A.chain_heads(spark.read.parquet(_version(base, "lines", batch_id)), chain_key), batch_id)
 
     return write
 
