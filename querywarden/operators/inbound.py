@@ -51,6 +51,26 @@ def decode_entities(col) -> Column:
     return F.when(~has_amp, c).when(simple_only, jvm).otherwise(py)
 
 
+def engine_filter(results: DataFrame, allowed: DataFrame, key: str = "policy_id", engine: str = "engine",
+                  n_rows: int | None = None) -> DataFrame:
+    """I11 [ext]: rows whose engine the policy allows.
+
+    ``allowed`` has ``key`` and ``engines`` (an array). A policy without a row,
+    or whose array is null, allows every engine, also a row without one; an
+    empty array allows none; a row without an engine passes no list. Both
+    sides are joined by (policy, engine); ``allowed`` is broadcast only when
+    it is known to be small (``n_rows``, its rows).
+    """
+    ruled = allowed.where(F.col("engines").isNotNull() & F.col(key).isNotNull())
+    pairs = ruled.select(F.col(key).alias("_p"), F.explode("engines").alias("_e")).where(F.col("_e").isNotNull()).distinct()
+    policies = ruled.select(F.col(key).alias("_q"), F.lit(True).alias("_ruled")).distinct()
+    if n_rows is not None and n_rows <= 10_000:
+        pairs, policies = F.broadcast(pairs), F.broadcast(policies)
+    out = results.join(policies, F.col(key) == F.col("_q"), "left") \
+        .join(pairs.withColumn("_hit", F.lit(True)), (F.col(key) == F.col("_p")) & (F.col(engine) == F.col("_e")), "left")
+    return out.where(F.col("_ruled").isNull() | F.col("_hit").isNotNull()).drop("_q", "_ruled", "_p", "_e", "_hit")
+
+
 def clean_text(col, max_length: int = R.MAX_SNIPPET_LENGTH) -> Column:
     """Tags -> space, decode entities, collapse whitespace, cap with '...'."""
     c = T._c(col)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit as A
+from ..operators import distinct_users as DU
 from ..operators import inbound as I
 from ..operators import outbound as O
 from ..operators import traffic as TR
@@ -138,6 +139,12 @@ def k_anonymous_queries(spark, sf):
     return kept.select("query_id", "user_id", "query", "n_users")
 
 
+def k_anonymous_daily(spark, sf):
+    """K1 over daily slices: how many users of a text are known by the end of each day that has it, up to K_ANON."""
+    base = _f1_passed(spark, sf).select("query", "user_id", F.unix_date(F.to_date("ts")).cast("bigint").alias("day"))
+    return DU.users_by_slice(base, "query", "day", "user_id", K_ANON)
+
+
 def padded_queries(spark, sf):
     df = _sanitized(spark, sf).where(~F.col("blocked"))
     df = O.pad(df, "query", "padded")
@@ -151,6 +158,15 @@ def policy_gate(spark, sf):
         "batch_window", "status", "reason")
 
 
+def policy_gate_asof(spark, sf):
+    """S5 as the service applies it, re-read for each request: the policy version valid at the query's time."""
+    q = TB.query_log(spark, sf).withColumn("policy_id", F.expr(TB.USER_POLICY_SQL))
+    versions = P.parse_policies(TB.policy_versions(spark, sf))
+    dec = S.decide(spread(P.attach_policy_asof(q, versions)), None, seed=SEED)
+    return dec.select("query_id", "policy_id", "enabled", "dp_enabled", "decoy_count", "uniqueness_mode",
+                      "batch_window", "status", "reason")
+
+
 def decoy_plan(spark, sf):
     ok = _decisions(spark, sf).where((F.col("status") == 200) & (F.col("decoys_sent") > 0))
     return TR.decoy_plan(ok, "query_id", "decoys_sent", SEED)
@@ -255,6 +271,16 @@ def quarantined_results(spark, sf):
         F.coalesce("title_rule", "snippet_rule").alias("rule_id"))
 
 
+def engine_filtered_results(spark, sf):
+    """Result sets by the policy of their query (query id = set id), engines first, then the top results."""
+    policy = TB.query_log(spark, sf).select(F.col("query_id").alias("set_id"), F.expr(TB.USER_POLICY_SQL).alias("policy_id"))
+    rows = TB.result_engines(spark, sf).join(policy, "set_id", "left")
+    allowed = spark.createDataFrame(list(TB.ALLOWED_ENGINES), "policy_id string, engines array<string>")
+    kept = I.engine_filter(rows, allowed, n_rows=len(TB.ALLOWED_ENGINES))
+    return I.sanitize_results(I.top_results(kept)).where(F.col("kept")).select(
+        "set_id", "rnk", "policy_id", "engine", "title", "snippet", "url", "source")
+
+
 def context_strings(spark, sf):
     return I.build_context(_top_results(spark, sf))
 
@@ -294,8 +320,8 @@ def audit_chain_resumed(spark, sf):
 
 
 def audit_resume_from_log(spark, sf):
-    """A5 from log files: write the first half of the time range as rotated log files, read the
-    heads back from them and chain the rest on; all entries together equal one pass."""
+    """A5 from log files: write the first half of the time range as bucketed log files, read the
+    heads from their index and chain the rest on; all entries together equal one pass."""
     import uuid
 
     parts, early = _halves(spark, sf)
@@ -303,14 +329,32 @@ def audit_resume_from_log(spark, sf):
     first = materialise(A.build_chain(parts.where(early), "user_id", ["ts", "query_id"],
                                       max_segment_bytes=SEGMENT_BYTES).select(*cols), "first-half")
     path = scratch_path(spark, f"audit-log-{uuid.uuid4().hex}")
-    AL.write_audit_log(first, path, "user_id")
-    logs = AL.read_audit_log(spark, path).withColumns({
-        "user_id": F.col("user_id").cast("bigint"), "segment": F.col("segment").cast("bigint")})
-    rest = A.build_chain(parts.where(~early), "user_id", ["ts", "query_id"], heads=AL.log_heads(logs, "user_id"),
+    AL.write_bucketed_log(first, path, "user_id")
+    rest = A.build_chain(parts.where(~early), "user_id", ["ts", "query_id"], heads=AL.index_heads(AL.read_index(spark, path)),
                          max_segment_bytes=SEGMENT_BYTES).select(*cols)
     return first.unionByName(rest)
 
 
+def audit_bucketed_roundtrip(spark, sf):
+    """S7, A5, S6 with bucketed files: two appends, the second resumed from the index of the first, read
+    back through the index; each segment is verified."""
+    import uuid
+
+    parts, early = _halves(spark, sf)
+    path = scratch_path(spark, f"audit-log-{uuid.uuid4().hex}")
+    for n, (half, heads) in enumerate(((early, None), (~early, AL.index_heads))):
+        seeds = heads(AL.read_index(spark, path)) if heads else None
+        chain = A.build_chain(parts.where(half), "user_id", ["ts", "query_id"], heads=seeds, max_segment_bytes=SEGMENT_BYTES)
+        AL.write_bucketed_log(materialise(chain.select("user_id", "segment", "seq", "prev_hash", "entry_hash", "line"), "append"),
+                              path, "user_id", append=n)
+    return A.verify(AL.read_bucketed_log(spark, path), ["user_id", "segment"], "line_no")
+
+
+def audit_segment_names(spark, sf):
+    """The names of closed segments."""
+    return A.segment_names(_chain(spark, sf, SEGMENT_BYTES), "user_id")
+
+
 def audit_segments(spark, sf):
     c = _chain(spark, sf, SEGMENT_BYTES)
     return c.select("user_id", "seq", "segment",
@@ -425,8 +469,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "generalised_queries": generalised_queries,
     "category_counts": category_counts,
     "k_anonymous_queries": k_anonymous_queries,
+    "k_anonymous_daily": k_anonymous_daily,
     "padded_queries": padded_queries,
     "policy_gate": policy_gate,
+    "policy_gate_asof": policy_gate_asof,
     "request_intake": request_intake,
     "decoy_plan": decoy_plan,
     "cover_plan": cover_plan,
@@ -441,12 +487,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "injection_flags": injection_flags,
     "injection_by_rule": injection_by_rule,
     "quarantined_results": quarantined_results,
+    "engine_filtered_results": engine_filtered_results,
     "context_strings": context_strings,
     "audit_records": audit_records,
     "audit_chain": audit_chain,
     "audit_chain_resumed": audit_chain_resumed,
     "audit_resume_from_log": audit_resume_from_log,
     "audit_segments": audit_segments,
+    "audit_segment_names": audit_segment_names,
+    "audit_bucketed_roundtrip": audit_bucketed_roundtrip,
     "audit_verify": audit_verify,
     "audit_verify_tampered": audit_verify_tampered,
     "audit_verify_segments": audit_verify_segments,

@@ -17,13 +17,14 @@ from ..operators import traffic as TR
 from ..sources import policy as P
 
 
-def decide(queries: DataFrame, policy_df: DataFrame, n_policy_rows: int | None = None,
+def decide(queries: DataFrame, policy_df: DataFrame | None, n_policy_rows: int | None = None,
            key: str = "query_id", seed: str = TR.DEFAULT_SEED) -> DataFrame:
     """Per query: status (200/403/422), reason, sanitised text and the dp plan inputs.
 
-    ``queries`` needs ``raw, categories, policy_id`` and ``key``.
+    ``queries`` needs ``raw, categories, policy_id`` and ``key``; without
+    ``policy_df`` they carry their policy's columns (``attach_policy_asof``).
     """
-    df = P.attach_policy(queries, policy_df, n_rows=n_policy_rows)
+    df = queries if policy_df is None else P.attach_policy(queries, policy_df, n_rows=n_policy_rows)
     df = O.sanitize(df, "raw")
     on_dp = F.col("enabled") & ~F.col("blocked") & F.col("dp_enabled")
     rare = O.rare_terms(df.select("*"), "query")

@@ -14,6 +14,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.asof import asof_join
+
 
 def write_audit_log(lines: DataFrame, path: str, chain_key: str = "user_id",
                     mode: str = "overwrite") -> None:
@@ -27,7 +29,12 @@ def write_audit_log(lines: DataFrame, path: str, chain_key: str = "user_id",
 
 def read_audit_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``file, line_no, line`` (plus partition columns found under a directory)."""
-    raw = spark.read.text(path).select(
+    return numbered_lines(spark.read.text(path))
+
+
+def numbered_lines(text: DataFrame) -> DataFrame:
+    """Rows of ``spark.read.text`` with ``file`` and ``line_no`` (physical, from 1)."""
+    raw = text.select(
         "*",
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("_blk"),
@@ -105,3 +112,69 @@ def log_heads(lines: DataFrame, chain_key: str, segment: str = "segment", line_n
     good = F.json_object_keys("_last").isNotNull() & one_json_value(F.col("_last"))
     return heads.withColumn("seed_hash", F.when(good, F.coalesce(
         F.get_json_object("_last", "$.entry_hash"), F.lit(""))).otherwise(F.lit(""))).drop("_last")
+
+
+# ---------------------------------------------------------------------------
+# Bucketed layout: files by hash of (chain, segment), with an index
+# ---------------------------------------------------------------------------
+
+def write_bucketed_log(lines: DataFrame, path: str, chain_key: str = "user_id", append: int = 0, buckets: int = 16) -> None:
+    """S7 in ``buckets`` files an append, whatever the number of chains; an append is written once.
+
+    ``lines/append=N/bucket=B`` holds the lines of that bucket's segments, one
+    after the other; ``index/append=N`` has a row for each segment: its file,
+    first and last line there, entries, bytes, the ``prev_hash`` of its first
+    entry and the ``entry_hash`` of its last. A segment goes on in a later
+    append where a chain is resumed. ``lines`` (with ``seq``, ``segment``,
+    ``prev_hash``, ``entry_hash``, ``line``) is read twice: pass a written table.
+    """
+    bucket = F.pmod(F.xxhash64(chain_key, "segment"), F.lit(buckets)).cast("int")
+    order = [chain_key, "segment", "seq"]
+    rows = lines.select(*order, "prev_hash", "entry_hash", "line", bucket.alias("bucket"))
+    base = path.rstrip("/")
+    rows.repartition("bucket").sortWithinPartitions("bucket", *order).select("bucket", "line") \
+        .write.mode("overwrite").partitionBy("bucket").text(f"{base}/lines/append={append}")
+    rows = rows.withColumn("line_no", F.row_number().over(Window.partitionBy("bucket").orderBy(*order)).cast("bigint"))
+    index = rows.groupBy(chain_key, "segment", "bucket").agg(
+        F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.count(F.lit(1)).alias("entries"),
+        F.sum(F.octet_length("line") + 1).alias("bytes"), F.min_by("prev_hash", "seq").alias("first_prev"),
+        F.max_by("entry_hash", "seq").alias("last_hash"))
+    index.write.mode("overwrite").parquet(f"{base}/index/append={append}")
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """The index of all appends of a bucketed log."""
+    return spark.read.parquet(f"{path.rstrip('/')}/index")
+
+
+def index_heads(index: DataFrame, chain_key: str = "user_id") -> DataFrame:
+    """A5 from the index alone: what ``build_chain`` needs to go on with each chain. No log line is read."""
+    per = index.groupBy(chain_key, "segment").agg(
+        F.sum("bytes").alias("_bytes"), F.sum("entries").alias("_n"), F.max_by("last_hash", "append").alias("_last"))
+    return per.groupBy(chain_key).agg(
+        F.max_by("_last", "segment").alias("seed_hash"), F.max_by("_bytes", "segment").cast("bigint").alias("seed_bytes"),
+        F.max("segment").cast("bigint").alias("seed_segment"), F.sum("_n").cast("bigint").alias("seed_seq"))
+
+
+def index_breaks(index: DataFrame, chain_key: str = "user_id") -> DataFrame:
+    """A7 over whole segments, from the index alone: those whose first entry does not link to the last one before."""
+    w = Window.partitionBy(chain_key).orderBy("segment", "append")
+    linked = F.lag("last_hash", 1, "").over(w)
+    return index.withColumn("expected", linked).where(F.col("first_prev") != F.col("expected")) \
+        .select(chain_key, "segment", "append", "expected", "first_prev")
+
+
+def read_bucketed_log(spark: SparkSession, path: str, chain_key: str = "user_id") -> DataFrame:
+    """``chain_key, segment, line_no`` (from 1 in the segment, over all appends), ``line``.
+
+    Lines find their segment by an as-of join on the index's first lines; a
+    line beyond a file's last indexed one counts to its last segment.
+    """
+    base = path.rstrip("/")
+    file_of = F.concat_ws("/", F.col("append").cast("string"), F.col("bucket").cast("string"))
+    before = F.sum("entries").over(Window.partitionBy(chain_key, "segment").orderBy("append").rowsBetween(Window.unboundedPreceding, -1))
+    index = read_index(spark, path).withColumns({"_file": file_of, "_skip": F.col("first_line") - 1 - F.coalesce(before, F.lit(0))})
+    lines = numbered_lines(spark.read.text(f"{base}/lines")).withColumn("_file", file_of).select("_file", "line_no", "line")
+    found = asof_join(lines, index, "_file", "line_no", "first_line", [chain_key, "segment", "_skip"])
+    return found.select(chain_key, F.col("segment").cast("bigint").alias("segment"),
+                        (F.col("line_no") - F.col("_skip")).cast("bigint").alias("line_no"), "line")

@@ -9,10 +9,12 @@ from __future__ import annotations
 import os
 from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..operators.asof import asof_join
 
 POLICY_SCHEMA = ("policy_id string, enabled boolean, dp_enabled boolean, decoy_count int, "
                  "uniqueness_mode string, batch_window double")
@@ -73,6 +75,41 @@ def load_policies(spark: SparkSession, paths: Mapping[str, str | None]) -> DataF
     return spark.createDataFrame(rows, POLICY_SCHEMA)
 
 
+POLICY_COLUMNS = ("enabled", "dp_enabled", "decoy_count", "uniqueness_mode", "batch_window")
+
+
+def parse_policies(documents: DataFrame, policy_id: str = "policy_id", body: str = "body") -> DataFrame:
+    """Adds the policy columns read from YAML text, one policy document a row.
+
+    As with files: what a document leaves out has its default, an empty one
+    switches search off. Text that is no YAML, or no mapping, counts as
+    empty, so a damaged policy switches search off as well.
+    """
+    schema = "enabled boolean, dp_enabled boolean, decoy_count int, uniqueness_mode string, batch_window double"
+
+    @F.pandas_udf(schema)
+    def parsed(texts: pd.Series) -> pd.DataFrame:
+        import yaml
+
+        def fields(text):
+            try:
+                doc = yaml.safe_load(text or "")
+                return policy_from_mapping("", doc if isinstance(doc, Mapping) else {})[1:]
+            except (yaml.YAMLError, AttributeError, TypeError, ValueError):
+                return policy_from_mapping("", {})[1:]
+        return pd.DataFrame([fields(t) for t in texts], columns=list(POLICY_COLUMNS))
+
+    return documents.withColumn("_p", parsed(body)).select("*", "_p.*").drop("_p")
+
+
+def attach_policy_asof(df: DataFrame, versions: DataFrame, ts: str = "ts", key: str = "policy_id",
+                       valid_from: str = "valid_from") -> DataFrame:
+    """Each row with its policy as it stood at the row's time; before its first version like a missing file."""
+    timed = df.withColumn("_at", F.unix_micros(ts))
+    dated = versions.withColumn("_from", F.unix_micros(valid_from))
+    return with_defaults(asof_join(timed, dated, key, "_at", "_from", POLICY_COLUMNS).drop("_at"))
+
+
 def policies(spark: SparkSession, profiles=POLICY_PROFILES) -> DataFrame:
     return spark.createDataFrame(list(profiles), POLICY_SCHEMA)
 
@@ -84,7 +121,11 @@ def attach_policy(df: DataFrame, policy_df: DataFrame, key: str = "policy_id",
     The policy side is broadcast only when its row count is known to be small.
     """
     side = F.broadcast(policy_df) if n_rows is not None and n_rows <= BROADCAST_MAX_ROWS else policy_df
-    joined = df.join(side, on=key, how="left")
+    return with_defaults(df.join(side, on=key, how="left"))
+
+
+def with_defaults(joined: DataFrame) -> DataFrame:
+    """Policy columns that a row lacks: those of a missing file."""
     return joined.withColumns({
         "enabled": F.coalesce(F.col("enabled"), F.lit(False)),
         "dp_enabled": F.coalesce(F.col("dp_enabled"), F.lit(R.POLICY_DEFAULTS["dp_enabled"])),

@@ -119,8 +119,8 @@ RESULT_ROWS_SQL = f"""SELECT cast(floor(page_id/10) as bigint) AS set_id,
 FROM pages"""
 
 
-def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """flat result rows ``set_id, rnk, title, content, url``."""
+def result_rows(spark: SparkSession, sf_dir: str, engine: bool = False) -> DataFrame:
+    """flat result rows ``set_id, rnk, title, content, url``, with ``engine`` if asked."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return pages.select(
         F.expr("cast(floor(page_id/10) as bigint)").alias("set_id"),
@@ -128,6 +128,7 @@ def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"),
         F.concat(F.expr(INJECTION_PREFIX_SQL), F.col("html")).alias("content"),
         F.expr(RESULT_URL_SQL).alias("url"),
+        *([F.expr(RESULT_ENGINE_SQL).alias("engine")] if engine else []),
     )
 
 
@@ -142,3 +143,51 @@ EVENT_JSON_SQL = """'{ "type": "'||event_type||'", "props": '||props||', "list":
 USER_POLICY_SQL = """case user_id % 7 when 0 then 'reference' when 1 then 'standalone'
  when 2 then 'appliance' when 3 then 'none' when 4 then 'allow' when 5 then 'nodp'
  else 'strict' end"""
+
+
+#: A policy's index, in the order of the profiles' assignment to users.
+POLICY_NAMES = ("reference", "standalone", "appliance", "none", "allow", "nodp", "strict")
+
+#: The YAML text of version ``kind`` of a policy, valid from some hour of day ``day``.
+POLICY_BODY_SQL = """case kind
+ when 0 then ''
+ when 1 then 'search:\n  enabled: true\n'
+ when 2 then 'search:\n  enabled: true\n  differential_privacy:\n    enabled: false\n'
+ when 3 then 'search:\n  enabled: true\n  differential_privacy:\n    decoy_count: '||cast(1 + day % 4 as string)||'\n    uniqueness_mode: auto-block\n    batch_window: 2.5\n'
+ when 4 then 'search:\n  enabled: false\n'
+ else 'search: [not, closed' end"""
+
+
+def policy_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dated policy documents: on every third day that has events each policy gets a new one.
+
+    ``policy_id, valid_from, body`` (YAML text, of six kinds, one of them damaged).
+    """
+    days = events(spark, sf_dir).select(F.unix_date(F.to_date("ts")).alias("day")).distinct()
+    named = F.posexplode(F.array(*[F.lit(n) for n in POLICY_NAMES])).alias("p", "policy_id")
+    dated = days.select("day", named).where((F.col("day") + F.col("p")) % 3 == 0) \
+        .withColumn("kind", (F.col("day") * 7 + F.col("p")) % 6)
+    return dated.select("policy_id", F.timestamp_micros((F.col("day").cast("long") * 24 + F.col("p")) * 3_600_000_000).alias("valid_from"),
+                        F.expr(POLICY_BODY_SQL).alias("body"))
+
+
+# ---------------------------------------------------------------------------
+# Engines: which one a result came from, and which ones a policy allows
+# ---------------------------------------------------------------------------
+
+RESULT_ENGINE_SQL = """case page_id % 6 when 0 then 'duckduckgo' when 1 then 'wikipedia' when 2 then 'github'
+ when 3 then 'stackoverflow' when 4 then 'elsewhere' end"""
+
+#: ``allowed_engines`` of the profiles: a list, an empty list, or none (no rule).
+ALLOWED_ENGINES: tuple[tuple, ...] = (
+    ("reference", ["duckduckgo", "wikipedia", "stackoverflow", "github"]),
+    ("standalone", ["wikipedia"]),
+    ("appliance", []),
+    ("none", None),
+    ("strict", ["github", "stackoverflow", None, "github"]),
+)
+
+
+def result_engines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F2 with the engine of each row: ``set_id, rnk, title, content, url, engine``."""
+    return result_rows(spark, sf_dir, engine=True)
