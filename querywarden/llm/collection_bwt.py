@@ -5,9 +5,11 @@ a string, from the right. A suffix's place follows from the place of its
 tail (the suffix one shorter) and the number of equal symbols before that;
 its common prefix with its neighbour is one more than the least common
 prefix between their tails. Both come from one sequential reading of the
-transform so far; a second one writes it with the new entries put in. The
-arrays lie in files that are only read and written from front to back, in
-blocks, so memory holds the strings, a block, and a few numbers a string.
+transform so far; a second one writes it with the new entries put in.
+Symbols and prefixes lie in files that are only read and written from front
+to back, in blocks. Which suffix an entry is of is not carried along: at the
+end each string is followed through the transform, from its last symbol to
+its first, all strings at a time.
 
 The files belong to the process alone (they have no name once opened), are
 read by nobody else, and go when it ends; a lost task starts over.
@@ -22,17 +24,17 @@ import numpy as np
 #: The symbol before a whole string; no byte of UTF-8 text has this value. A string that another one goes on from sorts first.
 END = 255
 #: Entries read and written at a time.
-BLOCK = 1 << 18
-#: Strings are shorter than this and numbered below 2^24, so an entry's owner fits 32 bits.
-LONGEST = 255
+BLOCK = 1 << 17
+#: Common prefixes are counted up to less than this.
 _NONE = 255
 
 
 class _Column:
-    """An array in two files: a round reads one and writes the other."""
+    """An array of 16-bit entries (symbol x 256 + prefix) in two files: a round reads one and writes the other."""
 
-    def __init__(self, dtype, first: np.ndarray):
-        self.dtype = np.dtype(dtype)
+    dtype = np.dtype(np.uint16)
+
+    def __init__(self, first: np.ndarray):
         self.now, self.next = tempfile.TemporaryFile(), tempfile.TemporaryFile()
         first.astype(self.dtype).tofile(self.now)
         self.now.flush()
@@ -63,120 +65,137 @@ def shared_suffixes(text: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.
     Returns (string number, suffix length, whether it shares them with the
     suffix before). Common prefixes are counted up to ``least``.
     """
-    starts = np.concatenate([[0], ends[:-1]])
-    lengths = ends - starts
+    if least >= _NONE:
+        raise ValueError(f"common prefixes are counted up to less than {_NONE}")
     count = len(ends)
-    if not count or lengths.max() >= LONGEST or least >= _NONE:
-        if not count:
-            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
-        raise ValueError(f"strings and prefixes must be shorter than {LONGEST}")
+    lengths = np.diff(np.concatenate([[0], ends]))
+    if not count or lengths.max() < least:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
     size = count
-    bwt = _Column(np.uint8, np.where(lengths > 0, text[ends - 1], END))
-    lcp = _Column(np.uint8, np.zeros(count))
-    owner = _Column(np.uint32, np.arange(count) << 8)
-    columns = (bwt, lcp, owner)
-    for j in range(1, int(lengths.max()) + 1):
-        fresh, changed = _places(columns, size, count, j, least)
-        place, who, prefix = fresh
-        left = lengths[who] > j
-        symbol = np.where(left, text[np.where(left, ends[who] - j - 1, 0)], END).astype(np.uint8)
-        _insert(columns, size, place, (symbol, prefix, (who << 8 | j).astype(np.uint32)), changed)
-        size += len(place)
+    first = np.where(lengths > 0, text[np.maximum(ends - 1, 0)], END).astype(np.uint16)
+    column = _Column(first << 8)
+    place, who = np.arange(count), np.arange(count)
     try:
-        return _sharing(lcp, owner, size, least)
+        for j in range(1, int(lengths.max()) + 1):
+            mine = lengths[who] >= j           # the others ended in the round before
+            place, who, prefix, changed = _places(column, size, count, place[mine], who[mine], least)
+            more = lengths[who] > j
+            symbol = np.where(more, text[np.where(more, ends[who] - j - 1, 0)], END).astype(np.uint16)
+            _insert(column, size, place, symbol << 8 | prefix, changed)
+            size += len(place)
+        return _sharing(column, size, count, lengths, least)
     finally:
-        for c in columns:
-            c.close()
+        column.close()
+
 
+def _places(column: _Column, size: int, count: int, tails: np.ndarray, who: np.ndarray, least: int):
+    """Where the suffixes go whose tails were put at the places ``tails``, and what that changes.
 
-def _places(columns, size: int, count: int, j: int, least: int):
-    """Where the suffixes of length j go, with their common prefixes, and the entries whose prefix they change."""
-    for c in columns:
-        c.start()
-    bwt, lcp, owner = columns
+    Returns their places (rising), their strings, their common prefixes, and
+    (places, prefixes) of older entries whose neighbour before is new.
+    """
+    column.start()
     seen = np.zeros(256, np.int64)             # of each symbol, in the blocks before
     since = np.full(256, _NONE, np.uint8)      # least common prefix since its last one
-    was_fresh = np.zeros(256, bool)            # whether that one's suffix was inserted last round
+    was_new = np.zeros(256, bool)              # whether that one is among the tails
     parts = []
     for at in range(0, size, BLOCK):
         n = min(BLOCK, size - at)
-        b, p, w = bwt.read(n), lcp.read(n), owner.read(n)
+        entries = column.read(n)
+        b, p = (entries >> 8).astype(np.uint8), entries.astype(np.uint8)
+        lo, hi = np.searchsorted(tails, (at, at + n))
         order = np.argsort(b, kind="stable")
         sizes = np.bincount(b, minlength=256)
         sizes[END] = 0
-        order = order[:sizes.sum()]
-        sym = b[order]
         first = np.concatenate([[0], np.cumsum(sizes)])[:256]
-        new = (w & 0xFF == j - 1)[order]
-        after = np.empty(len(order), bool)     # comes after a fresh one of its symbol
-        after[1:] = new[:-1]
         heads = np.flatnonzero(sizes)
-        after[first[heads]] = was_fresh[heads]
-        e = np.flatnonzero(new | after)
-        s, v = sym[e], order[e]
+        spots = tails[lo:hi] - at              # of the tails in this block
+        mine = b[spots]
+        inverse = np.empty(n, np.int32)
+        inverse[order] = np.arange(n, dtype=np.int32)
+        turn = inverse[spots]                  # and in ``order``
+        next_ = turn[turn + 1 < first[mine] + sizes[mine]] + 1
+        wanted, is_tail, number = np.zeros(n, bool), np.zeros(n, bool), np.empty(n, np.int32)
+        wanted[turn] = is_tail[turn] = True
+        number[turn] = np.arange(lo, hi)
+        wanted[next_] = wanted[first[heads[was_new[heads]]]] = True
+        e = np.flatnonzero(wanted)
+        tail = np.where(is_tail[e], number[e], -1)
+        v = order[e]
+        s = b[v]
         rank = seen[s] + e - first[s]
         head = e == first[s]
         value = np.empty(len(e), np.uint8)
-        before = np.minimum.accumulate(p)
-        value[head] = np.minimum(since[s[head]], before[v[head]])
         inner = np.flatnonzero(~head)
+        heading = np.flatnonzero(head)
+        if len(heading):
+            before = np.minimum.accumulate(p)
+            value[heading] = np.minimum(since[s[heading]], before[v[heading]])
         if len(inner):
-            lo, hi = order[e[inner] - 1] + 1, v[inner] + 1
-            by = np.argsort(lo, kind="stable")
-            cuts = np.stack([lo[by], hi[by]], 1).ravel()
+            start, stop = order[e[inner] - 1] + 1, v[inner] + 1
+            by = np.argsort(start, kind="stable")
+            cuts = np.stack([start[by], stop[by]], 1).ravel()
             value[inner[by]] = np.minimum.reduceat(np.append(p, np.uint8(_NONE)), cuts)[::2]
         prefix = np.where(rank == 0, 0, np.minimum(value.astype(np.int16) + 1, least)).astype(np.uint8)
-        parts.append((s, rank, prefix, new[e], w[v] >> 8))
-        rest = np.append(np.minimum.accumulate(p[::-1])[::-1], np.uint8(_NONE))
-        since = np.minimum(since, rest[0])
+        parts.append((s, rank, prefix, tail))
         last = order[first[heads] + sizes[heads] - 1]
-        since[heads] = rest[last + 1]
-        was_fresh[heads] = new[first[heads] + sizes[heads] - 1]
+        since = np.minimum(since, p.min())
+        since[heads] = _least_after(p, last)
+        was_new[heads] = is_tail[first[heads] + sizes[heads] - 1]
         seen += sizes
-    s, rank, prefix, new, who = (np.concatenate(x) for x in zip(*parts))
+    s, rank, prefix, tail = (np.concatenate(x) for x in zip(*parts))
     place = count + np.concatenate([[0], np.cumsum(seen)])[s] + rank
     by = np.argsort(place, kind="stable")
-    place, prefix, new, who = place[by], prefix[by], new[by], who[by].astype(np.int64)
-    return (place[new], who[new], prefix[new]), (place[~new], prefix[~new])
-
-
-def _insert(columns, size: int, place: np.ndarray, values, changed) -> None:
-    """Write the columns again with ``values`` at the new places; ``changed`` are places and prefixes of old entries."""
-    for c in columns:
-        c.start()
+    place, prefix, tail = place[by], prefix[by], tail[by]
+    new = tail >= 0
+    return place[new], who[tail[new]], prefix[new], (place[~new], prefix[~new])
+
+
+def _least_after(p: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """For each place in ``last`` the least prefix beyond it, _NONE at the end."""
+    by = np.argsort(last)
+    edges = last[by] + 1
+    out = np.full(len(last), _NONE, np.uint8)
+    inside = np.flatnonzero(edges < len(p))
+    if len(inside):
+        parts = np.minimum.reduceat(p, edges[inside])
+        out[by[inside]] = np.minimum.accumulate(parts[::-1])[::-1]
+    return out
+
+
+def _insert(column: _Column, size: int, place: np.ndarray, values: np.ndarray, changed) -> None:
+    """Write the column again with ``values`` at the new places; ``changed`` are places and prefixes of older entries."""
+    column.start()
     total = size + len(place)
     for at in range(0, total, BLOCK):
         n = min(BLOCK, total - at)
         lo, hi = np.searchsorted(place, (at, at + n))
         old = np.ones(n, bool)
         old[place[lo:hi] - at] = False
-        for k, c in enumerate(columns):
-            out = np.empty(n, c.dtype)
-            out[old] = c.read(n - (hi - lo))
-            out[place[lo:hi] - at] = values[k][lo:hi]
-            if k == 1:
-                a, z = np.searchsorted(changed[0], (at, at + n))
-                out[changed[0][a:z] - at] = changed[1][a:z]
-            c.write(out)
-    for c in columns:
-        c.turn()
-
-
-def _sharing(lcp: _Column, owner: _Column, size: int, least: int):
-    lcp.start()
-    owner.start()
-    found, held = [], None
-    for at in range(0, size, BLOCK):
-        n = min(BLOCK, size - at)
-        joined, who = lcp.read(n) >= least, owner.read(n)
-        if held is not None:                   # the last entry of the block before is decided by this block's first
-            joined, who = np.append(held[0], joined), np.append(held[1], who)
-        last = at + n == size
-        keep = joined.copy()
-        keep[:-1] |= joined[1:]
-        held = joined[-1:], who[-1:]
-        if not last:
-            joined, who, keep = joined[:-1], who[:-1], keep[:-1]
-        found.append((who[keep], joined[keep]))
-    who = np.concatenate([f[0] for f in found]).astype(np.int64)
-    return who >> 8, who & 0xFF, np.concatenate([f[1] for f in found])
+        out = np.empty(n, column.dtype)
+        out[old] = column.read(n - (hi - lo))
+        out[place[lo:hi] - at] = values[lo:hi]
+        a, z = np.searchsorted(changed[0], (at, at + n))
+        k = changed[0][a:z] - at
+        out[k] = out[k] & 0xFF00 | changed[1][a:z]
+        column.write(out)
+    column.turn()
+
+
+def _sharing(column: _Column, size: int, count: int, lengths: np.ndarray, least: int):
+    """Follow each string through the whole transform, and keep the entries that share ``least`` symbols with a neighbour."""
+    column.start()
+    entries = column.read(size)
+    b, joined = (entries >> 8).astype(np.uint8), (entries & 0xFF) >= least
+    order = np.argsort(b, kind="stable")
+    follows = np.empty(size, np.int64)         # the place of the suffix one longer
+    follows[order] = np.arange(count, count + size)
+    keep = joined.copy()
+    keep[:-1] |= joined[1:]
+    owner, left = np.empty(size, np.int32), np.empty(size, np.int32)
+    place, who = np.arange(count), np.arange(count)
+    for j in range(1, int(lengths.max()) + 1):
+        mine = lengths[who] >= j
+        place, who = follows[place[mine]], who[mine]
+        owner[place], left[place] = who, j
+    return owner[keep].astype(np.int64), left[keep].astype(np.int64), joined[keep]

@@ -24,6 +24,12 @@ def ascii_lower(c) -> Column:
     return F.translate(F.col(c) if isinstance(c, str) else c, UPPER, LOWER)
 
 
+def lower_az(c) -> Column:
+    """``ascii_lower``, several times faster on texts that are ASCII throughout."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new folder name inside the cluster's shared checkpoint folder."""
     return scratch_path(spark, f"llm-{name}-{uuid.uuid4().hex}")
@@ -49,6 +55,18 @@ def id_hash_mod(doc_id, m: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % m
 
 
+def keep_freed_memory() -> None:
+    """Let a worker's freed arrays be used again instead of going back to the system.
+
+    The C library hands freed blocks back above a threshold that starts low
+    and follows the largest block freed so far; until then each large array
+    is faulted in page by page anew, which takes longer than the work on it.
+    """
+    import numpy as np
+
+    np.empty(1 << 21, np.uint64)
+
+
 def sorted_groups(batches, keys: int):
     """Complete groups of rows that arrive sorted by their first ``keys`` columns.
 

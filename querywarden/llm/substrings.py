@@ -13,7 +13,7 @@ pieces with equal anchors need comparing:
    column-wise construction of ``collection_bwt``. Suffixes that share
    ``length`` bytes are the same string; all but its first place are removed.
 
-Scale: pieces (one for some 35 bytes of text, five numbers each) are dealt by
+Scale: pieces (one for some 27 bytes of text, six numbers each) are dealt by
 ranges of their whole sort key, so a frequent passage spreads over tasks; at
 the borders of ranges a piece is kept for step 2, which decides. A collection
 holds whole anchors, up to STRINGS strings at a time. An anchor with more
@@ -38,19 +38,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .collection_bwt import shared_suffixes
-from .common import materialise, release_shuffles
+from .common import keep_freed_memory, materialise, release_shuffles
 
 LENGTH = 100
 #: Bytes of an anchor, then of those that frequent anchors are cut by again; ``length`` comes last.
-ANCHORS = (32, 64)
+ANCHORS = (48, 72)
 #: More distinct pieces of one anchor than this are cut again.
-HOT = 4096
+HOT = 1024
 #: Strings of one collection; windows hashed at a time (at most 2^21).
-STRINGS, CHUNK = 16384, 1 << 20
+STRINGS, CHUNK = 16384, 1 << 17
 
 _PLACE_BITS = 21
 _NULL_ID = -(2**63)
-PIECE = "anchor long, piece long, id long, mark long, run long"
+PIECE = "anchor long, piece long, id long, mark long, run long, start long"
 SPAN = "id long, mark long, start long, stop long"
 
 
@@ -136,11 +136,15 @@ def _chunks(lengths, length: int):
 
 
 def pieces(texts: DataFrame, size: int, length: int = LENGTH) -> DataFrame:
-    """The pieces of (id, mark, start, text) rows; ``run`` is their start in the document x 256 plus the number of strings."""
+    """The pieces of (id, mark, start, text) rows, ``start`` being the text's place in its document.
+
+    ``run`` is a piece's own place in the document x 256 plus the number of strings.
+    """
     def cut(batches):
         import numpy as np
         import pyarrow as pa
 
+        keep_freed_memory()
         for batch in batches:
             id_, mark, start = (batch.column(k).to_numpy() for k in range(3))
             text = batch.column(3).cast(pa.large_binary())
@@ -153,8 +157,8 @@ def pieces(texts: DataFrame, size: int, length: int = LENGTH) -> DataFrame:
                 part, first, run, anchor, piece = cut_pieces(buffer, ends, size, length)
                 row = np.array([i for i, _, _ in group])[part]
                 at = first - (ends - [len(p) for p in parts])[part] + np.array([a for _, a, _ in group])[part] + start[row]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, piece, id_[row], mark[row], at << 8 | run)],
-                                                 names=["anchor", "piece", "id", "mark", "run"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, piece, id_[row], mark[row], at << 8 | run, start[row])],
+                                                 names=["anchor", "piece", "id", "mark", "run", "start"])
 
     return texts.select("id", "mark", "start", "text").mapInArrow(cut, PIECE)
 
@@ -190,32 +194,33 @@ def compare_pieces(rows: DataFrame) -> DataFrame:
             keep[-1:] = False
             for rows, flag in (([c[again] for c in cols], True), ([c[keep] for c in mine], False)):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rows[0], *rows[2:], np.full(len(rows[0]), flag))],
-                                                 names=["anchor", "id", "mark", "run", "again"])
+                                                 names=["anchor", "id", "mark", "run", "start", "again"])
         if held is not None:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (held[0][0], *held[0][2:], np.zeros(1, bool))],
-                                             names=["anchor", "id", "mark", "run", "again"])
+                                             names=["anchor", "id", "mark", "run", "start", "again"])
 
     order = ["anchor", "piece", "id", "mark", "run"]
     return rows.repartitionByRange(*order).sortWithinPartitions(*order) \
-        .mapInArrow(compare, "anchor long, id long, mark long, run long, again boolean")
+        .mapInArrow(compare, "anchor long, id long, mark long, run long, start long, again boolean")
 
 
-def read_pieces(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
-    """The bytes of pieces (anchor, id, mark, run, hot), taken from the documents."""
+def read_pieces(texts: DataFrame, places: DataFrame, length: int) -> DataFrame:
+    """The bytes of pieces (anchor, id, mark, run, start, hot), taken from the texts (id, mark, start, text) they were cut from."""
     def read(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
             out = [[] for _ in range(6)]
-            for id_, mark, text, found in zip(*(batch.column(k) for k in range(4))):
+            for id_, mark, origin, text, found in zip(*(batch.column(k) for k in range(5))):
                 data = memoryview(text.as_buffer())
                 lists = found.values
                 anchor, run, hot = (lists.field(k).to_numpy(zero_copy_only=False) for k in range(3))
                 start = run >> 8
-                stop = start + (run & 255) + length - 1
+                first = start - origin.as_py()
+                stop = first + (run & 255) + length - 1
                 for x, values in zip(out, (anchor.tolist(), [id_.as_py()] * len(run), [mark.as_py()] * len(run), start.tolist(),
-                                           [bytes(data[a:z]) for a, z in zip(start.tolist(), stop.tolist())], hot.tolist())):
+                                           [bytes(data[a:z]) for a, z in zip(first.tolist(), stop.tolist())], hot.tolist())):
                     x.extend(values)
                 if len(out[0]) >= 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=names)
@@ -226,8 +231,8 @@ def read_pieces(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
 
     names = ["anchor", "id", "mark", "start", "text", "hot"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
-    wanted = places.groupBy("id", "mark").agg(F.collect_list(F.struct("anchor", "run", "hot")).alias("found"))
-    return docs.join(wanted, ["id", "mark"]).select("id", "mark", F.col("text").cast("binary").alias("text"), "found") \
+    wanted = places.groupBy("id", "mark", "start").agg(F.collect_list(F.struct("anchor", "run", "hot")).alias("found"))
+    return texts.join(wanted, ["id", "mark", "start"]).select("id", "mark", "start", F.col("text").cast("binary").alias("text"), "found") \
         .mapInArrow(read, "anchor long, id long, mark long, start long, text binary, hot boolean")
 
 
@@ -259,6 +264,7 @@ def compare_strings(rows: DataFrame, length: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        keep_freed_memory()
         for table in collections(batches):
             id_, mark, start = (table[c].to_numpy() for c in ("id", "mark", "start"))
             text = table["text"].combine_chunks().cast(pa.large_binary())
@@ -300,13 +306,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     for size in sizes:
         found = materialise(compare_pieces(pieces(texts, size, length)), "llm-pieces")
         release_shuffles(spark)
-        start = F.shiftright("run", 8)
-        spans.append(found.where("again").select("id", "mark", start.alias("start"), (start + F.col("run").bitwiseAND(255) + (length - 1)).alias("stop")))
+        at = F.shiftright("run", 8)
+        spans.append(found.where("again").select("id", "mark", at.alias("start"), (at + F.col("run").bitwiseAND(255) + (length - 1)).alias("stop")))
         first = found.where("not again")
         hot = first.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor", F.lit(True).alias("is_hot"))
-        marked = first.join(hot, "anchor", "left").select("anchor", "id", "mark", "run", F.coalesce("is_hot", F.lit(False)).alias("hot")) \
+        marked = first.join(hot, "anchor", "left").select(*first.columns, F.coalesce("is_hot", F.lit(False)).alias("hot")) \
             if size < length else first.withColumn("hot", F.lit(False))
-        strings = materialise(read_pieces(keyed, marked, length), "llm-piece-texts")
+        strings = materialise(read_pieces(texts, marked, length), "llm-piece-texts")
         release_shuffles(spark)
         spans.append(compare_strings(strings.where("not hot"), length))
         texts = strings.where("hot")
