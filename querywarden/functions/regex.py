@@ -63,6 +63,23 @@ def java_strip_pattern() -> str:
     return f"^{ws_class()}++|(?<!{ws_class()}){ws_class()}++\\z"
 
 
+def _ipv6() -> str:
+    """An IPv6 address: eight groups, the last two perhaps as IPv4, one run of groups perhaps left out."""
+    h = "[0-9A-Fa-f]{1,4}"
+    octet = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+    end = rf"(?:{h}:{h}|{octet}(?:\.{octet}){{3}})"
+    forms = [f"(?:{h}:){{6}}{end}"]
+    for n in range(5, -1, -1):                 # n groups between the gap and the last two
+        before = f"(?:(?:{h}:){{0,{4 - n}}}{h})?" if n < 5 else ""
+        forms.append(f"{before}::(?:{h}:){{{n}}}{end}")
+    forms += [f"(?:(?:{h}:){{0,5}}{h})?::{h}", f"(?:(?:{h}:){{0,6}}{h})?::"]
+    return "(?:" + "|".join(forms) + ")"
+
+
+#: What may stand between the brackets of a host: an IPv6 address (with a zone, perhaps) or a future form.
+BRACKETED = rf"\A(?:{_ipv6()}(?:%[^%]+)?|v[0-9A-Fa-f]+\.[^\n]+)\z"
+
+
 def _rewrite_escapes(pattern: str, mapping_out: dict, mapping_in: dict) -> str:
     """Rewrite backslash escapes, using a different mapping inside ``[...]``."""
     out, i, in_class = [], 0, False

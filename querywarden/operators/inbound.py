@@ -8,6 +8,7 @@ in the same flat, cleaned table.
 from __future__ import annotations
 
 import html as _html
+import unicodedata
 from collections.abc import Sequence
 
 import pandas as pd
@@ -96,11 +97,25 @@ def _url_parts(col) -> tuple[Column, Column, Column]:
     netloc = F.when(after.startswith("//"), F.regexp_extract(after, r"^//([^/?#]*)", 1)
                     ).otherwise(F.lit(""))
     has_open, has_close = netloc.contains("["), netloc.contains("]")
-    bracket_ok = netloc.rlike(r"^(?:[^@]*@)?\[(?:[0-9A-Fa-f:.]+|[vV][0-9A-Fa-f]+\..+)\](?::.*)?$")
-    error = (has_open != has_close) | (has_open & has_close & ~bracket_ok)
+    bracket_ok = F.regexp_extract(netloc, r"\[([^\]]*)", 1).rlike(X.BRACKETED)
+    # characters that become a part of the URL's own signs when normalised
+    odd = netloc.rlike(r"[^\x{0}-\x{7f}]")
+    error = (has_open != has_close) | (has_open & has_close & ~bracket_ok) | F.coalesce(_misleading(F.when(odd, netloc)), F.lit(False))
     return scheme, netloc, error | T._c(col).isNull()
 
 
+@F.pandas_udf(ST.BooleanType())
+def _misleading(netloc: pd.Series) -> pd.Series:
+    """Whether NFKC makes one of ``/?#@:`` out of other characters of a host part (null: not asked)."""
+    def check(host):
+        if host is None:
+            return None
+        plain = host.translate(dict.fromkeys(map(ord, "@:#?")))
+        normal = unicodedata.normalize("NFKC", plain)
+        return normal != plain and any(c in normal for c in "/?#@:")
+    return netloc.map(check)
+
+
 def url_columns(df: DataFrame, url: str = "url") -> DataFrame:
     """I6 + I6b: ``url`` kept only for http/https (else ""), ``source`` host or 'unknown'."""
     scheme, netloc, error = _url_parts(url)

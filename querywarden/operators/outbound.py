@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -184,10 +185,16 @@ def uniqueness_decision(df: DataFrame, dp_enabled: str = "dp_enabled",
 # Generalisation and padding
 # ---------------------------------------------------------------------------
 
+#: Keyword tables up to this size are a chain of tests; larger ones are looked up in one pass over the text.
+CHAIN_KEYWORDS = 64
+
+
 def category_of(col: str = "query",
                 keywords: Sequence[tuple[str, str]] = R.CATEGORY_KEYWORDS) -> Column:
     """First keyword (in table order) contained in the lower-cased text, else null."""
     ql = F.lower(F.col(col))
+    if len(keywords) > CHAIN_KEYWORDS:
+        return _first_keyword(keywords)(ql)
     expr = None
     for kw, cat in keywords:
         cond = ql.contains(kw)
@@ -195,6 +202,39 @@ def category_of(col: str = "query",
     return expr if expr is not None else F.lit(None).cast("string")
 
 
+def _first_keyword(keywords: Sequence[tuple[str, str]]):
+    """An Arrow function: the category of the first keyword, in table order, that a text contains.
+
+    An Aho-Corasick automaton over all keywords, built once in each worker's
+    function, finds every keyword in one pass, however many there are. An
+    empty keyword is in every text.
+    """
+    import ahocorasick
+
+    automaton, always = ahocorasick.Automaton(), len(keywords)
+    for i, (kw, _) in enumerate(keywords):
+        if not kw:
+            always = min(always, i)
+        elif kw not in automaton:
+            automaton.add_word(kw, i)
+    automaton.make_automaton()
+    categories = [cat for _, cat in keywords]
+
+    @F.pandas_udf("string")
+    def lookup(texts: pd.Series) -> pd.Series:
+        def first(text):
+            if text is None:
+                return None
+            best = always
+            for _, i in automaton.iter(text) if len(automaton) else ():
+                if i < best:
+                    best = i
+            return categories[best] if best < len(categories) else None
+        return texts.map(first)
+
+    return lookup
+
+
 def generalise(df: DataFrame, col: str = "query", out: str = "category",
                keywords: Sequence[tuple[str, str]] = R.CATEGORY_KEYWORDS) -> DataFrame:
     return df.withColumn(out, category_of(col, keywords))
