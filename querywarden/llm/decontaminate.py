@@ -7,9 +7,8 @@ window that is rarest in the corpus. Candidates come from joining document
 words with these rarest words; length and position bounds drop those that
 stick out of the document; the rest are compared word by word.
 
-Everything is DataFrame expressions. Words are joined on their full
-lower-case form, which equal words share, and compared after lower-casing
-A-Z alone, as the windows are.
+Everything is DataFrame expressions. Texts are lower-cased (A-Z alone) as a
+whole before they are cut into words.
 """
 
 from __future__ import annotations
@@ -17,10 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import lower_az
 
-#: Letters, digits and everything beyond ASCII; upper case is kept until words are compared.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What parts words: all ASCII but lower-case letters and digits.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Windows and window words up to this many are broadcast (some tens of MB);
 #: larger benchmarks are joined by a shuffle.
@@ -28,7 +27,7 @@ BROADCAST_ROWS = 200_000
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(lower_az(F.coalesce(text, F.lit(""))), BETWEEN), "")
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -42,7 +41,7 @@ def windows(items: DataFrame, width: int, item_id: str = "item_id", text: str =
     starts = w.select("item", "ws", F.explode(F.sequence(
         F.lit(1), F.greatest(F.size("ws") - (width - 1), F.lit(1)))).alias("s"))
     one = starts.select("item", F.slice("ws", F.col("s"), F.lit(width)).alias("part"))
-    return one.groupBy(ascii_lower(F.array_join("part", " ")).alias("win")).agg(
+    return one.groupBy(F.array_join("part", " ").alias("win")).agg(
         F.max(F.size("part")).alias("win_len"), F.sort_array(F.collect_set("item")).alias("items"))
 
 
@@ -67,21 +66,21 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, key: str =
     win = windows(items, width).persist()
     n_win = win.count()
     win_words = win.select("win", F.posexplode(F.split("win", " ")).alias("off", "word"))
-    vocabulary = win_words.select(F.lower("word").alias("w")).distinct()
-    rarity = keyed.select(F.explode("ws").alias("w")).select(F.lower("w").alias("w")) \
+    vocabulary = win_words.select(F.col("word").alias("w")).distinct()
+    rarity = keyed.select(F.explode("ws").alias("w")) \
         .join(_small(vocabulary, n_win * width), "w", "left_semi").groupBy("w").count()
     # the rarest word of each window; a window with a word that no document has cannot occur
-    ranked = win_words.withColumn("w", F.lower("word")).join(_small(rarity, n_win * width), "w", "left") \
+    ranked = win_words.withColumnRenamed("word", "w").join(_small(rarity, n_win * width), "w", "left") \
         .groupBy("win").agg(
             F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "w", "off")).alias("r"))
     prefixes = ranked.where("r.n > 0").join(win, "win").select(
         F.col("r.w").alias("w"), F.col("r.off").alias("off"), "win", "win_len", "items")
 
-    at = keyed.select("doc_id", "h1", "h2", "ws", F.posexplode("ws").alias("pos", "word"))
+    at = keyed.select("doc_id", "h1", "h2", "ws", F.posexplode("ws").alias("pos", "w"))
     start = F.col("pos") - F.col("off")
-    hits = at.withColumn("w", F.lower("word")).join(_small(prefixes, n_win), "w") \
+    hits = at.join(_small(prefixes, n_win), "w") \
         .where((start >= 0) & (start + F.col("win_len") <= F.size("ws"))) \
-        .where(ascii_lower(F.array_join(F.slice("ws", start + 1, F.col("win_len")), " ")) == F.col("win")) \
+        .where(F.array_join(F.slice("ws", start + 1, F.col("win_len")), " ") == F.col("win")) \
         .select("doc_id", "h1", "h2", F.struct(start.alias("start"), F.col("win_len").alias("length")).alias("span"), "items")
     per_doc = hits.groupBy("doc_id", "h1", "h2").agg(
         F.sort_array(F.collect_set("span")).alias("spans"), F.collect_set("items").alias("items"))
