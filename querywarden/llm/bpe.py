@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .pretokens import PretokenCache, chunks, ragged
 
 U = np.uint64
+#: What a worker keeps of merged pre-tokens from batch to batch.
+CACHE_BYTES = 40 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -165,7 +167,7 @@ class Codec:
 
     def cache(self) -> PretokenCache:
         ranks = self.ranks
-        return PretokenCache(lambda words: [merge(w, ranks) for w in words], self.known)
+        return PretokenCache(lambda words: [merge(w, ranks) for w in words], self.known, max_bytes=CACHE_BYTES)
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all ids one after the other, and the end of each id's bytes."""
@@ -180,7 +182,7 @@ def _decimal_codec(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def encode_column(df: DataFrame, ranks_path: str, text: str = "text", digests: bool = True,
-                  with_ids: bool = False, batch_chars: int = 3_000_000) -> DataFrame:
+                  with_ids: bool = False, batch_chars: int = 1_000_000) -> DataFrame:
     """Encode whole texts; adds ``n_tokens`` and, as asked, ``ids``, ``ids_sha256``, ``decoded_sha256``.
 
     Added columns replace columns of the same name; all others are kept.

@@ -11,7 +11,8 @@ comparing neighbours, and three local rules move the borders:
   letters.
 
 ``PretokenCache`` encodes each distinct pre-token of a batch once and keeps
-the results for later batches, up to a bound; then it starts anew.
+the results for later batches, up to a bound of entries and of bytes; then it
+starts anew.
 """
 
 from __future__ import annotations
@@ -124,11 +125,15 @@ class PretokenCache:
     """Token ids of pre-tokens; ``encode_new(list of bytes) -> list of id lists``.
 
     ``known(low, high, length) -> ids or -1`` may resolve pre-tokens of up to
-    16 bytes that are single tokens before the cache is asked.
+    16 bytes that are single tokens before the cache is asked. ``max_bytes``
+    bounds what is kept from batch to batch (pre-tokens, ids and the table's
+    own ENTRY bytes each), however long the pre-tokens are.
     """
 
-    def __init__(self, encode_new, known=None, max_entries: int = 1_000_000):
-        self.encode_new, self.known, self.max_entries = encode_new, known, max_entries
+    ENTRY = 160
+
+    def __init__(self, encode_new, known=None, max_entries: int = 1_000_000, max_bytes: int = 1 << 27):
+        self.encode_new, self.known, self.max_entries, self.max_bytes = encode_new, known, max_entries, max_bytes
         self.classes = class_table()
         self._reset()
 
@@ -137,7 +142,7 @@ class PretokenCache:
         self.at = np.zeros(1024, np.int64)
         self.len = np.zeros(1024, np.int64)
         self.flat = np.zeros(4096, np.uint32)
-        self.used = 0
+        self.used = self.bytes = 0
 
     def _add(self, words: list[bytes]) -> None:
         got = self.encode_new(words)
@@ -152,6 +157,7 @@ class PretokenCache:
         self.len[k:k + len(words)] = lens
         self.flat[self.used:self.used + len(ids)] = ids
         self.used += len(ids)
+        self.bytes += self.ENTRY * len(words) + sum(map(len, words)) + 4 * len(ids)
         for i, w in enumerate(words, k):
             self.index[w] = i
 
@@ -165,7 +171,7 @@ class PretokenCache:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the offset of each text (one more than texts)."""
-        if len(self.index) > self.max_entries:
+        if len(self.index) > self.max_entries or self.bytes > self.max_bytes:
             self._reset()
         b = Batch(texts, self.classes)
         low, high, length = b.keys()
