@@ -157,9 +157,11 @@ class Adam:
 
 
 def gradients(p: dict, xs: list[np.ndarray], cls: np.ndarray, word: np.ndarray, keep: list[np.ndarray],
-              h: np.ndarray) -> tuple[float, dict, np.ndarray]:
+              h: np.ndarray, live: np.ndarray | None = None) -> tuple[float, dict, np.ndarray]:
     """Loss, gradients of the mean loss, and the last state, over one window.
 
+    ``live``: which targets count (None: all).
+
     ``xs[t]``: inputs of the lanes at step t; ``keep[t]``: 0 where a document
     begins; ``h``: the state that comes in (no gradient flows into it).
     """
@@ -170,7 +172,11 @@ def gradients(p: dict, xs: list[np.ndarray], cls: np.ndarray, word: np.ndarray,
         trace.append((before, zr, n, hn))
         states.append(h)
     g = {k: np.zeros_like(v) for k, v in p.items()}
-    logp, dhs = output(p, np.concatenate(states), cls, word, g)
+    if live is None:
+        logp, dhs = output(p, np.concatenate(states), cls, word, g)
+    else:
+        dhs = np.zeros((len(cls), H), np.float32)
+        logp, dhs[live] = output(p, np.concatenate(states)[live], cls[live], word[live], g)
     rows = len(xs[0])
     dh = np.zeros_like(h)
     dx = np.zeros((len(xs) * rows, 3 * H), np.float32)
@@ -187,28 +193,35 @@ def gradients(p: dict, xs: list[np.ndarray], cls: np.ndarray, word: np.ndarray,
         g["b"] += dhn.sum(axis=0)
         dx[t * rows:(t + 1) * rows] = np.concatenate([dz, dr, dn], axis=1)
         dh = (dh * z + du @ p["u"].T) * keep[t][:, None]
-    np.add.at(g["x"], np.concatenate(xs), dx)
+    read = np.concatenate(xs)
+    by = np.argsort(read, kind="stable")
+    first = np.flatnonzero(np.append(True, read[by][1:] != read[by][:-1]))
+    g["x"][read[by][first]] += np.add.reduceat(dx[by], first)
     count = len(logp)
     return float(-logp.mean()), {k: v / count for k, v in g.items()}, h
 
 
-def train(p: dict, inputs: np.ndarray, cls: np.ndarray, word: np.ndarray, lengths: list[int], epochs: int = 2,
-          n_lanes: int = 32, window: int = 20, rate: float = 0.01) -> dict:
-    """Truncated backpropagation through time over documents laid end to end."""
-    if not len(inputs):
-        return p
-    lanes, adam = Lanes(lengths, n_lanes), Adam(p, rate)
-    total = max(1, epochs * (-(-lanes.steps // window)))
-    for _ in range(epochs):
+class Trainer:
+    """Truncated backpropagation through time over documents laid end to end, a part of them at a time.
+
+    Every token of a part is learnt from once; the state is carried from
+    window to window through a whole document. Where a lane ends inside a
+    window, the rest of it is read but its loss does not count.
+    """
+
+    def __init__(self, p: dict, n_lanes: int = 128, window: int = 16, rate: float = 0.01):
+        self.p, self.n_lanes, self.window, self.adam = p, n_lanes, window, Adam(p, rate)
+
+    def part(self, inputs: np.ndarray, cls: np.ndarray, word: np.ndarray, lengths: list[int]) -> None:
+        lanes = Lanes(lengths, self.n_lanes)
         h = np.zeros((lanes.token.shape[1], H), np.float32)
-        for t0 in range(0, lanes.steps, window):
-            # only lanes that last through the window learn from it
-            stop = min(t0 + window, lanes.steps)
-            n = lanes.active(stop - 1)
+        for t0 in range(0, lanes.steps, self.window):
+            stop = min(t0 + self.window, lanes.steps)
+            n = lanes.active(t0)
             at = lanes.token[t0:stop, :n]
+            live = (at >= 0).ravel()
+            at = np.maximum(at, 0)
             flat = at.ravel()
             keep = 1 - lanes.begins[t0:stop, :n].astype(np.float32)
-            _, g, h = gradients(p, list(inputs[at]), cls[flat], word[flat], list(keep), h[:n])
-            adam.rate = rate * max(0.05, 1 - adam.t / total)
-            adam.update(g)
-    return p
+            _, g, h = gradients(self.p, list(inputs[at]), cls[flat], word[flat], list(keep), h[:n], None if live.all() else live)
+            self.adam.update(g)

@@ -6,7 +6,10 @@ model, in classes of like frequency; all other words belong to the class of
 their last two letters (the ``SUFFIXES`` most frequent endings, and one for
 the rest), within which their probability is ``(c + 1) / (N + V + 1)`` of
 the class. The network's weights are learnt by truncated backpropagation
-on ``TRAIN_DOCS`` training rows in the mean, chosen by a hash.
+from all training rows, inside every partition from common weights, which
+are then averaged by the number of tokens. This takes ROUNDS rounds, each on
+a share of the rows by hash, every row in one of them; the first shares are
+small, so that partitions part ways only once the weights point somewhere.
 
 Counts of the ``HEAD`` most frequent words are broadcast; the counts of
 others are joined, so no worker holds the whole vocabulary.
@@ -14,7 +17,6 @@ others are joined, so no worker holds the whole vocabulary.
 
 from __future__ import annotations
 
-import pickle
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,7 +27,11 @@ from pyspark.sql import functions as F
 from . import gru
 from .common import materialise
 
-HEAD, DIRECT, SUFFIXES, TRAIN_DOCS = 200_000, 1023, 23, 1500
+HEAD, DIRECT, SUFFIXES = 200_000, 1023, 23
+#: Sixteenths of the training rows in each round.
+ROUNDS = (1, 3, 4, 8)
+#: Tasks that add up weights, and the numbers the driver receives: this many copies of the network.
+ADDERS = 8
 
 
 def words_of(text: str) -> list[bytes]:
@@ -150,27 +156,84 @@ def vocabulary(counts: DataFrame, docs: int, head_size: int = HEAD) -> Vocabular
     return Vocabulary(head, docs, top, rest, n_all + docs, v_all + (docs > 0))
 
 
-def fit(texts: DataFrame, docs: int, vocab: Vocabulary, train_docs: int = TRAIN_DOCS) -> dict[str, np.ndarray]:
-    """Weights learnt on a bounded sample of the rows of ``t`` (``h`` chooses and orders them), in one task."""
+def flat(p: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([p[k].ravel() for k in sorted(p)]).astype(np.float64)
+
+
+def shaped(values: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    out, at = {}, 0
+    for k in sorted(like):
+        out[k] = values[at:at + like[k].size].reshape(like[k].shape).astype(np.float32)
+        at += like[k].size
+    return out
+
+
+def one_round(texts: DataFrame, vocab_sent, params: dict[str, np.ndarray], part_tokens: int) -> dict[str, np.ndarray]:
+    """The weights that each partition of ``t`` comes to from ``params``, averaged by its number of tokens.
+
+    Sums are added up task by task in constant memory before the driver gets
+    ADDERS of them at most.
+    """
     import pyarrow as pa
+    from pyspark import TaskContext
 
-    share = min(1.0, train_docs / max(docs, 1))
-    sample = texts.where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).select("h", "t") \
-        .repartition(1).sortWithinPartitions("h", "t").select("t")
-    sent = texts.sparkSession.sparkContext.broadcast(vocab.state())
+    sent = texts.sparkSession.sparkContext.broadcast(params)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary.of(sent.value)
-        p = gru.new_params(v.n_direct + len(v.tail_log10), v.class_prior, v.word_prior)
-        parts = [v.encode(words_of(t.as_py()))[0] for batch in batches for t in batch.column(0)]
-        if parts:
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = vocab_sent.value
+        if "ready" not in here:
+            here["ready"] = Vocabulary.of(here["vocabulary"])
+        v, total = here["ready"], 0
+        trainer = gru.Trainer({k: x.copy() for k, x in sent.value.items()})
+        parts, waiting = [], 0
+
+        def done():
             numbers, lengths = np.concatenate(parts), [len(x) for x in parts]
-            gru.train(p, v.before(numbers, lengths), *v.targets(numbers), lengths)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(p)], pa.binary())], names=["p"])
+            trainer.part(v.before(numbers, lengths), *v.targets(numbers), lengths)
+            parts.clear()
 
-    got = [r["p"] for r in sample.mapInArrow(run, "p binary").collect()]
-    return pickle.loads(got[0]) if got else gru.new_params(
-        vocab.n_direct + len(vocab.tail_log10), vocab.class_prior, vocab.word_prior)
+        for batch in batches:
+            for t in batch.column(0):
+                parts.append(v.encode(words_of(t.as_py()))[0])
+                waiting += len(parts[-1])
+                if waiting > part_tokens:
+                    done()
+                    total, waiting = total + waiting, 0
+        if parts:
+            done()
+            total += waiting
+        if total:
+            yield pa.RecordBatch.from_arrays([
+                pa.array([TaskContext.get().partitionId() % ADDERS], pa.int32()), pa.array([float(total)]),
+                pa.array([(flat(trainer.p) * total).tobytes()], pa.binary())], names=["slot", "n", "w"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, w = 0.0, 0.0
+        for batch in batches:
+            for many, values in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                n, w = n + many, w + np.frombuffer(values)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([n]), pa.array([w.tobytes()], pa.binary())],
+                                             names=["slot", "n", "w"])
+
+    schema = "slot int, n double, w binary"
+    sums = texts.select("t").mapInArrow(learn, schema).repartition(ADDERS, "slot").mapInArrow(add, schema).collect()
+    sent.unpersist()
+    if not sums:
+        return params
+    return shaped(sum(np.frombuffer(r["w"]) for r in sums) / sum(r["n"] for r in sums), params)
+
+
+def fit(texts: DataFrame, vocab: Vocabulary, part_tokens: int = 400_000) -> dict[str, np.ndarray]:
+    """Weights learnt from every row of ``t``; ``h``, a hash, says in which round a row is read."""
+    params = gru.new_params(vocab.n_direct + len(vocab.tail_log10), vocab.class_prior, vocab.word_prior)
+    sent = texts.sparkSession.sparkContext.broadcast({"vocabulary": vocab.state()})
+    share, before = F.pmod("h", F.lit(sum(ROUNDS))), 0
+    for part in ROUNDS:
+        params = one_round(texts.where((share >= before) & (share < before + part)), sent, params, part_tokens)
+        before += part
+    sent.unpersist()
+    return params
 
 
 def score_documents(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text",
@@ -191,7 +254,7 @@ def score_documents(docs: DataFrame, held_out: Column, key: str = "doc_id", text
     counts = materialise(count_tokens(training), "token-counts")
     n_docs = training.count()
     vocab = vocabulary(counts, n_docs)
-    params = fit(training, n_docs, vocab)
+    params = fit(training, vocab)
     sent = docs.sparkSession.sparkContext.broadcast({"vocabulary": vocab.state(), "params": params})
     below = float(np.log10(vocab.n_tokens + vocab.n_types + 1))
 

@@ -166,3 +166,39 @@ def test_no_label_is_left_out(spark, monkeypatch):
     monkeypatch.setattr(language, "MAX_LABELS", 2)
     with pytest.raises(ValueError, match="more than 2 labels"):
         language.train(df)
+
+
+def test_every_token_of_a_part_is_learnt_from_once(monkeypatch):
+    rng = np.random.default_rng(2)
+    prior = np.where(np.arange(2 * gru.WORDS).reshape(2, gru.WORDS) < 50, 1 / 50, 0)
+    lengths = [5, 40, 0, 1, 17, 90, 3]
+    n = sum(lengths)
+    numbers = rng.integers(0, 50, n)
+    counted, plain = [], gru.output
+    monkeypatch.setattr(gru, "output", lambda p, h, cls, word, g=None: (counted.append(len(cls)), plain(p, h, cls, word, g))[1])
+    trainer = gru.Trainer(gru.new_params(60, np.ones(4) / 4, prior), n_lanes=3, window=8)
+    trainer.part(numbers, numbers // gru.WORDS, numbers % gru.WORDS, lengths)
+    assert sum(counted) == n
+
+
+def test_weights_depend_on_every_training_row(spark):
+    texts = [f"a b{i} c d e{i % 3} " * (3 + i) for i in range(5)]
+    share = lambda rows: spark.createDataFrame(rows, "t string, h long").repartition(2)
+    rows = [(t, 3 * i) for i, t in enumerate(texts)]          # two in the first two rounds, the others later
+    vocab = lm.vocabulary(lm.count_tokens(share(rows)), len(rows))
+    whole = lm.flat(lm.fit(share(rows), vocab))
+    for i in range(len(rows)):
+        other = [(("d c " * 9, h) if k == i else (t, h)) for k, (t, h) in enumerate(rows)]
+        assert np.abs(lm.flat(lm.fit(share(other), vocab)) - whole).max() > 1e-6
+    assert np.allclose(lm.flat(lm.shaped(whole, lm.fit(share(rows), vocab))), whole, atol=1e-5)
+
+
+def test_weights_are_averaged_by_tokens(spark):
+    """Rows in two partitions: the mean of what each comes to alone, by its tokens."""
+    rows = [("a b a c " * 20, 15), ("c c b " * 5, 15)]
+    parts = lambda r: spark.createDataFrame(spark.sparkContext.parallelize(r, len(r)), "t string, h long")
+    vocab = lm.vocabulary(lm.count_tokens(parts(rows)), 2)
+    first, second = (lm.flat(lm.fit(parts([r]), vocab)) for r in rows)
+    both = lm.flat(lm.fit(parts(rows), vocab))
+    n = [len(t.split()) + 1 for t, _ in rows]
+    assert np.allclose(both, (first * n[0] + second * n[1]) / sum(n), atol=1e-5)
