@@ -80,3 +80,38 @@ def test_pipeline_stages_by_hand(spark):
             break
         docs = spark.createDataFrame(got, docs.schema)
         before = {r.doc_id: r.text for r in got}
+
+
+def staged(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+
+def test_decontamination_goes_by_text_not_by_id(spark):
+    leaked = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    clean = "nothing of any benchmark is in this line of words " * 3
+    rows = [(None, leaked), (5, leaked), (5, clean), (6, clean), (None, clean), (7, None)]
+    got = cp.decontaminate_stage(spark, staged(spark, rows), SF)
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(repr, rows[2:]))
+    assert got.columns == cp.COLUMNS
+
+
+def test_one_row_of_each_group_also_where_ids_are_missing_or_repeated(spark):
+    import random
+
+    rnd = random.Random(1)
+    text = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(5, a), (None, a), (9, a), (7, b), (7, c), (None, d), (None, d), (3, c), (8, b), (8, b), (1, None), (2, ""), (4, None)]
+    got = cp.near_duplicate_stage(spark, staged(spark, rows), SF)
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(repr, [(5, a), (7, b), (3, c), (None, d), (1, None)]))
+    assert got.columns == cp.COLUMNS
+
+
+def test_a_million_characters_through_the_stages(spark):
+    word = "abcde fghij "
+    rows = [(1, word * 90_000), (2, "x" * 1_000_000), (3, "\u4e2d" * 200_000 + " end"), (4, "a plain short line of text here")]
+    docs = staged(spark, rows)
+    for name, stage in cp.STAGES[1:]:
+        docs = cp.materialise(stage(spark, docs, SF), "long-texts")
+    assert {r.doc_id for r in docs.collect()} >= {1, 2, 4} and docs.where("doc_id = 2").first().n_tokens > 1000
