@@ -35,18 +35,21 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash near-dedup (4-word shingles, 4 bits): the document with a group's least id stays.
 
-    Of rows that repeat that id, the one with the least text hash stays; of a
-    group of rows without an id, one of each text.
+    Rows are told apart by their text, so missing and repeated ids do no harm:
+    a row without an id stays only where no row of its group has one, and of
+    rows equal in id and text one stays.
     """
     docs = docs.select(*COLUMNS)
-    groups = simhash.near_duplicates(docs, size=4, radius=4)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
-    h = F.xxhash64("text")
-    rank = Window.partitionBy("doc_id").orderBy(h)
-    other = F.col("doc_id").isNull() & (h != F.lag(h).over(rank))
-    return kept.withColumn("_stays", (F.row_number().over(rank) == 1) | F.coalesce(other, F.lit(False))) \
-        .where("_stays").select(*COLUMNS)
+    text = F.xxhash64("text")
+    groups = simhash.near_duplicates(docs.withColumn("_text", text), key="_text", size=4, radius=4) \
+        .select(F.col("doc_id").alias("_text"), "component_id").distinct()
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text")
+    first = docs.select("doc_id", text.alias("_text")).join(groups, "_text").groupBy("component_id").agg(F.min(place).alias("m")) \
+        .select(F.col("m.doc_id").alias("_id"), F.col("m._text").alias("_first"))
+    kept = docs.withColumn("_text", text).join(
+        first, (F.col("_text") == F.col("_first")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("_text", "doc_id").orderBy("source", "lang", "n_chars"))
+    return kept.withColumn("_n", nth).where("_n = 1").select(*COLUMNS)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,10 +63,15 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination: documents with a hit window of any item go."""
-    docs = docs.select(*COLUMNS)
-    hit = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*COLUMNS)
+    """Benchmark decontamination: documents with a hit window of any item go.
+
+    The decision is one of the text, and rows are told apart by it: missing
+    and repeated ids do no harm.
+    """
+    docs = docs.select(*COLUMNS).withColumn("_text", F.xxhash64("text"))
+    hit = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), key="_text") \
+        .where("contaminated").select(F.col("doc_id").alias("_text")).distinct()
+    return docs.join(hit, "_text", "left_anti").select(*COLUMNS)
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
