@@ -35,6 +35,26 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"llm-{name}-{uuid.uuid4().hex}")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of Spark's default file system, if it has none: tasks then open what Spark writes."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that nothing reads any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``materialise``, and where the table is, for ``discard``; the shuffles that made it are let go."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    release_shuffles(df.sparkSession)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps whose result is written.
 

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, sorted_groups
+from .common import discard, keep_freed_memory, sorted_groups, written
 
 #: WINDOW is at most K: seeds at most WINDOW apart then leave no word between them uncompared.
 K, WINDOW = 5, 5
@@ -334,13 +334,13 @@ def along_diagonals(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, in
 FOUND = "start long, words long, source_id long, source_start long, source_words long, equal_words long"
 
 
-def _shared(s: DataFrame, name: str) -> DataFrame:
+def _shared(s: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``h, rep, rpos``: the first document of each hash that a later one has too."""
     shared = s.groupBy("h").agg(F.min("doc").alias("rep"), F.min_by("pos", "doc").alias("rpos"), F.max("doc").alias("last")) \
         .where("last > rep").drop("last")
     # written, so that both sides of the join are dealt out for it alone and a seed that a third
     # of all documents share can be split among tasks
-    return materialise(shared, name)
+    return written(shared, name)
 
 
 CHAIN = "doc long, rep long, chain array<struct<s:long,o:long,n:long>>, first long, last long"
@@ -358,18 +358,31 @@ def _exact_chains(texts: DataFrame, open_: DataFrame, min_words: int) -> DataFra
     import pyarrow as pa
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
+        cols, many = ([], [], []), 0
+
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["h", "doc", "pos"])
+
         for batch in batches:
             for i, t, ranges in zip(*(batch.column(c) for c in ("doc", "t", "chain"))):
                 words = words_of(t.as_py())
                 for x in ranges.as_py():
                     h = hashes_of(words[x["s"]:x["s"] + x["n"] + min_words - 1], min_words)
                     if len(h):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(h.view(np.int64)), pa.array(np.full(len(h), i.as_py(), np.int64)),
-                             pa.array(np.arange(x["s"], x["s"] + len(h)))], names=["h", "doc", "pos"])
+                        for c, v in zip(cols, (h.view(np.int64), np.full(len(h), i.as_py(), np.int64), np.arange(x["s"], x["s"] + len(h)))):
+                            c.append(v)
+                        many += len(h)
+                if many > 200_000:
+                    yield done()
+                    cols, many = ([], [], []), 0
+        if many:
+            yield done()
 
-    w = materialise(texts.join(open_.select("doc", "chain"), "doc").mapInArrow(hashed, "h long, doc long, pos long"), "windows")
-    matches = w.join(_shared(w, "shared-windows"), "h").where("doc > rep").select("doc", "rep", "pos", "rpos")
+    spark = texts.sparkSession
+    w, windows_at = written(texts.join(open_.select("doc", "chain"), "doc").mapInArrow(hashed, "h long, doc long, pos long"), "windows")
+    first, first_at = _shared(w, "shared-windows")
+    matches = w.join(first, "h").where("doc > rep").select("doc", "rep", "pos", "rpos")
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (doc, rep, pos, rpos), _ in sorted_groups(batches, 1):
@@ -383,7 +396,10 @@ def _exact_chains(texts: DataFrame, open_: DataFrame, min_words: int) -> DataFra
             yield _chain_rows([(d, r, [{"s": s, "o": o, "n": m}], o, o + m) for d, r, s, o, m in zip(
                 *(c[first].tolist() for c in (doc, rep, pos, rpos)), n.tolist())])
 
-    return matches.repartition("doc").sortWithinPartitions("doc").mapInArrow(merged, CHAIN)
+    out, _ = written(matches.repartition("doc").sortWithinPartitions("doc").mapInArrow(merged, CHAIN), "exact-chains")
+    discard(spark, windows_at)
+    discard(spark, first_at)
+    return out
 
 
 def _chains(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
@@ -394,6 +410,7 @@ def _chains(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
     names = ["h", "doc", "pos", "first"]
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
         for batch in batches:
             cols, many = tuple([] for _ in names), 0
 
@@ -418,12 +435,15 @@ def _chains(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
 
     texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("t")) \
         .where(F.col("doc").isNotNull() & (F.length("t") >= 2 * min_words - 1))
-    s = materialise(texts.mapInArrow(seeds, "h long, doc long, pos long, first boolean"), "seeds")
+    spark = docs.sparkSession
+    s, seeds_at = written(texts.mapInArrow(seeds, "h long, doc long, pos long, first boolean"), "seeds")
     # a shared seed's first document too: its windows may be the first of a repeat
-    matches = s.join(_shared(s.where("first"), "shared-seeds"), "h").select("doc", "rep", "pos", "rpos")
+    first, first_at = _shared(s.where("first"), "shared-seeds")
+    matches = s.join(first, "h").select("doc", "rep", "pos", "rpos")
     work = matches.repartition("doc").sortWithinPartitions("doc", "rep")
 
     def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
         for (doc, rep, pos, rpos), starts in sorted_groups(batches, 1):
             rows = []
             for x, y in zip(starts[:-1], starts[1:]):
@@ -442,7 +462,9 @@ def _chains(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
             if rows:
                 yield _chain_rows(rows)
 
-    made = materialise(work.mapInArrow(chained, CHAIN), "chains")
+    made, _ = written(work.mapInArrow(chained, CHAIN), "chains")
+    discard(spark, seeds_at)
+    discard(spark, first_at)
     return made.where("doc != rep").unionByName(_exact_chains(texts, made.where("doc = rep"), min_words))
 
 
@@ -527,6 +549,7 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_w
     kept = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
         for batch in batches:
             ids, rows = [], []
             for i, t, cs in zip(*(batch.column(c) for c in ("_key", "_text", "_chains"))):
@@ -571,6 +594,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     schema = T.StructType([kept.schema[n] for n in names] + [T.StructField("_clean", T.StringType())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
         for batch in batches:
             clean = []
             for t, cs in zip(batch.column("_text"), batch.column("_chains")):
