@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, shuffle_partitions
+from .common import fresh_path, qualified, shuffle_partitions
 from .pretokens import PretokenCache, chunks
 
 INDEX_MAGIC, SEEK_MAGIC, FOOTER_MAGIC, CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -40,11 +40,9 @@ MANIFEST = "file string, part long, n_docs long, n_tokens long, n_frames long, b
 
 
 def open_folder(path: str):
-    """(file system, path) for a Spark path: local, HDFS, S3 or GCS."""
+    """(file system, path) for a path with a scheme (see ``qualified``): local, HDFS, S3 or GCS."""
     from pyarrow import fs
 
-    if "://" not in path and not path.startswith("file:"):
-        return fs.LocalFileSystem(), path
     if path.startswith("file:"):
         return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
     return fs.FileSystem.from_uri(path)
@@ -179,6 +177,7 @@ def write_tokens(df: DataFrame, folder: str, tokenizer_path: str, key: str = "do
     import pyarrow as pa
 
     spark = df.sparkSession
+    folder = qualified(spark, folder)
     rows = df.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     rows = rows.withColumn("h", F.xxhash64("t"))
     n = n_files or shuffle_partitions(spark)
@@ -235,6 +234,7 @@ def read_documents(spark: SparkSession, folder: str, wanted: DataFrame | None =
     """
     import pyarrow as pa
 
+    folder = qualified(spark, folder)
     manifest = read_manifest(spark, folder)
     files_n = manifest.select("file", "base").repartition(shuffle_partitions(spark), "file")
     schema = DOC + (", ids array<int>" if ids else "")
