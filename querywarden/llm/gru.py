@@ -209,7 +209,7 @@ class Trainer:
     window, the rest of it is read but its loss does not count.
     """
 
-    def __init__(self, p: dict, n_lanes: int = 128, window: int = 16, rate: float = 0.01):
+    def __init__(self, p: dict, n_lanes: int = 256, window: int = 32, rate: float = 0.01):
         self.p, self.n_lanes, self.window, self.adam = p, n_lanes, window, Adam(p, rate)
 
     def part(self, inputs: np.ndarray, cls: np.ndarray, word: np.ndarray, lengths: list[int]) -> None:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import materialise
+from .common import keep_freed_memory, materialise
 
 HEAD, DIRECT, SUFFIXES = 200_000, 1023, 23
 #: Sixteenths of the training rows in each round.
@@ -184,6 +184,7 @@ def one_round(texts: DataFrame, vocab_sent, params: dict[str, np.ndarray], part_
         if "ready" not in here:
             here["ready"] = Vocabulary.of(here["vocabulary"])
         v, total = here["ready"], 0
+        keep_freed_memory()
         trainer = gru.Trainer({k: x.copy() for k, x in sent.value.items()})
         parts, waiting = [], 0
 
@@ -263,6 +264,7 @@ def score_documents(docs: DataFrame, held_out: Column, key: str = "doc_id", text
         if "ready" not in here:
             here["ready"] = Vocabulary.of(here["vocabulary"])
         v, p = here["ready"], here["params"]
+        keep_freed_memory()
         log_count = np.log10(np.append(v.counts, 0) + 1.0)  # the last one stands for words beyond the head
         row = TaskContext.get().partitionId() << 33
 
