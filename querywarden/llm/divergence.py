@@ -31,7 +31,7 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, fresh_path, materialise
+from .common import fresh_path, lower_az, materialise
 
 #: What parts two terms: ASCII characters other than letters.
 BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -54,7 +54,7 @@ def word_table(docs: DataFrame) -> tuple[DataFrame, list[tuple[int, str, int]]]:
     numbers = spark.createDataFrame([(i, lang) for i, lang, _ in langs], "lang_no int, lang string")
     if sum(len(lang.encode()) + 16 for _, lang, _ in langs) <= SMALL_TABLE:
         numbers = F.broadcast(numbers)         # else the texts are shuffled by lang
-    words = F.array_append(F.array_remove(F.split(ascii_lower("text"), BETWEEN), ""), F.lit(EVERY_DOCUMENT))
+    words = F.array_append(F.array_remove(F.split(lower_az("text"), BETWEEN), ""), F.lit(EVERY_DOCUMENT))
     out = rows.join(numbers, "lang").select("lang_no", "source", words.alias("words"))
     path = fresh_path(spark, "words")
     out.write.partitionBy("lang_no").parquet(path)
@@ -68,13 +68,30 @@ def lang_counts(rows: DataFrame, min_docs: int) -> tuple[DataFrame, int]:
     kept = [(i, t) for i, t in enumerate(model.vocabulary) if t != EVERY_DOCUMENT]
     terms = spark.createDataFrame(kept, "term_no int, term string")
     vector = F.unwrap_udt("vector")
-    entries = model.transform(rows).select("source", F.explode(F.arrays_zip(
-        vector["indices"].alias("term_no"), vector["values"].alias("n"))).alias("e"))
-    sums = entries.select("source", "e.term_no", F.col("e.n").cast("long").alias("n")) \
-        .groupBy("source", "term_no").agg(F.sum("n").alias("count"))
+    sums = model.transform(rows).select("source", vector["indices"].alias("terms"), vector["values"].alias("n")) \
+        .mapInArrow(_added, "source string, term_no int, n long").groupBy("source", "term_no").agg(F.sum("n").alias("count"))
     return sums.join(terms, "term_no").select("source", "term", "term_no", "count"), len(kept)
 
 
+def _added(batches):
+    """Sums of the sparse vectors of each batch, by source and term."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        source = batch.column(0).dictionary_encode()
+        index, value = (batch.column(k).flatten().to_numpy() for k in (1, 2))
+        if not len(index):
+            continue
+        size = int(index.max()) + 1
+        key = np.repeat(source.indices.to_numpy().astype(np.int64), batch.column(1).value_lengths().to_numpy()) * size + index
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+        key, total = key[order][first], np.add.reduceat(value[order].astype(np.int64), first)
+        yield pa.RecordBatch.from_arrays([source.dictionary.take(pa.array(key // size)), pa.array((key % size).astype(np.int32)),
+                                          pa.array(total)], names=["source", "term_no", "n"])
+
+
 def share(count: Column, total: Column, terms: Column, smoothing: int, scale: int) -> Column:
     """1 + floor(scale (count + smoothing) / (total + smoothing terms)), exactly."""
     wide = lambda c, digits: c.cast(f"decimal({digits},0)")
