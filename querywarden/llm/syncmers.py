@@ -74,8 +74,8 @@ def match_positions(left: DataFrame, right: DataFrame) -> DataFrame:
     """Positional matching: pairs of documents and how many anchors they share at each shift.
 
     Both sides: ``doc_id, anchors``. Returns ``left_id, right_id, shift, votes``.
-    Anchors are counted per side and hash before the join, so that the rows
-    made are those of the result.
+    Both sides are joined by hash, so an anchor makes as many rows as pairs of
+    its places; callers leave out anchors that are too frequent for that.
     """
     l, r = (d.select(F.col("doc_id").alias(f"{n}_id"), F.explode("anchors").alias("a"))
             .select(f"{n}_id", F.col("a.hash").alias("hash"), F.col("a.pos").alias(f"{n}_pos"))
