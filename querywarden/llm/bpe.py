@@ -16,6 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import give_back_memory
 from .pretokens import PretokenCache, chunks, ragged
 
 U = np.uint64
@@ -212,6 +213,7 @@ def encode_column(df: DataFrame, ranks_path: str, text: str = "text", digests: b
                           + [T.StructField(k, T._parse_datatype_string(v)) for k, v in added.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back_memory()                     # of stages that this worker had before
         here = sent.value
         if "codec" not in here:
             here["codec"] = Codec(here["ranks"], here["shift"])

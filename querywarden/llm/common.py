@@ -87,6 +87,21 @@ def keep_freed_memory() -> None:
     np.empty(1 << 21, np.uint64)
 
 
+def give_back_memory() -> None:
+    """Return what a worker has freed to the system, before it waits for a task of another stage or begins one."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):          # another C library
+        pass
+
+
 def sorted_groups(batches, keys: int):
     """Complete groups of rows that arrive sorted by their first ``keys`` columns.
 

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, keep_freed_memory, sorted_groups, written
+from .common import discard, give_back_memory, keep_freed_memory, release_shuffles, sorted_groups, written
 
 #: WINDOW is at most K: seeds at most WINDOW apart then leave no word between them uncompared.
 K, WINDOW = 5, 5
@@ -382,6 +382,7 @@ def _exact_chains(texts: DataFrame, open_: DataFrame, min_words: int) -> DataFra
     spark = texts.sparkSession
     w, windows_at = written(texts.join(open_.select("doc", "chain"), "doc").mapInArrow(hashed, "h long, doc long, pos long"), "windows")
     first, first_at = _shared(w, "shared-windows")
+    release_shuffles(spark)
     matches = w.join(first, "h").where("doc > rep").select("doc", "rep", "pos", "rpos")
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,6 +400,8 @@ def _exact_chains(texts: DataFrame, open_: DataFrame, min_words: int) -> DataFra
     out, _ = written(matches.repartition("doc").sortWithinPartitions("doc").mapInArrow(merged, CHAIN), "exact-chains")
     discard(spark, windows_at)
     discard(spark, first_at)
+    del matches, w, first
+    release_shuffles(spark)
     return out
 
 
@@ -439,6 +442,7 @@ def _chains(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
     s, seeds_at = written(texts.mapInArrow(seeds, "h long, doc long, pos long, first boolean"), "seeds")
     # a shared seed's first document too: its windows may be the first of a repeat
     first, first_at = _shared(s.where("first"), "shared-seeds")
+    release_shuffles(spark)
     matches = s.join(first, "h").select("doc", "rep", "pos", "rpos")
     work = matches.repartition("doc").sortWithinPartitions("doc", "rep")
 
@@ -465,6 +469,8 @@ def _chains(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
     made, _ = written(work.mapInArrow(chained, CHAIN), "chains")
     discard(spark, seeds_at)
     discard(spark, first_at)
+    del work, matches, s, first
+    release_shuffles(spark)
     return made.where("doc != rep").unionByName(_exact_chains(texts, made.where("doc = rep"), min_words))
 
 
@@ -559,6 +565,7 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_w
             cols = list(zip(*rows)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, pa.int64()) for c in cols)],
                                              names=["doc_id", "start", "words", "source_id", "source_start", "source_words", "equal_words"])
+        give_back_memory()
 
     return _run_over(kept, "_key", "_text", min_words, similarity, "doc_id long, " + FOUND, emit, "inner")
 
@@ -602,6 +609,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min
                 spans = [x[:2] for x in _aligned(t, got, min_words, similarity)] if t and got else []
                 clean.append(without(t, spans) if spans else t)
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(clean, pa.string())], names=names + ["_clean"])
+        give_back_memory()
 
     out = _run_over(kept, "_key", "_text", min_words, similarity, schema, emit, "left")
     return out.select(*[F.col("_clean" if c == text else n).alias(c) for n, c in zip(names, docs.columns)])
