@@ -38,6 +38,8 @@ HEADLINE = [
     "send_schedule",          # decoy gaps, release gate, jitter
     "audit_chain_resumed",    # chain in two parts
     "audit_verify_chained_segments",  # rotated files as one chain
+    "policy_gate_asof",       # policy version at each query's time
+    "k_anonymous_daily",      # mergeable user sets by day
 ]
 
 

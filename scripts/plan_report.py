@@ -26,8 +26,8 @@ def facts(plan: str) -> dict:
         "broadcasts": plan.count("BroadcastExchange"),
         "joins": sorted({j for j in re.findall(r"(BroadcastHashJoin|SortMergeJoin|ShuffledHashJoin|"
                                                r"BroadcastNestedLoopJoin|CartesianProduct)", plan)}),
-        "python": sorted(set(re.findall(r"(ArrowEvalPython|MapInPandas|FlatMapGroupsInPandas|"
-                                        r"BatchEvalPython)", plan))),
+        "python": sorted(set(re.findall(r"(ArrowEvalPython|MapInArrow|MapInPandas|FlatMapGroupsInArrow|"
+                                        r"FlatMapGroupsInPandas|BatchEvalPython)", plan))),
         "topk": plan.count("WindowGroupLimit") > 0,
         "scans": re.findall(r"FileScan parquet \S*\[[^\]]*\].*?PushedFilters: (\[[^\]]*\]).*?"
                             r"ReadSchema: (struct<[^>]*>)", plan),
