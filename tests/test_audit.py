@@ -212,3 +212,27 @@ def test_verify_chained_equals_one_window(spark):
     a = {r.chain: (r.valid, r.entries, r.broken_at, r.cause, r.detail) for r in A.verify_chained(df, "chain").collect()}
     b = {r.chain: (r.valid, r.entries, r.broken_at, r.cause, r.detail) for r in A.verify(df, "chain", ["segment", "line_no"]).collect()}
     assert a == b
+
+
+def test_plain_lines_are_decided_without_python(spark):
+    """Lines as written are rearranged by one match; others, odd numbers and escapes among them, are parsed."""
+    import re
+
+    lines = [r.line for r in A.build_chain(A.entry_parts(_records(spark, 2, 4)), "chain", ["ts", "qid"]).collect()]
+    assert all(re.search(A.PLAIN_LINE.replace("\\z", "\\Z"), x) for x in lines)
+    number = lambda x, v: re.sub(r'"query_length":\d+', f'"query_length":{v}', x)
+    odd = [number(lines[0], "-0"), number(lines[0], "007"), number(lines[0], "1.0"), number(lines[0], "9" * 30),
+           lines[0].replace('"event":"', '"event":"\\u0041'), lines[0].replace('"event":"', '"event":"é'),
+           lines[0].replace(":", ": ", 1), lines[0] + "x", lines[0][:-1] + "\n}", "  " + lines[0] + "\x85", '{"a":1}', "[1]"]
+    got = {r.line: r._p for r in A._parsed(spark.createDataFrame([(x,) for x in lines + odd], "line string"), "line").collect()}
+    for x in lines + odd:
+        try:
+            e = json.loads(x.strip())
+        except ValueError:
+            e = None
+        if not isinstance(e, dict):
+            assert got[x].ok is False
+            continue
+        prev, stored, want = A.stored_and_expected(e)
+        assert got[x].asDict() == {"ok": True, "prev_repr": json.dumps(prev), "entry_repr": json.dumps(stored),
+                                   "hash_ok": stored == want, "expected16": want[:16], "prev16": prev[:16], "entry16": stored[:16]}, x
