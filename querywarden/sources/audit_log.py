@@ -17,11 +17,21 @@ from pyspark.sql import functions as F
 from ..operators.asof import asof_join
 
 
+#: Segments of a chain that one task writes; a longer chain is dealt out to several.
+SEGMENTS_A_TASK = 64
+
+
 def write_audit_log(lines: DataFrame, path: str, chain_key: str = "user_id",
                     mode: str = "overwrite") -> None:
-    """Write ``line`` values, one file per (chain, segment), in ``seq`` order."""
+    """Write ``line`` values, one file per (chain, segment), in ``seq`` order.
+
+    The work is the number of files, not of bytes: the number of tasks stays
+    as set and is not cut down to fit the bytes. A run of ``SEGMENTS_A_TASK``
+    segments of a chain goes to one task, which makes the chain's folder once.
+    """
+    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (lines.select(chain_key, "segment", "seq", "line")
-          .repartition(chain_key, "segment")
+          .repartition(n, chain_key, F.floor(F.col("segment") / SEGMENTS_A_TASK))
           .sortWithinPartitions(chain_key, "segment", "seq")
           .select(chain_key, "segment", "line")
           .write.mode(mode).partitionBy(chain_key, "segment").text(path))
@@ -32,22 +42,37 @@ def read_audit_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return numbered_lines(spark.read.text(path))
 
 
+def _least_split(spark: SparkSession) -> int:
+    """Files of up to so many bytes are never split, by the session's settings."""
+    size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    return min(size(spark.conf.get(f"spark.sql.files.{k}")) for k in ("openCostInBytes", "maxPartitionBytes"))
+
+
 def numbered_lines(text: DataFrame) -> DataFrame:
-    """Rows of ``spark.read.text`` with ``file`` and ``line_no`` (physical, from 1)."""
+    """Rows of ``spark.read.text`` with ``file`` and ``line_no`` (physical, from 1).
+
+    Small files, read whole, are opened once. Files that may be split are read
+    a second time, for the lines of their splits.
+    """
     raw = text.select(
         "*",
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("_blk"),
+        (F.col("_metadata.file_block_length") < F.col("_metadata.file_size")).alias("_part"),
         F.monotonically_increasing_id().alias("_mid"),
     ).withColumnRenamed("value", "line")
     # number the lines inside each split, then add the lines of the splits before it
     inside = F.row_number().over(Window.partitionBy("file", "_blk").orderBy("_mid"))
-    splits = raw.groupBy("file", "_blk").agg(F.count(F.lit(1)).alias("_n"))
+    splits = text.where(F.col("_metadata.file_size") > _least_split(text.sparkSession)).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_blk")) \
+        .groupBy("file", "_blk").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("file").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1))
     splits = splits.select("file", "_blk", F.coalesce(before, F.lit(0)).alias("_before"))
-    out = raw.withColumn("line_no", inside).join(splits, ["file", "_blk"])
-    return out.select(*[c for c in raw.columns if c not in ("_blk", "_mid")],
-                      (F.col("line_no") + F.col("_before")).cast("bigint").alias("line_no"))
+    out = raw.withColumn("line_no", inside).join(splits, ["file", "_blk"], "left")
+    earlier = F.when(~F.col("_part"), F.lit(0)).otherwise(
+        F.coalesce("_before", F.raise_error(F.lit("a split of a log file was not counted")).cast("bigint")))
+    return out.select(*[c for c in raw.columns if c not in ("_blk", "_mid", "_part")],
+                      (F.col("line_no") + earlier).cast("bigint").alias("line_no"))
 
 
 def _qualified(spark: SparkSession, paths: list[str]) -> dict[str, str | None]:
@@ -134,11 +159,13 @@ def write_bucketed_log(lines: DataFrame, path: str, chain_key: str = "user_id",
     base = path.rstrip("/")
     rows.repartition("bucket").sortWithinPartitions("bucket", *order).select("bucket", "line") \
         .write.mode("overwrite").partitionBy("bucket").text(f"{base}/lines/append={append}")
-    rows = rows.withColumn("line_no", F.row_number().over(Window.partitionBy("bucket").orderBy(*order)).cast("bigint"))
+    # a file's segments follow one another, so their first and last lines follow from their sizes; the lines are not sorted again
+    upto = F.sum("entries").over(Window.partitionBy("bucket").orderBy(chain_key, "segment"))
     index = rows.groupBy(chain_key, "segment", "bucket").agg(
-        F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.count(F.lit(1)).alias("entries"),
-        F.sum(F.octet_length("line") + 1).alias("bytes"), F.min_by("prev_hash", "seq").alias("first_prev"),
-        F.max_by("entry_hash", "seq").alias("last_hash"))
+        F.count(F.lit(1)).alias("entries"), F.sum(F.octet_length("line") + 1).alias("bytes"),
+        F.min_by("prev_hash", "seq").alias("first_prev"), F.max_by("entry_hash", "seq").alias("last_hash"))
+    index = index.withColumn("last_line", upto.cast("bigint")).withColumn("first_line", F.col("last_line") - F.col("entries") + 1) \
+        .select(chain_key, "segment", "bucket", "first_line", "last_line", "entries", "bytes", "first_prev", "last_hash")
     index.write.mode("overwrite").parquet(f"{base}/index/append={append}")
 
 

@@ -107,3 +107,43 @@ def test_log_heads(spark):
     df = spark.createDataFrame(rows, "chain string, segment long, line_no long, line string")
     got = {r.chain: (r.seed_hash, r.seed_seq, r.seed_segment) for r in AL.log_heads(df, "chain").collect()}
     assert got == {"a": ("h2", 2, 0), "b": ("", 2, 1), "c": ("", 0, 0), "d": ("", 1, 0), "e": ("h5", 1, 1)}
+
+
+def test_small_log_files_are_read_once(spark, tmp_path):
+    lines = A.build_chain(A.entry_parts(_records(spark, 3, 9)), "chain", ["ts", "qid"], max_segment_bytes=900)
+    AL.write_audit_log(lines, str(tmp_path / "log"), "chain")
+    logs = AL.read_audit_log(spark, str(tmp_path / "log"))
+    assert logs.count() == 27
+    logs.collect()
+    # the look at split files, by size, finds none: the join with it is gone from the plan that ran
+    plan = logs._jdf.queryExecution().executedPlan()
+    assert plan.toString().split("Initial Plan")[0].count("Join") == 0
+
+
+def test_chain_folder_is_written_by_one_task(spark, tmp_path):
+    """Short chains: all of a chain's segments come from the same task."""
+    lines = A.build_chain(A.entry_parts(_records(spark, 5, 9)), "chain", ["ts", "qid"], max_segment_bytes=900)
+    AL.write_audit_log(lines, str(tmp_path / "log"), "chain")
+    tasks = {}
+    for d, _, files in os.walk(tmp_path / "log"):
+        for f in files:
+            if f.startswith("part-"):
+                tasks.setdefault(os.path.dirname(d), set()).add(f.split("-")[1])
+    assert len(tasks) == 5 and all(len(t) == 1 for t in tasks.values())
+
+
+def test_index_places_segments_in_their_files(spark, tmp_path):
+    lines = A.build_chain(A.entry_parts(_records(spark, 6, 9)), "chain", ["ts", "qid"], max_segment_bytes=900)
+    AL.write_bucketed_log(lines, str(tmp_path / "log"), "chain", buckets=2)
+    index = AL.read_index(spark, str(tmp_path / "log"))
+    for b in {r.bucket for r in index.collect()}:
+        d = tmp_path / "log" / "lines" / "append=0" / f"bucket={b}"
+        text = [x for f in os.listdir(d) if f.startswith("part-") for x in (d / f).read_text().splitlines()]
+        entries = [json.loads(x) for x in text]
+        at = 1
+        for r in index.where(f"bucket = {b}").orderBy("chain", "segment").collect():
+            assert (r.first_line, r.last_line) == (at, at + r.entries - 1)
+            assert r.first_prev == entries[at - 1]["prev_hash"] and r.last_hash == entries[r.last_line - 1]["entry_hash"]
+            assert r.bytes == sum(len(x) + 1 for x in text[at - 1:r.last_line])
+            at = r.last_line + 1
+        assert at == len(text) + 1
