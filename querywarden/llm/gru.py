@@ -31,51 +31,79 @@ def new_params(n_inputs: int, class_prior: np.ndarray, word_prior: np.ndarray, s
 
 
 def _sigmoid(x):
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
-def step(p: dict, x: np.ndarray, h: np.ndarray):
-    hu = h @ p["u"]
-    zr = _sigmoid(x[:, :2 * H] + hu[:, :2 * H])
-    hn = hu[:, 2 * H:] + p["b"]
-    n = np.tanh(x[:, 2 * H:] + zr[:, H:] * hn)
-    return n + zr[:, :H] * (h - n), zr, n, hn
-
-
-def _log_softmax(x):
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+    x = np.tanh(x * 0.5)
+    x *= 0.5
+    x += 0.5
+    return x
+
+
+def step(b: np.ndarray, ut: np.ndarray, x: np.ndarray, h: np.ndarray):
+    """One step of all lanes; lanes are columns here, so that each gate is one block of memory."""
+    hu = ut @ h
+    zr = _sigmoid(x[:2 * H] + hu[:2 * H])
+    hn = hu[2 * H:] + b[:, None]
+    n = zr[H:] * hn
+    n += x[2 * H:]
+    np.tanh(n, out=n)
+    return n + zr[:H] * (h - n), zr, n, hn
+
+
+def _read(x: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Rows of a matrix as columns."""
+    return np.ascontiguousarray(x.take(ids, axis=0, mode="clip").T)
+
+
+def _softmax(z: np.ndarray, target: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Natural log of each column's target probability; ``z`` becomes the probabilities."""
+    top = z.max(axis=0)
+    out = z[target, columns] - top
+    z -= top
+    np.exp(z, out=z)
+    total = z.sum(axis=0)
+    out -= np.log(total)
+    z *= 1 / total
+    return out
 
 
 def output(p: dict, h: np.ndarray, cls: np.ndarray, word: np.ndarray, grads: dict | None = None):
     """Natural log of each target's probability (class, and word where ``word >= 0``).
 
     With ``grads`` given, also adds the gradients of the summed loss and
-    returns that of the states.
+    returns that of the states. Works by columns: fastest where ``h`` is the
+    transpose of an array in order.
     """
-    rows = np.arange(len(h))
-    logc = _log_softmax(h @ p["wc"] + p["bc"])
-    out = logc[rows, cls].astype(np.float64)
+    ht, columns = h.T, np.arange(len(h))
+    z = p["wc"].T @ ht
+    z += p["bc"][:, None]
+    out = _softmax(z, cls, columns).astype(np.float64)
     dh = None
     if grads is not None:
-        d = np.exp(logc)
-        d[rows, cls] -= 1
-        grads["wc"] += h.T @ d
-        grads["bc"] += d.sum(axis=0)
-        dh = d @ p["wc"].T
+        z[cls, columns] -= 1
+        grads["wc"] += ht @ z.T
+        grads["bc"] += z.sum(axis=1)
+        dh = p["wc"] @ z
     at = np.flatnonzero(word >= 0)
-    at = at[np.argsort(cls[at], kind="stable")]
+    at = at[np.argsort(cls[at].astype(np.int16), kind="stable")]
     starts = np.searchsorted(cls[at], np.arange(len(p["bw"]) + 1))
+    mine, target, columns = ht.take(at, axis=1), word[at], np.arange(len(at))
+    logs, dmine = np.empty(len(at)), np.empty_like(mine)
     for k in np.flatnonzero(np.diff(starts)):
-        i = at[starts[k]:starts[k + 1]]
-        logw = _log_softmax(h[i] @ p["ww"][k] + p["bw"][k])
-        out[i] += logw[np.arange(len(i)), word[i]]
+        i = slice(starts[k], starts[k + 1])
+        one, t, c = mine[:, i], target[i], columns[:starts[k + 1] - starts[k]]
+        z = p["ww"][k].T @ one
+        z += p["bw"][k][:, None]
+        logs[i] = _softmax(z, t, c)
         if grads is not None:
-            d = np.exp(logw)
-            d[np.arange(len(i)), word[i]] -= 1
-            grads["ww"][k] += h[i].T @ d
-            grads["bw"][k] += d.sum(axis=0)
-            dh[i] += d @ p["ww"][k].T
+            z[t, c] -= 1
+            grads["ww"][k] += one @ z.T
+            grads["bw"][k] += z.sum(axis=1)
+            dmine[:, i] = p["ww"][k] @ z
+    out[at] += logs
+    if grads is not None:
+        place = np.full(len(h), len(at))                      # the last column: nothing to add
+        place[at] = columns
+        dh += np.concatenate([dmine, np.zeros((H, 1), dmine.dtype)], axis=1).take(place, axis=1)
+        dh = dh.T
     return out, dh
 
 
@@ -120,21 +148,22 @@ def score(p: dict, inputs: np.ndarray, cls: np.ndarray, word: np.ndarray, length
     """
     lanes = Lanes(lengths, n_lanes)
     out = np.zeros(len(inputs))
-    h = np.zeros((lanes.token.shape[1], H), np.float32)
+    ut = np.ascontiguousarray(p["u"].T)
+    h = np.zeros((H, lanes.token.shape[1]), np.float32)
     for t0 in range(0, lanes.steps, window):
         states, tokens = [], []
         for t in range(t0, min(t0 + window, lanes.steps)):
             n = lanes.active(t)
-            if n < len(h):
-                h = h[:n]
+            if n < h.shape[1]:
+                h = np.ascontiguousarray(h[:, :n])
             if lanes.begins[t, :n].any():
-                h = np.where(lanes.begins[t, :n, None], np.float32(0), h)
+                h = np.where(lanes.begins[t, :n], np.float32(0), h)
             at = lanes.token[t, :n]
-            h = step(p, p["x"][inputs[at]], h)[0]
+            h = step(p["b"], ut, _read(p["x"], inputs[at]), h)[0]
             states.append(h)
             tokens.append(at)
         at = np.concatenate(tokens)
-        out[at] = output(p, np.concatenate(states), cls[at], word[at])[0]
+        out[at] = output(p, np.concatenate(states, axis=1).T, cls[at], word[at])[0]
     return out
 
 
@@ -150,10 +179,18 @@ class Adam:
         clip = min(1.0, 1.0 / max(size, 1e-12))
         a = self.rate * np.sqrt(1 - 0.999 ** self.t) / (1 - 0.9 ** self.t)
         for k, x in g.items():
-            x = x * clip
-            self.m[k] += 0.1 * (x - self.m[k])
-            self.v[k] += 0.001 * (x * x - self.v[k])
-            self.p[k] -= (a * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)).astype(np.float32)
+            x = x * np.float32(clip)
+            m, v = self.m[k], self.v[k]
+            m += np.float32(0.1) * (x - m)
+            x *= x
+            x -= v
+            x *= np.float32(0.001)
+            v += x
+            np.sqrt(v, out=x)
+            x += np.float32(1e-8)
+            np.divide(m, x, out=x)
+            x *= np.float32(a)
+            self.p[k] -= x
 
 
 def gradients(p: dict, xs: list[np.ndarray], cls: np.ndarray, word: np.ndarray, keep: list[np.ndarray],
@@ -165,40 +202,50 @@ def gradients(p: dict, xs: list[np.ndarray], cls: np.ndarray, word: np.ndarray,
     ``xs[t]``: inputs of the lanes at step t; ``keep[t]``: 0 where a document
     begins; ``h``: the state that comes in (no gradient flows into it).
     """
-    trace, states = [], []
-    for x, k in zip(xs, keep):
-        before = h * k[:, None]
-        h, zr, n, hn = step(p, p["x"][x], before)
+    lanes, steps = len(h), len(xs)
+    ut, u = np.ascontiguousarray(p["u"].T), p["u"]
+    h = np.ascontiguousarray(h.T)
+    trace, states = [], np.empty((H, steps, lanes), u.dtype)
+    for t, (x, k) in enumerate(zip(xs, keep)):
+        before = h * k
+        h, zr, n, hn = step(p["b"], ut, _read(p["x"], x), before)
         trace.append((before, zr, n, hn))
-        states.append(h)
+        states[:, t] = h
     g = {k: np.zeros_like(v) for k, v in p.items()}
+    states = states.reshape(H, -1)
     if live is None:
-        logp, dhs = output(p, np.concatenate(states), cls, word, g)
+        logp, dhs = output(p, states.T, cls, word, g)
+        dhs = dhs.T.reshape(H, steps, lanes)
     else:
-        dhs = np.zeros((len(cls), H), np.float32)
-        logp, dhs[live] = output(p, np.concatenate(states)[live], cls[live], word[live], g)
-    rows = len(xs[0])
+        dhs = np.zeros_like(states)
+        at = np.flatnonzero(live)
+        logp, found = output(p, states.take(at, axis=1).T, cls[at], word[at], g)
+        dhs[:, at] = found.T
+        dhs = dhs.reshape(H, steps, lanes)
     dh = np.zeros_like(h)
-    dx = np.zeros((len(xs) * rows, 3 * H), np.float32)
-    for t in range(len(xs) - 1, -1, -1):
+    dx = np.empty((3 * H, steps, lanes), u.dtype)
+    du = np.empty((3 * H, lanes), u.dtype)
+    for t in range(steps - 1, -1, -1):
         before, zr, n, hn = trace[t]
-        z, r = zr[:, :H], zr[:, H:]
-        dh = dh + dhs[t * rows:(t + 1) * rows]
-        dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (before - n) * z * (1 - z)
-        dr = dn * hn * r * (1 - r)
-        dhn = dn * r
-        du = np.concatenate([dz, dr, dhn], axis=1)
-        g["u"] += before.T @ du
-        g["b"] += dhn.sum(axis=0)
-        dx[t * rows:(t + 1) * rows] = np.concatenate([dz, dr, dn], axis=1)
-        dh = (dh * z + du @ p["u"].T) * keep[t][:, None]
+        z, r = zr[:H], zr[H:]
+        dh += dhs[:, t]
+        dn = (1 - n * n) * (dh * (1 - z))
+        slopes = zr * (1 - zr)
+        np.multiply(dh * (before - n), slopes[:H], out=du[:H])
+        np.multiply(dn * hn, slopes[H:], out=du[H:2 * H])
+        dhn = np.multiply(dn, r, out=du[2 * H:])
+        g["u"] += before @ du.T
+        g["b"] += dhn.sum(axis=1)
+        dx[:2 * H, t] = du[:2 * H]
+        dx[2 * H:, t] = dn
+        dh *= z
+        dh += u @ du
+        dh *= keep[t]
     read = np.concatenate(xs)
-    by = np.argsort(read, kind="stable")
-    first = np.flatnonzero(np.append(True, read[by][1:] != read[by][:-1]))
-    g["x"][read[by][first]] += np.add.reduceat(dx[by], first)
+    for i, row in enumerate(dx.reshape(3 * H, -1)):
+        g["x"][:, i] = np.bincount(read, row, len(p["x"]))
     count = len(logp)
-    return float(-logp.mean()), {k: v / count for k, v in g.items()}, h
+    return float(-logp.mean()), {k: v / count for k, v in g.items()}, np.ascontiguousarray(h.T)
 
 
 class Trainer:

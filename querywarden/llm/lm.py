@@ -30,12 +30,32 @@ from .common import keep_freed_memory, materialise
 HEAD, DIRECT, SUFFIXES = 200_000, 1023, 23
 #: Sixteenths of the training rows in each round.
 ROUNDS = (1, 3, 4, 8)
+#: Fewest tasks that a round is gathered into; tokens that a task learns from at once at most.
+LEAST_TASKS, MOST_TOKENS = 8, 2_000_000
 #: Tasks that add up weights, and the numbers the driver receives: this many copies of the network.
 ADDERS = 8
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8").lower().split()
+def slices(batch, column: int, size: int = 1 << 23) -> Iterator:
+    """A batch in runs of rows whose texts have about ``size`` bytes."""
+    import pyarrow.compute as pc
+
+    block = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64)) // size
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+    for x, y in zip(cuts[:-1], cuts[1:]):
+        if y > x:
+            yield batch.slice(x, y - x)
+
+
+def words_of(texts) -> tuple:
+    """The words of an array of texts, one after another (A-Z in lower case), and each text's number of them."""
+    import pyarrow.compute as pc
+
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, ends = lists.flatten(), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+    there = pc.greater(pc.binary_length(words), 0)            # white space at a text's ends leaves an empty string
+    upto = np.append(0, np.cumsum(there.to_numpy(zero_copy_only=False)))[ends]
+    return words.filter(there), np.diff(upto, prepend=0)
 
 
 def count_tokens(texts: DataFrame) -> DataFrame:
@@ -43,20 +63,11 @@ def count_tokens(texts: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def out():
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
-
+        keep_freed_memory()
         for batch in batches:
-            for t in batch.column(0):
-                seen.update(words_of(t.as_py()))
-                if len(seen) > 300_000:
-                    yield out()
-                    seen.clear()
-        if seen:
-            yield out()
+            for part in slices(batch, 0):
+                found = words_of(part.column(0))[0].value_counts()
+                yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["word", "c"])
 
     return texts.select("t").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -99,24 +110,40 @@ class Vocabulary:
 
     @staticmethod
     def of(state: dict) -> Vocabulary:
+        import pyarrow as pa
+
         v = Vocabulary.__new__(Vocabulary)
         v.__dict__.update(state)
-        v.index = {w: i for i, w in enumerate(v.words)}
-        v.ending_of = {s: i for i, s in enumerate(v.endings)}
+        v.table, v.endings_table = pa.array(v.words, pa.binary()).cast(pa.string()), pa.array(v.endings, pa.string())
         return v
 
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """(model numbers of the words and the end, head numbers or -1, words beyond the head)."""
-        get = self.index.get
-        head = np.array([get(w, -1) for w in words], np.int64)
-        out = np.empty(len(words) + 1, np.int64)
-        out[-1] = self.end
-        out[:-1] = self.input_of[head] if len(self.words) else 0
-        rare = np.flatnonzero(head < 0)
-        beyond = [words[i] for i in rare.tolist()]
-        other = len(self.endings)
-        out[rare] = [self.n_direct + self.ending_of.get(w.decode("utf-8")[-2:], other) for w in beyond]
-        return out, head, beyond
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, object]:
+        """Model numbers of all texts' words and ends, one after another, and their number by text; the
+        words' head numbers or -1 (also for ends); numbers of words beyond the head by text, and these words."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def index(words, table, other):
+            return pc.fill_null(pc.index_in(words, value_set=table), other).to_numpy(zero_copy_only=False)
+
+        words, lengths = words_of(texts)
+        known = index(words, self.table, -1)
+        rare = np.flatnonzero(known < 0)
+        beyond = words.take(pa.array(rare))
+        own = self.input_of[known] if len(self.words) else np.empty(len(known), np.int64)
+        own[rare] = self.n_direct + index(pc.utf8_slice_codeunits(beyond, -2), self.endings_table, len(self.endings))
+        ends = np.cumsum(lengths + 1) - 1
+        inside = np.ones(len(words) + len(lengths), bool)
+        inside[ends] = False
+        numbers, head = np.full(len(inside), self.end, np.int64), np.full(len(inside), -1, np.int64)
+        numbers[inside], head[inside] = own, known
+        n_rare = np.diff(np.searchsorted(rare, np.cumsum(lengths)), prepend=0)
+        return numbers, lengths + 1, head, n_rare, beyond
+
+    def each(self, texts) -> list[np.ndarray]:
+        """Model numbers of each text."""
+        numbers, lengths, *_ = self.encode(texts)
+        return np.split(numbers, np.cumsum(lengths)[:-1])
 
     def targets(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         direct = numbers < self.n_direct
@@ -168,6 +195,24 @@ def shaped(values: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndar
     return out
 
 
+def parts_of(documents: Iterator[np.ndarray], part_tokens: int, n_lanes: int) -> Iterator[list[np.ndarray]]:
+    """Documents that are learnt from together: of ``part_tokens`` tokens or more.
+
+    Lanes that end long before that of the longest document leave it to run
+    alone, at a window's full cost, so a part goes on, up to MOST_TOKENS,
+    until the longest document is no longer than a lane.
+    """
+    part, waiting, longest = [], 0, 0
+    for x in documents:
+        part.append(x)
+        waiting, longest = waiting + len(x), max(longest, len(x))
+        if waiting > part_tokens and waiting > min(n_lanes * longest, MOST_TOKENS):
+            yield part
+            part, waiting, longest = [], 0, 0
+    if part:
+        yield part
+
+
 def one_round(texts: DataFrame, vocab_sent, params: dict[str, np.ndarray], part_tokens: int) -> dict[str, np.ndarray]:
     """The weights that each partition of ``t`` comes to from ``params``, averaged by its number of tokens.
 
@@ -186,23 +231,11 @@ def one_round(texts: DataFrame, vocab_sent, params: dict[str, np.ndarray], part_
         v, total = here["ready"], 0
         keep_freed_memory()
         trainer = gru.Trainer({k: x.copy() for k, x in sent.value.items()})
-        parts, waiting = [], 0
-
-        def done():
-            numbers, lengths = np.concatenate(parts), [len(x) for x in parts]
+        documents = (x for batch in batches for some in slices(batch, 0) for x in v.each(some.column(0)))
+        for part in parts_of(documents, part_tokens, trainer.n_lanes):
+            numbers, lengths = np.concatenate(part), [len(x) for x in part]
             trainer.part(v.before(numbers, lengths), *v.targets(numbers), lengths)
-            parts.clear()
-
-        for batch in batches:
-            for t in batch.column(0):
-                parts.append(v.encode(words_of(t.as_py()))[0])
-                waiting += len(parts[-1])
-                if waiting > part_tokens:
-                    done()
-                    total, waiting = total + waiting, 0
-        if parts:
-            done()
-            total += waiting
+            total += len(numbers)
         if total:
             yield pa.RecordBatch.from_arrays([
                 pa.array([TaskContext.get().partitionId() % ADDERS], pa.int32()), pa.array([float(total)]),
@@ -230,15 +263,18 @@ def fit(texts: DataFrame, vocab: Vocabulary, part_tokens: int = 400_000) -> dict
     params = gru.new_params(vocab.n_direct + len(vocab.tail_log10), vocab.class_prior, vocab.word_prior)
     sent = texts.sparkSession.sparkContext.broadcast({"vocabulary": vocab.state()})
     share, before = F.pmod("h", F.lit(sum(ROUNDS))), 0
+    tasks = texts.rdd.getNumPartitions()
     for part in ROUNDS:
-        params = one_round(texts.where((share >= before) & (share < before + part)), sent, params, part_tokens)
+        rows = texts.where((share >= before) & (share < before + part))
+        # a task of a small round gets about as many rows as one of the largest
+        fewer = max(LEAST_TASKS, -(-tasks * part // max(ROUNDS)))
+        params = one_round(rows.coalesce(fewer) if fewer < tasks else rows, sent, params, part_tokens)
         before += part
     sent.unpersist()
     return params
 
 
-def score_documents(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text",
-                    batch_tokens: int = 1_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for each row.
 
     Learns from the rows where ``held_out`` is false, scores all. Null text:
@@ -268,48 +304,27 @@ def score_documents(docs: DataFrame, held_out: Column, key: str = "doc_id", text
         log_count = np.log10(np.append(v.counts, 0) + 1.0)  # the last one stands for words beyond the head
         row = TaskContext.get().partitionId() << 33
 
-        def done(part):
-            nonlocal row
-            encoded = [v.encode(words_of(t)) for _, _, t in part]
-            lengths = [len(x) for x, _, _ in encoded]
-            numbers = np.concatenate([x for x, _, _ in encoded])
-            cls, word = v.targets(numbers)
-            logs = gru.score(p, v.before(numbers, lengths), cls, word, lengths) / np.log(10)
-            out = {k: [] for k in ("row", "n_tokens", "n_known", "base", "score", "rare")}
-            at = 0
-            for numbers, head, beyond in encoded:
-                n = len(numbers)
-                mine = numbers[:-1]
-                tail = mine >= v.n_direct
-                inside = log_count[head][tail].sum() - v.tail_log10[mine[tail] - v.n_direct].sum()
-                out["row"].append(row)
-                out["n_tokens"].append(n)
-                out["n_known"].append(int((head >= 0).sum()) + (v.end_count > 0))
-                out["base"].append(float(log_count[head].sum() + np.log10(v.end_count + 1) - n * below))
-                out["score"].append(float(logs[at:at + n].sum() + inside))
-                out["rare"].append([{"word": w.decode("utf-8"), "n": c} for w, c in Counter(beyond).items()])
-                at += n
-                row += 1
-            rare = pa.array(out.pop("rare"), pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([x for x, _, _ in part], pa.int64()), pa.array([x for _, x, _ in part], pa.bool_()),
-                 *(pa.array(x) for x in out.values()), rare], names=["doc_id", "held_out", *out, "rare"])
-
-        part, size = [], 0
         for batch in batches:
-            for i, o, t in zip(*batch.columns):
-                part.append((i.as_py(), o.as_py(), t.as_py()))
-                size += len(part[-1][2]) // 6 + 1
-                if size > batch_tokens:
-                    yield done(part)
-                    part, size = [], 0
-        if part:
-            yield done(part)
+            for part in slices(batch, 2):
+                numbers, lengths, head, n_rare, beyond = v.encode(part.column(2))
+                cls, word = v.targets(numbers)
+                logs = gru.score(p, v.before(numbers, lengths), cls, word, lengths.tolist()) / np.log(10)
+                counted = log_count[head]
+                tail = np.flatnonzero(numbers >= v.n_direct)
+                logs[tail] += counted[tail] - v.tail_log10[numbers[tail] - v.n_direct]
+                by_text = lambda x: np.add.reduceat(x, np.cumsum(lengths) - lengths)
+                rare = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n_rare)), pa.int32()), beyond)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), *(pa.array(x) for x in (
+                        np.arange(row, row + len(lengths)), lengths, by_text((head >= 0).astype(np.int64)) + (v.end_count > 0),
+                        by_text(counted) + np.log10(v.end_count + 1) - lengths * below, by_text(logs))), rare],
+                    names=["doc_id", "held_out", "row", "n_tokens", "n_known", "base", "score", "rare"])
+                row += len(lengths)
 
     scored = materialise(rows.mapInArrow(run, "doc_id long, held_out boolean, row long, n_tokens long, n_known long, "
-                                              "base double, score double, rare array<struct<word:string,n:long>>"), "scores")
-    rare = scored.select("row", F.inline("rare")).join(counts, "word", "inner").groupBy("row").agg(
-        F.sum("n").alias("known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more"))
+                                              "base double, score double, rare array<string>"), "scores")
+    rare = scored.select("row", F.explode("rare").alias("word")).join(counts, "word", "inner").groupBy("row").agg(
+        F.count("*").alias("known"), F.sum(F.log10(F.col("c") + 1)).alias("more"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     return scored.drop("rare").join(rare, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("known")).alias("n_known"),

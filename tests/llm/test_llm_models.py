@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_rows import empty, frame, rows
 from pyspark.sql import functions as F
@@ -202,3 +203,50 @@ def test_weights_are_averaged_by_tokens(spark):
     both = lm.flat(lm.fit(parts(rows), vocab))
     n = [len(t.split()) + 1 for t, _ in rows]
     assert np.allclose(both, (first * n[0] + second * n[1]) / sum(n), atol=1e-5)
+
+
+def test_words_and_numbers_of_texts():
+    rnd = random.Random(3)
+    texts = ["", " ", "  A", "a  ", *("".join(rnd.choices(" \t\n\v\f\r\x1c\x85\xa0 aZÉéİß.\x00\U0001F600", k=rnd.randint(0, 12))) for _ in range(2000))]
+    split = [t.encode().lower().split() for t in texts]
+    words_, lengths = lm.words_of(pa.array(texts))
+    assert lengths.tolist() == [len(x) for x in split] and [w.encode() for w in words_.to_pylist()] == [w for x in split for w in x]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"])
+    parts = list(lm.slices(batch, 0, 500))
+    assert len(parts) > 10 and sum((p.column(0).to_pylist() for p in parts), []) == texts
+    head = [("a", 9), ("aa", 5), ("é", 4)]
+    v = lm.Vocabulary.of(lm.Vocabulary(head, len(texts), [("zz", 3, 2)], (4, 4), 100, 10).state())
+    numbers, lengths, known, n_rare, beyond = v.encode(pa.array(texts))
+    want, rare = [], []
+    for x in split:
+        rare.append([w for w in x if w.decode() not in dict(head)])
+        for w in x:
+            i = [h for h, _ in head].index(w.decode()) if w.decode() in dict(head) else -1
+            want.append((i, v.input_of[i] if i >= 0 else v.n_direct + v.tail_class(w)))
+        want.append((-1, v.end))
+    assert list(zip(known.tolist(), numbers.tolist())) == want
+    assert n_rare.tolist() == [len(x) for x in rare] and [w.encode() for w in beyond.to_pylist()] == [w for x in rare for w in x]
+    assert lengths.tolist() == [len(x) + 1 for x in split]
+
+
+def test_long_documents_do_not_run_alone(monkeypatch):
+    lengths = ([800] + [4] * 400) * 8
+    numbers = np.arange(sum(lengths))
+    documents = lambda: iter(np.split(numbers, np.cumsum(lengths)[:-1]))
+    parts = list(lm.parts_of(documents(), 2000, 256))
+    assert len(parts) == 1                        # eight before, each with one lane of 800 steps beside short ones
+    assert np.array_equal(np.concatenate(parts[0]), numbers)
+    monkeypatch.setattr(lm, "MOST_TOKENS", 5000)
+    bounded = list(lm.parts_of(documents(), 2000, 256))
+    assert len(bounded) == 4 and np.array_equal(np.concatenate(sum(bounded, [])), numbers)
+    assert [len(p) for p in lm.parts_of(documents(), 2000, 1)][0] == 302  # one lane is as long as the part
+
+
+def test_small_rounds_are_gathered(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(lm, "one_round", lambda texts, sent, params, n: (seen.append(texts.rdd.getNumPartitions()), params)[1])
+    vocab = lm.vocabulary(lm.count_tokens(spark.createDataFrame([("a b",)], "t string")), 1)
+    for tasks, want in ((32, [8, 12, 16, 32]), (4, [4, 4, 4, 4])):
+        seen.clear()
+        lm.fit(spark.createDataFrame([("a", i) for i in range(64)], "t string, h long").repartition(tasks), vocab)
+        assert seen == want
