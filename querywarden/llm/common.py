@@ -102,6 +102,23 @@ def give_back_memory() -> None:
         pass
 
 
+#: Bytes that Spark hands to a Python worker at once where rows are wide.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session hands rows to Python in batches of ``BATCH_BYTES``, or its own smaller setting.
+
+    A batch is made whole outside the JVM's heap, in buffers that double as
+    they fill, and the worker holds it once more: at Spark's default of 64 MB
+    that is hundreds of MB for an executor's tasks. Results don't depend on it.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name, "64m"))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def sorted_groups(batches, keys: int):
     """Complete groups of rows that arrive sorted by their first ``keys`` columns.
 

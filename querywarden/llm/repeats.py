@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, give_back_memory, keep_freed_memory, release_shuffles, sorted_groups, written
+from .common import discard, give_back_memory, keep_freed_memory, release_shuffles, small_batches, sorted_groups, written
 
 #: WINDOW is at most K: seeds at most WINDOW apart then leave no word between them uncompared.
 K, WINDOW = 5, 5
@@ -534,6 +534,7 @@ def _aligned(text: str, cs: list[dict], min_words: int, similarity: float) -> li
 
 
 def _run_over(docs: DataFrame, key: str, text: str, min_words: int, similarity: float, out_schema, emit, how: str) -> DataFrame:
+    small_batches(docs.sparkSession)
     per_doc = _candidates(docs, key, text, min_words)
     joined = docs.join(per_doc, docs[key] == per_doc["doc"], how).drop("doc")
     return joined.mapInArrow(emit, out_schema)
@@ -595,8 +596,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     import pyarrow as pa
     from pyspark.sql import types as T
 
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    kept = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)],
+    # the text goes along once, as _text
+    other = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != text}
+    names = list(other.values())
+    kept = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in other.items()],
                        F.col(f"`{key}`").cast("long").alias("_key"), F.col(f"`{text}`").alias("_text"))
     schema = T.StructType([kept.schema[n] for n in names] + [T.StructField("_clean", T.StringType())])
 
@@ -612,4 +615,4 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min
         give_back_memory()
 
     out = _run_over(kept, "_key", "_text", min_words, similarity, schema, emit, "left")
-    return out.select(*[F.col("_clean" if c == text else n).alias(c) for n, c in zip(names, docs.columns)])
+    return out.select(*[F.col(other.get(c, "_clean")).alias(c) for c in docs.columns])

@@ -3,11 +3,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from llm_rows import empty, frame, rows, sentence, texts
 
-from querywarden.llm import components, repeats, simhash
+from querywarden.llm import common, components, repeats, simhash
 
 
 def fingerprint_by_hand(text, size=4):
@@ -229,3 +230,21 @@ def test_pipeline(spark):
     for _, stage in cp.STAGES:
         none = stage(spark, none, "/root/testdata/sf0.001")
     assert none.count() == 0
+
+
+def test_workers_get_small_batches(spark):
+    name, texts_ = "spark.sql.execution.arrow.maxBytesPerBatch", [sentence(random.Random(i), 3000) for i in range(400)]
+    old = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "64m")
+        docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string").coalesce(1)
+        clean = repeats.remove_repeats(docs)
+        assert int(spark.conf.get(name)) == common.BATCH_BYTES
+        batches = docs.mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in bs), "n long").collect()
+        assert len(batches) > 1 and max(r["n"] for r in batches) < 2 * common.BATCH_BYTES
+        assert {r["doc_id"]: r["text"] for r in clean.collect()} == dict(enumerate(texts_))
+        spark.conf.set(name, "1m")
+        common.small_batches(spark)
+        assert spark.conf.get(name) == "1m"                               # a smaller setting stays
+    finally:
+        spark.conf.set(name, old)
