@@ -435,6 +435,7 @@ def _chains(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
                     cols, many = tuple([] for _ in names), 0
             if many:
                 yield done()
+        give_back_memory()
 
     texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("t")) \
         .where(F.col("doc").isNotNull() & (F.length("t") >= 2 * min_words - 1))
@@ -465,6 +466,7 @@ def _chains(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
                                      int(chain[:, 1].min()), int((chain[:, 1] + chain[:, 2]).max())))
             if rows:
                 yield _chain_rows(rows)
+        give_back_memory()
 
     made, _ = written(work.mapInArrow(chained, CHAIN), "chains")
     discard(spark, seeds_at)
