@@ -21,9 +21,11 @@ The first document keeps its passage; later documents are the ones found.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,9 +36,11 @@ K, WINDOW = 5, 5
 #: Words compared beyond a chain's ends; unequal words that a passage may bridge.
 REACH, MAX_GAP = 96, 4
 #: A text can be cut before every so many words.
-MARK = 64
+MARK = 16
 #: Cost of a gap for each word skipped on either side; longest gap merged along one diagonal.
 GAP_COST, SAME_DIAGONAL = 0.1, 64
+#: Bytes of other texts that a worker splits into words at once.
+PART_BYTES = 1 << 18
 #: A passage's first and last equal run has this many words at least.
 EDGE = 3
 
@@ -60,15 +64,74 @@ def starts_of(data: bytes) -> np.ndarray:
     return np.flatnonzero(begins)
 
 
+_IS_BLANK = _BLANK.astype(np.uint8).tobytes()
+#: The first 0 to 8 bytes of a little-endian number; odd factors of a word's length and its 8-byte pieces.
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+_FACTORS = np.random.default_rng(42).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _numbers(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a piece of text begin, and a hash of each."""
+    blank = np.frombuffer(data.translate(_IS_BLANK), bool)
+    change = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    if not blank[0]:
+        change = np.append(0, change)
+    if len(change) % 2:
+        change = np.append(change, len(data))
+    starts, sizes = change[::2], change[1::2] - change[::2]
+    eight = np.ndarray((len(data),), "<u8", data + bytes(8), strides=(1,))
+    out = (eight[starts] & _MASKS[np.minimum(sizes, 8)]) * _FACTORS[1] + sizes.astype(np.uint64) * _FACTORS[0]
+    i, at, left = np.flatnonzero(sizes > 8), 0, sizes
+    while len(i):                                                          # the words that go on
+        at += 8
+        left = sizes[i] - at
+        piece = eight[starts[i] + at] & _MASKS[np.minimum(left, 8)]
+        turn = at // 8 % 62 + 2
+        if turn == 2:                                                      # the factors come again
+            out[i] = (out[i] ^ (out[i] >> np.uint64(31))) * _FACTORS[1]
+        out[i] += piece * _FACTORS[turn]
+        i = i[left > 8]
+    return starts, out ^ (out >> np.uint64(32))
+
+
+def word_numbers(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of some texts, A-Z as a-z, and each text's number of words.
+
+    A hash is the sum of a word's length and 8-byte pieces, each times an odd
+    random factor of its place: different words of up to 8 bytes and one
+    length never get the same one, others with a chance of some 2^-56.
+    ``PART_BYTES`` are taken at once, and the rest of a word.
+    """
+    data = b" ".join(texts).lower()
+    out, starts, x = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while x < len(data):
+        y = x + PART_BYTES
+        while y < len(data) and not _BLANK[data[y]]:
+            y += 1
+        at, h = _numbers(data[x:y])
+        starts.append(at + x)
+        out.append(h)
+        x = y
+    ends = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))
+    return np.concatenate(out).view(np.int64), np.diff(np.searchsorted(np.concatenate(starts), ends), prepend=0)
+
+
+def word_hashes(words: Sequence[bytes]) -> np.ndarray:
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
 def hashes_of(words: list[bytes], size: int) -> np.ndarray:
     """Hashes of all runs of ``size`` words."""
-    import xxhash
+    return rolled(word_hashes(words), size)
 
-    n = len(words) - size + 1
+
+def rolled(w: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words, from the words' hashes."""
+    n = len(w) - size + 1
     if n < 1:
         return np.zeros(0, np.uint64)
-    h = xxhash.xxh3_64_intdigest
-    w = np.array([h(x) for x in words], np.uint64)
     out = np.zeros(n, np.uint64)
     for i in range(size):
         out = out * np.uint64(0x9E3779B97F4A7C15) + w[i:i + n]
@@ -76,23 +139,50 @@ def hashes_of(words: list[bytes], size: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
+def window_hashes(w: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words, from the words' hashes, at a cost that does not grow with ``size``."""
+    n = len(w) - size + 1
+    if n < 1:
+        return np.zeros(0, np.int64)
+    powers = lambda base, many: np.cumprod(np.append(np.uint64(1), np.full(many - 1, base, np.uint64)))
+    base = 0x9E3779B97F4A7C15
+    total = np.append(np.uint64(0), np.cumsum(w.view(np.uint64) * powers(base, len(w))))
+    out = (total[size:] - total[:n]) * powers(pow(base, -1, 1 << 64), n)
+    return (out ^ (out >> np.uint64(29))).view(np.int64)
+
+
+def seeds_of_texts(w: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Minimizers of texts that lie one after the other: hash, number of the text, position; by text and position.
+
+    ``w``: the words' hashes; ``many``: each text's number of words.
+    """
+    n = len(w) - K + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    end = np.cumsum(many)
+    kmer = rolled(w, K)
+    pick = np.zeros(len(w), bool)
+    m = n - WINDOW + 1
+    if m > 0:
+        least, off = kmer[:m].copy(), np.zeros(m, np.int64)
+        for j in range(1, WINDOW):
+            less = kmer[j:m + j] < least
+            np.copyto(least, kmer[j:m + j], where=less)
+            off[less] = j
+        at = np.flatnonzero(np.repeat(end, many)[:m] - np.arange(m) >= K + WINDOW - 1)  # within one text
+        pick[at + off[at]] = True
+    for i in np.flatnonzero((many >= K) & (many < K + WINDOW - 1)):
+        x = int(end[i] - many[i])
+        pick[x + kmer[x:end[i] - K + 1].argmin()] = True
+    at = np.flatnonzero(pick)
+    text = np.searchsorted(end, at, side="right")
+    return kmer[at].view(np.int64), text, at - (end - many)[text]
+
+
 def seeds_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and positions of a text's minimizers, by position."""
-    kmer = hashes_of(words, K)
-    n = len(kmer)
-    if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if n <= WINDOW:
-        at = np.array([kmer.argmin()])
-    else:
-        # the lookout goes over blocks, so its memory doesn't grow with the text
-        picks = []
-        for s in range(0, n - WINDOW + 1, 1 << 16):
-            part = kmer[s:s + (1 << 16) + WINDOW - 1]
-            view = np.lib.stride_tricks.sliding_window_view(part, WINDOW)
-            picks.append(np.unique(view.argmin(axis=1) + np.arange(len(view))) + s)
-        at = np.unique(np.concatenate(picks))
-    return kmer[at].view(np.int64), at
+    h, _, at = seeds_of_texts(word_hashes(words), np.array([len(words)]))
+    return h, at
 
 
 class PrefixMax:
@@ -147,17 +237,24 @@ def open_windows(pos: np.ndarray, rep: np.ndarray, diag: np.ndarray, min_words:
     return out
 
 
-def segments(pos: np.ndarray, rpos: np.ndarray) -> np.ndarray:
-    """Matches merged along diagonals: rows (start, start in the other text, length)."""
+def segments_of_pairs(doc: np.ndarray, rep: np.ndarray, pos: np.ndarray, rpos: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Matches of pairs of documents merged along diagonals: doc, rep, start, start in the other text, length; in this order."""
     diag = pos - rpos
-    order = np.lexsort((pos, diag))
-    p, d = pos[order], diag[order]
+    order = np.lexsort((pos, diag, rep, doc))
+    doc, rep, p, d = doc[order], rep[order], pos[order], diag[order]
     new = np.ones(len(p), bool)
-    new[1:] = (d[1:] != d[:-1]) | (p[1:] - p[:-1] > SAME_DIAGONAL)
+    new[1:] = (doc[1:] != doc[:-1]) | (rep[1:] != rep[:-1]) | (d[1:] != d[:-1]) | (p[1:] - p[:-1] > SAME_DIAGONAL)
     s = np.flatnonzero(new)
     last = np.append(s[1:], len(p)) - 1
-    out = np.stack([p[s], p[s] - d[s], p[last] - p[s] + K], axis=1)
-    return out[np.lexsort((out[:, 1], out[:, 0]))]
+    out = doc[s], rep[s], p[s], p[s] - d[s], p[last] - p[s] + K
+    order = np.lexsort((out[3], out[2], out[1], out[0]))
+    return tuple(c[order] for c in out)
+
+
+def segments(pos: np.ndarray, rpos: np.ndarray) -> np.ndarray:
+    """Matches merged along diagonals: rows (start, start in the other text, length)."""
+    one = np.zeros(len(pos), np.int64)
+    return np.stack(segments_of_pairs(one, one, pos, rpos)[2:], axis=1)
 
 
 def chains(seg: np.ndarray) -> list[list[int]]:
@@ -346,11 +443,23 @@ def _shared(s: DataFrame, name: str) -> tuple[DataFrame, str]:
 CHAIN = "doc long, rep long, chain array<struct<s:long,o:long,n:long>>, first long, last long"
 
 
-def _chain_rows(rows: list[tuple]):
+def _chain_rows(doc, rep, at, s, o, n, first, last):
+    """A batch of chains from flat columns: chain i has the segments ``at[i]`` to ``at[i + 1]``."""
     import pyarrow as pa
 
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([(c, pa.int64()) for c in "son"])), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc", "rep", "chain", "first", "last"])
+    segs = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in (s, o, n)], names=list("son"))
+    cols = [pa.array(doc, pa.int64()), pa.array(rep, pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), segs), pa.array(first, pa.int64()), pa.array(last, pa.int64())]
+    return pa.RecordBatch.from_arrays(cols, names=["doc", "rep", "chain", "first", "last"])
+
+
+def _parts(batch, column: str, size: int) -> Iterator:
+    """A batch in slices of some ``size`` bytes of a text column."""
+    lengths = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)))
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(lengths, lengths[i] + size, side="right")) - 1)
+        yield batch.slice(i, j - i)
+        i = j
 
 
 def _exact_chains(texts: DataFrame, open_: DataFrame, min_words: int) -> DataFrame:
@@ -359,25 +468,18 @@ def _exact_chains(texts: DataFrame, open_: DataFrame, min_words: int) -> DataFra
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_freed_memory()
-        cols, many = ([], [], []), 0
-
-        def done():
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["h", "doc", "pos"])
-
         for batch in batches:
-            for i, t, ranges in zip(*(batch.column(c) for c in ("doc", "t", "chain"))):
-                words = words_of(t.as_py())
-                for x in ranges.as_py():
-                    h = hashes_of(words[x["s"]:x["s"] + x["n"] + min_words - 1], min_words)
-                    if len(h):
-                        for c, v in zip(cols, (h.view(np.int64), np.full(len(h), i.as_py(), np.int64), np.arange(x["s"], x["s"] + len(h)))):
-                            c.append(v)
-                        many += len(h)
-                if many > 200_000:
-                    yield done()
-                    cols, many = ([], [], []), 0
-        if many:
-            yield done()
+            for part in _parts(batch, "t", PART_BYTES):
+                w, many = word_numbers([t.encode("utf-8") for t in part.column("t").to_pylist()])
+                ranges = part.column("chain")
+                text = np.repeat(np.arange(len(many)), pc.list_value_length(ranges).to_numpy())
+                s, n = (ranges.flatten().field(c).to_numpy() for c in "sn")
+                n = np.minimum(n, many[text] - min_words + 1 - s)         # another row of the same id
+                s, n, text = (c[n > 0] for c in (s, n, text))
+                pos = np.arange(n.sum()) + np.repeat(s - np.cumsum(n) + n, n)
+                h = window_hashes(w, min_words)[pos + np.repeat((np.cumsum(many) - many)[text], n)] if len(pos) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(part.column("doc").to_numpy()[text], n)), pa.array(pos)], names=["h", "doc", "pos"])
+        give_back_memory()
 
     spark = texts.sparkSession
     w, windows_at = written(texts.join(open_.select("doc", "chain"), "doc").mapInArrow(hashed, "h long, doc long, pos long"), "windows")
@@ -394,8 +496,9 @@ def _exact_chains(texts: DataFrame, open_: DataFrame, min_words: int) -> DataFra
             new[1:] = (doc[1:] != doc[:-1]) | (rep[1:] != rep[:-1]) | (diag[1:] != diag[:-1]) | (pos[1:] - pos[:-1] > 1)
             first = np.flatnonzero(new)
             n = pos[np.append(first[1:], len(pos)) - 1] - pos[first] + min_words
-            yield _chain_rows([(d, r, [{"s": s, "o": o, "n": m}], o, o + m) for d, r, s, o, m in zip(
-                *(c[first].tolist() for c in (doc, rep, pos, rpos)), n.tolist())])
+            doc, rep, pos, rpos = (c[first] for c in (doc, rep, pos, rpos))
+            yield _chain_rows(doc, rep, np.arange(len(n) + 1), pos, rpos, n, rpos, rpos + n)
+        give_back_memory()
 
     out, _ = written(matches.repartition("doc").sortWithinPartitions("doc").mapInArrow(merged, CHAIN), "exact-chains")
     discard(spark, windows_at)
@@ -415,26 +518,17 @@ def _chains(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_freed_memory()
         for batch in batches:
-            cols, many = tuple([] for _ in names), 0
-
-            def done():
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=names)
-
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = words_of(t.as_py())
-                if len(words) < min_words:
-                    continue
-                h, pos = seeds_of(words)
+            for part in _parts(batch, "t", PART_BYTES):
+                words = [words_of(t) for t in part.column("t").to_pylist()]
+                many = np.array(list(map(len, words)))
+                long = many >= min_words
+                h, text, pos = seeds_of_texts(word_hashes([x for t in words if len(t) >= min_words for x in t]), many[long])
+                order = np.argsort(h, kind="stable")
+                new = np.ones(len(h), bool)
+                new[1:] = (h[order[1:]] != h[order[:-1]]) | (text[order[1:]] != text[order[:-1]])
                 first = np.zeros(len(h), bool)
-                first[np.unique(h, return_index=True)[1]] = True
-                for c, x in zip(cols, (h, np.full(len(h), i, np.int64), pos, first)):
-                    c.append(x)
-                many += len(h)
-                if many > 200_000:
-                    yield done()
-                    cols, many = tuple([] for _ in names), 0
-            if many:
-                yield done()
+                first[order] = new
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h, part.column("doc").to_numpy()[long][text], pos, first)], names=names)
         give_back_memory()
 
     texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("t")) \
@@ -445,27 +539,40 @@ def _chains(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
     first, first_at = _shared(s.where("first"), "shared-seeds")
     release_shuffles(spark)
     matches = s.join(first, "h").select("doc", "rep", "pos", "rpos")
-    work = matches.repartition("doc").sortWithinPartitions("doc", "rep")
+    work = matches.repartition("doc").sortWithinPartitions("doc")
 
     def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_freed_memory()
         for (doc, rep, pos, rpos), starts in sorted_groups(batches, 1):
-            rows = []
-            for x, y in zip(starts[:-1], starts[1:]):
-                me = int(doc[x])
-                order = x + np.argsort(pos[x:y], kind="stable")
-                ranges = open_windows(pos[order], rep[order], (pos - rpos)[order], min_words)
+            order = np.lexsort((rep, pos, doc))
+            by_pos = pos[order], rep[order], (pos - rpos)[order]
+            open_, mine = [], []
+            for x, y in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                ranges = open_windows(*(c[x:y] for c in by_pos), min_words)
                 if ranges:  # as a row of the document itself
-                    rows.append((me, me, [{"s": s, "o": 0, "n": n} for s, n in ranges], 0, 0))
-                for part in np.split(np.arange(x, y), np.flatnonzero(np.diff(rep[x:y])) + 1):
-                    if (r := int(rep[part[0]])) == me:
-                        continue
-                    seg = segments(pos[part], rpos[part])
-                    for chain in (seg[c] for c in chains(seg)):
-                        rows.append((me, r, [dict(zip("son", row)) for row in chain.tolist()],
-                                     int(chain[:, 1].min()), int((chain[:, 1] + chain[:, 2]).max())))
-            if rows:
-                yield _chain_rows(rows)
+                    open_.append(ranges)
+                    mine.append(int(doc[x]))
+            at = np.append(0, np.cumsum(list(map(len, open_)), dtype=np.int64))
+            s, n = np.array([r for x in open_ for r in x], np.int64).reshape(-1, 2).T
+            none = np.zeros(len(mine), np.int64)
+            yield _chain_rows(mine, mine, at, s, np.zeros(len(s), np.int64), n, none, none)
+            other = doc != rep
+            if not other.any():
+                continue
+            d, r, s, o, n = segments_of_pairs(*(c[other] for c in (doc, rep, pos, rpos)))
+            pairs = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (r[1:] != r[:-1]), [True]]))
+            path, many = [], []
+            for x, y in zip(pairs[:-1].tolist(), pairs[1:].tolist()):
+                if y == x + 1:
+                    path.append(x)
+                    many.append(1)
+                    continue
+                for c in chains(np.stack([s[x:y], o[x:y], n[x:y]], axis=1)):
+                    path += [x + i for i in c]
+                    many.append(len(c))
+            d, r, s, o, n = (c[path] for c in (d, r, s, o, n))
+            at = np.append(0, np.cumsum(many))
+            yield _chain_rows(d[at[:-1]], r[at[:-1]], at, s, o, n, np.minimum.reduceat(o, at[:-1]), np.maximum.reduceat(o + n, at[:-1]))
         give_back_memory()
 
     made, _ = written(work.mapInArrow(chained, CHAIN), "chains")
@@ -487,46 +594,156 @@ def _marked(docs: DataFrame, key: str, text: str) -> DataFrame:
                 data = t.as_py().encode("utf-8")
                 marks.append(np.append(starts_of(data)[::MARK], len(data)).astype(np.int32))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.list_(pa.int32()))], names=["_key", "_text", "marks"])
+        give_back_memory()
 
     kept = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text")) \
         .where(F.col("_key").isNotNull() & F.col("_text").isNotNull())
     return kept.mapInArrow(run, "_key long, _text string, marks array<int>")
 
 
-def _candidates(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
-    """Per document the chains, each with the words of the other text that it may touch (from mark ``lo`` on)."""
+def _candidates(docs: DataFrame, marked: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
+    """Per document the chains, each with the words of the other text (in ``marked``) that it may touch (from mark ``lo`` on)."""
     chain = _chains(docs, key, text, min_words)
     spans = chain.withColumn("lo", F.expr(f"cast(greatest(first - {REACH}, 0) div {MARK} as int)")) \
         .withColumn("hi", F.expr(f"cast((last + {REACH}) div {MARK} + 1 as int)"))
     # a mark beyond the text: its end, as is a mark that only another row of the same id has
     at = lambda c: f"coalesce(get(marks, {c}), element_at(marks, -1))"
     part = F.expr(f"substring(cast(_text as binary), {at('lo')} + 1, {at('hi')} - {at('lo')})")
-    with_bytes = spans.join(_marked(docs, key, text), F.col("rep") == F.col("_key")).select(
+    with_bytes = spans.join(marked, F.col("rep") == F.col("_key")).select(
         "doc", F.struct("rep", "chain", "lo", part.alias("there")).alias("c"))
     return with_bytes.groupBy("doc").agg(F.collect_list("c").alias("_chains"))
 
 
-def _aligned(text: str, cs: list[dict], min_words: int, similarity: float) -> list[tuple]:
-    """Passages of a text; one that lies within another is left out, as are chains within a passage."""
-    found, number = [], {}
-    a = np.array([number.setdefault(w, len(number)) for w in words_of(text)], np.int64)
-    inside = np.zeros(len(a) + 1, bool)  # of a passage found before
-    reach = lambda c: (c["chain"][0]["s"], c["chain"][-1]["s"] + c["chain"][-1]["n"])
-    for c in sorted(cs, key=lambda c: (reach(c)[0] - reach(c)[1], c["rep"], reach(c)[0])):
-        s, e = reach(c)
+class Chains(NamedTuple):
+    """Chains of some texts in flat columns: text i has chains ``of[i]`` to ``of[i + 1]``, chain c the segments ``at[c]`` to ``at[c + 1]``."""
+
+    of: np.ndarray
+    rep: np.ndarray
+    lo: np.ndarray
+    there: list[bytes]
+    at: np.ndarray
+    s: np.ndarray
+    o: np.ndarray
+    n: np.ndarray
+
+    @classmethod
+    def from_arrow(cls, lists) -> Chains:
+        of, c = lists.offsets.to_numpy(), lists.values
+        at, seg = c.field("chain").offsets.to_numpy(), c.field("chain").values
+        plain = lambda x, first, last: x[first:last].to_numpy(zero_copy_only=False).astype(np.int64)
+        first, last = of[0], of[-1]
+        at = at[first:last + 1].astype(np.int64)
+        return cls(of.astype(np.int64) - first, plain(c.field("rep"), first, last), plain(c.field("lo"), first, last), c.field("there")[first:last].to_pylist(),
+                   at - at[0], *(plain(seg.field(x), at[0], at[-1]) for x in "son"))
+
+    @classmethod
+    def from_rows(cls, rows: list[list[dict]]) -> Chains:
+        cs = [c for r in rows for c in r]
+        seg = np.array([[x[k] for k in "son"] for c in cs for x in c["chain"]], np.int64).reshape(-1, 3)
+        ends = lambda x: np.append(0, np.cumsum(list(map(len, x)), dtype=np.int64)).astype(np.int64)
+        return cls(ends(rows), np.array([c["rep"] for c in cs], np.int64), np.array([c["lo"] for c in cs], np.int64), [c["there"] for c in cs],
+                   ends([c["chain"] for c in cs]), *seg.T)
+
+    def part(self, i: int, j: int) -> Chains:
+        """The chains of texts i to j."""
+        first, last = self.of[i], self.of[j]
+        x, y = self.at[first], self.at[last]
+        return Chains(self.of[i:j + 1] - first, self.rep[first:last], self.lo[first:last], self.there[first:last],
+                      self.at[first:last + 1] - x, self.s[x:y], self.o[x:y], self.n[x:y])
+
+
+def _goes_on(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, room_a: np.ndarray, room_b: np.ndarray, step: int) -> np.ndarray:
+    """For pairs of places at which words differ: does ``extend`` find a place from which EDGE words are equal?"""
+    k = np.arange(MAX_GAP + EDGE)
+    words = lambda x, at: x[np.clip(at[:, None] + step * k, 0, len(x) - 1)]
+    one = words(a, i)[:, :, None] == words(b, j)[:, None, :]
+    one &= (k < room_a[:, None])[:, :, None] & (k < room_b[:, None])[:, None, :]
+    agree = one[:, :MAX_GAP + 1, :MAX_GAP + 1].copy()
+    for x in range(1, EDGE):
+        agree &= one[:, x:MAX_GAP + 1 + x, x:MAX_GAP + 1 + x]
+    return agree.any(axis=(1, 2))
+
+
+def one_run(a: np.ndarray, b: np.ndarray, a_at: np.ndarray, a_len: np.ndarray, b_at: np.ndarray, b_len: np.ndarray,
+            s: np.ndarray, o: np.ndarray, n: np.ndarray, min_words: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For chains of one segment: whether all there is to find is one run of equal words, with its words before ``s`` and its length.
+
+    That is so if the segment's words are equal, no alignment goes on past
+    the words that differ on either side, and what else is equal along the
+    diagonal neither joins the run nor makes a passage. The text of chain i
+    is ``a_len[i]`` words of ``a`` from ``a_at[i]`` on, the other's in ``b``.
+    """
+    sure = (s >= 0) & (o >= 0) & (n >= EDGE) & (s + n <= a_len) & (o + n <= b_len) & (similarity <= 1)
+    before, length = np.zeros(len(s), np.int64), np.zeros(len(s), np.int64)
+    c = np.flatnonzero(sure)
+    if not len(c):
+        return sure, before, length
+    s, o, n, at, bt = s[c], o[c], n[c], a_at[c], b_at[c]
+    left_a, left_b = np.minimum(REACH, s), np.minimum(REACH, o)
+    right_a, right_b = np.minimum(REACH, a_len[c] - s - n), np.minimum(REACH, b_len[c] - o - n)
+    back = np.minimum(left_a, left_b)
+    many = back + n + np.minimum(right_a, right_b)
+    end = np.cumsum(many)
+    begin = end - many
+    x = np.arange(end[-1])
+    same = a[x + np.repeat(at + s - back - begin, many)] == b[x + np.repeat(bt + o - back - begin, many)]
+    unequal = np.flatnonzero(~same)
+    place = begin + back                                                   # of the segment's first word
+    near = np.searchsorted(unequal, place)
+    edge = np.concatenate([[-1], unequal, [end[-1]]])
+    first, last = np.maximum(edge[near] + 1, begin), np.minimum(edge[near + 1], end)
+    total = np.concatenate([[0], np.cumsum(same)])
+    rest = total[end] - total[begin] - (last - first)
+    joins = (total[first] - total[np.maximum(first - MAX_GAP - 1, begin)] > 0) | (total[np.minimum(last + MAX_GAP + 1, end)] - total[last] > 0)
+    least = similarity * min_words
+    good = (last - place >= n) & ((rest + last - first < least) | (~joins & (rest < least)))
+    for stop, i, j, room_a, room_b, step in ((first > begin, place - first, place - first, left_a, left_b, -1),
+                                             (last < end, last - place - n, last - place - n, right_a, right_b, 1)):
+        y = np.flatnonzero(good & stop)
+        from_a, from_b = (at + s - 1 - i, bt + o - 1 - j) if step < 0 else (at + s + n + i, bt + o + n + j)
+        good[y[_goes_on(a, b, from_a[y], from_b[y], (room_a - i)[y], (room_b - j)[y], step)]] = False
+    sure[c], before[c], length[c] = good, place - first, last - first
+    return sure, before, length
+
+
+def _aligned_texts(texts: list[str], cs: Chains, min_words: int, similarity: float) -> list[list[tuple]]:
+    """Passages of each text; one that lies within another is left out, as are chains within a passage."""
+    a, a_len = word_numbers([t.encode("utf-8") for t in texts])
+    b, b_len = word_numbers(cs.there)
+    a_at, b_at = np.cumsum(a_len) - a_len, np.cumsum(b_len) - b_len
+    text = np.repeat(np.arange(len(texts)), np.diff(cs.of))
+    one = np.diff(cs.at) == 1
+    start, stop = cs.s[cs.at[:-1]], (cs.s + cs.n)[cs.at[1:] - 1]
+    c = np.flatnonzero(one)
+    sure, before, length = (np.zeros(len(one), k) for k in (bool, np.int64, np.int64))
+    x = cs.at[c]
+    sure[c], before[c], length[c] = one_run(a, b, a_at[text[c]], a_len[text[c]], b_at[c], b_len[c], cs.s[x], cs.o[x] - cs.lo[c] * MARK, cs.n[x], min_words, similarity)
+    order = np.lexsort((start, cs.rep, start - stop, text))
+    order = order[~sure[order] | (length[order] >= min_words)]             # the others have no passage
+    found: list[list[tuple]] = [[] for _ in texts]
+    inside = [bytearray(n + 1) for n in a_len.tolist()]                    # of a passage found before
+    for c, i, rep, lo, s, e, run, before_, m in zip(*(v[order].tolist() for v in (np.arange(len(one)), text, cs.rep, cs.lo * MARK, start, stop, sure, before, length))):
+        size = len(inside[i]) - 1
         # a repeat may go on for WINDOW - 1 words beyond its seeds
-        if e <= len(a) and inside[max(0, s - WINDOW + 1):min(len(a), e + WINDOW - 1)].all():
-            continue
-        lo = c["lo"] * MARK
-        b = np.array([number.get(w, -1) for w in c["there"].lower().split()], np.int64)
-        chain = [(x["s"], x["o"] - lo, x["n"]) for x in c["chain"]]
-        if any(s >= len(a) or not 0 <= o < len(b) for s, o, _ in chain):  # another row of the same id
+        if e <= size and inside[i].find(0, max(0, s - WINDOW + 1), min(size, e + WINDOW - 1)) < 0:
             continue
-        got = passages(*align(a, b, chain), min_words, similarity)
-        got += along_diagonals(a, b, chain, min_words, similarity)
+        if run:
+            got = [(s - before_, m, int(cs.o[cs.at[c]]) - lo - before_, m, m)]
+        else:
+            mine, other = a[a_at[i]:a_at[i] + size], b[b_at[c]:b_at[c] + b_len[c]]
+            segs = slice(cs.at[c], cs.at[c + 1])
+            path = list(zip(cs.s[segs].tolist(), (cs.o[segs] - lo).tolist(), cs.n[segs].tolist()))
+            if any(x >= size or not 0 <= o < len(other) for x, o, _ in path):  # another row of the same id
+                continue
+            got = passages(*align(mine, other, path), min_words, similarity)
+            got += along_diagonals(mine, other, path, min_words, similarity)
         for s, n, o, m, eq in got:
-            found.append((s, n, c["rep"], o + lo, m, eq))
-            inside[s:s + n] = True
+            found[i].append((s, n, rep, o + lo, m, eq))
+            inside[i][s:s + n] = b"\1" * n
+    return [_outermost(x) for x in found]
+
+
+def _outermost(found: list[tuple]) -> list[tuple]:
     out, upto = [], -1
     for x in sorted(set(found), key=lambda x: (x[0], -x[1], x[2:])):
         if x[0] + x[1] > upto:
@@ -535,10 +752,30 @@ def _aligned(text: str, cs: list[dict], min_words: int, similarity: float) -> li
     return out
 
 
+def _aligned(text: str, cs: list[dict], min_words: int, similarity: float) -> list[tuple]:
+    """Passages of one text."""
+    return _aligned_texts([text], Chains.from_rows([cs]), min_words, similarity)[0]
+
+
+def _aligned_batch(texts, lists, min_words: int, similarity: float) -> Iterator[tuple[str | None, list[tuple]]]:
+    """Texts of a batch with their passages; ``PART_BYTES`` of other texts are split into words at once."""
+    cs = Chains.from_arrow(lists)
+    ends = np.append(0, np.cumsum(list(map(len, cs.there)), dtype=np.int64))[cs.of]
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + PART_BYTES, side="right")) - 1)
+        part = texts[i:j].to_pylist()
+        yield from zip(part, _aligned_texts([t or "" for t in part], cs.part(i, j), min_words, similarity))
+        i = j
+
+
 def _run_over(docs: DataFrame, key: str, text: str, min_words: int, similarity: float, out_schema, emit, how: str) -> DataFrame:
     small_batches(docs.sparkSession)
-    per_doc = _candidates(docs, key, text, min_words)
-    joined = docs.join(per_doc, docs[key] == per_doc["doc"], how).drop("doc")
+    marked = _marked(docs, key, text)
+    per_doc = _candidates(docs, marked, key, text, min_words)
+    # with the marks, which nothing reads here, these are the rows that the join above deals out: one shuffle serves both
+    rows = marked if how == "inner" else docs
+    joined = rows.join(per_doc, F.col("_key") == per_doc["doc"], how).drop("doc")
     return joined.mapInArrow(emit, out_schema)
 
 
@@ -561,9 +798,8 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_w
         keep_freed_memory()
         for batch in batches:
             ids, rows = [], []
-            for i, t, cs in zip(*(batch.column(c) for c in ("_key", "_text", "_chains"))):
-                got = _aligned(t.as_py(), cs.as_py(), min_words, similarity)
-                ids += [i.as_py()] * len(got)
+            for i, (_, got) in zip(batch.column("_key").to_pylist(), _aligned_batch(batch.column("_text"), batch.column("_chains"), min_words, similarity)):
+                ids += [i] * len(got)
                 rows += got
             cols = list(zip(*rows)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, pa.int64()) for c in cols)],
@@ -609,10 +845,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min
         keep_freed_memory()
         for batch in batches:
             clean = []
-            for t, cs in zip(batch.column("_text"), batch.column("_chains")):
-                t, got = t.as_py(), cs.as_py()
-                spans = [x[:2] for x in _aligned(t, got, min_words, similarity)] if t and got else []
-                clean.append(without(t, spans) if spans else t)
+            for t, got in _aligned_batch(batch.column("_text"), batch.column("_chains"), min_words, similarity):
+                clean.append(without(t, [x[:2] for x in got]) if got else t)
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(clean, pa.string())], names=names + ["_clean"])
         give_back_memory()
 

@@ -248,3 +248,61 @@ def test_workers_get_small_batches(spark):
         assert spark.conf.get(name) == "1m"                               # a smaller setting stays
     finally:
         spark.conf.set(name, old)
+
+
+def test_alignments_at_once_equal_one_by_one():
+    rng = np.random.default_rng(5)
+    vocab = np.array([f"w{i}" + "y" * int(i % 23) for i in range(400)])
+
+    def one_by_one(text, cs):
+        a, found, inside = np.array([hash(w) for w in repeats.words_of(text)]), [], set()
+        for c in sorted(cs, key=lambda c: (c["chain"][0]["s"] - c["chain"][-1]["s"] - c["chain"][-1]["n"], c["rep"], c["chain"][0]["s"])):
+            path = [(x["s"], x["o"] - c["lo"] * repeats.MARK, x["n"]) for x in c["chain"]]
+            s, e = path[0][0], path[-1][0] + path[-1][2]
+            if e <= len(a) and set(range(max(0, s - repeats.WINDOW + 1), min(len(a), e + repeats.WINDOW - 1))) <= inside:
+                continue
+            b = np.array([hash(w) for w in c["there"].lower().split()])
+            for s, n, o, m, eq in repeats.passages(*repeats.align(a, b, path), 50, 0.8) + repeats.along_diagonals(a, b, path, 50, 0.8):
+                found.append((s, n, c["rep"], o + c["lo"] * repeats.MARK, m, eq))
+                inside |= set(range(s, s + n))
+        return repeats._outermost(found)
+
+    texts, chains_ = [], []
+    for k in range(40):
+        b = rng.choice(vocab, 300)
+        a = np.concatenate([rng.choice(vocab, rng.integers(0, 60)), b[100:100 + rng.integers(20, 150)], rng.choice(vocab, 30)])
+        change = rng.random(len(a)) < [0, 0, 0.03, 0.1][k % 4]
+        a[change] = rng.choice(vocab, change.sum())
+        a = np.delete(a, rng.integers(0, len(a), k % 3))
+        (ha, pa), (hb, pb) = (repeats.seeds_of([w.encode() for w in t]) for t in (a, b))
+        hits = np.array([(p, q) for h, p in zip(ha, pa) for q in pb[hb == h]], np.int64).reshape(-1, 2)
+        seg = repeats.segments(*hits.T)
+        chains_.append([{"rep": i, "lo": 0, "there": " ".join(b).upper().encode(), "chain": [dict(zip("son", r)) for r in seg[c].tolist()]}
+                        for c in repeats.chains(seg) for i in (1, 2)] if len(seg) else [])
+        texts.append(" ".join(a))
+    got = repeats._aligned_texts(texts, repeats.Chains.from_rows(chains_), 50, 0.8)
+    assert got == [one_by_one(t, cs) for t, cs in zip(texts, chains_)] and sum(map(bool, got)) > 10
+
+
+@pytest.mark.parametrize("part", [3, 100, 1 << 18])
+def test_word_numbers(monkeypatch, part):
+    monkeypatch.setattr(repeats, "PART_BYTES", part)
+    texts = ["", " one  Two\tone\x00 one ", "é ONE twotwotwotwotwotwo twotwotwotwotwotwO", "x" * 2000 + " " + "x" * 2001, "two"]
+    numbers, many = repeats.word_numbers([t.encode() for t in texts])
+    words = [w for t in texts for w in repeats.words_of(t)]
+    assert many.tolist() == [len(repeats.words_of(t)) for t in texts]
+    assert {(x == y) == (v == w) for x, v in zip(words, numbers.tolist()) for y, w in zip(words, numbers.tolist())} == {True}
+
+
+def test_texts_are_dealt_out_once_for_both_joins(spark):
+    rng = np.random.default_rng(9)
+    t = [" ".join(rng.choice([f"v{i}" for i in range(5000)], 400)) for _ in range(6)]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(t + [t[0], " ".join(t[1].split()[50:200])])], "doc_id long, text string")
+    now = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = repeats.find_repeats(docs)
+        assert {(r["doc_id"], r["start"], r["words"], r["source_id"]) for r in df.collect()} == {(6, 0, 400, 0), (7, 0, 150, 1)}
+        assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", now)
