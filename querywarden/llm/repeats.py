@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, give_back_memory, keep_freed_memory, release_shuffles, small_batches, sorted_groups, written
+from .common import BATCH_BYTES, discard, give_back_memory, keep_freed_memory, release_shuffles, small_batches, sorted_groups, written
 
 #: WINDOW is at most K: seeds at most WINDOW apart then leave no word between them uncompared.
 K, WINDOW = 5, 5
@@ -602,16 +602,64 @@ def _marked(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, marked: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
-    """Per document the chains, each with the words of the other text (in ``marked``) that it may touch (from mark ``lo`` on)."""
+    """``doc, c``: the chains, each with the words of the other text (in ``marked``) that it may touch (from mark ``lo`` on)."""
     chain = _chains(docs, key, text, min_words)
     spans = chain.withColumn("lo", F.expr(f"cast(greatest(first - {REACH}, 0) div {MARK} as int)")) \
         .withColumn("hi", F.expr(f"cast((last + {REACH}) div {MARK} + 1 as int)"))
     # a mark beyond the text: its end, as is a mark that only another row of the same id has
     at = lambda c: f"coalesce(get(marks, {c}), element_at(marks, -1))"
     part = F.expr(f"substring(cast(_text as binary), {at('lo')} + 1, {at('hi')} - {at('lo')})")
-    with_bytes = spans.join(marked, F.col("rep") == F.col("_key")).select(
+    return spans.join(marked, F.col("rep") == F.col("_key")).select(
         "doc", F.struct("rep", "chain", "lo", part.alias("there")).alias("c"))
-    return with_bytes.groupBy("doc").agg(F.collect_list("c").alias("_chains"))
+
+
+def _dealt_out(rows: DataFrame, chains: DataFrame) -> DataFrame:
+    """``rows`` (``_key, _text`` and others) with a column ``_chain``, and a row for each chain: first a document's chains, then its texts.
+
+    One shuffle and one sort of plain rows: neither a join nor an aggregate
+    has all the chains of a document in a row of the JVM.
+    """
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema if f.name != "_key"]
+    both = rows.withColumn("_chain", F.lit(None).cast(chains.schema["c"].dataType)) \
+        .unionByName(chains.select(F.col("doc").alias("_key"), *none, F.col("c").alias("_chain")))
+    return both.repartition(F.coalesce("_key", F.xxhash64("_text"))).sortWithinPartitions("_key", F.isnull("_chain"))
+
+
+def _texts_with_chains(batches: Iterator, size: int = BATCH_BYTES) -> Iterator[tuple]:
+    """The texts among the rows of ``_dealt_out``: a batch, the numbers of its rows that have chains, a list of chains for each of those.
+
+    Chains of some ``size`` bytes at once, or those of one text; rows of one
+    id have the same chains.
+    """
+    import pyarrow as pa
+
+    chains, docs = [], []                                                  # of the last document so far
+    for batch in batches:
+        text = batch.column("_chain").is_null()
+        key = pc.fill_null(batch.column("_key"), -1 << 63).to_numpy()      # rows without a key come first
+        is_text = text.to_numpy(zero_copy_only=False)
+        chains.append(batch.column("_chain").filter(pc.invert(text)))
+        docs.append(key[~is_text])
+        if not is_text.any():
+            continue
+        rows, at = batch.filter(text), key[is_text]
+        chain, doc = pa.concat_arrays(chains), np.concatenate(docs)
+        first, last = np.searchsorted(doc, at), np.searchsorted(doc, at, side="right")
+        last[rows.column("_key").is_null().to_numpy(zero_copy_only=False)] = 0
+        many = np.maximum(last - first, 0)
+        upto = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(chain.field("there")), 0).to_numpy(zero_copy_only=False).astype(np.int64)))
+        ends = np.append(0, np.cumsum(np.where(many, upto[last] - upto[first], 0)))
+        i = 0
+        while i < len(at):
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] + size, side="right")) - 1)
+            which = np.flatnonzero(many[i:j])
+            n = many[i:j][which]
+            stop = np.cumsum(n)
+            pick = np.arange(n.sum()) + np.repeat(first[i:j][which] - stop + n, n)
+            yield rows.slice(i, j - i), which, pa.ListArray.from_arrays(pa.array(np.append(0, stop), pa.int32()), chain.take(pa.array(pick)))
+            i = j
+        x = int(np.searchsorted(doc, key[-1]))
+        chains, docs = [chain[x:]], [doc[x:]]
 
 
 class Chains(NamedTuple):
@@ -769,16 +817,6 @@ def _aligned_batch(texts, lists, min_words: int, similarity: float) -> Iterator[
         i = j
 
 
-def _run_over(docs: DataFrame, key: str, text: str, min_words: int, similarity: float, out_schema, emit, how: str) -> DataFrame:
-    small_batches(docs.sparkSession)
-    marked = _marked(docs, key, text)
-    per_doc = _candidates(docs, marked, key, text, min_words)
-    # with the marks, which nothing reads here, these are the rows that the join above deals out: one shuffle serves both
-    rows = marked if how == "inner" else docs
-    joined = rows.join(per_doc, F.col("_key") == per_doc["doc"], how).drop("doc")
-    return joined.mapInArrow(emit, out_schema)
-
-
 def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 50,
                  similarity: float = 0.8) -> DataFrame:
     """One row per repeated passage of a later document: ``doc_id`` and where it is here and in its source.
@@ -806,7 +844,11 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_w
                                              names=["doc_id", "start", "words", "source_id", "source_start", "source_words", "equal_words"])
         give_back_memory()
 
-    return _run_over(kept, "_key", "_text", min_words, similarity, "doc_id long, " + FOUND, emit, "inner")
+    small_batches(docs.sparkSession)
+    marked = _marked(kept, "_key", "_text")
+    per_doc = _candidates(kept, marked, "_key", "_text", min_words).groupBy("doc").agg(F.collect_list("c").alias("_chains"))
+    # with the marks, which nothing reads here, these are the rows that the chains' join deals out: one shuffle serves both
+    return marked.join(per_doc, F.col("_key") == per_doc["doc"]).drop("doc").mapInArrow(emit, "doc_id long, " + FOUND)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -843,12 +885,18 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_freed_memory()
-        for batch in batches:
-            clean = []
-            for t, got in _aligned_batch(batch.column("_text"), batch.column("_chains"), min_words, similarity):
-                clean.append(without(t, [x[:2] for x in got]) if got else t)
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(clean, pa.string())], names=names + ["_clean"])
+        for rows, which, lists in _texts_with_chains(batches):
+            clean = rows.column("_text")
+            if len(which):
+                new = clean.to_pylist()
+                for i, (t, got) in zip(which.tolist(), _aligned_batch(clean.take(pa.array(which)), lists, min_words, similarity)):
+                    if got:
+                        new[i] = without(t, [x[:2] for x in got])
+                clean = pa.array(new, pa.string())
+            yield pa.RecordBatch.from_arrays([*(rows.column(n) for n in names), clean], names=names + ["_clean"])
         give_back_memory()
 
-    out = _run_over(kept, "_key", "_text", min_words, similarity, schema, emit, "left")
+    small_batches(docs.sparkSession)
+    chains = _candidates(kept, _marked(kept, "_key", "_text"), "_key", "_text", min_words)
+    out = _dealt_out(kept, chains).mapInArrow(emit, schema)
     return out.select(*[F.col(other.get(c, "_clean")).alias(c) for c in docs.columns])

@@ -232,6 +232,41 @@ def test_pipeline(spark):
     assert none.count() == 0
 
 
+def test_chains_reach_workers_row_by_row(spark):
+    """No row of the JVM holds all chains of a document; batches may end anywhere."""
+    kind = pa.struct([("rep", pa.int64()), ("there", pa.binary())])
+    rows_ = [(None, "n", None), (-(1 << 63), None, (0, b"a" * 30)), (-(1 << 63), "low", None)]
+    for d in range(1, 6):
+        rows_ += [(d, None, (r, b"b" * (r + 1))) for r in range(d - 1)]
+        rows_ += [(d, f"t{d}-{i}", None) for i in range(1 + d % 2)]        # rows may repeat an id
+    want = [(t, [c[0] for x, _, c in rows_ if c and x == d]) for d, t, _ in rows_ if t]
+    for many in (1, 2, 3, 7, 100):
+        for size in (1, 6, 1000):
+            batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.string()), pa.array(
+                [c and {"rep": c[0], "there": c[1]} for _, _, c in part], kind)], names=["_key", "_text", "_chain"])
+                for part in (rows_[i:i + many] for i in range(0, len(rows_), many))]
+            got = []
+            for batch, which, lists in repeats._texts_with_chains(batches, size):
+                chains = dict(zip(which.tolist(), lists.to_pylist()))
+                assert len(chains) < 2 or sum(len(c["there"]) for x in chains.values() for c in x) <= size
+                got += [(t, [c["rep"] for c in chains.get(i, [])]) for i, t in enumerate(batch.column("_text").to_pylist())]
+            assert got == want
+    p, q = sentence(random.Random(3), 60), sentence(random.Random(4), 55)
+    docs = spark.createDataFrame([(1, p), (2, q), (3, f"x {p} y {q} z {p}"), (3, f"x {p} y {q} z {p} w"), (3, None), (None, p), (None, None), (4, q)], "doc_id long, text string")
+    left = [(1, p), (2, q), (3, "x y z "), (3, "x y z w"), (3, None), (None, p), (None, None), (4, "")]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    try:
+        for many in ("1", "2", old):
+            spark.conf.set(name, many)
+            clean = repeats.remove_repeats(docs)
+            assert sorted(map(str, map(tuple, clean.collect()))) == sorted(map(str, left))
+            plan = clean._jdf.queryExecution().executedPlan().toString()
+            assert "ObjectHashAggregate" not in plan and plan.count("SortMergeJoin") + plan.count("BroadcastHashJoin") <= 2
+    finally:
+        spark.conf.set(name, old)
+
+
 def test_workers_get_small_batches(spark):
     name, texts_ = "spark.sql.execution.arrow.maxBytesPerBatch", [sentence(random.Random(i), 3000) for i in range(400)]
     old = spark.conf.get(name)
