@@ -4,7 +4,8 @@ Layout: one text file per chain segment under ``<path>/<chain>=<id>/segment=<n>/
 lines in chain order. Reading assigns each line its 1-based physical line
 number within its file (blank lines keep their numbers), even when a large
 file is split across tasks: splits are ordered by their start offset and
-rows within a split by ``monotonically_increasing_id``.
+rows within a split by ``monotonically_increasing_id``. On a shared file
+system tasks write and read the segments themselves (``segment_files``).
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from ..operators.asof import asof_join
+from . import segment_files as SF
 
 
 #: Segments of a chain that one task writes; a longer chain is dealt out to several.
@@ -29,17 +32,35 @@ def write_audit_log(lines: DataFrame, path: str, chain_key: str = "user_id",
     as set and is not cut down to fit the bytes. A run of ``SEGMENTS_A_TASK``
     segments of a chain goes to one task, which makes the chain's folder once.
     """
-    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (lines.select(chain_key, "segment", "seq", "line")
-          .repartition(n, chain_key, F.floor(F.col("segment") / SEGMENTS_A_TASK))
-          .sortWithinPartitions(chain_key, "segment", "seq")
-          .select(chain_key, "segment", "line")
-          .write.mode(mode).partitionBy(chain_key, "segment").text(path))
-
-
-def read_audit_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``file, line_no, line`` (plus partition columns found under a directory)."""
-    return numbered_lines(spark.read.text(path))
+    spark = lines.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lines.select(chain_key, "segment", "seq", "line").repartition(
+        n, chain_key, F.floor(F.col("segment") / SEGMENTS_A_TASK))
+    whole = mode == "overwrite" and spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"
+    root = SF.on_disk(spark, path) if whole else None
+    if root is None:
+        dealt.sortWithinPartitions(chain_key, "segment", "seq").select(chain_key, "segment", "line") \
+            .write.mode(mode).partitionBy(chain_key, "segment").text(path)
+        return
+    # a folder's lines must follow one another: null and "" have the same
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (chain_key, "segment")]
+    SF.write_segments(dealt.sortWithinPartitions(text[0], "segment", "seq").select(text[0], text[1], "line"),
+                      root, [chain_key, "segment"])
+
+
+def read_audit_log(spark: SparkSession, path: str | list[str], keys: str | None = None) -> DataFrame:
+    """``line``, the partition columns found under a directory, ``file, line_no``.
+
+    ``keys`` names the folders of a log of ``write_audit_log`` and their types
+    (``user_id bigint, segment bigint``); nothing is inferred from the files
+    then, and on a shared file system the tasks list and read them.
+    """
+    if keys is None:
+        return numbered_lines(spark.read.text(path))
+    kinds = ST.StructType.fromDDL(keys)
+    root = SF.on_disk(spark, path)
+    logs = numbered_lines(spark.read.text(path)) if root is None else SF.read_segments(spark, root, kinds.names)
+    return logs.select("line", *[F.col(f.name).cast(f.dataType) for f in kinds], "file", "line_no")
 
 
 def _least_split(spark: SparkSession) -> int:

@@ -5,8 +5,11 @@ import os
 import tempfile
 
 
+from pyspark.sql import functions as F
+
 from querywarden.operators import audit as A
 from querywarden.sources import audit_log as AL
+from querywarden.sources import segment_files as SF
 from test_audit import _records
 
 
@@ -147,3 +150,87 @@ def test_index_places_segments_in_their_files(spark, tmp_path):
             assert r.bytes == sum(len(x) + 1 for x in text[at - 1:r.last_line])
             at = r.last_line + 1
         assert at == len(text) + 1
+
+
+ODD_CHAINS = ["a", "b c", "x=1/%41#[y]", None, ""]
+
+
+def _odd_lines(spark):
+    """Chains with odd names; a chain's lines hold blank ones and letters beyond ASCII."""
+    rows = [(c, s, q, f"{c!r} {s} {q} é" if q % 4 else "") for c in ODD_CHAINS for s in range(3) for q in range(s * 5, s * 5 + 5)]
+    return spark.createDataFrame(rows, "chain string, segment long, seq long, line string")
+
+
+def _as_set(df):
+    return sorted(map(tuple, df.select("chain", "segment", "file", "line_no", "line").collect()), key=str)
+
+
+def test_segments_are_read_as_by_spark(spark, tmp_path):
+    """Files of the tasks and of Spark's own writer, read by the tasks and by Spark's own reader: the same rows."""
+    lines, keys = _odd_lines(spark), "chain string, segment bigint"
+    AL.write_audit_log(lines, str(tmp_path / "own log"), "chain")
+    # null and "" share a folder, which Spark's writer would begin twice
+    lines.withColumn("chain", F.nullif("chain", F.lit(""))).repartition(1).sortWithinPartitions("chain", "segment", "seq") \
+        .select("chain", "segment", "line").write.partitionBy("chain", "segment").text(str(tmp_path / "spark"))
+    for name in ("own log", "spark"):
+        at = str(tmp_path / name)
+        own = _as_set(AL.read_audit_log(spark, at, keys))
+        plain = AL.read_audit_log(spark, at).withColumn("segment", F.col("segment").cast("bigint"))
+        assert own == _as_set(plain) and len(own) == 75
+        assert {(r[0], r[1], r[4]) for r in own} == {(r.chain or None, r.segment, r.line) for r in lines.collect()}
+    assert sorted(os.listdir(tmp_path / "own log")) == sorted(n for n in os.listdir(tmp_path / "spark") if not n.startswith("."))
+    # with nothing left over beside it
+    assert sorted(os.listdir(tmp_path)) == ["own log", "spark"]
+
+
+def test_log_is_written_without_hadoop_files(spark, tmp_path):
+    """No checksum file, and so no chmod process, for a segment; the log before is replaced as a whole."""
+    lines = _odd_lines(spark)
+    at = str(tmp_path / "log")
+    AL.write_audit_log(lines, at, "chain")
+    AL.write_audit_log(lines.where("segment < 2 and chain <> ''"), at, "chain")
+    files = [f for _, _, names in os.walk(at) for f in names]
+    assert sorted(f for f in files if not f.startswith("part-")) == ["_SUCCESS"] and len(files) == 7
+    bad = lines.withColumn("line", F.when(F.col("seq") < 14, F.col("line")).otherwise(F.raise_error(F.lit("no line"))))
+    try:
+        AL.write_audit_log(bad, at, "chain")
+        raise AssertionError("written")
+    except Exception as e:
+        assert "no line" in str(e)
+    assert sorted(f for _, _, names in os.walk(at) for f in names) == sorted(files) and os.listdir(tmp_path) == ["log"]
+
+
+def test_reading_a_log_makes_no_plan_of_its_files(spark, tmp_path):
+    lines = _odd_lines(spark)
+    AL.write_audit_log(lines, str(tmp_path / "log"), "chain")
+    logs = AL.read_audit_log(spark, str(tmp_path / "log"), "chain string, segment bigint")
+    assert logs.inputFiles() == [] and logs.count() == 75
+
+
+def test_line_ends_and_bytes_as_by_spark(spark, tmp_path, monkeypatch):
+    bodies = [b"", b"\n", b"a", b"a\r\nb\rc\n\nd", b"\xef\xbb\xbfa\n\xff\xfe\x00b\n", b"a\r", b"\r\n\r\n", b"ab\r\n" * 9 + b"\r\r\n", b"x\xc2\x85y\x0bz\n\xe2\x80\xa8"]
+    for i, body in enumerate(bodies):
+        os.makedirs(tmp_path / f"chain={i}" / "segment=0")
+        (tmp_path / f"chain={i}" / "segment=0" / "part-0.txt").write_bytes(body)
+    hexed = lambda df: sorted(map(tuple, df.selectExpr("cast(chain as bigint)", "line_no", "hex(cast(line as binary))").collect()))
+    want = hexed(AL.read_audit_log(spark, str(tmp_path)))
+    for size in (SF.READ_BYTES, 1, 2, 5):
+        monkeypatch.setattr(SF, "READ_BYTES", size)  # shipped by value
+        assert hexed(AL.read_audit_log(spark, str(tmp_path), "chain bigint, segment bigint")) == want
+    assert hexed(AL.read_audit_log(spark, str(tmp_path), "chain bigint, segment bigint"))[0] == (1, 1, "")
+
+
+def test_folder_names_are_sparks(spark):
+    names = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    for text in ("plain", "".join(map(chr, range(1, 128))), "é%41"):
+        assert SF.folder_name("k", text) == f"k={names.escapePathName(text)}"
+        assert SF.folder_value(SF.folder_name("k", text)) == text
+    assert SF.folder_value(SF.folder_name("k", None)) is None
+
+
+def test_append_adds_files(spark, tmp_path):
+    lines = _odd_lines(spark)
+    for mode in ("overwrite", "append"):
+        AL.write_audit_log(lines, str(tmp_path / "log"), "chain", mode=mode)
+    logs = AL.read_audit_log(spark, str(tmp_path / "log"), "chain string, segment bigint")
+    assert logs.count() == 150
