@@ -19,10 +19,10 @@ import re
 import shutil
 import uuid
 from collections.abc import Iterator, Sequence
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,6 +67,23 @@ def _hidden(name: str) -> bool:
 # writing
 # ---------------------------------------------------------------------------
 
+def _runs(b: pa.RecordBatch) -> Iterator[tuple[tuple, memoryview]]:
+    """The values and the bytes of each run of rows of one folder; the last column is the line (null: a blank one).
+
+    Lines are handed on as bytes, whether or not they are UTF-8.
+    """
+    end, none = (pa.scalar(x, pa.large_binary()) for x in (b"\n", b""))
+    text = pc.binary_join_element_wise(b.columns[-1].cast(pa.large_binary()), none, end, null_handling="replace", null_replacement="")
+    upto, data = np.frombuffer(text.buffers()[1], np.int64), memoryview(text.buffers()[2])
+    new = np.arange(b.num_rows) == 0
+    for c in b.columns[:-1]:
+        new[1:] |= np.asarray(pc.not_equal(c[1:], c[:-1]))
+    at = np.flatnonzero(new)
+    keys = zip(*(c.take(pa.array(at)).to_pylist() for c in b.columns[:-1]))
+    for key, i, j in zip(keys, upto[at].tolist(), upto[[*at[1:], b.num_rows]].tolist()):
+        yield key, data[i:j]
+
+
 def _write(root: str, columns: Sequence[str], job: str):
     """Fold over lines sorted by folder: a file each. It gets its name when it is
     whole, so attempts at the same task do not meet in it."""
@@ -80,21 +97,19 @@ def _write(root: str, columns: Sequence[str], job: str):
             os.replace(out.name, os.path.join(os.path.dirname(out.name), name))
 
         try:
-            for b in batches:
-                # lines are handed on as bytes, whether or not they are UTF-8
-                keys, lines = zip(*(c.to_pylist() for c in b.columns[:-1])), b.columns[-1].cast(pa.large_binary()).to_pylist()
-                for key, group in itertools.groupby(zip(keys, lines), itemgetter(0)):
-                    if out is None or key != at:
-                        if out is not None:
-                            done()
-                        folder = root
-                        for c, v in zip(columns, key):
-                            folder = os.path.join(folder, folder_name(c, v))
+            for key, text in itertools.chain.from_iterable(_runs(b) for b in batches if b.num_rows):
+                if key != at:
+                    if out is not None:
+                        done()
+                    folder = root
+                    for i, (c, v) in enumerate(zip(columns, key), 1):
+                        folder = os.path.join(folder, folder_name(c, v))
+                        if at is None or key[:i] != at[:i]:
                             with contextlib.suppress(FileExistsError):
                                 os.mkdir(folder)
-                        at, files = key, files + 1
-                        out = open(os.path.join(folder, f".{name}.{task.taskAttemptId()}"), "wb")
-                    out.write(b"".join((line or b"") + b"\n" for _, line in group))
+                    at, files = key, files + 1
+                    out = open(os.path.join(folder, f".{name}.{task.taskAttemptId()}"), "wb")
+                out.write(text)
             if out is not None:
                 done()
         finally:

@@ -168,7 +168,12 @@ def _as_set(df):
 def test_segments_are_read_as_by_spark(spark, tmp_path):
     """Files of the tasks and of Spark's own writer, read by the tasks and by Spark's own reader: the same rows."""
     lines, keys = _odd_lines(spark), "chain string, segment bigint"
-    AL.write_audit_log(lines, str(tmp_path / "own log"), "chain")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")  # a file goes on in the next batch
+    try:
+        AL.write_audit_log(lines, str(tmp_path / "own log"), "chain")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     # null and "" share a folder, which Spark's writer would begin twice
     lines.withColumn("chain", F.nullif("chain", F.lit(""))).repartition(1).sortWithinPartitions("chain", "segment", "seq") \
         .select("chain", "segment", "line").write.partitionBy("chain", "segment").text(str(tmp_path / "spark"))
